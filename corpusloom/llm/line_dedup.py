@@ -63,6 +63,15 @@ def drop_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_i
     return d.select("row", F.expr(f"CASE WHEN s IS NULL THEN text ELSE array_join({left}, '\n') END").alias("kept"), F.size("lines").alias("n_lines"), F.expr("zip_with(opens, ends, (a, b) -> struct(a AS start, b AS stop))").alias("runs"))
 
 
+def without_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """`docs` with later runs deleted from the text and its length renewed; rows of which nothing is left go."""
+    d = drop_repeated_runs(docs, min_lines, id_col, text_col).where("size(runs) = 0 OR kept <> ''")
+    new = {text_col: F.when(F.size("runs") > 0, F.col("kept")).otherwise(F.col(f"row.{text_col}"))}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.size("runs") > 0, F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.{length_col}"))
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def dedup_report(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed (lines), n_runs, kept_chars, kept_sha256."""
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"])

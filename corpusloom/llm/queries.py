@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, contamination, embeddings, jaccard, licences, line_dedup, packing, secrets, toxicity
+from corpusloom.llm import chat, contamination, embeddings, jaccard, licences, line_dedup, packing, secrets, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -23,6 +23,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_report(_table(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir), packing.tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_jaccard_join, op3_embedding_dedup, op5_secrets, op6_licences, op7_decontamination, op8_toxicity, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_jaccard_join, op3_embedding_dedup, op4_suffix_dedup, op5_secrets, op6_licences, op7_decontamination, op8_toxicity, op9_line_dedup, op10_packing)}
 ORACLE_SQL = {
     "op1_chat": chat.oracle(),
     "op3_embedding_dedup": embeddings.oracle(),
