@@ -42,7 +42,7 @@ def counters(events: DataFrame) -> DataFrame:
     other = F.count_if(F.col("tool").startswith("write_") & (F.col("tool") != "write_bugfix_summary"))
     hits, misses = F.count_if(F.col("hit")), F.count_if(~F.col("hit"))
     last = F.max(F.when(F.col("tool").isNotNull(), F.struct("ts", "event_id", "tool")))["tool"]
-    return events.groupBy("project").agg(*[c.alias(k) for k, c in n.items()], other.alias("writes"), hits.alias("hits"), misses.alias("misses"), rounded(hits / (hits + misses)).alias("hit_rate"), last.alias("last_tool"))
+    return events.groupBy("project").agg(*[c.alias(k) for k, c in n.items()], other.alias("writes"), hits.alias("hits"), misses.alias("misses"), rounded(F.try_divide(hits, hits + misses)).alias("hit_rate"), last.alias("last_tool"))
 
 
 def nudges(counted: DataFrame) -> DataFrame:
