@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import paths, text
+from corpusloom.functions import paths, render, text
 from corpusloom.operators import chunking, classify, code, incremental, quality, relations, search, usage
 from corpusloom.sources import formats, views
 from corpusloom.sources.views import sql, table
@@ -103,12 +103,6 @@ def consensus(spark, d):
     return classify.signals(views.files(_docs(spark, d))).select("rel_path", "category", "confidence", "path_category", "keyword_category")
 
 
-@query(sql(_SIGNAL_V + f""" SELECT rel_path, con.c AS category, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1) AS destination FROM cons
-  WHERE (folder = '' OR NOT list_contains({_LIST(paths.DIRECTORIES.values())}, folder)) AND list_contains({_LIST(paths.DIRECTORIES.values())}, con.c)""", "docs_v"))
-def misplaced_files(spark, d):
-    return classify.misplaced(classify.signals(views.files(_docs(spark, d))))
-
-
 @query(sql("SELECT rel_path, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS n_words FROM docs_v WHERE NOT regexp_matches(text, '(?m)^#{1,6}[ \\t]') AND len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) > 50", "docs_v"))
 def rewrites(spark, d):
     return classify.needs_rewrite(views.files(_docs(spark, d)))
@@ -255,6 +249,19 @@ def centroid_accuracy(spark, d):
     return _nearest(spark, d).groupBy("label").agg(F.count("*").alias("n"), text.rounded(F.avg(F.coalesce((F.col("nearest") == F.col("label")).cast("double"), F.lit(0.0)))).alias("accuracy"))
 
 
+_LONG_LIST = list(paths.DIRECTORIES.values())
+
+
+@query(sql(_SIGNAL_V.split(", cons AS")[0] + f""", {_CENT_V}, em AS (SELECT id AS doc_id, {_LIST(_LONG_LIST)}[nearest % 7 + 1] AS ec, least(similarity * 2, 1.0::DOUBLE) AS ex FROM be WHERE nearest IS NOT NULL),
+  c2 AS (SELECT rel_path, folder, CASE WHEN p.category <> 'docs' AND p.confidence >= 0.7 THEN struct_pack(c := coalesce(long, p.category), x := least(0.75::DOUBLE + p.confidence * 0.2::DOUBLE, 0.95::DOUBLE)) WHEN k.confidence > 0 AND k.category = ec THEN struct_pack(c := ec, x := least(0.85::DOUBLE + ex * 0.1::DOUBLE, 0.95::DOUBLE))
+  WHEN k.confidence > 0 THEN struct_pack(c := k.category, x := 0.65::DOUBLE) WHEN ex > 0.4 THEN struct_pack(c := ec, x := {_r('ex * 0.7::DOUBLE', 2)}) ELSE struct_pack(c := 'docs', x := 0.3::DOUBLE) END AS con FROM sig LEFT JOIN em USING (doc_id))
+  SELECT rel_path, con.c AS category, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1) AS destination FROM c2 WHERE (folder = '' OR NOT list_contains({_LIST(_LONG_LIST)}, folder)) AND list_contains({_LIST(_LONG_LIST)}, con.c)""", "docs_v"))
+def misplaced_files(spark, d):
+    f = views.files(_docs(spark, d))
+    near = _nearest(spark, d).where("nearest IS NOT NULL").select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, _LONG_LIST)), (F.col("nearest") % 7 + 1).cast("int")).alias("category"), F.least(F.col("similarity") * 2, F.lit(1.0)).alias("confidence"))  # vectors of this table are noisy
+    return classify.misplaced(classify.signals(f, f.select("doc_id", "rel_path").join(near, "doc_id").drop("doc_id")))
+
+
 _HASH_V = f"""hb AS (SELECT id, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM hx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, b, count(*) AS n FROM hx GROUP BY ALL) USING (id, b) GROUP BY id)"""
 _EMB_V = f"""hx AS (SELECT doc_id AS id, ('0x' || left(md5(term), 7))::BIGINT % 64 AS b FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents)), {_HASH_V},
 qx AS (SELECT item_id AS id, ('0x' || left(md5(term), 7))::BIGINT % 64 AS b FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark)), qb AS (SELECT id, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM qx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, b, count(*) AS n FROM qx GROUP BY ALL) USING (id, b) GROUP BY id),
@@ -315,9 +322,10 @@ hl AS (SELECT file, list_transform(regexp_extract_all(bare, '(?m)^(#{1,6})[ \t]'
 jp AS (SELECT file, min(struct_pack(p := i, l := lv[i])) AS j FROM (SELECT file, lv, unnest(range(2, len(lv) + 1)) AS i FROM hl) WHERE lv[i] > list_max(list_filter(lv[1 : i - 1], lambda x: x < lv[i])) + 1 GROUP BY file)"""
 
 
-@query(sql(_QUAL_V + " SELECT file, j.p - 1 AS at, j.l AS level FROM jp", "md_v"))
+@query(sql(_QUAL_V.replace("md AS text", "CASE WHEN doc_id % 2 = 1 THEN replace(md, chr(10) || '## ', chr(10) || '#### ') ELSE md END AS text") + " SELECT file, j.p - 1 AS at, j.l AS level FROM jp", "md_v"))
 def heading_jumps(spark, d):
-    f = views.markdown(_docs(spark, d)).select(F.col("rel_path").alias("file"), F.col("md").alias("text"))
+    deeper = F.when(F.col("doc_id") % 2 == 1, F.replace("md", F.lit("\n## "), F.lit("\n#### "))).otherwise(F.col("md"))
+    f = views.markdown(_docs(spark, d)).select(F.col("rel_path").alias("file"), deeper.alias("text"))
     return quality.heading_jumps(f).select("file", F.col("at").cast("long").alias("at"), F.col("level").cast("long").alias("level"))
 
 
@@ -603,3 +611,48 @@ def code_distributions(spark, d):
 @query(sql(_CODE_V + " SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM sf WHERE regexp_extract(path, '^(.*)/[^/]*$', 1) NOT IN (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM sf WHERE documented AND doc_id % 6 = 0)", "docs_v"))
 def undocumented_folders(spark, d):
     return code.undocumented(_code_files(spark, d), F.col("documented") & (F.col("doc_id") % 6 == 0))
+
+
+# rendering
+
+@query("""SELECT p_partkey, 'bugfix-log/2024-01-01-' || sl || '.md' AS path, '---' || chr(10) || 'id: bugfix-2024-01-01-' || sl || chr(10) || 'type: bugfix' || chr(10) || 'status: active' || chr(10) || '---' || chr(10) || '# ' || p_name || chr(10) || chr(10) || '## Root Cause' || chr(10) || p_type || chr(10) || chr(10) || '## Solution' || chr(10) || p_brand || chr(10) || chr(10) || '## Lesson Learned' || chr(10) || 'size ' || p_size || chr(10) AS text
+  FROM (SELECT *, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS sl FROM part) WHERE trim(p_type) <> '' AND trim(p_brand) <> '' AND p_size IS NOT NULL""")
+def rendered_documents(spark, d):
+    doc = render.document("bugfix", F.col("p_name"), F.lit("2024-01-01"), root_cause=F.col("p_type"), solution=F.col("p_brand"), lesson_learned=F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", doc.alias("d")).where("d IS NOT NULL").select("p_partkey", "d.path", "d.text")
+
+
+@query(sql("SELECT doc_id, trim(replace(regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '.', ' ') || ' ' || folder) AS query FROM docs_v", "docs_v"))
+def file_queries(spark, d):
+    return views.files(_docs(spark, d)).select("doc_id", render.file_query(F.col("rel_path")).alias("query"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '\\.git$', ''), '-knowledge$', '') AS name FROM pages")
+def project_names(spark, d):
+    return table(spark, d, "pages").select("page_id", render.project_name(F.col("url")).alias("name"))
+
+
+@query("""SELECT user_id, CASE WHEN a > 0 AND b > 0 THEN 'diverged: ' || a || ' commits are only here, ' || b || ' only there' WHEN b = 0 AND a > 0 THEN a || ' commits are not on the remote' END AS warning
+  FROM (SELECT user_id, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'error') AS b FROM events GROUP BY user_id)""")
+def divergence_warnings(spark, d):
+    n = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("a"), F.count_if(F.col("event_type") == "error").alias("b"))
+    return n.select("user_id", render.divergence_warning(usage.divergence(F.col("a"), F.col("b")), F.col("a"), F.col("b")).alias("warning"))
+
+
+@query(sql("SELECT source, 'kb: ' || CASE WHEN count(*) = 1 THEN 'update ' || min(rel_path) WHEN count(*) FILTER (contains(lower(rel_path), 'bugfix')) = count(*) THEN 'add ' || count(*) || ' bugfix summaries' ELSE 'update ' || count(*) || ' files' END AS message FROM docs_v GROUP BY source", "docs_v"))
+def commit_summaries(spark, d):
+    f = views.files(_docs(spark, d)).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.lower("rel_path").contains("bugfix")).alias("b"), F.min("rel_path").alias("first"))
+    return f.select("source", render.commit_summary("kb", F.col("n"), F.col("b"), F.col("first")).alias("message"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_mktsegment END, ''), n_name) AS setting FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def cascaded_settings(spark, d):
+    own = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", render.cascade(own, F.col("n_name")).alias("setting"))
+
+
+@query("WITH s AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), m AS (SELECT user_id, max(i) AS i FROM s GROUP BY user_id), k AS (SELECT user_id % 8 AS project, count(*) FILTER (f) AS streak FROM s JOIN m USING (user_id, i) GROUP BY user_id) SELECT project, count(*) AS n_users, count(*) FILTER (streak >= 3) AS n_degraded FROM k GROUP BY project")
+def degraded_projects(spark, d):
+    s = usage.failure_streaks(table(spark, d, "events"), "user_id", F.col("event_type") == "error")
+    return s.groupBy((F.col("user_id") % 8).alias("project")).agg(F.count("*").alias("n_users"), F.count_if(~F.col("healthy")).alias("n_degraded"))

@@ -88,3 +88,26 @@ def test_source_hints(spark):
 def test_rounding_is_half_up_on_the_value(spark):
     d = spark.createDataFrame([(0.125,), (-0.125,), (2.0,)], "x double")
     assert [r[0] for r in d.select(text.rounded(F.col("x"), 2)).collect()] == [0.13, -0.12, 2.0]
+
+
+def test_documents_are_rendered_if_whole(spark):
+    from corpusloom.functions import render
+
+    d = spark.createDataFrame([("A bug!", "why", "how", "next"), ("B", "why", " ", "next")], "t string, a string, b string, c string")
+    got = d.select(render.document("bugfix", F.col("t"), F.lit("2024-05-01"), root_cause=F.col("a"), solution=F.col("b"), lesson_learned=F.col("c")).alias("d")).collect()
+    assert got[0].d.path == "bugfix-log/2024-05-01-a-bug.md"
+    assert got[0].d.text == "---\nid: bugfix-2024-05-01-a-bug\ntype: bugfix\nstatus: active\n---\n# A bug!\n\n## Root Cause\nwhy\n\n## Solution\nhow\n\n## Lesson Learned\nnext\n"
+    assert got[1].d is None
+    log = spark.range(1).select(render.document("changelog", F.lit("1.0"), F.lit("2024-05-01")).alias("a"), render.document("changelog", F.lit("1.0"), F.lit("2024-05-01"), fixed=F.lit("x")).alias("b")).first()
+    assert log.a is None and log.b.text.endswith("## Fixed\nx\n")
+
+
+def test_names_paths_and_queries(spark):
+    from corpusloom.functions import render
+
+    r = rows(spark, ["src/payment/stripe-webhook.service.ts", "src/a.py", "b"], q=render.file_query)
+    assert [x["q"] for x in r] == ["stripe-webhook service payment", "a", "b"]
+    r = rows(spark, ["https://x.org/team/wiki-knowledge.git", "https://x.org/digit/", "git@x:y/bit.git"], n=render.project_name)
+    assert [x["n"] for x in r] == ["wiki", "digit", "bit"]
+    r = rows(spark, ["a/b.md", "../c", "/etc/x", "a/../b", "a..b/c"], i=render.inside)
+    assert [x["i"] for x in r] == [True, False, False, False, True]
