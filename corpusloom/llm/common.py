@@ -27,10 +27,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> Da
     return docs.select(doc_key(docs[id_col], text).alias("doc"), docs[id_col].alias("id"), text.alias("text"), *own)
 
 
+def sized(df: DataFrame, width: Column) -> tuple[DataFrame, bool]:
+    """df, and whether the bytes of its rows, summed over all of them, are within BROADCAST_BYTES."""
+    return df, (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, width: Column) -> DataFrame:
-    """df, marked for broadcast if the bytes of its rows, summed over all of them, are within BROADCAST_BYTES."""
-    size = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    """df, marked for broadcast if it is small enough."""
+    df, small = sized(df, width)
+    return F.broadcast(df) if small else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_key, small_side, written
+from corpusloom.llm.common import doc_key, sized, small_side, written
 
 #: What separates words, letters of either case being part of them.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,13 +71,14 @@ def build_index(docs: DataFrame, terms: DataFrame, width: int, id_col: str = "do
     """Postings of the given terms: term, doc, pos, near (2 * width - 1 words, the term in the middle; null outside)."""
     reach = width - 1
     text = F.coalesce(docs[text_col], F.lit(""))
-    pad = F.array_repeat(F.lit(None).cast("string"), reach)
     d = docs.select(doc_key(docs[id_col], text).alias("doc"), raw_words(text).alias("w"))
-    d = d.select("doc", F.size("w").alias("n"), F.concat(pad, F.col("w"), pad).alias("w"))
-    shifted = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.col("n")).alias(f"w{i}") for i in range(2 * reach + 1)])
-    rows = d.select("doc", F.posexplode(shifted).alias("pos", "x")).withColumn("term", lower_ascii(F.col(f"x.w{reach}")))
-    near = F.array(*[lower_ascii(F.col(f"x.w{i}")) for i in range(2 * reach + 1)])
-    return rows.join(small_side(terms, F.octet_length("term") + 16), "term").select("term", "doc", "pos", near.alias("near"))
+    rows = d.select("doc", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", lower_ascii(F.col("word")))
+    near = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.when(F.col("pos") + i >= 0, lower_ascii(F.get("w", F.col("pos") + i))))
+    look, small = sized(terms, F.octet_length("term") + 16)
+    if small:
+        # one fused loop over the words: only a posting reads its neighbourhood
+        return rows.join(F.broadcast(look), "term").select("term", "doc", "pos", near.alias("near"))
+    return rows.select("term", "doc", "pos", near.alias("near")).join(look, "term")
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame, width: int) -> DataFrame:
