@@ -27,8 +27,10 @@ def sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False)
     mark = "CASE WHEN x RLIKE '^#{1,3}[ \\t\\n\\x0B\\f\\r]+.' THEN length(regexp_extract(x, '^(#{1,3})', 1)) ELSE 0 END"
     levels = F.expr(f"transform(lines, x -> {mark})")
     if skip_fences:
-        fenced = "aggregate(lines, struct(array() AS f, false AS open), (a, x) -> struct(concat(a.f, array(a.open OR x LIKE '```%')), CASE WHEN x LIKE '```%' THEN NOT a.open ELSE a.open END), a -> a.f)"
-        fenced = fenced.replace("array() AS f", "CAST(array() AS array<boolean>) AS f").replace("struct(concat", "named_struct('f', concat").replace("array(a.open OR x LIKE '```%')), CASE", "array(a.open OR x LIKE '```%')), 'open', CASE")
+        state = "named_struct('f', {}, 'open', {})"
+        begin = state.format("CAST(array() AS array<boolean>)", "false")
+        step = state.format("concat(a.f, array(a.open OR x LIKE '```%'))", "a.open <> (x LIKE '```%')")
+        fenced = f"aggregate(lines, {begin}, (a, x) -> {step}, a -> a.f)"
         levels = F.expr(f"zip_with(transform(lines, x -> {mark}), {fenced}, (l, f) -> CASE WHEN f THEN 0 ELSE l END)")
     d = d.select("source", "lines", levels.alias("levels"), F.size("lines").alias("n"))
     heads = "filter(transform(levels, (l, i) -> struct(i AS at, l AS level)), h -> h.level > 0)"
@@ -39,8 +41,8 @@ def sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False)
     stop = F.coalesce(F.get("heads", F.col("ord") + 1)["at"], F.col("n"))
     title = lambda at: F.trim(F.regexp_extract(F.get("lines", at), HEADING, 2))
     # the open headings before this one: of each level the last, unless a shallower one came later
-    last = lambda level, below: F.array_max(F.transform(F.filter(F.slice("heads", F.lit(1), F.col("ord") + 1), lambda x: x["level"] == level), lambda x: x["at"]))
-    one, two, three = (last(k, None) for k in (1, 2, 3))
+    last = lambda level: F.array_max(F.transform(F.filter(F.slice("heads", F.lit(1), F.col("ord") + 1), lambda x: x["level"] == level), lambda x: x["at"]))
+    one, two, three = map(last, (1, 2, 3))
     out = each.select("source", "ord", F.col("h.level").alias("level"), F.when(F.col("h.level") > 0, title(F.col("h.at"))).otherwise(F.lit("intro")).alias("heading"), F.col("h.at").alias("at"), stop.alias("stop"), one.alias("m1"), two.alias("m2"), three.alias("m3"), "lines")
     before = F.coalesce("m1", F.lit(-1))
     path = F.array_compact(F.array(F.when(F.col("m1").isNotNull(), title(F.col("m1"))), F.when(F.col("m2") > before, title(F.col("m2"))), F.when((F.col("m3") > before) & (F.col("m3") > F.coalesce("m2", F.lit(-1))), title(F.col("m3")))))
