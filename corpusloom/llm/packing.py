@@ -28,7 +28,7 @@ from corpusloom.llm.common import written
 
 SEQUENCE, CLOSING, SHARD_ROWS = 4096, 1, 4096
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def _ranges(kinds: str) -> str:
@@ -55,6 +55,14 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words in one text; they are split where they were split before."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        packed, place = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+        cuts = np.searchsorted(place, np.arange(len(words) + 1)) * 4
+        for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist(), strict=False):
+            self.known[w] = packed[a:b]
+
     def of(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
         if self.other.search(text):
@@ -66,8 +74,7 @@ class WordIds:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for w in set(words).difference(known):
-                known[w] = self._encode(w)
+            self._learn(list(set(words).difference(known)))
             return b"".join([known[w] for w in words])
 
 
