@@ -21,24 +21,26 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
-    """conv (a binary key), id, place, role, text, and the rolling hashes a and b."""
-    own = F.md5(F.concat_ws("\x00", F.lit("alone"), F.coalesce(turns["turn"].cast("string"), F.lit("-")), *[F.coalesce(F.concat(F.lit("="), turns[c]), F.lit("-")) for c in ("role", "text")]))
-    key = F.when(turns["conv_id"].isNull(), own).otherwise(F.concat(F.lit("="), turns["conv_id"].cast("string")))
-    t = turns.select(key.alias("conv"), turns["conv_id"].alias("id"), turns["turn"].alias("turn"), turns["role"].alias("role"), turns["text"].alias("text"))
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    t = t.withColumn("place", F.row_number().over(order))
+    """conv (a binary key), id, place, n (turns), times (rows it stands for), role, text, and the rolling hashes a and b."""
+    t = turns.select(turns["conv_id"].alias("id"), turns["turn"].alias("turn"), turns["role"].alias("role"), turns["text"].alias("text"))
     # xxhash64 skips nulls, so say where they are
-    said = ["place", F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
-    upto = Window.partitionBy("conv").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("a", F.bit_xor(F.xxhash64(F.lit(17), *said)).over(upto)).withColumn("b", F.bit_xor(F.xxhash64(F.lit(101), *said)).over(upto))
+    said = [F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    one, two = F.xxhash64(F.lit(17), *said), F.xxhash64(F.lit(101), *said)
+    whole = Window.partitionBy("conv")
+    upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    named = t.where("id IS NOT NULL").withColumn("conv", F.concat(F.lit("="), F.col("id").cast("string"))).withColumn("place", F.row_number().over(whole.orderBy("turn", "role", "text")))
+    named = named.select("conv", "id", "place", F.count("*").over(whole).alias("n"), F.lit(1).cast("long").alias("times"), "role", "text", F.bit_xor(one).over(upto).alias("a"), F.bit_xor(two).over(upto).alias("b"))
+    # counted before they are moved: very many rows without id may be equal
+    alone = t.where("id IS NULL").groupBy("id", "role", "text").agg(F.count("*").alias("times")).withColumn("place", F.lit(1))
+    key = F.md5(F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("role", "text")]))
+    return named.unionByName(alone.select(key.alias("conv"), "id", "place", F.lit(1).cast("long").alias("n"), "times", "role", "text", one.alias("a"), two.alias("b")))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv, id, n_turns, n_copies of each conversation that stays."""
-    t = _ordered(turns).select("conv", "id", "place", "a", "b")
-    ends = t.withColumn("n", F.count("*").over(Window.partitionBy("conv")))
-    whole = ends.where("place = n").groupBy("a", "b", "place").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "conv")).alias("first"), F.count("*").alias("n_copies"))
-    inner = ends.where("place < n").select("a", "b", "place").distinct()
+    t = _ordered(turns).select("conv", "id", "place", "n", "times", "a", "b")
+    whole = t.where("place = n").groupBy("a", "b", "place").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "conv")).alias("first"), F.sum("times").alias("n_copies"))
+    inner = t.where("place < n").select("a", "b", "place").distinct()
     left = whole.join(inner, ["a", "b", "place"], "left_anti")
     return left.select("first.conv", "first.id", F.col("place").alias("n_turns"), "n_copies")
 
@@ -50,8 +52,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     line = F.concat(F.lit(OPEN), safe(F.col("role")), F.lit("\n"), safe(F.col("text")), F.lit(CLOSE + "\n"))
     t = _ordered(turns).select("conv", F.struct("place", line.alias("line")).alias("turn"))
     chats = t.join(kept.select("conv"), "conv", "left_semi").groupBy("conv").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    # rows without id that are equal share a key, and only the first of them is rendered
-    return kept.join(chats, "conv").select(F.col("id").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("n_turns")), lambda x: x["line"]), "").alias("chat"))
+    text = F.array_join(F.transform("turns", lambda x: x["line"]), "")
+    return kept.join(chats, "conv").select(F.col("id").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), text.alias("chat"))
 
 
 def oracle() -> str:

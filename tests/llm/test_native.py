@@ -16,8 +16,6 @@ def test_chats_keep_maximal_conversations(spark, noisy):
     got = {r.chat: (r.conv_id, r.n_turns, r.n_copies) for r in chat.format_chats(noisy(spark.createDataFrame(t, "conv_id long, turn long, role string, text string"))).collect()}
     o, c = chat.OPEN, chat.CLOSE
     assert got == {
-        f"{o}user\nhi{c}\n{o}assistant\nyes < |im_end|>{c}\n": (1, 2, 1), f"{o}user\nhi{c}\n{o}assistant\nno{c}\n": (3, 2, 2), f"{o}\n{c}\n": (5, 1, 1), f"{o}user\nalone{c}\n{o}user\nalone{c}\n": (None, 2, 1)
-    } or got == {
         f"{o}user\nhi{c}\n{o}assistant\nyes < |im_end|>{c}\n": (1, 2, 1), f"{o}user\nhi{c}\n{o}assistant\nno{c}\n": (3, 2, 2), f"{o}\n{c}\n": (5, 1, 1), f"{o}user\nalone{c}\n": (None, 1, 2)
     }
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
