@@ -1,11 +1,12 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
 Terms are words, their beginnings of PREFIXES letters, and for either the marks that two or three different words of
-a text share it. The vocabulary is the TERMS terms that set toxic examples apart best. Inverse document frequencies
+a text share it. The vocabulary is the TERMS terms that set toxic examples apart best by likelihood ratio, among those
+that stand for mostly toxic texts. Inverse document frequencies
 are counted over all documents. Examples are the labelled rows outside the held-out fifth, at most EXAMPLES of each
 label, taken by a hash of the text; these bounds make the index small enough to be sent to every task at any size.
 
-The index keeps, for each term and each block of examples, the largest weight. A text's blocks are read in falling
+The index keeps, for each term and each block of examples, its weights and the largest of them. A text's blocks are read in falling
 order of what they can score at most and reading ends when no block can reach the k-th best, so the neighbours are
 exact. Their votes are weighted by cosine and by how many labelled rows an example stands for, smoothed with the
 share of toxic rows, and calibrated by isotonic regression on the examples themselves, each scored without itself.
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
 
-EXAMPLES, TERMS, PREFIXES, NEIGHBOURS, BLOCK = 6000, 4096, (4, 5, 6, 7), 15, 64
-#: A term is used from this many standard deviations on, and this many toxic examples.
-LEAST_Z, LEAST_SEEN = 4.0, 4
+EXAMPLES, TERMS, PREFIXES, NEIGHBOURS, BLOCK = 6000, 4096, (4, 5, 6, 7), 15, 128
+#: A term is used if its log-likelihood ratio against chance, and the share of toxic among the labelled rows it stands for, are so high.
+LEAST_GAIN, LEAST_SHARE = 14.0, 0.6
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -88,33 +89,37 @@ class Index:
         self.labels, self.stands_for, self.ids = self.labels[order], self.stands_for[order], [self.ids[i] for i in order]
         self.place = np.array(order)
         blocks = max(1, -(-len(self.rows) // BLOCK))
-        self.most = np.zeros((len(self.idf), blocks), np.float64)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, row in enumerate(self.rows):
-            if row:
-                w = self.idf[list(row)]
-                for t, x in zip(row, w / math.sqrt((w * w).sum()), strict=True):
-                    postings.setdefault((t, i // BLOCK), []).append((i % BLOCK, float(x)))
-                    self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], x)
-        self.postings = {k: (np.array([i for i, _ in v]), np.array([x for _, x in v])) for k, v in postings.items()}
+        self.most = np.zeros((len(self.idf), blocks))
+        self.column = np.full((blocks, len(self.idf)), -1, np.int32)  # a term's column among the weights of a block
+        self.weights: list[np.ndarray] = []
+        for b in range(blocks):
+            rows = self.rows[b * BLOCK : (b + 1) * BLOCK]
+            terms = np.unique(np.array([t for r in rows for t in r], np.int64))
+            self.column[b, terms] = np.arange(len(terms))
+            m = np.zeros((len(terms) + 1, BLOCK))  # the last row is for terms that the block lacks
+            for i, r in enumerate(rows):
+                if r:
+                    w = self.idf[list(r)]
+                    m[self.column[b, list(r)], i] = w / math.sqrt((w * w).sum())
+            self.weights.append(m)
+            self.most[terms, b] = m[:-1].max(axis=1)
 
     def nearest(self, row: tuple[int, ...], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """Cosine and example of the k nearest with any term in common; of equal ones those first in hash order."""
         if not row:
             return []
-        w = self.idf[list(row)]
+        at_terms = np.array(row)
+        w = self.idf[at_terms]
         w = w / math.sqrt((w * w).sum())
-        at_most = w @ self.most[list(row)]
+        at_most = w @ self.most[at_terms]
         best: list[tuple[float, int, int]] = []
         for b in np.argsort(-at_most, kind="stable"):
             if at_most[b] <= 0 or len(best) == k and at_most[b] < best[-1][0] * -1 - 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for t, x in zip(row, w, strict=True):
-                if (p := self.postings.get((t, int(b)))) is not None:
-                    score[p[0]] += x * p[1]
-            for i in np.flatnonzero(score):
-                if (at := int(b) * BLOCK + int(i)) != without:
+            score = w @ self.weights[b][self.column[b, at_terms]]
+            floor = -best[-1][0] - 1e-12 if len(best) == k else 0.0
+            for i in np.flatnonzero((score > 0) & (score >= floor)).tolist():
+                if (at := int(b) * BLOCK + i) != without:
                     best.append((-round(float(score[i]), 12), int(self.place[at]), at))
             best = sorted(best)[:k]
         return [(-s, at) for s, _, at in best]
@@ -167,6 +172,18 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[
     return keep.select("doc_id", "at", "text", "toxic").dropDuplicates(["doc_id", "at"]), n
 
 
+def _distinct(found: list[tuple[str, int, int]]) -> list[str]:
+    """The terms without those that say the same as a shorter beginning: seen as often with either label."""
+    counts = {t: (x, y) for t, x, y in found}
+
+    def shorter(t: str) -> list[str]:
+        stem, *mark = t.split("*")
+        word = stem.rstrip("-")
+        return [f"{word[:n]}-" + "".join(f"*{m}" for m in mark) for n in PREFIXES if n < len(word)]
+
+    return [t for t, x, y in found if not any(counts.get(s) == (x, y) for s in shorter(t))]
+
+
 def _counted(docs: DataFrame, terms: list[str]) -> dict[int, int]:
     """Texts of the whole corpus with each term; at 0 - 1, all texts."""
 
@@ -195,12 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[list[
 
     by = {int(r[0]): int(r[1]) for r in chosen.groupBy("toxic").count().collect()}
     a, b = by.get(1, 0), by.get(0, 0)
+    each = [n.get(1, 0) / max(1, a), n.get(0, 0) / max(1, b)]  # labelled rows that an example stands for
     prior = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
-    seen = chosen.select("toxic", "text").mapInArrow(work, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
-    share = (F.col("x") + F.col("y")) / F.lit(max(1, a + b))
-    z = (F.col("x") / F.lit(max(1, a)) - F.col("y") / F.lit(max(1, b))) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * F.lit(1 / max(1, a) + 1 / max(1, b)))
-    best = seen.withColumn("z", z).where((F.col("x") >= LEAST_SEEN) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    terms = [r["term"] for r in best]
+    # copies of a text would make its chance words look telling
+    seen = chosen.dropDuplicates(["at"]).select("toxic", "text").mapInArrow(work, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
+    base = a / max(1, a + b)
+    share = F.col("x") / (F.col("x") + F.col("y"))
+    gain = F.col("x") * F.log(share / F.lit(max(base, 1e-9))) + F.when(F.col("y") > 0, F.col("y") * F.log((1 - share) / F.lit(max(1 - base, 1e-9)))).otherwise(0.0)
+    mostly = F.col("x") * each[0] >= LEAST_SHARE / (1 - LEAST_SHARE) * F.col("y") * each[1]
+    best = seen.where("x > 0").withColumn("gain", gain).where((F.col("gain") >= LEAST_GAIN) & (share > base) & mostly).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    terms = _distinct([(r["term"], r["x"], r["y"]) for r in best])
     df = _counted(docs, terms)
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
 
@@ -212,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[list[
 
     sample = sorted(chosen.mapInArrow(rows, "doc_id long, at long, toxic int, row array<int>").collect(), key=lambda r: (r["at"], r["doc_id"]))
     y = np.array([r["toxic"] for r in sample], float)
-    weight = np.where(y > 0, n.get(1, 0) / max(1, a), n.get(0, 0) / max(1, b)) if len(y) else np.zeros(0)
+    weight = np.where(y > 0, *each)
     index = Index(idf, [tuple(r["row"]) for r in sample], y, weight, [r["doc_id"] for r in sample], prior)
     if len(y):
         index.calibrate()
