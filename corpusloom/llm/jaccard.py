@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import keyed, written
 from corpusloom.llm.components import components
-from corpusloom.llm.tiles import links, runs, tiled, union_find  # noqa: F401
+from corpusloom.llm.tiles import links, tiled
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 25, 8
@@ -112,7 +112,7 @@ class MinHash:
         return least
 
 
-def _batches(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _batches(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of about `most` characters."""
     a = size = 0
     for i, t in enumerate(texts):
