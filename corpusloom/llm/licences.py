@@ -35,15 +35,22 @@ NOTICES = {
 }
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form, null if nothing is left."""
-    plain = F.when(text.rlike(COPYRIGHT_LINE), F.regexp_replace(text, COPYRIGHT_LINE, " ")).otherwise(text)
-    plain = F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
-    variants = rf"\b(?:{'|'.join(SPELLINGS)})\b"
-    spelt = plain
-    for said, to in SPELLINGS.items():
-        spelt = F.regexp_replace(spelt, rf"\b{said}\b", to)
-    return F.nullif(F.when(plain.rlike(variants), spelt).otherwise(plain), F.lit(""))
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line, without empty ones. Nested transforms make each step once a line."""
+    plain = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))))
+
+    def spelt(x: Column) -> Column:
+        out = x
+        for said, to in SPELLINGS.items():
+            out = F.regexp_replace(out, rf"\b{said}\b", to)
+        return F.when(x.rlike(rf"\b(?:{'|'.join(SPELLINGS)})\b"), out).otherwise(x)
+
+    return F.transform(F.filter(plain, lambda x: x != ""), spelt)
+
+
+def whole_digest(lines: Column) -> Column:
+    """The digest of a text by its canonical lines, null if there are none."""
+    return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -52,16 +59,18 @@ def notices(spark: SparkSession) -> DataFrame:
 
 def digests(known: DataFrame) -> DataFrame:
     """digest, license_id: once for each canonical form."""
-    return known.select(F.sha2(canonical(known["text"]), 256).alias("digest"), known["license_id"].alias("license_id")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    k = known.select(canonical_lines(known["text"]).alias("lines"), known["license_id"].alias("license_id"))
+    return k.select(whole_digest(F.col("lines")).alias("digest"), "license_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, digest, license_id (of the whole text), line_licenses (comma-joined, sorted), n_license_lines."""
     look = small_side(digests(known), F.lit(120))
     text = docs[text_col]
-    d = docs.select(docs[id_col].alias("doc_id"), doc_key(docs[id_col], F.coalesce(text, F.lit(""))).alias("doc"), F.sha2(canonical(text), 256).alias("digest"))
-    lines = docs.select(doc_key(docs[id_col], F.coalesce(text, F.lit(""))).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line", "said"))
-    found = lines.select("doc", "line", F.sha2(canonical(F.col("said")), 256).alias("digest")).join(look, "digest").groupBy("doc", "line").agg(F.first("license_id").alias("license_id"))
+    c = docs.select(docs[id_col].alias("doc_id"), doc_key(docs[id_col], F.coalesce(text, F.lit(""))).alias("doc"), canonical_lines(text).alias("lines"))
+    c = c.select("doc_id", "doc", whole_digest(F.col("lines")).alias("digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines"))
+    d = c.select("doc_id", "doc", "digest")
+    found = c.select("doc", F.posexplode("lines").alias("line", "digest")).join(look, "digest").groupBy("doc", "line").agg(F.first("license_id").alias("license_id"))
     by = found.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
     out = d.join(look, "digest", "left").join(by, "doc", "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
