@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
 
-LENGTH, ANCHOR, MOST = 200, 64, 256
+#: MOST: stretches that a task sorts at once, some 3 MB; no group is larger.
+LENGTH, ANCHOR, MOST = 200, 64, 8192
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -264,15 +265,15 @@ def _sorted_groups(bodies: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) < 8192:
+            if sum(map(len, held)) < MOST:
                 continue
             t = pa.Table.from_batches(held)
             kh = t["kh"].to_numpy()
             cut = int(np.searchsorted(kh, kh[-1]))  # the last group may go on
-            for a in range(0, cut, 16384):
+            for a in range(0, cut, MOST):
                 # groups are never parted: a slice ends where a group does
                 lo = int(np.searchsorted(kh, kh[a])) if a else 0
-                hi = int(np.searchsorted(kh, kh[a + 16384])) if a + 16384 < cut else cut
+                hi = int(np.searchsorted(kh, kh[a + MOST])) if a + MOST < cut else cut
                 if hi > lo:
                     yield from done(t.slice(lo, hi - lo))
             held = t.slice(cut).to_batches()

@@ -141,8 +141,9 @@ def py_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [256, 4])
-def test_suffix_dedup_equals_brute_force(spark, noisy, most):
+@pytest.mark.parametrize(("most", "batch"), [(256, 8192), (4, 16), (30, 40)])
+def test_suffix_dedup_equals_brute_force(spark, noisy, monkeypatch, most, batch):
+    monkeypatch.setattr(suffixes, "MOST", batch)
     r = random.Random(6)
     say = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     base = say(700)
