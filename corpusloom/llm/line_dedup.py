@@ -1,15 +1,16 @@
 """Line dedup: winnowed line fingerprints find runs of lines that repeat; later ones are deleted.
 
-A window is `min_lines` consecutive lines. Its fingerprint is the least of its line hashes (the last of equal
-ones), so equal windows have equal fingerprints at equal offsets, and no shared run of `min_lines` lines goes
-unseen. Fingerprints that occur at one position only end there. The others are joined by position: each window
-that selected the fingerprint extends it both ways by its other lines, and neighbouring windows that match chain
-up to the whole run. Of equal windows the first by (id, line) stays; each line of a later one is deleted.
+A run counts if it has `min_lines` lines, or fewer with more than `many_words` words together. A window is
+`min_lines` consecutive lines, or fewer with so many words; each longer run is a chain of windows. A window's
+fingerprint is the least of its line hashes (the last of equal ones), so equal windows have equal fingerprints at
+equal offsets, and no shared run that counts goes unseen. Fingerprints that occur at one position only end there. The
+others' windows are grouped by the digest of all their lines, and neighbouring windows that match chain up to the
+whole run. Of equal windows the first by (id, line) stays; each line of a later one is deleted.
 
 Every step is a count or a minimum with partial aggregation, or a sort-merge join that Spark can split, so that a
 line shared by a third of all documents needs no task of its own.
 
-Nulls: a null text is empty; null ids sort first. Texts of fewer than `min_lines` lines lose nothing. Rows that
+A word is a stretch without white space. Nulls: a null text is empty; null ids sort first. Rows that
 repeat id and text count as one document: they are edited alike. Other columns pass through as they are.
 """
 
@@ -17,55 +18,71 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import keyed
 
+#: A run of fewer than `min_lines` lines counts if it has more words than this.
+MANY_WORDS = 50
 
-def line_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each window: doc, id, start (its first line), win (128-bit digest of its lines), fp, pos."""
+
+def line_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
+    """A row for each window: doc, id, start (its first line), n (its lines), win (128-bit digest of them), fp, pos."""
     k = keyed(docs, id_col, text_col).withColumn("lines", F.split("text", "\n", -1))
-    count = F.greatest(F.size("lines") - F.lit(min_lines - 1), F.lit(0))
-    shifted = [F.slice("lines", F.lit(i + 1), count).alias(f"l{i}") for i in range(min_lines)]
-    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*shifted)).alias("start", "w"))
-    line = [F.col(f"w.l{i}") for i in range(min_lines)]
-    w = w.select("doc", "id", "start", F.unhex(F.md5(F.concat_ws("\n", *line))).alias("win"), *[F.xxhash64(x).alias(f"h{i}") for i, x in enumerate(line)])
-    least = F.least(*[F.col(f"h{i}") for i in range(min_lines)])
-    last = reduce(lambda at, i: F.when(F.col(f"h{i}") == F.col("fp"), F.lit(i)).otherwise(at), range(min_lines), F.lit(0))
-    return w.withColumn("fp", least).select("doc", "id", "start", "win", "fp", (F.col("start") + last).alias("pos"))
-
-
-def repeated_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and start of each window that equals an earlier one."""
-    w = line_windows(docs, min_lines, id_col, text_col)
+    k = k.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    lines = [F.slice("lines", F.lit(i + 1), F.size("lines")).alias(f"l{i}") for i in range(min_lines)]
+    words = [F.slice("words", F.lit(i + 1), F.size("words")).alias(f"w{i}") for i in range(min_lines - 1)]
+    # behind the last line the shorter arrays are filled up with nulls
+    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*lines, *words)).alias("start", "w"))
+    w = w.select("doc", "id", "start", "w", *[F.xxhash64(f"w.l{i}").alias(f"h{i}") for i in range(min_lines)])
+
+    def window(n: int) -> Column:
+        fp = F.least(*[F.col(f"h{i}") for i in range(n)]) if n > 1 else F.col("h0")
+        last = reduce(lambda at, i: F.when(F.col(f"h{i}") == fp, F.lit(i)).otherwise(at), range(n), F.lit(0))
+        win = F.unhex(F.md5(F.concat_ws("\n", *[F.col(f"w.l{i}") for i in range(n)])))
+        counts = F.col(f"w.l{n - 1}").isNotNull()
+        if n < min_lines:
+            counts &= reduce(lambda x, y: x + y, [F.col(f"w.w{i}") for i in range(n)]) > many_words
+        return F.when(counts, F.struct(F.lit(n).alias("n"), win.alias("win"), fp.alias("fp"), (F.col("start") + last).alias("pos")))
+
+    found = F.filter(F.array(*[window(n + 1) for n in range(min_lines)]), lambda x: x.isNotNull())
+    return w.select("doc", "id", "start", F.explode(found).alias("x")).select("doc", "id", "start", "x.*")
+
+
+def repeated_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
+    """doc, start and n of each window that equals an earlier one."""
+    w = line_windows(docs, min_lines, id_col, text_col, many_words)
     at = F.struct("doc", "pos")
     seen = w.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
-    near = w.join(seen, "fp", "left_semi").select("win", F.struct("id", "doc", "start").alias("at"))
+    near = w.join(seen, "fp", "left_semi").select("win", "n", F.struct("id", "doc", "start").alias("at"))
     first = near.groupBy("win").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("win", "first")
-    return near.join(first, "win").where("at <> first").select("at.doc", "at.start")
+    return near.join(first, "win").where("at <> first").select("at.doc", "at.start", "n")
 
 
-def drop_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
     """`row` (the input's columns), `kept` (the text that is left), `n_lines`, `runs` (array of first line and line behind)."""
     if min_lines < 2:
-        raise ValueError("a run has at least two lines")
-    starts = repeated_windows(docs, min_lines, id_col, text_col).groupBy("doc").agg(F.sort_array(F.collect_set("start")).alias("s"))
-    d = keyed(docs, id_col, text_col, keep=True).join(starts, "doc", "left").withColumn("lines", F.split("text", "\n", -1))
-    # A start opens a run unless the one before reaches it, and closes one unless it reaches the next.
+        raise ValueError("a run has at least two lines, or many words")
+    windows = repeated_windows(docs, min_lines, id_col, text_col, many_words).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("s"))
+    gone = windows.select("doc", F.expr("array_sort(array_distinct(flatten(transform(s, x -> sequence(x.start, x.start + x.n - 1)))))").alias("s"))
+    # the text goes with its row, and not a second time beside it
+    d = keyed(docs, id_col, text_col, keep=True).select("doc", "row").join(gone, "doc", "left")
+    d = d.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).withColumn("lines", F.split("text", "\n", -1))
+    # A deleted line opens a run unless the one before is deleted, and closes one unless the next is.
     pairs = "zip_with(s, {}, (x, y) -> struct(x, y))"
-    before, after = pairs.format(f"concat(array(-{min_lines} - 1), slice(s, 1, size(s) - 1))"), pairs.format("concat(slice(s, 2, size(s) - 1), array(2147483647))")
-    opens = f"transform(filter({before}, p -> p.x > p.y + {min_lines}), p -> p.x)"
-    ends = f"transform(filter({after}, p -> p.y - {min_lines} > p.x), p -> p.x + {min_lines})"
+    before, after = pairs.format("concat(array(-2), slice(s, 1, size(s) - 1))"), pairs.format("concat(slice(s, 2, size(s) - 1), array(2147483647))")
+    opens = f"transform(filter({before}, p -> p.x > p.y + 1), p -> p.x)"
+    ends = f"transform(filter({after}, p -> p.y - 1 > p.x), p -> p.x + 1)"
     d = d.withColumn("opens", F.when(F.col("s").isNull(), F.expr("array()").cast("array<int>")).otherwise(F.expr(opens)))
     d = d.withColumn("ends", F.when(F.col("s").isNull(), F.expr("array()").cast("array<int>")).otherwise(F.expr(ends)))
     left = "flatten(zip_with(concat(array(0), ends), concat(opens, array(size(lines))), (a, b) -> slice(lines, a + 1, b - a)))"
     return d.select("row", F.expr(f"CASE WHEN s IS NULL THEN text ELSE array_join({left}, '\n') END").alias("kept"), F.size("lines").alias("n_lines"), F.expr("zip_with(opens, ends, (a, b) -> struct(a AS start, b AS stop))").alias("runs"))
 
 
-def without_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def without_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", many_words: int = MANY_WORDS) -> DataFrame:
     """`docs` with later runs deleted from the text and its length renewed; rows of which nothing is left go."""
-    d = drop_repeated_runs(docs, min_lines, id_col, text_col).where("size(runs) = 0 OR kept <> ''")
+    d = drop_repeated_runs(docs, min_lines, id_col, text_col, many_words).where("size(runs) = 0 OR kept <> ''")
     new = {text_col: F.when(F.size("runs") > 0, F.col("kept")).otherwise(F.col(f"row.{text_col}"))}
     if length_col in docs.columns:
         new[length_col] = F.when(F.size("runs") > 0, F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.{length_col}"))
