@@ -44,7 +44,7 @@ def candidates(docs: DataFrame, repo: Column, owner: Column, id_col: str = "doc_
     rows = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
     gaps = F.split("text", F.col("pattern"), -1)
     rows = rows.select("doc", "repo", "owner", "rank", F.posexplode(F.arrays_zip("whole", "value", F.slice(gaps, F.lit(1), F.size("whole")).alias("gap"))).alias("i", "m"))
-    rows = rows.select("doc", "repo", "owner", "rank", "i", F.col("m.value").alias("value"), F.length("m.whole").alias("n"), F.length("m.gap").alias("gap"))
+    rows = rows.select("doc", "repo", "owner", "rank", "i", F.col("m.value").alias("value"), F.length("m.whole").alias("n"), F.length("m.gap").alias("gap")).distinct()  # repeated rows hold each match again
     upto = Window.partitionBy("doc", "repo", "owner", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("n") + F.col("gap")).over(upto)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).drop("i", "n", "gap")
