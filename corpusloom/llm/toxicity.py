@@ -2,8 +2,10 @@
 
 Terms are words, their beginnings of PREFIXES letters, and for either the marks that two or three different words of
 a text share it. The vocabulary is the TERMS terms that set toxic examples apart best by likelihood ratio, among those
-that stand for mostly toxic texts. Inverse document frequencies
-are counted over all documents. Examples are the labelled rows outside the held-out fifth, at most EXAMPLES of each
+that stand for mostly toxic texts by the labelled rows' own numbers, and that LEAST_SEEN toxic examples hold: neither
+bound rises with the sample or with its share of toxic rows. They are counted on a sample of
+both labels at one rate, so that chance words of few toxic rows meet as much clean text at any size. A term weighs one
+and the logarithm of its occurrences in the text (marks: one) times its inverse document frequency, which is counted over all documents. Examples are the labelled rows outside the held-out fifth, at most EXAMPLES of each
 label, taken by a hash of the text; these bounds make the index small enough to be sent to every task at any size.
 
 The index keeps, for each term and each block of examples, its weights and the largest of them. A text's blocks are read in falling
@@ -29,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import small_side, written
 
 EXAMPLES, TERMS, PREFIXES, NEIGHBOURS, BLOCK = 6000, 4096, (4, 5, 6, 7), 15, 128
-#: A term is used if its log-likelihood ratio against chance, and the share of toxic among the labelled rows it stands for, are so high.
-LEAST_GAIN, LEAST_SHARE = 14.0, 0.6
+#: A term is used if so many toxic examples hold it, and the share of toxic among the labelled rows it stands for is so high.
+LEAST_SEEN, LEAST_SHARE = 4, 0.6
+#: The vocabulary's sample has as many rows for each toxic example at most.
+MOST_CLEAN = 16
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -56,17 +60,20 @@ class Vocabulary:
         self.words: dict[str, tuple[str, ...]] = {}
 
     def of(self, text: str) -> tuple[int, ...]:
-        words, known = set(_WORD.findall(text.lower())), self.words
+        """Sorted; a term stands there as often as in the text, a mark once."""
+        words, known = Counter(_WORD.findall(text.lower())), self.words
         if len(known) > 300_000:
             known.clear()
-        n: Counter[str] = Counter()
-        for w in words:
+        n: Counter[str] = Counter()  # different words
+        often: Counter[str] = Counter()
+        for w, times in words.items():
             stems = known.get(w)
             if stems is None:
                 stems = known[w] = tuple(s for s in _stems(w) if s in self.stems)
-            if stems:
-                n.update(stems)
-        found = [*n, *[f"{s}*2" for s, c in n.items() if c >= 2], *[f"{s}*3" for s, c in n.items() if c >= 3]]
+            for s in stems:
+                n[s] += 1
+                often[s] += times
+        found = [*often.elements(), *[f"{s}*2" for s, c in n.items() if c >= 2], *[f"{s}*3" for s, c in n.items() if c >= 3]]
         return tuple(sorted(self.number[t] for t in found if t in self.number))
 
 
@@ -99,18 +106,22 @@ class Index:
             m = np.zeros((len(terms) + 1, BLOCK))  # the last row is for terms that the block lacks
             for i, r in enumerate(rows):
                 if r:
-                    w = self.idf[list(r)]
-                    m[self.column[b, list(r)], i] = w / math.sqrt((w * w).sum())
+                    at, w = self.vector(r)
+                    m[self.column[b, at], i] = w
             self.weights.append(m)
             self.most[terms, b] = m[:-1].max(axis=1)
 
+    def vector(self, row: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a row, and their tf * idf at length 1, where tf is 1 + ln(occurrences)."""
+        at, times = np.unique(np.array(row, np.int64), return_counts=True)
+        w = (1 + np.log(times)) * self.idf[at]
+        return at, w / math.sqrt((w * w).sum())
+
     def nearest(self, row: tuple[int, ...], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """Cosine and example of the k nearest with any term in common; of equal ones those first in hash order."""
         if not row:
             return []
-        at_terms = np.array(row)
-        w = self.idf[at_terms]
-        w = w / math.sqrt((w * w).sum())
+        at_terms, w = self.vector(row)
         at_most = w @ self.most[at_terms]
         best: list[tuple[float, int, int]] = []
         for b in np.argsort(-at_most, kind="stable"):
@@ -172,6 +183,15 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[
     return keep.select("doc_id", "at", "text", "toxic").dropDuplicates(["doc_id", "at"]), n
 
 
+def sampled(docs: DataFrame, labels: DataFrame, rate: float) -> DataFrame:
+    """at, text, toxic of that share of the labelled rows outside the held-out fifth, of both labels alike."""
+    said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
+    d = d.withColumn("at", F.xxhash64("text")).where(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_000)) < round(rate * 1_000_000))
+    rows = d.select("doc_id", "at").join(said, "doc_id").distinct()
+    return d.join(small_side(rows, F.lit(24)), ["doc_id", "at"]).select("at", "text", "toxic")
+
+
 def _distinct(found: list[tuple[str, int, int]]) -> list[str]:
     """The terms without those that say the same as a shorter beginning: seen as often with either label."""
     counts = {t: (x, y) for t, x, y in found}
@@ -193,7 +213,7 @@ def _counted(docs: DataFrame, terms: list[str]) -> dict[int, int]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n[-1] += 1
-                n.update(v.of(text or ""))
+                n.update(set(v.of(text or "")))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
     return {r[0]: r[1] for r in docs.select("text").mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
@@ -214,13 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[list[
     a, b = by.get(1, 0), by.get(0, 0)
     each = [n.get(1, 0) / max(1, a), n.get(0, 0) / max(1, b)]  # labelled rows that an example stands for
     prior = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
+    rate = min(1.0, most / max(1.0, n.get(1, 0), sum(n.values()) / MOST_CLEAN))
     # copies of a text would make its chance words look telling
-    seen = chosen.dropDuplicates(["at"]).select("toxic", "text").mapInArrow(work, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
-    base = a / max(1, a + b)
+    seen = sampled(docs, labels, rate).dropDuplicates(["at"]).select("toxic", "text").mapInArrow(work, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
     share = F.col("x") / (F.col("x") + F.col("y"))
-    gain = F.col("x") * F.log(share / F.lit(max(base, 1e-9))) + F.when(F.col("y") > 0, F.col("y") * F.log((1 - share) / F.lit(max(1 - base, 1e-9)))).otherwise(0.0)
-    mostly = F.col("x") * each[0] >= LEAST_SHARE / (1 - LEAST_SHARE) * F.col("y") * each[1]
-    best = seen.where("x > 0").withColumn("gain", gain).where((F.col("gain") >= LEAST_GAIN) & (share > base) & mostly).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    gain = F.col("x") * F.log(share / F.lit(max(prior, 1e-9))) + F.when(F.col("y") > 0, F.col("y") * F.log((1 - share) / F.lit(max(1 - prior, 1e-9)))).otherwise(0.0)
+    best = seen.where(F.col("x") >= LEAST_SEEN).withColumn("gain", gain).where(share >= LEAST_SHARE).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     terms = _distinct([(r["term"], r["x"], r["y"]) for r in best])
     df = _counted(docs, terms)
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
