@@ -5,7 +5,8 @@ signs and white space into one space. Its SHA-256 joins the digests of known tex
 lookup. The same lookup is made for each line as a text of its own, which finds notices inside other prose.
 
 The known licences are a table (license_id, text) of any size; its digests are sent to all executors only if their
-measured bytes are within a bound. `NOTICES` holds short ones that stand in texts as a line.
+measured bytes are within a bound. `known_licences` reads whole bodies and standard headers from `licence_texts` (files
+<license_id>[--<part>].txt), with their usual titles, and adds SPDX tags and `NOTICES`, short ones that stand in texts as a line.
 
 Nulls: a null or empty text, and one of signs only, matches nothing and has a null digest. Known rows with null text
 are skipped; where known texts share a canonical form, the least id names it. Repeated rows each get their row.
@@ -13,12 +14,18 @@ are skipped; where known texts share a canonical form, the least id names it. Re
 
 from __future__ import annotations
 
+import re
+import textwrap
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import doc_key, small_side
 
 COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: The same behind comment signs or other signs. The registered SQL keeps the plain form.
+HOLDER_LINE = r"(?im)^[^\p{L}\p{N}\n]*?(?:copyright\b|\(c\)|©)[^\n]*$"
 #: Pairs of equivalent spellings, the second one being canonical.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized",
@@ -34,10 +41,20 @@ NOTICES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Titles that stand above bodies which don't hold their own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "All rights reserved.", "BSD 2-Clause License\n\nAll rights reserved."],
+    "BSD-3-Clause": ["BSD 3-Clause License", "All rights reserved.", "BSD 3-Clause License\n\nAll rights reserved."],
+    "ISC": ["ISC License", "The ISC License"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form of each line, without empty ones. Nested transforms make each step once a line."""
-    plain = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))))
+    plain = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(HOLDER_LINE), F.lit("")).otherwise(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))))
 
     def spelt(x: Column) -> Column:
         out = x
@@ -57,6 +74,33 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(NOTICES.items()), "license_id string, text string")
 
 
+def _wrapped(text: str) -> list[str]:
+    """A short text as it is and at other widths, where a line may begin with `copyright` or not; of long ones, the text."""
+    if len(text) > 5000:
+        return [text]
+    parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    wide = ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in parts) for w in (*range(64, 84), 100_000)]
+    begins = lambda t: tuple(re.findall(r"(?im)^\W*?(?:copyright\b|\(c\)|©).*$", t))
+    return list({begins(t): t for t in [*wide, text]}.values())
+
+
+def known_licences(spark: SparkSession) -> DataFrame:
+    """license_id, text: whole bodies with and without titles, standard headers, SPDX tags and notices."""
+    rows = list(NOTICES.items())
+    for f in sorted(TEXTS.glob("*.txt")):
+        name, body = f.stem.split("--")[0], f.read_text(encoding="utf-8")
+        bodies = [body]
+        if name.startswith("BSD"):
+            bodies.append(re.sub(r"(?m)^(\s*)\d\. ", r"\1* ", body))  # clauses without numbers
+        if "END OF TERMS AND CONDITIONS" in body:
+            bodies.append(body[: body.index("END OF TERMS AND CONDITIONS") + 27])  # without the guide for users
+        rows += [(name, f"{title}\n\n{t}") for b in bodies for t in _wrapped(b) for title in ["", *TITLES.get(name, [])]]
+    for name in sorted({name for name, _ in rows}):
+        gnu = [name, f"{name}-only", f"{name}-or-later", f"{name}+"] if "GPL" in name or "GFDL" in name else [name]
+        rows += [(name, f"SPDX-License-Identifier: {tag}") for tag in gnu]
+    return spark.createDataFrame(rows, "license_id string, text string")
+
+
 def digests(known: DataFrame) -> DataFrame:
     """digest, license_id: once for each canonical form."""
     k = known.select(canonical_lines(known["text"]).alias("lines"), known["license_id"].alias("license_id"))

@@ -32,7 +32,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(_table(spark, sf_dir), licences.notices(spark))
+    return licences.scan(_table(spark, sf_dir), licences.known_licences(spark))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
