@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A lookup side up to this many bytes, as measured, is sent to every executor; a larger one is shuffled.
 BROADCAST_BYTES = 16 << 20
+#: Batches that go to Python and back hold so many bytes at most, whatever the length of texts.
+ARROW_BYTES = 8 << 20
 
 
 def doc_key(id_col: Column, text: Column) -> Column:
@@ -38,9 +40,19 @@ def small_side(df: DataFrame, width: Column) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from here on its session hands rows to Python in batches of ARROW_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under a folder for tests where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusloom-shared"
+    """A new folder under spark.checkpoint.dir. Where that is unset, a folder of this machine serves, for local masters only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/corpusloom-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -1,21 +1,25 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Terms are words, their beginnings of PREFIXES letters, and for either the marks that two or three different words of
-a text share it. The vocabulary is the TERMS terms that set toxic examples apart best by likelihood ratio, among those
-that stand for mostly toxic texts by the labelled rows' own numbers, and that LEAST_SEEN toxic examples hold: neither
-bound rises with the sample or with its share of toxic rows. They are counted on a sample of
-both labels at one rate, so that chance words of few toxic rows meet as much clean text at any size. A term weighs one
-and the logarithm of its occurrences in the text (marks: one) times its inverse document frequency, which is counted over all documents. Examples are the labelled rows outside the held-out fifth, at most EXAMPLES of each
-label, taken by a hash of the text; these bounds make the index small enough to be sent to every task at any size.
-
-The index keeps, for each term and each block of examples, its weights and the largest of them. A text's blocks are read in falling
-order of what they can score at most and reading ends when no block can reach the k-th best, so the neighbours are
-exact. Their votes are weighted by cosine and by how many labelled rows an example stands for, smoothed with the
-share of toxic rows, and calibrated by isotonic regression on the examples themselves, each scored without itself.
-
-Null or empty texts have no terms: they get the score of all texts without terms of the vocabulary. So does every
-text if there are no toxic examples. Null ids are held out. Label rows with null id or label are ignored, and of
-several labels for an id the largest counts. Repeated rows are scored each. An empty table gives no rows.
+Terms are runs of letters, lower-cased. The space has an axis for every term of the examples, none left out. A term
+weighs 1 + ln(occurrences in the text), times its inverse document frequency, counted over all documents, times how
+far its labels are from chance: (1 + G) / (EVEN + G), where G is the log-likelihood ratio of its counts in toxic and
+clean examples. That factor stretches axes and drops none: in plain TF-IDF the few words that make a text toxic
+drown among hundreds of rarer ones (see the README for what that costs).
+
+Examples are distinct labelled texts outside the held-out fifth, at most `most` of each label and so many that they
+hold EXAMPLE_CHARS characters of each label (the last one may exceed it), taken in the order of a hash of the text.
+These bounds, the only ones, keep the index small enough to go with every task at any size of the corpus.
+
+The index keeps for each term a list of (example, weight), parted into blocks of examples, and the largest weight in
+each part. For a text, a block's bound is the sum of its terms' weights times those maxima. The most promising blocks
+are read first; the others only if their bound reaches the k-th best cosine, so the neighbours are exact. Votes are
+weighted by cosine and by how many labelled rows an example stands for, smoothed with the share of toxic rows, and
+calibrated by isotonic regression on the examples, each scored without itself.
+
+Null or empty texts, and those that share no term with an example, get one score: the share of toxic rows among
+examples without terms, smoothed with that of all rows. Without examples every score is 0. Null ids are held out.
+Label rows with null id or label are ignored, and of several labels for an id the largest counts, as for equal
+texts. Equally near examples rank by hash. Repeated rows are scored each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,126 +35,136 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_side, written
+from corpusloom.llm.common import small_batches, written
 
-EXAMPLES, TERMS, PREFIXES, NEIGHBOURS, BLOCK = 6000, 4096, (4, 5, 6, 7), 15, 128
-#: A term is used if so many toxic examples hold it, and the share of toxic among the labelled rows it stands for is so high.
-LEAST_SEEN, LEAST_SHARE = 4, 0.6
-#: The vocabulary's sample has as many rows for each toxic example at most.
-MOST_CLEAN = 16
-_WORD = re.compile(r"[^\W\d_]{3,}")
+EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS, BLOCK = 1000, 8 << 20, 15, 64
+#: A term whose log-likelihood ratio is so much has about half the stretch of one that tells all.
+EVEN = 30.0
+#: Blocks that are read before bounds are compared.
+FIRST_BLOCKS = 4
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def _stems(word: str) -> list[str]:
-    return [word, *[word[:n] + "-" for n in PREFIXES if len(word) > n]]
+def words_of(text: str | None) -> Counter[str]:
+    return Counter(_WORD.findall((text or "").lower()))
 
 
-def terms_of(text: str) -> list[str]:
-    """All terms of a text, once each."""
-    n = Counter(s for w in set(_WORD.findall(text.lower())) for s in _stems(w))
-    return [*n, *[f"{s}*2" for s, c in n.items() if c >= 2], *[f"{s}*3" for s, c in n.items() if c >= 3]]
+def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one after the other."""
+    ends = np.cumsum(lens)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
 
 
-class Vocabulary:
-    """Numbers of the terms of a vocabulary in texts. Words are remembered with the stems of theirs that matter."""
+def stretch(x: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """(1 + G) / (EVEN + G) of terms that stand in x of n1 toxic and y of n0 clean examples."""
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.stems = {t.split("*")[0] for t in terms}
-        self.words: dict[str, tuple[str, ...]] = {}
+    def part(seen: np.ndarray, of: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(n * rate, 1e-300)), 0.0)
 
-    def of(self, text: str) -> tuple[int, ...]:
-        """Sorted; a term stands there as often as in the text, a mark once."""
-        words, known = Counter(_WORD.findall(text.lower())), self.words
-        if len(known) > 300_000:
-            known.clear()
-        n: Counter[str] = Counter()  # different words
-        often: Counter[str] = Counter()
-        for w, times in words.items():
-            stems = known.get(w)
-            if stems is None:
-                stems = known[w] = tuple(s for s in _stems(w) if s in self.stems)
-            for s in stems:
-                n[s] += 1
-                often[s] += times
-        found = [*often.elements(), *[f"{s}*2" for s, c in n.items() if c >= 2], *[f"{s}*3" for s, c in n.items() if c >= 3]]
-        return tuple(sorted(self.number[t] for t in found if t in self.number))
+    rate = (x + y) / max(1, n1 + n0)
+    g = 2 * (part(x, n1, n1, rate) + part(n1 - x, n1, n1, 1 - rate) + part(y, n0, n0, rate) + part(n0 - y, n0, n0, 1 - rate))
+    return (1 + np.maximum(g, 0)) / (EVEN + np.maximum(g, 0))
 
 
 @dataclass
 class Index:
-    """Examples with unit vectors, in blocks, and each term's largest weight in each block."""
+    """Examples as unit vectors, in posting lists by term that are parted into blocks with their largest weights."""
 
-    idf: np.ndarray
-    rows: list[tuple[int, ...]]
+    number: dict[str, int]
+    scale: np.ndarray
+    rows: list[tuple[np.ndarray, np.ndarray]]  # terms and occurrences of each example
     labels: np.ndarray
     stands_for: np.ndarray
-    ids: list
+    ids: list[str]
     prior: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
     none: float = 0.0
 
     def __post_init__(self) -> None:
-        order = sorted(range(len(self.rows)), key=lambda i: (self.rows[i], i))  # alike examples share blocks
-        self.rows = [self.rows[i] for i in order]
-        self.labels, self.stands_for, self.ids = self.labels[order], self.stands_for[order], [self.ids[i] for i in order]
-        self.place = np.array(order)
-        blocks = max(1, -(-len(self.rows) // BLOCK))
-        self.most = np.zeros((len(self.idf), blocks))
-        self.column = np.full((blocks, len(self.idf)), -1, np.int32)  # a term's column among the weights of a block
-        self.weights: list[np.ndarray] = []
-        for b in range(blocks):
-            rows = self.rows[b * BLOCK : (b + 1) * BLOCK]
-            terms = np.unique(np.array([t for r in rows for t in r], np.int64))
-            self.column[b, terms] = np.arange(len(terms))
-            m = np.zeros((len(terms) + 1, BLOCK))  # the last row is for terms that the block lacks
-            for i, r in enumerate(rows):
-                if r:
-                    at, w = self.vector(r)
-                    m[self.column[b, at], i] = w
-            self.weights.append(m)
-            self.most[terms, b] = m[:-1].max(axis=1)
-
-    def vector(self, row: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a row, and their tf * idf at length 1, where tf is 1 + ln(occurrences)."""
-        at, times = np.unique(np.array(row, np.int64), return_counts=True)
-        w = (1 + np.log(times)) * self.idf[at]
-        return at, w / math.sqrt((w * w).sum())
-
-    def nearest(self, row: tuple[int, ...], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """Cosine and example of the k nearest with any term in common; of equal ones those first in hash order."""
-        if not row:
+        n, terms = len(self.rows), len(self.scale)
+        size = np.array([len(t) for t, _ in self.rows], np.int64)
+        who = np.repeat(np.arange(n), size)
+        term = np.concatenate([t for t, _ in self.rows]) if n else np.zeros(0, np.int64)
+        # alike examples share blocks: by label, then by which of the commonest terms they hold
+        common = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:24]
+        holds = np.zeros((n, len(common) + 1), bool)
+        for k, t in enumerate(common):
+            holds[who[term == t], k + 1] = True
+        holds[:, 0] = self.labels > 0
+        order = np.lexsort(holds.T[::-1]) if n else np.zeros(0, np.int64)
+        self.place = np.empty(n, np.int64)  # of an example in the index
+        self.place[order] = np.arange(n)
+        self.order = order
+        weight = np.concatenate([self.vector(t, c) for t, c in self.rows]) if n else np.zeros(0)
+        at = self.place[who]
+        by = np.lexsort((at, term))
+        term, self.example, self.weight = term[by], at[by], weight[by]
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.start, self.size = new, np.diff(np.concatenate([new, [len(term)]]))
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.first = np.searchsorted(term[new], np.arange(terms + 1))
+        self.blocks = -(-n // BLOCK)
+
+    def vector(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The weights of a text's terms at length one."""
+        w = (1 + np.log(times)) * self.scale[terms]
+        return w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def row(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [(t, c) for w, c in words.items() if (t := self.number.get(w)) is not None]
+        return np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], np.float64)
+
+    def nearest(self, row: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+        """Cosine and example of the k nearest with any term in common; equal ones in the order of the examples."""
+        terms, times = row
+        if not len(terms):
             return []
-        at_terms, w = self.vector(row)
-        at_most = w @ self.most[at_terms]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-at_most, kind="stable"):
-            if at_most[b] <= 0 or len(best) == k and at_most[b] < best[-1][0] * -1 - 1e-12:
-                break
-            score = w @ self.weights[b][self.column[b, at_terms]]
-            floor = -best[-1][0] - 1e-12 if len(best) == k else 0.0
-            for i in np.flatnonzero((score > 0) & (score >= floor)).tolist():
-                if (at := int(b) * BLOCK + i) != without:
-                    best.append((-round(float(score[i]), 12), int(self.place[at]), at))
-            best = sorted(best)[:k]
-        return [(-s, at) for s, _, at in best]
+        begin = self.first[terms]
+        count = self.first[terms + 1] - begin
+        parts = _spread(begin, count)
+        w = np.repeat(self.vector(terms, times), count)
+        block = self.block[parts]
+        bound = np.bincount(block, weights=w * self.most[parts], minlength=self.blocks)
+        score = np.zeros(len(self.rows))
+
+        def read(which: np.ndarray) -> None:
+            p = which[block]
+            at, size = parts[p], self.size[parts[p]]
+            i = _spread(self.start[at], size)
+            score[:] += np.bincount(self.example[i], weights=np.repeat(w[p], size) * self.weight[i], minlength=len(score))
+
+        open_ = np.zeros(self.blocks, bool)
+        open_[np.argsort(-bound)[:FIRST_BLOCKS]] = True
+        read(open_)
+        if without >= 0:
+            score[self.place[without]] = 0
+        kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        rest = ~open_ & (bound > 0) & (bound >= kth - 1e-9)
+        if rest.any():
+            read(rest)
+            if without >= 0:
+                score[self.place[without]] = 0
+            kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        at = np.flatnonzero((score > 0) & (score >= kth - 1e-9))
+        best = sorted((-round(float(score[i]), 12), int(self.order[i])) for i in at)[:k]
+        return [(-s, i) for s, i in best]
 
     def votes(self, near: list[tuple[float, int]]) -> float:
-        s = np.array([x for x, _ in near])
         at = [i for _, i in near]
-        w = s * self.stands_for[at]
-        smooth = float(self.stands_for.mean()) * 0.5
+        w = np.array([s for s, _ in near]) * self.stands_for[at]
+        smooth = 0.05 * float(self.stands_for.mean())
         return float((w * self.labels[at]).sum() + smooth * self.prior) / float(w.sum() + smooth)
 
-    def calibrate(self) -> None:
-        """Fits the curve from votes to shares, and the share of texts without terms."""
-        bare = np.array([not r for r in self.rows])
-        rate = lambda m: float((self.labels * self.stands_for)[m].sum() + self.prior) / float(self.stands_for[m].sum() + 1)
-        self.none = rate(bare)
-        raw = [(self.votes(n) if (n := self.nearest(r, without=i)) else self.prior, float(self.labels[i]), float(self.stands_for[i])) for i, r in enumerate(self.rows) if r]
+    def calibrate(self, raw: dict[int, float]) -> None:
+        """Fits the curve from votes (by example, made without it) to shares, and the share of texts without neighbours."""
+        rate = lambda at: float((self.labels * self.stands_for)[at].sum() + self.prior) / float(self.stands_for[at].sum() + 1)
+        self.none = rate([i for i in range(len(self.rows)) if i not in raw])
         pools: list[list[float]] = []  # of equal or falling shares: votes' low end and high end, toxic weight, weight
-        for x, y, w in sorted(raw):
-            pools.append([x, x, y * w, w])
+        for x, i in sorted((x, i) for i, x in raw.items()):
+            w = float(self.stands_for[i])
+            pools.append([x, x, float(self.labels[i]) * w, w])
             while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
                 _, hi, a, b = pools.pop()
                 pools[-1][1], pools[-1][2], pools[-1][3] = hi, pools[-1][2] + a, pools[-1][3] + b
@@ -159,136 +173,115 @@ class Index:
             ys = [(p[2] + self.prior) / (p[3] + 1) for p in pools for _ in (0, 1)]
             self.curve = (np.array(xs), np.array(ys))
 
-    def score(self, row: tuple[int, ...]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(row)
-        if not near:
-            return self.none, near
-        return float(np.interp(self.votes(near), *self.curve)), near
+    def score(self, near: list[tuple[float, int]]) -> float:
+        return float(np.interp(self.votes(near), *self.curve)) if near else self.none
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")), F.lit(0)) % 5 == 0
 
 
-def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """id, text, toxic of the examples, and how many labelled rows there are of each label."""
-    said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
-    # ids and hashes decide first, so that only the examples' texts are moved
-    row = d.select("doc_id", F.xxhash64("text").alias("at"), F.xxhash64("text", F.lit(1)).alias("at2")).join(said, "doc_id")
-    n = {int(r[0]): int(r[1]) for r in row.groupBy("toxic").count().collect()}
-    picked = [r for y in (0, 1) for r in row.where(F.col("toxic") == y).orderBy("at", "at2", "doc_id").limit(most).collect()]
-    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["at"], r["toxic"]) for r in picked], "doc_id long, at long, toxic int")
-    keep = d.withColumn("at", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "at"])  # at most 2 * most rows of 20 bytes
-    return keep.select("doc_id", "at", "text", "toxic").dropDuplicates(["doc_id", "at"]), n
-
-
-def sampled(docs: DataFrame, labels: DataFrame, rate: float) -> DataFrame:
-    """at, text, toxic of that share of the labelled rows outside the held-out fifth, of both labels alike."""
-    said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
-    d = d.withColumn("at", F.xxhash64("text")).where(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_000)) < round(rate * 1_000_000))
-    rows = d.select("doc_id", "at").join(said, "doc_id").distinct()
-    return d.join(small_side(rows, F.lit(24)), ["doc_id", "at"]).select("at", "text", "toxic")
-
-
-def _distinct(found: list[tuple[str, int, int]]) -> list[str]:
-    """The terms without those that say the same as a shorter beginning: seen as often with either label."""
-    counts = {t: (x, y) for t, x, y in found}
-
-    def shorter(t: str) -> list[str]:
-        stem, *mark = t.split("*")
-        word = stem.rstrip("-")
-        return [f"{word[:n]}-" + "".join(f"*{m}" for m in mark) for n in PREFIXES if n < len(word)]
+def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """id (a string), at, text, toxic, rows of the examples, and how many labelled rows there are of each label.
 
-    return [t for t, x, y in found if not any(counts.get(s) == (x, y) for s in shorter(t))]
+    rows: the labelled rows with that text. Ids and hashes decide, and only the chosen texts are moved.
+    """
+    said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    d = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("at"), F.xxhash64(text, F.lit(1)).alias("at2"), F.length(text).alias("n")).where(~held_out(F.col("doc_id")))
+    by = d.join(said, "doc_id").groupBy("at", "at2").agg(F.min(F.col("doc_id")).cast("string").alias("id"), F.max("toxic").cast("int").alias("toxic"), F.count("*").alias("rows"), F.first("n").alias("n"))
+    by = written(by, "labelled")
+    n = {int(r[0]): int(r[1]) for r in by.groupBy("toxic").agg(F.sum("rows")).collect()}
+    chosen = []
+    for y in (0, 1):
+        held = 0
+        for r in by.where(F.col("toxic") == y).orderBy("at", "at2").limit(most).collect():
+            if held >= EXAMPLE_CHARS:
+                break
+            held += r["n"]
+            chosen.append((r["at"], r["at2"], r["id"], r["toxic"], r["rows"]))
+    spark = docs.sparkSession
+    look = spark.createDataFrame(chosen, "at long, at2 long, id string, toxic int, rows long")  # at most 2 * most short rows
+    whole = docs.select(F.xxhash64(text).alias("at"), F.xxhash64(text, F.lit(1)).alias("at2"), text.alias("text"))
+    return whole.join(F.broadcast(look), ["at", "at2"]).groupBy("at", "at2", "id", "toxic", "rows").agg(F.first("text").alias("text")), n
 
 
-def _counted(docs: DataFrame, terms: list[str]) -> dict[int, int]:
-    """Texts of the whole corpus with each term; at 0 - 1, all texts."""
+def _counted(docs: DataFrame, number: dict[str, int], text_col: str) -> dict[int, int]:
+    """Texts of the whole corpus that hold each term; at -1, all texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(terms)
-        n: Counter[int] = Counter()
+        n, texts = np.zeros(len(number), np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n[-1] += 1
-                n.update(set(v.of(text or "")))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+                texts += 1
+                found = [t for w in set(_WORD.findall((text or "").lower())) if (t := number.get(w)) is not None]
+                n[found] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], texts))], names=["term", "n"])
 
-    return {r[0]: r[1] for r in docs.select("text").mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
+    counts = docs.select(docs[text_col]).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n"))
+    return {r[0]: r[1] for r in counts.collect()}  # a row for each term of the examples
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[list[str], Index]:
-    """The vocabulary and the calibrated index."""
-    chosen, n = examples(docs, labels, most)
-    chosen = written(chosen, "examples")
+def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The calibrated index."""
+    chosen, n = examples(small_batches(docs), labels, most, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = terms_of(text)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array([y] * len(t), pa.int32())], names=["term", "toxic"])
+            found = [words_of(t) for t in batch["text"].to_pylist()]
+            cols = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["at"], batch["at2"], batch["id"], batch["toxic"], batch["rows"], *cols], names=["at", "at2", "id", "toxic", "rows", "words", "times"])
 
-    by = {int(r[0]): int(r[1]) for r in chosen.groupBy("toxic").count().collect()}
-    a, b = by.get(1, 0), by.get(0, 0)
-    each = [n.get(1, 0) / max(1, a), n.get(0, 0) / max(1, b)]  # labelled rows that an example stands for
+    sample = sorted(chosen.mapInArrow(work, "at long, at2 long, id string, toxic int, rows long, words array<string>, times array<int>").collect(), key=lambda r: (r["at"], r["at2"]))
+    number = {w: i for i, w in enumerate(sorted({w for r in sample for w in r["words"]}))}
+    y = np.array([r["toxic"] for r in sample], float)
+    rows = [(np.array([number[w] for w in r["words"]], np.int64), np.array(r["times"], np.float64)) for r in sample]
+    seen = [np.bincount(np.concatenate([t for (t, _), z in zip(rows, y, strict=True) if z == label] or [np.zeros(0, np.int64)]), minlength=len(number)).astype(float) for label in (0, 1)]
+    df = _counted(docs, number, text_col)
+    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(number))], float))) + 1
+    scale = idf * stretch(seen[1], seen[0], int((y == 1).sum()), int((y == 0).sum()))
+    stood = {label: sum(r["rows"] for r in sample if r["toxic"] == label) for label in (0, 1)}
+    each = {label: n.get(label, 0) / max(1, stood[label]) for label in (0, 1)}  # labelled rows for one of the sample
     prior = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
-    rate = min(1.0, most / max(1.0, n.get(1, 0), sum(n.values()) / MOST_CLEAN))
-    # copies of a text would make its chance words look telling
-    seen = sampled(docs, labels, rate).dropDuplicates(["at"]).select("toxic", "text").mapInArrow(work, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
-    share = F.col("x") / (F.col("x") + F.col("y"))
-    gain = F.col("x") * F.log(share / F.lit(max(prior, 1e-9))) + F.when(F.col("y") > 0, F.col("y") * F.log((1 - share) / F.lit(max(1 - prior, 1e-9)))).otherwise(0.0)
-    best = seen.where(F.col("x") >= LEAST_SEEN).withColumn("gain", gain).where(share >= LEAST_SHARE).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    terms = _distinct([(r["term"], r["x"], r["y"]) for r in best])
-    df = _counted(docs, terms)
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(terms)
+    index = Index(number, scale, rows, y, np.array([r["rows"] * each[r["toxic"]] for r in sample]), [r["id"] for r in sample], prior)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(v.of(t)) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["at"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "at", "toxic", "row"])
+            got = [(i, index.votes(near)) for i in batch.column(0).to_pylist() if (near := index.nearest(index.rows[i], without=i))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([v for _, v in got], pa.float64())], names=["i", "votes"])
 
-    sample = sorted(chosen.mapInArrow(rows, "doc_id long, at long, toxic int, row array<int>").collect(), key=lambda r: (r["at"], r["doc_id"]))
-    y = np.array([r["toxic"] for r in sample], float)
-    weight = np.where(y > 0, *each)
-    index = Index(idf, [tuple(r["row"]) for r in sample], y, weight, [r["doc_id"] for r in sample], prior)
-    if len(y):
-        index.calibrate()
-    return terms, index
+    if sample:
+        raw = docs.sparkSession.range(len(sample), numPartitions=max(1, len(sample) // 100)).mapInArrow(without, "i long, votes double").collect()
+        index.calibrate({r["i"]: r["votes"] for r in raw})
+    index.rows = [()] * len(index.rows)  # only the lists are needed from here on
+    return index
 
 
-def scored(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, score and evidence (the three nearest examples, as id:cosine) per row; with keep, `row` instead of doc_id."""
-    terms, index = fit(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels, most)
+def scored(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`row` (all columns of docs), score, evidence (the three nearest examples, as id:cosine) and neighbours (how many) per row."""
+    index = fit(docs, labels, most, id_col, text_col)  # bounded by `most` and EXAMPLE_CHARS; it goes with the tasks
+    at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(terms)  # with the index it is bounded by EXAMPLES and TERMS, and goes with the task
-        known: dict[tuple[int, ...], tuple[float, str]] = {}
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                row = v.of(text or "")
-                if (got := known.get(row)) is None:
-                    s, near = index.score(row)
-                    got = (s, ",".join(f"{index.ids[i]}:{c:.4f}" for c, i in near[:3]))
-                    if len(known) < 100_000:
-                        known[row] = got
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.string())], names=["first", "score", "evidence"])
+            for text in batch.column(0).field(at).to_pylist():
+                near = index.nearest(index.row(words_of(text)))
+                out.append((index.score(near), ",".join(f"{index.ids[i]}:{c:.4f}" for c, i in near[:3]), len(near)))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["row", "score", "evidence", "neighbours"])
 
-    first = F.struct(*[docs[c] for c in docs.columns]) if keep else docs[id_col]
-    d = docs.select(first.alias("first"), docs[text_col].alias("text"))
-    return d.mapInArrow(work, f"first {d.schema['first'].dataType.simpleString()}, score double, evidence string").withColumnRenamed("first", "row" if keep else "doc_id")
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return d.mapInArrow(work, f"row {d.schema['row'].dataType.simpleString()}, score double, evidence string, neighbours int")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted, evidence."""
-    s = scored(docs, labels)
-    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    """Per row: doc_id, held_out, score, predicted, evidence, neighbours."""
+    s = scored(docs.select("doc_id", "text"), labels)
+    return s.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "neighbours")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns."""
-    return scored(docs, labels, keep=True).where("score < 0.5").select("row.*")
+    return scored(docs, labels).where("score < 0.5").select("row.*")

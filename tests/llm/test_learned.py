@@ -222,19 +222,88 @@ def test_toxicity_of_nulls_and_without_labels(spark):
 
 def test_block_max_neighbours_are_exact():
     r = random.Random(9)
-    rows = [tuple(sorted(r.sample(range(30), r.randrange(0, 6)))) for _ in range(500)]
-    idf = np.array([1 + r.random() for _ in range(30)])
-    index = toxicity.Index(idf, rows, np.zeros(500), np.ones(500), list(range(500)))
-    dense = np.zeros((500, 30))
-    for i, row in enumerate(index.rows):
-        dense[i, list(row)] = idf[list(row)]
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-    for q in rows[:100]:
+    rows = []
+    for _ in range(500):
+        t = r.sample(range(30), r.randrange(0, 6))
+        rows.append((np.array(t, np.int64), np.array([r.randrange(1, 4) for _ in t], float)))
+    scale = np.array([1 + r.random() for _ in range(30)])
+    index = toxicity.Index({}, scale, rows, np.array([i % 3 == 0 for i in range(500)], float), np.ones(500), [str(i) for i in range(500)])
+
+    def dense(t, n):
         v = np.zeros(30)
-        v[list(q)] = idf[list(q)]
-        want = np.sort((dense @ v) / max(np.linalg.norm(v), 1e-12))[::-1]
-        got = [s for s, _ in index.nearest(q)]
-        assert np.allclose(got, want[: len(got)]) and (len(got) == toxicity.NEIGHBOURS or not q or want[len(got)] < 1e-9)
+        v[t] = (1 + np.log(n)) * scale[t]
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    every = np.array([dense(*x) for x in rows])
+    for i, q in enumerate(rows[:120]):
+        for without in (-1, i):
+            cosine = np.round(every @ dense(*q), 12)
+            want = sorted((-c, j) for j, c in enumerate(cosine) if c > 0 and j != without)[: toxicity.NEIGHBOURS]
+            got = index.nearest(q, without=without)
+            assert np.allclose([s for s, _ in got], [-c for c, _ in want]) and len(got) == len(want)
+            assert [j for _, j in got] == [j for _, j in want] or len({round(s, 9) for s, _ in got}) < len(got)
+
+
+def test_scores_equal_brute_force_from_texts_to_votes(spark):
+    """Every step anew, without index, blocks or shared code: terms, counts, weights, cosines, votes, calibration."""
+    import math
+
+    docs, labels = toxic_table(spark, 150)
+    docs = docs.union(spark.createDataFrame([(9000, None), (9001, "nothing-known 123"), (9002, docs.first().text)], DOC))
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.doc_id, [w for w in "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()]) for r in docs.collect()]
+    by = {}
+    for i, w in rows:
+        if i in y and zlib.crc32(str(i).encode()) % 5:
+            by.setdefault(" ".join(w), []).append(i)
+    sample = [(t.split(), max(y[i] for i in ids), len(ids)) for t, ids in by.items()]
+    n1, n0 = sum(x[1] for x in sample), sum(1 - x[1] for x in sample)
+    terms = {w for x in sample for w in x[0]}
+    part = lambda seen, n, p: seen * math.log(seen / (n * p)) if seen else 0.0
+    scale = {}
+    for t in terms:
+        a, b = (sum(t in x[0] for x in sample if x[1] == v) for v in (1, 0))
+        p = (a + b) / (n1 + n0)
+        g = max(0, 2 * (part(a, n1, p) + part(n1 - a, n1, 1 - p) + part(b, n0, p) + part(n0 - b, n0, 1 - p)))
+        scale[t] = (math.log((1 + len(rows)) / (1 + sum(t in w for _, w in rows))) + 1) * (1 + g) / (30 + g)
+
+    def vector(words):
+        v = {t: (1 + math.log(words.count(t))) * scale[t] for t in set(words) if t in scale}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(x[0]) for x in sample]
+    prior = sum(x[1] * x[2] for x in sample) / sum(x[2] for x in sample)
+    smooth = 0.05 * sum(x[2] for x in sample) / len(sample)
+
+    def votes(words, without=None):
+        v = vector(words)
+        near = sorted(((round(sum(x * u.get(t, 0) for t, x in v.items()), 12), j) for j, u in enumerate(vectors) if j != without), reverse=True)[:15]
+        near = [(c, j) for c, j in near if c > 0]
+        if near:
+            return (sum(c * sample[j][2] * sample[j][1] for c, j in near) + smooth * prior) / (sum(c * sample[j][2] for c, j in near) + smooth)
+
+    raw = sorted((votes(x[0], j), j) for j, x in enumerate(sample))
+    pools = []
+    for x, j in raw:
+        pools.append([x, x, sample[j][1] * sample[j][2], sample[j][2]])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    xs, ys = [x for p in pools for x in p[:2]], [(p[2] + prior) / (p[3] + 1) for p in pools for _ in (0, 1)]
+    got = {r.doc_id: r.score for r in toxicity.toxicity_report(docs, labels).collect()}
+    for i, w in rows:
+        v = votes(w)
+        assert abs(got[i] - (np.interp(v, xs, ys) if v is not None else prior)) < 1e-6, i
+
+
+def test_toxicity_takes_string_ids_equal_texts_and_long_ones(spark):
+    docs, labels = toxic_table(spark, 120)
+    long = docs.first().text + " vlurp" + " word" * 50_000
+    more = docs.union(docs).union(spark.createDataFrame([(7000, long)], DOC)).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    said = labels.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "toxic")
+    got = toxicity.toxicity_report(more, said).collect()
+    assert len(got) == 241 and len({(r.doc_id, r.score) for r in got}) == 121
 
 
 TEXTS = ["Hello world's 12th test", "", None, "ÀÉ ß ñandú", "日本語 text", "a<|endoftext|>b", "\x07bell nbsp", "Σίσυφος İstanbul", "x²¾ é '’s 've !'ll", "word " * 9000]

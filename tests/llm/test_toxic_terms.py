@@ -1,30 +1,33 @@
 """Toxicity: rare toxic words count at any size and at any cap."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import toxicity
 
-
 WORDS = ["vlurp", "zorkish", "quabble", "drimth"]
 
 
-@pytest.mark.parametrize(("n", "most"), [(300, 6000), (800, 40)])
-def test_words_of_few_toxic_examples_are_terms(spark, n, most):
+@pytest.mark.parametrize(("n", "most"), [(300, 1000), (800, 40)])
+def test_words_of_few_toxic_examples_tell(spark, n, most):
     # each word stands in a quarter of the toxic rows and in no clean one
     docs = [(i, f"plain words {'x' * (3 + i % 11)} {'y' * (3 + i % 13)}{'z' * (i % 17)} {WORDS[i // 10 % 4] if i % 10 == 0 else 'more'}") for i in range(n)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     labels = d.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
-    terms, _ = toxicity.fit(d, labels, most)
-    assert all(any(t.startswith(w[:4]) for t in terms) for w in WORDS)
-    got = {r.doc_id for r in toxicity.scored(d, labels, most).where("score >= 0.5").collect()}
+    got = {r.doc_id for r in toxicity.scored(d, labels, most).where("score >= 0.5").select("row.doc_id").collect()}
     assert got <= set(range(0, n, 10)) and len(got) >= 0.75 * n / 10
 
 
+def test_no_term_of_the_examples_is_left_out(spark):
+    d = spark.createDataFrame([(i, f"common word{i} word{i} word{i}") for i in range(60)], "doc_id long, text string")
+    labels = d.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    index = toxicity.fit(d, labels)
+    assert set(index.number) == {"common", "word"} and (index.scale > 0).all()
+
+
 def test_a_term_weighs_more_where_it_stands_more_often():
-    v = toxicity.Vocabulary(["vlurp", "word"])
-    row = v.of("vlurp vlurp word")
-    assert row == (0, 0, 1)
-    index = toxicity.Index(toxicity.np.ones(2), [row, (0, 1)], toxicity.np.zeros(2), toxicity.np.ones(2), [1, 2])
-    at, w = index.vector(row)
-    assert at.tolist() == [0, 1] and w[0] > w[1]
+    index = toxicity.Index({"vlurp": 0, "word": 1}, np.ones(2), [(np.array([0, 1]), np.array([2.0, 1.0])), (np.array([0, 1]), np.ones(2))], np.zeros(2), np.ones(2), ["1", "2"])
+    terms, times = index.row(toxicity.words_of("Vlurp vlurp word other"))
+    w = dict(zip(terms.tolist(), index.vector(terms, times).tolist(), strict=True))
+    assert w[0] > w[1] > 0
