@@ -5,14 +5,16 @@ of `width` consecutive words; an item of fewer words, but not none, is one windo
 
 1. Occurrences of the benchmark's terms are counted over the whole corpus. A window with a term that the corpus
    lacks cannot occur and ends here.
-2. The index stores a posting (term, document, position, neighbourhood) for every occurrence of a term that is the
-   rarest of some window. The neighbourhood holds the `width` - 1 words on either side.
-3. Each window reads its rarest term's postings. Their positions less the term's offset are where the window may
-   start; the second rarest term's offset must hold one of its postings too, and then every other word must agree.
-   `proximity_matches` asks for the two rarest terms within a distance instead, in any order.
+2. The index stores a posting (term, document, position) for every occurrence of a term that is the rarest or second
+   rarest of some window.
+3. Each window reads its rarest term's postings; position less offset is where the window may start. Of these places
+   those stay at which the second list, adjusted by its own offset, has a posting too: an equi-join on (document,
+   term, position), whose keys are all different, so that no word is hot in it. For windows of two words or one this
+   decides; the others' words are compared at the places left, where the document is read anyway.
+4. `proximity_matches` joins the two lists within a distance instead, in either order.
 
-Texts are never shuffled: postings are made where a document is read, and only matches are grouped by document.
-Terms and windows are broadcast only if their measured bytes are within a bound, and joined by shuffle otherwise.
+Texts are shuffled only if the places left, as measured, are too many to send to every executor: terms, windows
+and places are broadcast within a bound, and joined by shuffle otherwise.
 
 Nulls: a null text has no words; an item's null id counts as an item whose id is the empty string. Items are told
 apart by id. Rows that repeat id and text share one result. Without documents or items, no window occurs.
@@ -25,11 +27,12 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_key, sized, small_side, written
+from corpusloom.llm.common import doc_key, small_side, written
 
 #: What separates words, letters of either case being part of them.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WIDTH = 13
+#: NEAR: words between two terms that stand near each other, one of them counted.
+WIDTH, NEAR = 13, 5
 
 
 def raw_words(text: Column) -> Column:
@@ -62,78 +65,88 @@ def term_counts(docs: DataFrame, windows: DataFrame, text_col: str = "text") ->
 def rare_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """win, len, term and at (the rarest and its offset), term2 and at2 (the next; null where there is one word)."""
     one = windows.select("win", "len").distinct()
-    at = one.select("win", "len", F.posexplode(F.split("win", " ")).alias("at", "term")).join(counts, "term", "left")
+    at = one.select("win", "len", F.posexplode(F.split("win", " ")).alias("at", "term")).join(small_side(counts, F.octet_length("term") + 24), "term", "left")
     by = at.groupBy("win", "len").agg(F.count("n").alias("known"), F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("t")).where("known = len")
     return by.select("win", "len", F.col("t")[0]["term"].alias("term"), F.col("t")[0]["at"].alias("at"), F.get("t", F.lit(1))["term"].alias("term2"), F.get("t", F.lit(1))["at"].alias("at2"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings of the given terms: term, doc, pos, near (2 * width - 1 words, the term in the middle; null outside)."""
-    reach = width - 1
+def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, doc, pos: the postings of the given terms."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    d = docs.select(doc_key(docs[id_col], text).alias("doc"), raw_words(text).alias("w"))
-    rows = d.select("doc", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", lower_ascii(F.col("word")))
-    near = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.when(F.col("pos") + i >= 0, lower_ascii(F.get("w", F.col("pos") + i))))
-    look, small = sized(terms, F.octet_length("term") + 16)
-    if small:
-        # one fused loop over the words: only a posting reads its neighbourhood
-        return rows.join(F.broadcast(look), "term").select("term", "doc", "pos", near.alias("near"))
-    return rows.select("term", "doc", "pos", near.alias("near")).join(look, "term")
-
-
-def phrase_matches(index: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """doc, start, len, win of every exact occurrence."""
-    hit = index.join(small_side(windows, F.octet_length("win") + F.octet_length("term") + F.coalesce(F.octet_length("term2"), F.lit(0)) + 40), "term")
-    start = F.col("pos") - F.col("at")
-    second = F.col("at2").isNull() | (F.get("near", F.lit(width - 1) + F.col("at2") - F.col("at")) == F.col("term2"))
-    words = F.slice("near", F.lit(width) - F.col("at"), F.col("len"))
-    # concat_ws skips nulls: the words outside a document leave too few, and so another text
-    return hit.where((start >= 0) & second & (F.concat_ws(" ", words) == F.col("win"))).select("doc", start.alias("start"), "len", "win")
-
-
-def proximity_matches(index: DataFrame, windows: DataFrame, width: int, distance: int) -> DataFrame:
-    """doc, pos, win where a window's two rarest terms stand within `distance` (below width) words, in either order."""
-    if distance >= width:
-        raise ValueError("a posting's neighbourhood does not reach so far")
-    hit = index.join(small_side(windows, F.octet_length("win") + 80), "term").where("term2 IS NOT NULL")
-    before, after = F.slice("near", width - distance, distance), F.slice("near", width + 1, distance)
-    return hit.where(F.array_contains(before, F.col("term2")) | F.array_contains(after, F.col("term2"))).select("doc", "pos", "win")
-
-
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id") -> DataFrame:
-    """doc, n_hit, items (their ids, sorted as strings) of each document in which a window occurs."""
+    rows = docs.select(doc_key(docs[id_col], text).alias("doc"), F.posexplode(raw_words(text)).alias("pos", "word"))
+    return rows.select(lower_ascii(F.col("word")).alias("term"), "doc", "pos").join(small_side(terms, F.octet_length("term") + 16), "term")
+
+
+def intersected(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc, start, len, win: places at which both of a window's two rarest terms stand where the window has them."""
+    width = F.octet_length("win") + F.octet_length("term") + F.coalesce(F.octet_length("term2"), F.lit(0)) + 40
+    places = index.join(small_side(windows, width), "term").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0").drop("term", "pos", "at")
+    two = index.select("doc", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
+    both = places.where("term2 IS NOT NULL").withColumn("pos2", F.col("start") + F.col("at2")).join(two, ["doc", "term2", "pos2"], "left_semi")
+    return both.unionByName(places.where("term2 IS NULL").withColumn("pos2", F.lit(None).cast("int"))).select("doc", "start", "len", "win").distinct()
+
+
+def places_by_document(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, id, w (its words as they are), hits (start, len, win of every exact occurrence) and `row` of each row of docs."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    d = docs.select(doc_key(docs[id_col], text).alias("doc"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    by = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "len", "win"))).alias("places"))
+    d = d.join(small_side(by, F.lit(32) + F.aggregate("places", F.lit(0), lambda a, x: a + F.octet_length(x["win"]) + 24)), "doc", "left")
+    said = lambda x: lower_ascii(F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " "))
+    hits = F.filter("places", lambda x: said(x) == x["win"])
+    d = d.withColumn("w", raw_words(F.coalesce(F.col("row")[text_col], F.lit(""))))  # after the join: no text is moved twice
+    return d.select("doc", "w", F.coalesce(hits, F.array().cast(d.schema["places"].dataType)).alias("hits"), "row")
+
+
+def covered(hits: Column) -> Column:
+    """How many words the hits, sorted by start, cover."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(x["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], x["start"] + x["len"]).alias("reach"))
+    return F.aggregate(hits, empty, step)["n"]
+
+
+def proximity_matches(index: DataFrame, windows: DataFrame, near: int = NEAR) -> DataFrame:
+    """doc, term, term2 of every window's two rarest terms that stand within `near` words of each other somewhere, in either order."""
+    pairs = windows.where("term2 IS NOT NULL").select("term", "term2").distinct()
+    one = index.join(small_side(pairs, F.octet_length("term") + F.octet_length("term2") + 32), "term")
+    # both sides by stretches of `near` words: what is near stands in the same stretch or in one beside it
+    one = one.select("doc", "term", "term2", "pos", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("pos") / near) + i)).alias("part"))
+    two = index.select("doc", F.col("term").alias("term2"), F.col("pos").alias("pos2"), F.floor(F.col("pos") / near).alias("part"))
+    apart = F.abs(F.col("pos") - F.col("pos2"))
+    return one.join(two, ["doc", "term2", "part"]).where((apart > 0) & (apart <= near)).select("doc", "term", "term2").distinct()
+
+
+def indexed(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items' windows, those that may occur with their rarest terms, and the index of these, each as written."""
     windows = written(item_windows(items, width), "windows")
     rare = written(rare_windows(windows, term_counts(docs, windows)), "rare")
-    index = written(build_index(docs, rare.select("term").distinct(), width, id_col), "postings")
-    found = phrase_matches(index, rare, width).distinct()
-    spans = found.select("doc", "start", (F.col("start") + F.col("len")).alias("stop")).distinct()
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], x["stop"]).alias("reach"))
-    hits = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s")).select("doc", F.aggregate("s", empty, step)["n"].alias("n_hit"))
-    of = found.select("doc", "win").distinct().join(windows, "win").select("doc", "item").distinct()
-    return hits.join(of.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items")), "doc")
+    terms = rare.select("term").union(rare.where("term2 IS NOT NULL").select("term2")).distinct()
+    return windows, rare, written(build_index(docs, terms, id_col), "postings")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    d = docs.select(docs["doc_id"], doc_key(docs["doc_id"], text).alias("doc"), F.size(raw_words(text)).cast("long").alias("n_words"))
-    d = d.join(contamination(docs, items, width), "doc", "left")
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items of which a window is near)."""
+    windows, rare, index = indexed(docs, items, width)
+    found = places_by_document(docs.select("doc_id", "text"), written(intersected(index, rare), "places"))
+    d = written(found.select("doc", F.col("row.doc_id").alias("doc_id"), F.size("w").cast("long").alias("n_words"), covered(F.col("hits")).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["win"])).alias("wins")), "hits")
+    look = small_side(windows.select("win", "item"), F.octet_length("win") + F.octet_length("item") + 32)
+    of = d.select("doc", F.explode("wins").alias("win")).distinct().join(look, "win").groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    item_pairs = rare.join(small_side(windows.select("win", "item"), F.octet_length("win") + F.octet_length("item") + 32), "win").select("term", "term2", "item").distinct()
+    near = proximity_matches(index, rare).join(small_side(item_pairs, F.lit(64) + F.octet_length("item")), ["term", "term2"])
+    by = near.select("doc", "item").distinct().groupBy("doc").agg(F.count("*").alias("n_near"))
+    out = d.drop("wins").join(small_side(of, F.lit(64) + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)), "doc", "left").join(by, "doc", "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    return d.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((hit > 0) & (hit * 20 >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of documents that are not contaminated, as they are: at least a twentieth of the words is hit in those that go."""
-    from corpusloom.llm.common import keyed
-
-    found = contamination(docs, items, width).select("doc", "n_hit")
-    d = keyed(docs, "doc_id", "text", keep=True).join(found, "doc", "left")
-    return d.where(F.col("n_hit").isNull() | (F.col("n_hit") * 20 < F.size(raw_words(F.col("text"))))).select("row.*")
+    _, rare, index = indexed(docs, items, width)
+    n = covered(F.col("hits"))
+    return places_by_document(docs, written(intersected(index, rare), "places")).where((n == 0) | (n * 20 < F.size("w"))).select("row.*")
 
 
-def oracle(width: int = WIDTH) -> str:
+def oracle(width: int = WIDTH, near: int = NEAR) -> str:
     words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
@@ -143,7 +156,14 @@ x AS (SELECT DISTINCT item, least(len(w), {width}) AS n, array_to_string(w[s + 1
 g AS (SELECT doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') AS win FROM (SELECT d.*, n, unnest(range(greatest(len(w) - n + 1, 0))) AS s FROM d, (SELECT DISTINCT n FROM x))),
 h AS (SELECT doc_id, s, g.n, item FROM g JOIN x USING (win, n)),
 c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS j FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+t AS (SELECT * FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d) WHERE term IN (SELECT unnest(w) FROM b)),
+f AS (SELECT term, count(*) AS n FROM t GROUP BY term),
+y AS (SELECT win, unnest(string_split(win, ' ')) AS term, unnest(range(n)) AS place, n AS size FROM (SELECT DISTINCT win, n FROM x)),
+r AS (SELECT win, list(term ORDER BY f.n, term, place) AS rare FROM y JOIN f USING (term) GROUP BY win, size HAVING count(*) = size AND size > 1),
+p AS (SELECT DISTINCT item, rare[1] AS one, rare[2] AS two FROM r JOIN x USING (win)),
+q AS (SELECT DISTINCT o.doc_id, o.term AS one, u.term AS two FROM t o JOIN (SELECT DISTINCT one, two FROM p) k ON o.term = k.one JOIN t u ON u.doc_id = o.doc_id AND u.term = k.two AND abs(o.pos - u.pos) BETWEEN 1 AND {near}),
+z AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM q JOIN p USING (one, two) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)"""
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN z USING (doc_id)"""

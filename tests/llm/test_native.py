@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, contamination, licences, line_dedup, secrets
+from corpusloom.llm.common import doc_key
 
 DOC = "doc_id long, text string, source string"
 
@@ -68,21 +69,34 @@ def py_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def py_contamination(docs, items, width):
+def py_contamination(docs, items, width, near=contamination.NEAR):
     wins = {}
     for i, t in items:
         w = py_words(t)
         for s in range(max(1, len(w) - width + 1)) if w else ():
             wins.setdefault(tuple(w[s : s + width]), set()).add(str(i) if i is not None else "")
+    counts = {}
+    for _, t in docs:
+        for x in py_words(t):
+            counts[x] = counts.get(x, 0) + 1
+    pairs = {}
+    for x, ids in wins.items():
+        if len(x) > 1 and all(t in counts for t in x):
+            rare = sorted((counts[t], t, at) for at, t in enumerate(x))
+            pairs.setdefault((rare[0][1], rare[1][1]), set()).update(ids)
     out = {}
     for d, t in docs:
-        w, hit, ids = py_words(t), set(), set()
+        w, hit, ids, close = py_words(t), set(), set(), set()
         for n in {len(x) for x in wins}:
             for s in range(len(w) - n + 1):
                 if (x := tuple(w[s : s + n])) in wins:
                     hit |= set(range(s, s + n))
                     ids |= wins[x]
-        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        for p in range(len(w)):
+            for q in range(max(0, p - near), min(len(w), p + near + 1)):
+                if p != q:
+                    close |= pairs.get((w[p], w[q]), set())
+        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), len(close))
     return out
 
 
@@ -90,28 +104,40 @@ def test_contamination_equals_brute_force(spark, noisy, monkeypatch):
     r = random.Random(2)
     words = ["a", "B", "c", "É", "x1", "der", "Zu", "the"]
     say = lambda n: " ".join(r.choice(words) + r.choice(["", ",", "."]) for _ in range(n))
-    items = [(i, say(r.randrange(1, 12))) for i in range(12)] + [(None, "the the"), (3, "zu der"), (50, None), (51, "!!")]
-    docs = [(i, say(r.randrange(0, 60))) for i in range(60)] + [(100, None), (101, ""), (102, items[0][1] + " extra " * 300)]
+    items = [(i, say(r.randrange(1, 12))) for i in range(12)] + [(None, "the the"), (3, "zu der"), (50, None), (51, "!!"), (52, "rare1 a rare2"), (53, "never said")]
+    docs = [(i, say(r.randrange(0, 60))) for i in range(60)] + [(100, None), (101, ""), (102, items[0][1] + " extra " * 300), (103, "rare2 b rare1"), (104, "rare1 a b c der zu rare2")]
     want = py_contamination(docs, items, 5)
+    assert want[103][5]
     d, b = spark.createDataFrame([(i, t, "s") for i, t in docs], DOC), spark.createDataFrame(items, "item_id long, text string")
     for limit in (1 << 20, 0):  # broadcast or not
         monkeypatch.setattr("corpusloom.llm.common.BROADCAST_BYTES", limit)
-        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in contamination.contamination_report(noisy(d), noisy(b), 5).collect()}
+        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated, x.n_near) for x in contamination.contamination_report(noisy(d), noisy(b), 5).collect()}
         assert got == want
-    kept = {x.doc_id for x in contamination.clean_documents(d, b, 5).collect()}
-    assert kept == {i for i, v in want.items() if not v[4]}
+    rows = contamination.clean_documents(noisy(d), b, 5)
+    assert rows.columns == noisy(d).columns
+    assert {x.doc_id for x in rows.collect()} == {i for i, v in want.items() if not v[4]}
     assert contamination.contamination_report(d, b.where("false"), 5).where("n_hit > 0").count() == 0
     assert contamination.contamination_report(d.where("false"), b, 5).count() == 0
 
 
-def test_proximity_matches(spark):
-    d = spark.createDataFrame([(1, "rare one two other rare", "s"), (2, "rare a b c d e f g h other", "s")], DOC)
+def test_contamination_of_repeated_rows_and_very_long_texts(spark):
+    bench = " ".join(f"w{i}" for i in range(20))
+    long = "filler " * 200_000 + bench + " filler" * 10
+    d = spark.createDataFrame([(1, bench, "s"), (1, bench, "s"), (2, long, "s")], DOC)
+    got = contamination.contamination_report(d, spark.createDataFrame([(7, bench)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.n_hit, r.contaminated, r.n_near) for r in got] == [(1, 20, 20, True, 1), (1, 20, 20, True, 1), (2, 200_030, 20, False, 1)]
+
+
+def test_postings_are_intersected_and_near_ones_found(spark):
+    d = spark.createDataFrame([(1, "rare one two other rare", "s"), (2, "rare a b c d e f g h other", "s"), (3, "other x rare", "s"), (4, "other rare", "s")], DOC)
     b = spark.createDataFrame([(1, "other rare")], "item_id long, text string")
     w = contamination.item_windows(b, 13)
     rare = contamination.rare_windows(w, contamination.term_counts(d, w))
-    near = contamination.proximity_matches(contamination.build_index(d, rare.select("term"), 13), rare, 13, 3)
-    assert {x.pos for x in near.collect()} <= {0, 3, 4}
-    assert near.select("doc").distinct().count() == 1
+    index = contamination.build_index(d, rare.select("term").union(rare.select("term2")))
+    ids = {r.doc: r.doc_id for r in d.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id").collect()}
+    assert index.count() == 9
+    assert {(ids[r.doc], r.start) for r in contamination.intersected(index, rare).collect()} == {(1, 3), (4, 0)}
+    assert {ids[r.doc] for r in contamination.proximity_matches(index, rare, 3).collect()} == {1, 3, 4}
 
 
 def py_line_dedup(docs, m):
