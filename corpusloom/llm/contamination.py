@@ -6,15 +6,14 @@ of `width` consecutive words; an item of fewer words, but not none, is one windo
 1. Occurrences of the benchmark's terms are counted over the whole corpus. A window with a term that the corpus
    lacks cannot occur and ends here.
 2. The index stores a posting (term, document, position) for every occurrence of a term that is the rarest or second
-   rarest of some window.
+   rarest of some window. Those of rarest terms carry the `width` - 1 words on either side.
 3. Each window reads its rarest term's postings; position less offset is where the window may start. Of these places
    those stay at which the second list, adjusted by its own offset, has a posting too: an equi-join on (document,
-   term, position), whose keys are all different, so that no word is hot in it. For windows of two words or one this
-   decides; the others' words are compared at the places left, where the document is read anyway.
-4. `proximity_matches` joins the two lists within a distance instead, in either order.
+   term, position), whose keys are all different, so that no word is hot in it. There every other word is compared.
+4. `proximity_matches` asks for the two rarest terms within a distance instead, in either order.
 
-Texts are shuffled only if the places left, as measured, are too many to send to every executor: terms, windows
-and places are broadcast within a bound, and joined by shuffle otherwise.
+Texts are never shuffled: postings are made where a document is read, and only places and matches are moved. Terms
+and windows are broadcast only if their measured bytes are within a bound, and joined by shuffle otherwise.
 
 Nulls: a null text has no words; an item's null id counts as an item whose id is the empty string. Items are told
 apart by id. Rows that repeat id and text share one result. Without documents or items, no window occurs.
@@ -27,7 +26,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_key, small_side, written
+from corpusloom.llm.common import doc_key, sized, small_side, written
 
 #: What separates words, letters of either case being part of them.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -70,80 +69,93 @@ def rare_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return by.select("win", "len", F.col("t")[0]["term"].alias("term"), F.col("t")[0]["at"].alias("at"), F.get("t", F.lit(1))["term"].alias("term2"), F.get("t", F.lit(1))["at"].alias("at2"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc, pos: the postings of the given terms."""
+def anchors(windows: DataFrame) -> DataFrame:
+    """term, first: the terms that are rarest or second rarest of a window, and whether it is the rarest of any."""
+    two = windows.select("term", F.lit(True).alias("first")).union(windows.where("term2 IS NOT NULL").select("term2", F.lit(False)))
+    return two.groupBy("term").agg(F.max("first").alias("first"))
+
+
+def build_index(docs: DataFrame, terms: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, doc, pos, near: the postings of terms (term, first), with 2 * width - 1 words, as far as there are so many, around those of first ones."""
+    reach = width - 1
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(doc_key(docs[id_col], text).alias("doc"), F.posexplode(raw_words(text)).alias("pos", "word"))
-    return rows.select(lower_ascii(F.col("word")).alias("term"), "doc", "pos").join(small_side(terms, F.octet_length("term") + 16), "term")
+    rows = docs.select(doc_key(docs[id_col], text).alias("doc"), raw_words(text).alias("w"))
+    rows = rows.select("doc", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", lower_ascii(F.col("word")))
+    around = lower_ascii(F.array_join(F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + width), " "))
+    look, small = sized(terms, F.octet_length("term") + 16)
+    if small:
+        # one fused loop over the words: only a posting reads its neighbourhood
+        return rows.join(F.broadcast(look), "term").select("term", "doc", "pos", F.when(F.col("first"), around).alias("near"))
+    return rows.select("term", "doc", "pos", around.alias("near")).join(look, "term").select("term", "doc", "pos", F.when(F.col("first"), F.col("near")).alias("near"))
 
 
 def intersected(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc, start, len, win: places at which both of a window's two rarest terms stand where the window has them."""
+    """doc, start, len, win, offset, near: places at which both of a window's two rarest terms stand where the window has them."""
     width = F.octet_length("win") + F.octet_length("term") + F.coalesce(F.octet_length("term2"), F.lit(0)) + 40
-    places = index.join(small_side(windows, width), "term").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0").drop("term", "pos", "at")
+    places = index.join(small_side(windows, width), "term").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0").withColumn("pos2", F.col("start") + F.col("at2"))
     two = index.select("doc", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
-    both = places.where("term2 IS NOT NULL").withColumn("pos2", F.col("start") + F.col("at2")).join(two, ["doc", "term2", "pos2"], "left_semi")
-    return both.unionByName(places.where("term2 IS NULL").withColumn("pos2", F.lit(None).cast("int"))).select("doc", "start", "len", "win").distinct()
+    both = places.where("term2 IS NOT NULL").join(two, ["doc", "term2", "pos2"], "left_semi").unionByName(places.where("term2 IS NULL"))
+    return both.select("doc", "start", "len", "win", (F.col("pos") - F.col("start")).alias("offset"), "pos", "near")
 
 
-def places_by_document(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, id, w (its words as they are), hits (start, len, win of every exact occurrence) and `row` of each row of docs."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    d = docs.select(doc_key(docs[id_col], text).alias("doc"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    by = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "len", "win"))).alias("places"))
-    d = d.join(small_side(by, F.lit(32) + F.aggregate("places", F.lit(0), lambda a, x: a + F.octet_length(x["win"]) + 24)), "doc", "left")
-    said = lambda x: lower_ascii(F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " "))
-    hits = F.filter("places", lambda x: said(x) == x["win"])
-    d = d.withColumn("w", raw_words(F.coalesce(F.col("row")[text_col], F.lit(""))))  # after the join: no text is moved twice
-    return d.select("doc", "w", F.coalesce(hits, F.array().cast(d.schema["places"].dataType)).alias("hits"), "row")
+def phrase_matches(index: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """doc, start, len, win of every exact occurrence: the places left, with all their words compared."""
+    first = F.greatest(F.least(F.col("pos"), F.lit(width - 1)) - F.col("offset"), F.lit(0))  # conditions may be read in any order
+    said = F.array_join(F.slice(F.split("near", " "), first + 1, F.col("len")), " ")
+    return intersected(index, windows).where(said == F.col("win")).select("doc", "start", "len", "win")
 
 
-def covered(hits: Column) -> Column:
-    """How many words the hits, sorted by start, cover."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(x["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], x["start"] + x["len"]).alias("reach"))
-    return F.aggregate(hits, empty, step)["n"]
-
-
-def proximity_matches(index: DataFrame, windows: DataFrame, near: int = NEAR) -> DataFrame:
-    """doc, term, term2 of every window's two rarest terms that stand within `near` words of each other somewhere, in either order."""
+def proximity_matches(index: DataFrame, windows: DataFrame, width: int, near: int = NEAR) -> DataFrame:
+    """doc, term, term2 of every window's two rarest terms that stand within `near` (below width) words of each other somewhere, in either order."""
+    if near >= width:
+        raise ValueError("a posting's neighbourhood does not reach so far")
     pairs = windows.where("term2 IS NOT NULL").select("term", "term2").distinct()
-    one = index.join(small_side(pairs, F.octet_length("term") + F.octet_length("term2") + 32), "term")
-    # both sides by stretches of `near` words: what is near stands in the same stretch or in one beside it
-    one = one.select("doc", "term", "term2", "pos", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("pos") / near) + i)).alias("part"))
-    two = index.select("doc", F.col("term").alias("term2"), F.col("pos").alias("pos2"), F.floor(F.col("pos") / near).alias("part"))
-    apart = F.abs(F.col("pos") - F.col("pos2"))
-    return one.join(two, ["doc", "term2", "part"]).where((apart > 0) & (apart <= near)).select("doc", "term", "term2").distinct()
+    hit = index.where("near IS NOT NULL").join(small_side(pairs, F.octet_length("term") + F.octet_length("term2") + 32), "term")
+    words, own = F.split("near", " "), F.least(F.col("pos"), F.lit(width - 1))
+    before = F.slice(words, F.greatest(own - near, F.lit(0)) + 1, F.least(own, F.lit(near)))
+    after = F.slice(words, own + 2, F.lit(near))
+    return hit.where(F.array_contains(before, F.col("term2")) | F.array_contains(after, F.col("term2"))).select("doc", "term", "term2").distinct()
 
 
 def indexed(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The items' windows, those that may occur with their rarest terms, and the index of these, each as written."""
     windows = written(item_windows(items, width), "windows")
-    rare = written(rare_windows(windows, term_counts(docs, windows)), "rare")
-    terms = rare.select("term").union(rare.where("term2 IS NOT NULL").select("term2")).distinct()
-    return windows, rare, written(build_index(docs, terms, id_col), "postings")
+    rare = written(rare_windows(windows, written(term_counts(docs, windows), "counts")), "rare")
+    return windows, rare, written(build_index(docs, anchors(rare), width, id_col), "postings")
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """doc, n_hit: how many words of each document the matches cover."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], x["stop"]).alias("reach"))
+    spans = found.select("doc", "start", (F.col("start") + F.col("len")).alias("stop")).distinct()
+    return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s")).select("doc", F.aggregate("s", empty, step)["n"].alias("n_hit"))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items of which a window is near)."""
     windows, rare, index = indexed(docs, items, width)
-    found = places_by_document(docs.select("doc_id", "text"), written(intersected(index, rare), "places"))
-    d = written(found.select("doc", F.col("row.doc_id").alias("doc_id"), F.size("w").cast("long").alias("n_words"), covered(F.col("hits")).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["win"])).alias("wins")), "hits")
-    look = small_side(windows.select("win", "item"), F.octet_length("win") + F.octet_length("item") + 32)
-    of = d.select("doc", F.explode("wins").alias("win")).distinct().join(look, "win").groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    item_pairs = rare.join(small_side(windows.select("win", "item"), F.octet_length("win") + F.octet_length("item") + 32), "win").select("term", "term2", "item").distinct()
-    near = proximity_matches(index, rare).join(small_side(item_pairs, F.lit(64) + F.octet_length("item")), ["term", "term2"])
-    by = near.select("doc", "item").distinct().groupBy("doc").agg(F.count("*").alias("n_near"))
-    out = d.drop("wins").join(small_side(of, F.lit(64) + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)), "doc", "left").join(by, "doc", "left")
+    found = written(phrase_matches(index, rare, width).distinct(), "matches")
+    bytes_of = F.octet_length("win") + F.octet_length("item") + 32
+    of = found.select("doc", "win").distinct().join(small_side(windows.select("win", "item"), bytes_of), "win").select("doc", "item").distinct()
+    item_pairs = rare.join(small_side(windows.select("win", "item"), bytes_of), "win").select("term", "term2", "item").distinct()
+    near = proximity_matches(index, rare, width, min(NEAR, width - 1)).join(small_side(item_pairs, F.lit(64) + F.octet_length("item")), ["term", "term2"]).select("doc", "item").distinct()
+    by = of.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    d = docs.select(docs["doc_id"], doc_key(docs["doc_id"], text).alias("doc"), F.size(raw_words(text)).cast("long").alias("n_words"))
+    d = d.join(covered(found), "doc", "left").join(by, "doc", "left").join(near.groupBy("doc").agg(F.count("*").alias("n_near")), "doc", "left")
+    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return d.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((hit > 0) & (hit * 20 >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of documents that are not contaminated, as they are: at least a twentieth of the words is hit in those that go."""
     _, rare, index = indexed(docs, items, width)
-    n = covered(F.col("hits"))
-    return places_by_document(docs, written(intersected(index, rare), "places")).where((n == 0) | (n * 20 < F.size("w"))).select("row.*")
+    n = written(covered(phrase_matches(index, rare, width)), "covered")
+    text = F.coalesce(docs["text"], F.lit(""))
+    d = docs.select(doc_key(docs["doc_id"], text).alias("doc"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(small_side(n, F.lit(40)), "doc", "left")
+    return d.where(F.col("n_hit").isNull() | (F.col("n_hit") * 20 < F.size(raw_words(F.coalesce(F.col("row")["text"], F.lit("")))))).select("row.*")
 
 
 def oracle(width: int = WIDTH, near: int = NEAR) -> str:

@@ -69,7 +69,8 @@ def py_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def py_contamination(docs, items, width, near=contamination.NEAR):
+def py_contamination(docs, items, width):
+    near = min(contamination.NEAR, width - 1)
     wins = {}
     for i, t in items:
         w = py_words(t)
@@ -133,11 +134,11 @@ def test_postings_are_intersected_and_near_ones_found(spark):
     b = spark.createDataFrame([(1, "other rare")], "item_id long, text string")
     w = contamination.item_windows(b, 13)
     rare = contamination.rare_windows(w, contamination.term_counts(d, w))
-    index = contamination.build_index(d, rare.select("term").union(rare.select("term2")))
+    index = contamination.build_index(d, contamination.anchors(rare), 13)
     ids = {r.doc: r.doc_id for r in d.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id").collect()}
     assert index.count() == 9
     assert {(ids[r.doc], r.start) for r in contamination.intersected(index, rare).collect()} == {(1, 3), (4, 0)}
-    assert {ids[r.doc] for r in contamination.proximity_matches(index, rare, 3).collect()} == {1, 3, 4}
+    assert {ids[r.doc] for r in contamination.proximity_matches(index, rare, 13, 3).collect()} == {1, 3, 4}
 
 
 def py_line_dedup(docs, m):
