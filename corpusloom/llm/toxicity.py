@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import small_batches, written
 
-EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS, BLOCK = 1000, 8 << 20, 15, 64
+EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS, BLOCK = 600, 8 << 20, 15, 64
 #: A term whose log-likelihood ratio is so much has about half the stretch of one that tells all.
 EVEN = 30.0
 #: Blocks that are read before bounds are compared.
@@ -45,14 +45,19 @@ FIRST_BLOCKS = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> Counter[str]:
-    return Counter(_WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The numbers of all the ranges, one after the other."""
+    """The numbers of all the ranges (none of them empty), one after the other."""
+    if not len(lens):
+        return np.zeros(0, np.int64)
     ends = np.cumsum(lens)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
+    out = np.ones(int(ends[-1]), np.int64)
+    out[0] = starts[0]
+    out[ends[:-1]] = starts[1:] - starts[:-1] - lens[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
 def stretch(x: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -112,9 +117,11 @@ class Index:
         w = (1 + np.log(times)) * self.scale[terms]
         return w / math.sqrt(float(w @ w)) if len(w) else w
 
-    def row(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [(t, c) for w, c in words.items() if (t := self.number.get(w)) is not None]
-        return np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], np.float64)
+    def row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms among a text's words, each once, and how often they occur."""
+        known = self.number.get
+        found = np.array([t for w in words if (t := known(w)) is not None], np.int64)
+        return np.unique(found, return_counts=True)
 
     def nearest(self, row: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """Cosine and example of the k nearest with any term in common; equal ones in the order of the examples."""
@@ -122,7 +129,7 @@ class Index:
         if not len(terms):
             return []
         begin = self.first[terms]
-        count = self.first[terms + 1] - begin
+        count = self.first[terms + 1] - begin  # at least one: each term stands in an example
         parts = _spread(begin, count)
         w = np.repeat(self.vector(terms, times), count)
         block = self.block[parts]
@@ -130,10 +137,13 @@ class Index:
         score = np.zeros(len(self.rows))
 
         def read(which: np.ndarray) -> None:
-            p = which[block]
-            at, size = parts[p], self.size[parts[p]]
+            p = np.flatnonzero(which[block])
+            at = parts[p]
+            size = self.size[at]
             i = _spread(self.start[at], size)
-            score[:] += np.bincount(self.example[i], weights=np.repeat(w[p], size) * self.weight[i], minlength=len(score))
+            x = np.repeat(w[p], size)
+            x *= self.weight[i]
+            score[:] += np.bincount(self.example[i], weights=x, minlength=len(score))
 
         open_ = np.zeros(self.blocks, bool)
         open_[np.argsort(-bound)[:FIRST_BLOCKS]] = True
@@ -219,8 +229,9 @@ def _counted(docs: DataFrame, number: dict[str, int], text_col: str) -> dict[int
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], texts))], names=["term", "n"])
 
-    counts = docs.select(docs[text_col]).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n"))
-    return {r[0]: r[1] for r in counts.collect()}  # a row for each term of the examples
+    counts = docs.select(docs[text_col]).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # a row for each term of the examples
+    return dict(zip(found["term"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -229,30 +240,36 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [words_of(t) for t in batch["text"].to_pylist()]
+            found = [Counter(words_of(t)) for t in batch["text"].to_pylist()]
             cols = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch["at"], batch["at2"], batch["id"], batch["toxic"], batch["rows"], *cols], names=["at", "at2", "id", "toxic", "rows", "words", "times"])
 
-    sample = sorted(chosen.mapInArrow(work, "at long, at2 long, id string, toxic int, rows long, words array<string>, times array<int>").collect(), key=lambda r: (r["at"], r["at2"]))
-    number = {w: i for i, w in enumerate(sorted({w for r in sample for w in r["words"]}))}
-    y = np.array([r["toxic"] for r in sample], float)
-    rows = [(np.array([number[w] for w in r["words"]], np.int64), np.array(r["times"], np.float64)) for r in sample]
-    seen = [np.bincount(np.concatenate([t for (t, _), z in zip(rows, y, strict=True) if z == label] or [np.zeros(0, np.int64)]), minlength=len(number)).astype(float) for label in (0, 1)]
+    # bounded by `most` and EXAMPLE_CHARS; the words become numbers column by column
+    sample = chosen.mapInArrow(work, "at long, at2 long, id string, toxic int, rows long, words array<string>, times array<int>").toArrow().sort_by([("at", "ascending"), ("at2", "ascending")]).combine_chunks()
+    words = sample["words"].combine_chunks().flatten().dictionary_encode() if len(sample) else pa.array([], pa.string()).dictionary_encode()
+    number = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
+    y = sample["toxic"].to_numpy().astype(float)
+    size = np.array([len(x) for x in sample["words"]], np.int64)
+    flat, times = words.indices.to_numpy(), (sample["times"].combine_chunks().flatten().to_numpy() if len(sample) else np.zeros(0)).astype(float)
+    cuts = np.cumsum(size)[:-1]
+    rows = list(zip(np.split(flat.astype(np.int64), cuts), np.split(times, cuts), strict=True)) if len(sample) else []
+    label = np.repeat(y, size)
+    seen = [np.bincount(flat[label == v], minlength=len(number)).astype(float) for v in (0, 1)]
+    ids, copies = sample["id"].to_pylist(), sample["rows"].to_numpy()
     df = _counted(docs, number, text_col)
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(number))], float))) + 1
     scale = idf * stretch(seen[1], seen[0], int((y == 1).sum()), int((y == 0).sum()))
-    stood = {label: sum(r["rows"] for r in sample if r["toxic"] == label) for label in (0, 1)}
-    each = {label: n.get(label, 0) / max(1, stood[label]) for label in (0, 1)}  # labelled rows for one of the sample
+    each = [n.get(v, 0) / max(1, copies[y == v].sum()) for v in (0, 1)]  # labelled rows for one of the sample
     prior = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
-    index = Index(number, scale, rows, y, np.array([r["rows"] * each[r["toxic"]] for r in sample]), [r["id"] for r in sample], prior)
+    index = Index(number, scale, rows, y, copies * np.where(y == 1, each[1], each[0]), ids, prior)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(i, index.votes(near)) for i in batch.column(0).to_pylist() if (near := index.nearest(index.rows[i], without=i))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([v for _, v in got], pa.float64())], names=["i", "votes"])
 
-    if sample:
-        raw = docs.sparkSession.range(len(sample), numPartitions=max(1, len(sample) // 100)).mapInArrow(without, "i long, votes double").collect()
+    if rows:
+        raw = docs.sparkSession.range(len(rows), numPartitions=max(1, len(rows) // 100)).mapInArrow(without, "i long, votes double").collect()
         index.calibrate({r["i"]: r["votes"] for r in raw})
     index.rows = [()] * len(index.rows)  # only the lists are needed from here on
     return index

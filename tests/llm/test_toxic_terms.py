@@ -29,5 +29,6 @@ def test_no_term_of_the_examples_is_left_out(spark):
 def test_a_term_weighs_more_where_it_stands_more_often():
     index = toxicity.Index({"vlurp": 0, "word": 1}, np.ones(2), [(np.array([0, 1]), np.array([2.0, 1.0])), (np.array([0, 1]), np.ones(2))], np.zeros(2), np.ones(2), ["1", "2"])
     terms, times = index.row(toxicity.words_of("Vlurp vlurp word other"))
+    assert times.tolist() == [2, 1]
     w = dict(zip(terms.tolist(), index.vector(terms, times).tolist(), strict=True))
     assert w[0] > w[1] > 0
