@@ -1,17 +1,23 @@
 """Line dedup: winnowed line fingerprints find runs of lines that repeat; later ones are deleted.
 
-A run counts if it has `min_lines` lines, or fewer with more than `many_words` words together. A window is
-`min_lines` consecutive lines, or fewer with so many words; each longer run is a chain of windows. A window's
-fingerprint is the least of its line hashes (the last of equal ones), so equal windows have equal fingerprints at
-equal offsets, and no shared run that counts goes unseen. Fingerprints that occur at one position only end there. The
-others' windows are grouped by the digest of all their lines, and neighbouring windows that match chain up to the
-whole run. Of equal windows the first by (id, line) stays; each line of a later one is deleted.
+A run counts if it has `min_lines` lines, or fewer with more than `many_words` words together.
 
-Every step is a count or a minimum with partial aggregation, or a sort-merge join that Spark can split, so that a
-line shared by a third of all documents needs no task of its own.
+1. Winnowing. A window is the shortest run that counts; of its line hashes the least is its fingerprint (the last of
+   equal ones). Only lines that are the fingerprint of some window are kept, once each, with their position: equal
+   windows have equal fingerprints at equal offsets, so no shared run that counts goes unseen.
+2. Positions are joined by fingerprint; those whose fingerprint stands nowhere else end there.
+3. Matches are extended both ways: a position brings each way to extend its line, to the left and to the right, to a
+   window that it is the fingerprint of, with a digest of the lines. Positions with equal extensions match; the
+   extensions of neighbouring fingerprints overlap, and so chain up to whole runs of any length.
+4. Of equal extensions the first by (id, line) stays; each line of a later one is deleted.
+
+The lines around a position are read where the document is, and positions are written once. No pairs are made: each
+step is a count or a minimum with partial aggregation, or a sort-merge join that Spark can split, so that a line
+shared by a third of all documents needs no task of its own.
 
 A word is a stretch without white space. Nulls: a null text is empty; null ids sort first. Rows that
-repeat id and text count as one document: they are edited alike. Other columns pass through as they are.
+repeat id and text count as one document: they are edited alike. Other columns pass through as they are. Empty texts
+have one empty line. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,41 +27,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keyed
+from corpusloom.llm.common import keyed, written
 
 #: A run of fewer than `min_lines` lines counts if it has more words than this.
 MANY_WORDS = 50
 
 
-def line_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
-    """A row for each window: doc, id, start (its first line), n (its lines), win (128-bit digest of them), fp, pos."""
+def fingerprints(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
+    """doc, id, pos, fp of each line that is the fingerprint of a window, and runs: left (lines before it), n, win (128-bit digest) of each such window."""
+    reach = min_lines - 1
     k = keyed(docs, id_col, text_col).withColumn("lines", F.split("text", "\n", -1))
-    k = k.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
-    lines = [F.slice("lines", F.lit(i + 1), F.size("lines")).alias(f"l{i}") for i in range(min_lines)]
-    words = [F.slice("words", F.lit(i + 1), F.size("words")).alias(f"w{i}") for i in range(min_lines - 1)]
-    # behind the last line the shorter arrays are filled up with nulls
-    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*lines, *words)).alias("start", "w"))
-    w = w.select("doc", "id", "start", "w", *[F.xxhash64(f"w.l{i}").alias(f"h{i}") for i in range(min_lines)])
-
-    def window(n: int) -> Column:
-        fp = F.least(*[F.col(f"h{i}") for i in range(n)]) if n > 1 else F.col("h0")
-        last = reduce(lambda at, i: F.when(F.col(f"h{i}") == fp, F.lit(i)).otherwise(at), range(n), F.lit(0))
-        win = F.unhex(F.md5(F.concat_ws("\n", *[F.col(f"w.l{i}") for i in range(n)])))
-        counts = F.col(f"w.l{n - 1}").isNotNull()
+    none = F.array_repeat(F.lit(None).cast("string"), reach)
+    k = k.withColumn("padded", F.concat(none, "lines", none))
+    # column i holds the line i - reach places from the position; nulls outside the text
+    around = [F.slice("padded", F.lit(i + 1), F.size("lines")).alias(f"l{i}") for i in range(2 * reach + 1)]
+    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*around)).alias("pos", "x")).select("doc", "id", "pos", "x.*")
+    w = w.select("*", *[F.xxhash64(f"l{i}").alias(f"h{i}") for i in range(2 * reach + 1)], *[F.regexp_count(f"l{i}", F.lit(r"\S+")).alias(f"w{i}") for i in range(1, 2 * reach)])
+    own = F.col(f"h{reach}")
+
+    def window(left: int, n: int) -> Column:
+        """The window of n lines that begins `left` lines before the position, if it counts and this line is its fingerprint."""
+        at = range(reach - left, reach - left + n)
+        there = F.col(f"l{at[0]}").isNotNull() & F.col(f"l{at[-1]}").isNotNull()
         if n < min_lines:
-            counts &= reduce(lambda x, y: x + y, [F.col(f"w.w{i}") for i in range(n)]) > many_words
-        return F.when(counts, F.struct(F.lit(n).alias("n"), win.alias("win"), fp.alias("fp"), (F.col("start") + last).alias("pos")))
+            there &= reduce(Column.__add__, [F.col(f"w{i}") for i in at]) > many_words
+        least = [own <= F.col(f"h{i}") if i < reach else own < F.col(f"h{i}") for i in at if i != reach]
+        win = F.unhex(F.md5(F.concat_ws("\n", *[F.col(f"l{i}") for i in at])))
+        return F.when(reduce(Column.__and__, [there, *least]), F.struct(F.lit(left).alias("left"), F.lit(n).alias("n"), win.alias("win")))
 
-    found = F.filter(F.array(*[window(n + 1) for n in range(min_lines)]), lambda x: x.isNotNull())
-    return w.select("doc", "id", "start", F.explode(found).alias("x")).select("doc", "id", "start", "x.*")
+    runs = F.filter(F.array(*[window(left, n) for n in range(1, min_lines + 1) for left in range(n)]), lambda x: x.isNotNull())
+    return w.select("doc", "id", "pos", own.alias("fp"), runs.alias("runs")).where("size(runs) > 0")
 
 
 def repeated_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
     """doc, start and n of each window that equals an earlier one."""
-    w = line_windows(docs, min_lines, id_col, text_col, many_words)
-    at = F.struct("doc", "pos")
-    seen = w.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
-    near = w.join(seen, "fp", "left_semi").select("win", "n", F.struct("id", "doc", "start").alias("at"))
+    marks = written(fingerprints(docs, min_lines, id_col, text_col, many_words).distinct(), "fingerprints")
+    seen = marks.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp")
+    near = marks.join(seen, "fp", "left_semi").select("id", "doc", "pos", F.explode("runs").alias("x"))
+    near = near.select(F.struct("id", "doc", (F.col("pos") - F.col("x.left")).alias("start")).alias("at"), F.col("x.n").alias("n"), F.col("x.win").alias("win"))
     first = near.groupBy("win").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("win", "first")
     return near.join(first, "win").where("at <> first").select("at.doc", "at.start", "n")
 
@@ -95,13 +104,16 @@ def dedup_report(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     return drop_repeated_runs(docs, min_lines).select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def oracle(min_lines: int = 3) -> str:
+def oracle(min_lines: int = 3, many_words: int = MANY_WORDS) -> str:
+    """The whole rule, over all runs of up to min_lines lines: longer ones are chains of them."""
     m = min_lines
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, text, s, array_to_string(l[s + 1 : s + {m}], chr(10)) AS win FROM (SELECT *, unnest(range(len(l) - {m - 1})) AS s FROM d)),
-r AS (SELECT doc_id, text, s FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, md5(coalesce('=' || doc_id, '-') || chr(0) || text), s) AS n FROM w) WHERE n > 1),
-gone AS (SELECT doc_id, text, list(DISTINCT j) AS j FROM (SELECT doc_id, text, unnest(range(s, s + {m})) AS j FROM r) GROUP BY ALL),
+a AS (SELECT doc_id, text, l, s, unnest(range(1, least({m}, len(l) - s) + 1)) AS n FROM (SELECT *, unnest(range(len(l))) AS s FROM d)),
+w AS (SELECT *, array_to_string(l[s + 1 : s + n], chr(10)) AS win FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY win, n ORDER BY doc_id NULLS FIRST, md5(coalesce('=' || doc_id, '-') || chr(0) || text), s) AS k FROM w
+      WHERE n = {m} OR len(regexp_extract_all(win, '[^ \\t\\r\\n\\f\\x0B]+')) > {many_words}),
+gone AS (SELECT doc_id, text, list(DISTINCT j) AS j FROM (SELECT doc_id, text, unnest(range(s, s + n)) AS j FROM r WHERE k > 1) GROUP BY ALL),
 e AS (SELECT d.doc_id, d.text, d.l, coalesce(gone.j, []) AS j FROM d LEFT JOIN gone ON d.doc_id IS NOT DISTINCT FROM gone.doc_id AND d.text = gone.text),
 k AS (SELECT doc_id, text, l, j, CASE WHEN len(j) = 0 THEN text ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda x: NOT list_contains(j, x)), lambda x: l[x + 1]), chr(10)) END AS kept FROM e)
 SELECT a.doc_id, len(k.l) AS n_lines, len(k.j) AS n_removed, len(list_filter(k.j, lambda x: NOT list_contains(k.j, x - 1))) AS n_runs,
