@@ -4,15 +4,22 @@ Sorting every suffix of a corpus would move many times its bytes, so the sort is
 `length` bytes) has an anchor, the place of its least 64-byte hash, the last of equal ones; equal windows have
 equal anchors at equal offsets. Neighbouring windows with one anchor form a stretch of at most 337 bytes.
 
-1. Stretches are made where a document is read, with polynomial running hashes: rows of 40 bytes, about one for each
-   70 bytes of text. A stretch whose anchor occurs once ends here; if all stretches of an anchor are equal, all
-   their windows repeat.
+1. Stretches are made where a document is read: rows of 40 bytes, about one for each 70 bytes of text, with a hash of
+   the anchor and a keyed digest of the stretch. A stretch whose anchor occurs once ends here; if all stretches of an
+   anchor are equal, all their windows repeat.
 2. Where stretches of an anchor differ, each different one brings its bytes once. A task sorts what follows the
    anchors, and what precedes them, as suffixes: a vectorised mergesort in which two suffixes are compared by their
    common extension, found by binary search over prefix hashes. Neighbours' extensions are then verified byte by
    byte. A window repeats if two stretches agree in as many bytes before and behind the anchor as it has there.
-3. An anchor with more than `most` different stretches (say, the end of a passage in very many documents) is not
-   brought into one task: its windows are counted by their 128-bit hashes, which Spark aggregates part by part.
+3. An anchor with more than `most` different stretches (say, the end of a passage in very many documents) is too much
+   for one sort, so its group is split by more context. Each window reaches far behind the anchor or far before it:
+   a stretch is cut into the windows that reach back to at least the middle of the range and the others, which reach
+   as far ahead, and either part goes to the group of those with the same bytes there. The parts are stretches like
+   the first ones and take the same path, again and again until all groups are small or all alike; each round halves
+   the range, so eight of them reach single windows. Groups of any size are resolved by this one way.
+
+Bytes are compared where stretches differ. Equal stretches are told by a 64-bit digest under a key drawn for each run
+(BLAKE2), beside the equal hash of their anchor: texts can't be made to collide, and chance ones are one in 2**64.
 
 Nulls: a null text has no bytes; null ids stay null. Rows that repeat id and text are separate occurrences, and share
 their result. Texts shorter than `length` lose nothing. An empty table gives no rows.
@@ -20,14 +27,17 @@ their result. Texts shorter than `length` lose nothing. An empty table gives no
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import small_batches, written
 
 #: MOST: stretches that a task sorts at once, some 3 MB; no group is larger.
 LENGTH, ANCHOR, MOST = 200, 64, 8192
@@ -73,8 +83,15 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, h: Hashes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """first window, number of windows, anchor's offset in it, anchor hash and stretch hash, for texts that end at `ends`."""
+def digests(data: bytes, start: np.ndarray, stop: np.ndarray, off: np.ndarray, key: bytes) -> np.ndarray:
+    """A keyed 64-bit digest of each slice and the anchor's offset in it."""
+    view = memoryview(data)
+    salts = [bytes([i]) * 16 for i in range(256)]
+    return np.frombuffer(b"".join([blake2b(view[a:b], digest_size=8, key=key, salt=salts[o]).digest() for a, b, o in zip(start.tolist(), stop.tolist(), off.tolist(), strict=True)]), np.int64)
+
+
+def stretches(data: np.ndarray, ends: np.ndarray, h: Hashes, length: int, anchor: int, secret: bytes = b"") -> tuple[np.ndarray, ...]:
+    """first window, number of windows, anchor's offset in it, anchor hash and stretch digest, for texts that end at `ends`."""
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -95,9 +112,7 @@ def stretches(data: np.ndarray, ends: np.ndarray, h: Hashes, length: int, anchor
     a, p = s[i], p[i]
     count = np.diff(np.concatenate([i, [len(s)]]))
     off = p - a
-    body = h.of(r, a, a + count - 1 + length)
-    mark = _mixed(body + off.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64) * np.uint64(0xA5A3564E5D7A1B2D))
-    return a, count, off, k[p].view(np.int64), mark.view(np.int64)
+    return a, count, off, k[p].view(np.int64), digests(data.tobytes(), a, a + count - 1 + length, off, secret)
 
 
 def _buffers(texts: list[bytes], most: int, overlap: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -115,7 +130,7 @@ def _buffers(texts: list[bytes], most: int, overlap: int) -> Iterator[list[tuple
         yield held
 
 
-def stretch_rows(d: DataFrame, length: int, anchor: int) -> DataFrame:
+def stretch_rows(d: DataFrame, length: int, anchor: int, secret: bytes = b"") -> DataFrame:
     """k1, k2, at (first byte << 16 | windows << 8 | anchor's offset), kh, sh of each stretch of d (k1, k2, bytes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +140,7 @@ def stretch_rows(d: DataFrame, length: int, anchor: int) -> DataFrame:
             for parts in _buffers(batch["bytes"].to_pylist(), 1 << 19, length - 1):
                 ends = np.cumsum([len(b) for _, _, b in parts])
                 begins = np.concatenate([[0], ends[:-1]])
-                a, count, off, kh, sh = stretches(np.frombuffer(b"".join(b for _, _, b in parts), np.uint8), ends, h, length, anchor)
+                a, count, off, kh, sh = stretches(np.frombuffer(b"".join(b for _, _, b in parts), np.uint8), ends, h, length, anchor, secret)
                 if len(a):
                     part = np.searchsorted(ends, a, side="right")
                     doc = np.array([i for i, _, _ in parts])[part]
@@ -210,11 +225,28 @@ def repeated_in(bodies: list[bytes], count: np.ndarray, off: np.ndarray, group:
     return out
 
 
-def _bodies(joined: DataFrame, length: int) -> DataFrame:
-    """Of each wanted stretch (k1, k2, at, kh, n, hot): its bytes, or if hot its windows' hashes h1 and h2, one row each (w: its number)."""
+def halves(body: bytes, first: int, count: int, off: int, p: int, q: int, kh: int, length: int, anchor: int, key: bytes) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """first, count, off, p, q, group, digest of the two parts of a stretch whose group shares p bytes before the anchor and q behind it."""
+    a, b = off - count + 1, off  # fewest and most bytes that a window has before the anchor
+    middle = (p + length - anchor - q + 1) // 2
+    for lo, hi, np_, nq in ((max(a, middle), b, middle, q), (a, min(b, middle - 1), p, length - anchor - middle + 1)):
+        if lo <= hi:
+            part = body[off - hi : off - lo + length]
+            shared = body[off - np_ : off + anchor + nq]
+            group = blake2b(shared, digest_size=8, key=key, salt=(kh & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little") + bytes([np_, nq]))
+            mark = blake2b(part, digest_size=8, key=key, salt=bytes([hi]) * 16)
+            yield first + off - hi, hi - lo + 1, hi, np_, nq, *(int.from_bytes(x.digest(), "little", signed=True) for x in (group, mark))
+
+
+_STRETCH = "k1 long, k2 long, at long, kh long, sh long, p int, q int, n long"
+
+
+def _bodies(joined: DataFrame, length: int, anchor: int, key: bytes) -> DataFrame:
+    """Of each wanted stretch (k1, k2, at, kh, n, p, q, hot): its bytes or, if hot, the rows of its two parts with null body."""
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
+    names = ["k1", "k2", "at", "kh", "sh", "p", "q", "n", "body"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hashes(), Hashes(0xC2B2AE3D27D4EB4F)
         last = None
         for batch in batches:
             rows: list[tuple] = []
@@ -223,15 +255,12 @@ def _bodies(joined: DataFrame, length: int) -> DataFrame:
                 if last == before:  # a repeated row: the sort of the join put it behind its like
                     continue
                 for x in wanted:
-                    first, count = x["at"] >> 16, x["at"] >> 8 & 0xFF
+                    first, count, off = x["at"] >> 16, x["at"] >> 8 & 0xFF, x["at"] & 0xFF
                     body = data[first : first + count - 1 + length]
-                    if not x["hot"]:
-                        rows.append((x["k1"], x["k2"], x["at"], x["kh"], x["n"], body, None, None, None))
-                        continue
-                    d = np.frombuffer(body, np.uint8)
-                    s = np.arange(count)
-                    h = [_mixed(g.of(g.running(d), s, s + length)).view(np.int64).tolist() for g in (one, two)]
-                    rows += [(x["k1"], x["k2"], x["at"], x["kh"], x["n"], None, w, h[0][w], h[1][w]) for w in range(count)]
+                    if x["hot"]:
+                        rows += [(x["k1"], x["k2"], f << 16 | c << 8 | o, kh, sh, p, q, x["n"], None) for f, c, o, p, q, kh, sh in halves(body, first, count, off, x["p"], x["q"], x["kh"], length, anchor, key)]
+                    else:
+                        rows.append((x["k1"], x["k2"], x["at"], x["kh"], 0, x["p"], x["q"], x["n"], body))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -239,10 +268,9 @@ def _bodies(joined: DataFrame, length: int) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "at", "kh", "n", "body", "w", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return joined.mapInArrow(work, "k1 long, k2 long, at long, kh long, n long, body binary, w int, h1 long, h2 long")
+    return joined.mapInArrow(work, f"{_STRETCH}, body binary")
 
 
 def _sorted_groups(bodies: DataFrame, length: int) -> DataFrame:
@@ -287,24 +315,30 @@ def repeated_spans(d: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, mos
     """k1, k2, start, stop: byte ranges of the documents of d (k1, k2, doc_id, bytes) that repeated windows cover."""
     if not 1 <= anchor <= length < anchor + 200:
         raise ValueError("a stretch's windows are counted in eight bits")
-    rows = stretch_rows(d.select("k1", "k2", "bytes"), length, anchor)
-    anchors = rows.groupBy("kh").agg(F.count("*").alias("all"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("all > 1").select("kh", (F.col("lo") == F.col("hi")).alias("pure"))
-    shared = written(rows.join(anchors, "kh"), "stretches")
-    mixed = shared.where("NOT pure")
-    kinds = mixed.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("first"))
-    kinds = written(kinds.select("kh", "sh", "n", "first.*"), "kinds")
-    several = kinds.groupBy("kh").agg((F.count("*") > most).alias("hot"))
-    wanted = kinds.join(several, "kh").groupBy("k1", "k2").agg(F.collect_list(F.struct("k1", "k2", "at", "kh", "n", "hot")).alias("wanted"))
-    # texts are shuffled once: the caller's join has the same exchange
-    bodies = _bodies(d.join(wanted, ["k1", "k2"]).select("bytes", "wanted"), length)
-    few = bodies.where("body IS NOT NULL").select("k1", "k2", "at", "kh", "n", "body")
-    resolved = _sorted_groups(few.repartition("kh").sortWithinPartitions("kh"), length)
-    windows = bodies.where("body IS NULL")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    hot = windows.where("n = 1").join(again, ["h1", "h2"]).select("k1", "k2", (F.shiftright("at", 16) + F.col("w")).alias("start")).withColumn("stop", F.col("start") + length)
-    span = lambda x: x.select("k1", "k2", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255)) - 1 + length).alias("stop"))
-    copied = mixed.join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi")
-    return span(shared.where("pure")).union(span(copied)).union(resolved).union(hot)
+    key = os.urandom(16)
+    first = F.shiftright("at", 16)
+    span = lambda x: x.select("k1", "k2", first.alias("start"), (first + F.shiftright("at", 8).bitwiseAND(F.lit(255)) - 1 + length).alias("stop"))
+    zero = F.lit(0)
+    rows = stretch_rows(small_batches(d).select("k1", "k2", "bytes"), length, anchor, key).select("*", zero.alias("p"), zero.alias("q"), F.lit(1).cast("long").alias("n"))
+    found = []
+    while True:
+        # n: how often a stretch occurs. Where it is above one, an earlier round has found that all its windows repeat
+        groups = rows.groupBy("kh").agg(F.sum("n").alias("all"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("all > 1").select("kh", (F.col("lo") == F.col("hi")).alias("pure"))
+        shared = written(rows.join(groups, "kh"), "stretches")
+        mixed = shared.where("NOT pure")
+        kinds = mixed.groupBy("kh", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "at", "p", "q")).alias("first"))
+        kinds = written(kinds.select("kh", "sh", "n", "first.*"), "kinds")
+        copied = mixed.where("n = 1").join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi")
+        several = kinds.groupBy("kh").agg((F.count("*") > most).alias("hot"))
+        wanted = kinds.join(several, "kh").groupBy("k1", "k2").agg(F.collect_list(F.struct("k1", "k2", "at", "kh", "n", "p", "q", "hot")).alias("wanted"))
+        # texts are shuffled once: the caller's join has the same exchange
+        bodies = _bodies(d.join(wanted, ["k1", "k2"]).select("bytes", "wanted"), length, anchor, key)
+        few = bodies.where("body IS NOT NULL").select("k1", "k2", "at", "kh", "n", "body")
+        found += [span(shared.where("pure AND n = 1")), span(copied), _sorted_groups(few.repartition("kh").sortWithinPartitions("kh"), length)]
+        if not several.where("hot").take(1):
+            break
+        rows = written(bodies.where("body IS NULL").drop("body"), "parts")
+    return reduce(DataFrame.union, found)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:

@@ -141,7 +141,7 @@ def py_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("most", "batch"), [(256, 8192), (4, 16), (30, 40)])
+@pytest.mark.parametrize(("most", "batch"), [(256, 8192), (1, 16), (4, 16), (30, 40)])
 def test_suffix_dedup_equals_brute_force(spark, noisy, monkeypatch, most, batch):
     monkeypatch.setattr(suffixes, "MOST", batch)
     r = random.Random(6)
