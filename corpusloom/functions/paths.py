@@ -10,12 +10,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Substrings of a lower-case path that give a chunk's type.
+#: Substrings of a lower-case path that give a chunk's type.
 TYPE_WORDS = [
     ("bugfix", ["bugfix", "bug-fix"]), ("best-practice", ["best-practice", "bestpractice"]), ("api", ["api"]), ("architecture", ["architect"]),
     ("changelog", ["changelog", "release"]), ("setup", ["setup", "install"]), ("readme", ["readme"]), ("test", ["test"]),
 ]
-#: Tokens of a path that hint at a category: category, any of these, base confidence, any of these among the directories.
+#: Tokens of a path that hint at a category: category, any of these, base confidence, any of these among the directories.
 HINT_TOKENS = [
     ("bugfix", ["bugfix", "bugfixlog", "bugfixes"], 0.80, ["bugfix", "bugfixlog"]),
     ("best-practice", ["best", "practice"], 0.75, []),
@@ -25,7 +25,7 @@ HINT_TOKENS = [
     ("setup", ["setup", "install", "deployment", "deploy"], 0.75, ["setup", "install"]),
     ("test", ["test", "tests", "testing", "qa"], 0.78, ["test", "tests", "testing"]),
 ]
-#: Groups of words that a text's beginning holds all of.
+#: Groups of words that a text's beginning holds all of.
 KEYWORDS = [
     ("bugfix-log", [["root cause", "solution"], ["bug", "fix"], ["error", "trace", "fix"]]),
     ("api", [["endpoint", "request"], ["endpoint", "response"], ["rest", "http"]]),
@@ -35,10 +35,10 @@ KEYWORDS = [
     ("best-practices", [["best practice"], ["coding standard"], ["convention"], ["style guide"]]),
     ("tests", [["test case", "scenario"], ["test", "expected result"], ["regression test"]]),
 ]
-#: Categories by their directories.
+#: Categories by their directories, and languages by extension.
 DIRECTORIES = {"architecture": "architecture", "api": "api", "bugfix": "bugfix-log", "best-practice": "best-practices", "setup": "setup", "changelog": "changelog", "test": "tests"}
 LANGUAGES = {"python": ["py", "pyi"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs", "cjs"]}
-#: Words that a file's stem begins with or is, and markers within its path.
+#: Words that the stem of an entry point contains; those of a file's stem and markers within its path.
 ENTRY_POINTS = ["main", "app", "index", "server", "router", "routes", "api", "handler", "controller", "service", "middleware", "gateway", "cli", "__main__"]
 API_STEMS = ["route", "router", "routes", "handler", "controller", "endpoint", "api", "gateway", "service", "middleware", "main", "server", "app", "jump-host", "proxy"]
 TEST_MARKS = ["test_", "_test", ".spec.", ".test.", "/tests/", "/test/", "/spec/"]
@@ -142,5 +142,5 @@ def documentability(path: Column, has_docstrings: Column, imports: Column, publi
     from corpusloom.functions.text import rounded
 
     stem = F.lower(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
-    score = F.when(has_docstrings, 3.0).otherwise(0.0) + F.least(imports / 5.0, F.lit(2.0)) + F.least(public, F.lit(5)) * 0.6 + F.when(stem.isin(ENTRY_POINTS), 2.0).otherwise(0.0)
+    score = F.when(has_docstrings, 3.0).otherwise(0.0) + F.least(imports / 5.0, F.lit(2.0)) + F.least(public, F.lit(5)) * 0.6 + F.when(_any([stem.contains(w) for w in ENTRY_POINTS]), 2.0).otherwise(0.0)
     return rounded(F.least(score, F.lit(10.0)), 2)

@@ -56,23 +56,28 @@ def without_fences(text: Column) -> Column:
     return F.regexp_replace(text, FENCE, "")
 
 
+#: What is taken out of a Markdown text to measure what it says, in this order. S: white space within a line.
+_S = r"[ \t\x0B\f\r]"
+OVERHEAD = [
+    (rf"(?m)^#{{1,6}}{_S}+.*$\n?", ""),
+    (rf"(?m)^{_S}*(?:---+|\*\*\*+|___+){_S}*$\n?", ""),
+    (rf"(?m)^{_S}*[-*+]{_S}+", ""),
+    (rf"(?m)^{_S}*[0-9]+\.{_S}+", ""),
+    (rf"(?m)^(?:{_S}*>{_S}*)+", ""),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"`([^`]*)`", "$1"),
+    (r"\*\*([^*]*)\*\*", "$1"),
+    (r"\*([^*]*)\*", "$1"),
+    (r"__([^_]*)__", "$1"),
+    (r"_([^_]*)_", "$1"),
+    (r"\n{2,}", "\n"),
+]
+
+
 def meaningful_text(text: Column) -> Column:
     """What a Markdown text says: no fences, headings, rules, list signs, quote signs and inline marks."""
     out = without_fences(text)
-    for pattern, to in (
-        (r"(?m)^#{1,6} .*$\n?", ""),
-        (r"(?m)^(?:-{3,}|\*{3,}|_{3,})[ \t]*$\n?", ""),
-        (r"(?m)^[ \t]*[-*+] ", ""),
-        (r"(?m)^[ \t]*[0-9]+\. ", ""),
-        (r"(?m)^>+ ?", ""),
-        (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
-        (r"`([^`\n]+)`", "$1"),
-        (r"\*\*([^*\n]+)\*\*", "$1"),
-        (r"\*([^*\n]+)\*", "$1"),
-        (r"__([^_\n]+)__", "$1"),
-        (r"\b_([^_\n]+)_\b", "$1"),
-        (r"\n{2,}", "\n"),
-    ):
+    for pattern, to in OVERHEAD:
         out = F.regexp_replace(out, pattern, to)
     return stripped(out)
 
@@ -96,6 +101,41 @@ def without_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"\A---[ \t]*\n(?s:.*?)\n---[ \t]*(?:\n|\z)", "")
 
 
+def _bare(raw: Column) -> Column:
+    """A scalar's text: trimmed and unquoted; null for `null`, `~` and an empty one."""
+    plain = F.trim(raw)
+    return F.when(~F.lower(plain).isin("null", "~", ""), F.regexp_replace(plain, r"""^(?:"(.*)"|'(.*)')$""", "$1$2"))
+
+
+def scalar_kind(raw: Column) -> Column:
+    """null, bool, int or str, as a scalar is written."""
+    plain = F.trim(raw)
+    return F.when(F.lower(plain).isin("null", "~", ""), "null").when(F.lower(plain).isin("true", "false"), "bool").when(plain.rlike("^-?[0-9]+$"), "int").otherwise("str")
+
+
+def frontmatter_entries(block: Column) -> Column:
+    """An array of struct(key, kind, value, items) of a block's keys at the left edge, in order; comments and what else is indented are left out.
+
+    kind is null, bool, int, str or list. A list stands in brackets or as indented `- ` lines under its key; value and
+    items hold text, unquoted and, for scalars, without a comment. A key may come again; the last one counts.
+    """
+    line = r"(?m)^([^\s#:][^:\n]*):([^\n]*(?:\n(?:[ \t]+[^\n]*|(?=\n|\z)))*)"
+    keys, rests = F.regexp_extract_all(block, F.lit(line), F.lit(1)), F.regexp_extract_all(block, F.lit(line), F.lit(2))
+
+    def entry(key: Column, rest: Column) -> Column:
+        said = F.trim(F.regexp_replace(F.regexp_extract(rest, r"\A([^\n]*)", 1), r"#.*$", ""))
+        under = F.regexp_extract(rest, r"\A[^\n]*((?:\n[ \t]*(?:-[ \t][^\n]*|-?[ \t]*))*)", 1)
+        marked = F.transform(F.regexp_extract_all(under, F.lit(r"(?m)^[ \t]+-(?:[ \t]+([^\n]*))?$"), F.lit(1)), lambda x: F.coalesce(_bare(x), F.lit("None")))
+        flow = F.filter(F.transform(F.split(F.regexp_replace(said, r"^\[|\]$", ""), ","), _bare), lambda x: x.isNotNull())
+        in_brackets = said.startswith("[") & said.endswith("]")
+        listed = in_brackets | ((said == "") & (F.size(marked) > 0))
+        kind = F.when(listed, "list").otherwise(scalar_kind(said))
+        items = F.when(in_brackets, flow).when(listed, marked).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.trim(key).alias("key"), kind.alias("kind"), F.when(~listed, _bare(said)).alias("value"), items.alias("items"))
+
+    return F.zip_with(keys, rests, entry)
+
+
 def frontmatter_scalar(block: Column, key: str) -> Column:
     """A scalar's text: unquoted, without comment; null for `null`, `~`, an empty one or none."""
     raw = F.trim(F.regexp_extract(block, rf"(?m)^{key}:[ \t]*([^\n#\[]*)", 1))

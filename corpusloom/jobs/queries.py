@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths, render, text
 from corpusloom.operators import chunking, classify, code, incremental, quality, relations, search, usage
 from corpusloom.sources import formats, views
+from corpusloom.sources.store import scratch, small_side, written
 from corpusloom.sources.views import sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,11 +65,11 @@ def path_hints(spark, d):
     return views.files(_docs(spark, d)).select("doc_id", h["category"].alias("category"), text.rounded(h["confidence"]).alias("confidence"))
 
 
-@query("""SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug,
-  left(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) AS collection, regexp_replace(regexp_replace(left(text, 90), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS version_slug FROM documents""")
+@query("""SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug,
+  left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) AS collection, md5(regexp_replace(regexp_replace(text, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS version_slug FROM documents""")
 def slugs(spark, d):
-    head = F.left("text", F.lit(90))
-    return _docs(spark, d).select("doc_id", text.slug(head).alias("slug"), text.slug(head, "_").alias("collection"), text.version_slug(head).alias("version_slug"))
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", text.slug(t).alias("slug"), text.slug(t, "_").alias("collection"), F.md5(text.version_slug(t)).alias("version_slug"))
 
 
 @query("SELECT doc_id, left(sha256(source || chr(10) || text), 16) AS chunk_id, md5(text) AS content_md5, length(text) AS chars, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS words, left(text, 500) AS preview FROM documents")
@@ -103,15 +104,14 @@ def consensus(spark, d):
     return classify.signals(views.files(_docs(spark, d))).select("rel_path", "category", "confidence", "path_category", "keyword_category")
 
 
-@query(sql("SELECT rel_path, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS n_words FROM docs_v WHERE NOT regexp_matches(text, '(?m)^#{1,6}[ \\t]') AND len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) > 50", "docs_v"))
+@query(sql("SELECT rel_path, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS n_words FROM docs_v WHERE NOT regexp_matches(text, '(?m)^#{1,6}\\s') AND len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) > 50", "docs_v"))
 def rewrites(spark, d):
     return classify.needs_rewrite(views.files(_docs(spark, d)))
 
 
-@query("""SELECT doc_id, CASE WHEN lower(s) IN ('null', '~', '') THEN NULL ELSE s END AS masked_source, left(text, 8) || '...' AS masked_text FROM (SELECT doc_id, source AS s, text FROM documents) WHERE length(text) > 0""")
+@query("SELECT doc_id, CASE WHEN length(source) > 0 THEN left(source, 8) || '...' ELSE source END AS masked_source, left(text, 8) || '...' AS masked_text FROM documents WHERE length(text) > 0")
 def masked_values(spark, d):
-    s = F.when(F.lower("source").isin("null", "~", ""), F.lit(None)).otherwise(F.col("source"))
-    return _docs(spark, d).where(F.length("text") > 0).select("doc_id", s.alias("masked_source"), text.masked(F.col("text")).alias("masked_text"))
+    return _docs(spark, d).where(F.length("text") > 0).select("doc_id", text.masked(F.col("source")).alias("masked_source"), text.masked(F.col("text")).alias("masked_text"))
 
 
 # chunks
@@ -124,7 +124,7 @@ tt AS (SELECT doc_id, i, trim(regexp_extract(x, '^(#{1,3})[ \t\n\v\f\r]+(.+)$',
 st AS (SELECT sc.doc_id, row_number() OVER (PARTITION BY sc.doc_id ORDER BY sec) - 1 AS ord, level, CASE WHEN level > 0 THEN t0.t ELSE 'intro' END AS heading,
   concat_ws(' > ', t1.t, CASE WHEN m2 > coalesce(m1, -1) THEN t2.t END, CASE WHEN m3 > coalesce(m1, -1) AND m3 > coalesce(m2, -1) THEN t3.t END) AS heading_path, a + 1 AS line_start, b AS line_end, body
   FROM sc LEFT JOIN tt t0 ON t0.doc_id = sc.doc_id AND t0.i = sc.a LEFT JOIN tt t1 ON t1.doc_id = sc.doc_id AND t1.i = m1 LEFT JOIN tt t2 ON t2.doc_id = sc.doc_id AND t2.i = m2 LEFT JOIN tt t3 ON t3.doc_id = sc.doc_id AND t3.i = m3),
-ch AS (SELECT *, CASE WHEN heading_path <> '' THEN '[' || heading_path || ']' || chr(10) || chr(10) || body ELSE body END AS shown FROM st WHERE length(body) > 50)"""
+ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS kept, CASE WHEN heading_path <> '' THEN '[' || heading_path || ']' || chr(10) || chr(10) || body ELSE body END AS shown FROM st WHERE length(body) > 50)"""
 
 
 @query(sql(_SECTIONS_V + " SELECT doc_id, ord::BIGINT AS ord, level::BIGINT AS level, heading, heading_path, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, length(body) AS chars FROM st", "md_v"))
@@ -133,7 +133,7 @@ def heading_sections(spark, d):
     return s.select(F.col("source").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in ("ord", "level")], "heading", "heading_path", *[F.col(c).cast("long").alias(c) for c in ("line_start", "line_end")], F.length("body").cast("long").alias("chars"))
 
 
-@query(sql(_SECTIONS_V + " SELECT left(sha256(doc_id || chr(10) || shown), 16) AS chunk_id, doc_id, ord::BIGINT AS ord, heading, length(shown) AS char_count FROM ch", "md_v"))
+@query(sql(_SECTIONS_V + " SELECT left(sha256(doc_id || chr(10) || shown), 16) AS chunk_id, doc_id, kept::BIGINT AS ord, heading, length(shown) AS char_count FROM ch", "md_v"))
 def heading_chunks(spark, d):
     m = views.markdown(_docs(spark, d)).withColumn("key", F.col("doc_id").cast("string"))
     return chunking.heading_chunks(m, "key", "md").select("chunk_id", F.col("source").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "heading", F.col("char_count").cast("long").alias("char_count"))
@@ -146,19 +146,29 @@ def chunk_type_counts(spark, d):
     return c.rollup("doc_type").agg(F.count("*").alias("n_chunks"), F.sum("char_count").cast("long").alias("n_chars"))
 
 
-@query(r"""WITH RECURSIVE c(doc_id, text, ord, a, b) AS (
-  SELECT doc_id, text, 0, 0, CASE WHEN length(text) > 2000 AND p > 1000 THEN p + 1 ELSE least(2000, length(text)) END FROM (SELECT doc_id, text, 1998 - strpos(reverse(text[1:2000]), ' .') + 1 AS p0, CASE WHEN strpos(reverse(text[1:2000]), ' .') > 0 THEN p0 ELSE -1 END AS p FROM documents WHERE length(text) > 0)
-  UNION ALL
-  SELECT doc_id, text, ord + 1, s, CASE WHEN length(text) > s + 2000 AND p > 1000 THEN s + p + 1 ELSE least(s + 2000, length(text)) END FROM (SELECT *, b - 200 AS s, CASE WHEN strpos(reverse(text[b - 199 : b + 1800]), ' .') > 0 THEN 1999 - strpos(reverse(text[b - 199 : b + 1800]), ' .') ELSE -1 END AS p FROM c WHERE b < length(text)))
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::BIGINT AS ord, a::BIGINT AS start, b::BIGINT AS stop FROM c WHERE length(regexp_replace(text[a + 1 : b], '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+\z', '', 'g')) > 50""")
+def _cuts_sql(rows: str) -> str:
+    """c: the pieces of rows (key, text), by recursion: a and e are the first and last place, `last` the place behind a full stop past the middle."""
+    last = "1999 - strpos(reverse(text[{0} + 1 : {0} + 2000]), ' .')"
+    stop = "CASE WHEN length(text) > {0} + 2000 AND strpos(reverse(text[{0} + 1 : {0} + 2000]), ' .') > 0 AND " + last + " > 1000 THEN {0} + " + last + " + 1 ELSE {0} + 2000 END"
+    return rf"""c(key, text, n, a, e) AS (SELECT key, text, 0, 0, {stop.format('0')} FROM ({rows}) WHERE length(text) > 0
+  UNION ALL SELECT key, text, n + 1, e - 200, {stop.format('(e - 200)')} FROM c WHERE e - 200 < length(text)),
+pc AS (SELECT key, n, a, least(e, length(text)) AS b, regexp_replace(text[a + 1 : e], '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+\z', '', 'g') AS said, length(text[: a]) - length(replace(text[: a], chr(10), '')) + 1 AS l1, length(text[a + 1 : e]) - length(replace(text[a + 1 : e], chr(10), '')) AS more FROM c),
+pk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n) - 1 AS ord FROM pc WHERE length(said) > 50)"""
+
+
+@query("WITH RECURSIVE " + _cuts_sql("SELECT doc_id AS key, text FROM documents") + " SELECT left(sha256(key || chr(10) || said), 16) AS chunk_id, key AS doc_id, ord::BIGINT AS ord, 'chunk-' || ord AS heading, a::BIGINT AS start, b::BIGINT AS stop, length(said) AS char_count, l1::BIGINT AS line_start, (l1 + more)::BIGINT AS line_end FROM pk")
 def fixed_chunks(spark, d):
-    return chunking.fixed_chunks(_docs(spark, d), "doc_id", "text").select(F.col("source").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in ("ord", "start", "stop")])
+    c = chunking.fixed_chunks(_docs(spark, d), "doc_id", "text")
+    return c.select("chunk_id", F.col("source").alias("doc_id"), "heading", *[F.col(c).cast("long").alias(c) for c in ("ord", "start", "stop", "char_count", "line_start", "line_end")])
 
 
-@query()
+@query(sql(_SECTIONS_V + ", lo AS (SELECT *, doc_id || '-' || kept AS key FROM ch WHERE length(shown) > 2000), " + _cuts_sql("SELECT key, shown AS text FROM lo") + """
+SELECT left(sha256(doc_id || chr(10) || shown), 16) AS chunk_id, doc_id, kept::BIGINT AS ord, 0::BIGINT AS part, heading, heading_path, length(shown) AS char_count, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM ch WHERE length(shown) <= 2000
+UNION ALL SELECT left(sha256(doc_id || chr(10) || said), 16), doc_id, kept, pk.ord + 1, heading || ' (part ' || (pk.ord + 1) || ')', heading_path, length(said), greatest(line_start + l1 - 1 - CASE WHEN heading_path <> '' THEN 2 ELSE 0 END, line_start), greatest(line_start + l1 + more - 1 - CASE WHEN heading_path <> '' THEN 2 ELSE 0 END, line_start) FROM pk JOIN lo USING (key)""", "md_v").replace("WITH", "WITH RECURSIVE", 1))
 def hybrid_chunks(spark, d):
     m = views.markdown(_docs(spark, d)).withColumn("key", F.col("doc_id").cast("string"))
-    return chunking.hybrid_chunks(m, "key", "md")
+    c = chunking.hybrid_chunks(m, "key", "md")
+    return c.select("chunk_id", F.col("source").cast("long").alias("doc_id"), "heading", "heading_path", *[F.col(x).cast("long").alias(x) for x in ("ord", "part", "char_count", "line_start", "line_end")])
 
 
 # search
@@ -171,20 +181,34 @@ sco AS (SELECT qid, id, {_r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sco WHERE score > 0) WHERE rank <= 25)"""
 
 
+_INDEXES: dict[tuple[str, str, str], search.Index] = {}
+
+
+def _index(spark, d, what: str = "documents") -> search.Index:
+    """The index of documents, or of their chunks: built once for an application and a folder, and read from then on."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _INDEXES:
+        rows = _docs(spark, d).select(F.col("doc_id").alias("id"), "text") if what == "documents" else _chunks(spark, d)
+        _INDEXES[key] = search.build(rows, scratch(spark, f"index-{what}"))
+    return _INDEXES[key]
+
+
+def _items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
 def _keyword_hits(spark, d, k=25):
-    docs = _docs(spark, d)
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return search.top(search.bm25(search.postings(docs, "doc_id", "text"), search.statistics(docs, "text"), q), k)
+    return search.top(search.bm25(_index(spark, d), _items(spark, d)), k)
 
 
 @query(f"WITH {_BM25_V} SELECT n AS n_docs, nt::BIGINT AS n_tokens, {_r('avgdl')} AS avgdl FROM st")
 def bm25_statistics(spark, d):
-    return search.statistics(_docs(spark, d), "text").select("n_docs", "n_tokens", text.rounded(F.col("avgdl")).alias("avgdl"))
+    return _index(spark, d).stats.select("n_docs", "n_tokens", text.rounded(F.col("avgdl")).alias("avgdl"))
 
 
 @query(f"WITH {_BM25_V} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM po GROUP BY term")
 def bm25_terms(spark, d):
-    return search.postings(_docs(spark, d), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return _index(spark, d).terms
 
 
 @query(f"WITH {_BM25_V} SELECT qid, id, score, rank FROM kw WHERE rank <= 5")
@@ -199,11 +223,9 @@ def bm25_relevance(spark, d):
 
 @query(sql(f", {_BM25_V}, ty AS (SELECT doc_id AS id, {_TYPE} AS doc_type FROM docs_v) SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sco JOIN ty USING (id) WHERE score > 0 AND doc_type = 'api') WHERE rank <= 5", "docs_v"))
 def bm25_search_typed(spark, d):
-    docs = views.files(_docs(spark, d))
-    own = docs.where(paths.doc_type(F.col("rel_path")) == "api").select(F.col("doc_id").alias("id"))
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    index, stats = search.postings(docs, "doc_id", "text"), search.statistics(docs, "text")  # statistics stay those of the corpus
-    return search.top(search.bm25(index, stats, q).join(own, "id", "left_semi"), 5).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    own = views.files(_docs(spark, d)).where(paths.doc_type(F.col("rel_path")) == "api").select(F.col("doc_id").alias("id"))
+    hits = search.bm25(_index(spark, d), _items(spark, d)).join(own, "id", "left_semi")  # statistics stay those of the corpus
+    return search.top(hits, 5).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _COS_V = f"""v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), cs AS (SELECT q.id AS qid, v.id, v.label, {_r('list_cosine_similarity(v.e, q.e)')} AS similarity FROM v JOIN v q ON q.id % 100 = 0 AND v.id <> q.id)"""
@@ -252,37 +274,38 @@ def centroid_accuracy(spark, d):
 _LONG_LIST = list(paths.DIRECTORIES.values())
 
 
-@query(sql(_SIGNAL_V.split(", cons AS")[0] + f""", {_CENT_V}, em AS (SELECT id AS doc_id, {_LIST(_LONG_LIST)}[nearest % 7 + 1] AS ec, least(similarity * 2, 1.0::DOUBLE) AS ex FROM be WHERE nearest IS NOT NULL),
-  c2 AS (SELECT rel_path, folder, CASE WHEN p.category <> 'docs' AND p.confidence >= 0.7 THEN struct_pack(c := coalesce(long, p.category), x := least(0.75::DOUBLE + p.confidence * 0.2::DOUBLE, 0.95::DOUBLE)) WHEN k.confidence > 0 AND k.category = ec THEN struct_pack(c := ec, x := least(0.85::DOUBLE + ex * 0.1::DOUBLE, 0.95::DOUBLE))
-  WHEN k.confidence > 0 THEN struct_pack(c := k.category, x := 0.65::DOUBLE) WHEN ex > 0.4 THEN struct_pack(c := ec, x := {_r('ex * 0.7::DOUBLE', 2)}) ELSE struct_pack(c := 'docs', x := 0.3::DOUBLE) END AS con FROM sig LEFT JOIN em USING (doc_id))
-  SELECT rel_path, con.c AS category, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1) AS destination FROM c2 WHERE (folder = '' OR NOT list_contains({_LIST(_LONG_LIST)}, folder)) AND list_contains({_LIST(_LONG_LIST)}, con.c)""", "docs_v"))
-def misplaced_files(spark, d):
-    f = views.files(_docs(spark, d))
+#: The consensus of all three hints, the embedding's being that of the nearest centroid.
+_THREE_V = _SIGNAL_V.split(", cons AS")[0] + f""", {_CENT_V}, em AS (SELECT id AS doc_id, {_LIST(_LONG_LIST)}[nearest % 7 + 1] AS ec, least(similarity * 2, 1.0::DOUBLE) AS ex FROM be WHERE nearest IS NOT NULL),
+  cons AS (SELECT doc_id, rel_path, folder, CASE WHEN p.category <> 'docs' AND p.confidence >= 0.7 THEN struct_pack(c := coalesce(long, p.category), x := least(0.75::DOUBLE + p.confidence * 0.2::DOUBLE, 0.95::DOUBLE)) WHEN k.confidence > 0 AND k.category = ec THEN struct_pack(c := ec, x := least(0.85::DOUBLE + ex * 0.1::DOUBLE, 0.95::DOUBLE))
+  WHEN k.confidence > 0 THEN struct_pack(c := k.category, x := 0.65::DOUBLE) WHEN ex > 0.4 THEN struct_pack(c := ec, x := {_r('ex * 0.7::DOUBLE', 2)}) ELSE struct_pack(c := 'docs', x := 0.3::DOUBLE) END AS con FROM sig LEFT JOIN em USING (doc_id))"""
+
+
+def _three(spark, d, f):
     near = _nearest(spark, d).where("nearest IS NOT NULL").select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, _LONG_LIST)), (F.col("nearest") % 7 + 1).cast("int")).alias("category"), F.least(F.col("similarity") * 2, F.lit(1.0)).alias("confidence"))  # vectors of this table are noisy
-    return classify.misplaced(classify.signals(f, f.select("doc_id", "rel_path").join(near, "doc_id").drop("doc_id")))
+    return classify.signals(f, f.select("doc_id", "rel_path").join(near, "doc_id").drop("doc_id"))
+
+
+@query(sql(_THREE_V + f" SELECT rel_path, con.c AS category, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1) AS destination FROM cons WHERE (folder = '' OR NOT list_contains({_LIST(_LONG_LIST)}, folder)) AND list_contains({_LIST(_LONG_LIST)}, con.c)", "docs_v"))
+def misplaced_files(spark, d):
+    return classify.misplaced(_three(spark, d, views.files(_docs(spark, d))))
 
 
 _HASH_V = f"""hb AS (SELECT id, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM hx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, b, count(*) AS n FROM hx GROUP BY ALL) USING (id, b) GROUP BY id)"""
 _EMB_V = f"""hx AS (SELECT doc_id AS id, ('0x' || left(md5(term), 7))::BIGINT % 64 AS b FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents)), {_HASH_V},
 qx AS (SELECT item_id AS id, ('0x' || left(md5(term), 7))::BIGINT % 64 AS b FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark)), qb AS (SELECT id, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM qx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, b, count(*) AS n FROM qx GROUP BY ALL) USING (id, b) GROUP BY id),
-vs AS (SELECT qb.id AS qid, hb.id, {_r('list_cosine_similarity(hb.e, qb.e)')} AS similarity FROM hb, qb WHERE qb.id % 10 = 0), vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM vs) WHERE rank <= 25)"""
+vs AS (SELECT qb.id AS qid, hb.id, {_r('list_cosine_similarity(hb.e, qb.e)')} AS similarity FROM hb, qb WHERE qb.id % 100 = 0), vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM vs) WHERE rank <= 25)"""
 
 
 def _fu(wv: str, wk: str) -> str:
-    return f"""fu AS (SELECT coalesce(vh.qid, kw.qid) AS qid, coalesce(vh.id, kw.id) AS id, vh.rank AS v_rank, kw.rank AS k_rank, similarity, score, {_r(f'coalesce({wv}::DOUBLE / (60 + vh.rank), 0) + coalesce({wk}::DOUBLE / (60 + kw.rank), 0)', 9)} AS rrf FROM vh FULL JOIN (SELECT * FROM kw WHERE qid % 10 = 0) kw ON vh.qid = kw.qid AND vh.id = kw.id),
+    return f"""fu AS (SELECT coalesce(vh.qid, kw.qid) AS qid, coalesce(vh.id, kw.id) AS id, vh.rank AS v_rank, kw.rank AS k_rank, similarity, score, {_r(f'coalesce({wv}::DOUBLE / (60 + vh.rank), 0) + coalesce({wk}::DOUBLE / (60 + kw.rank), 0)', 9)} AS rrf FROM vh FULL JOIN (SELECT * FROM kw WHERE qid % 100 = 0) kw ON vh.qid = kw.qid AND vh.id = kw.id),
 ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, v_rank NULLS LAST, k_rank NULLS LAST, id) AS rank FROM fu) WHERE rank <= 5)"""
 
 
 def _lists(spark, d):
-    """The stated queries are the items whose id is divisible by 10, against all documents."""
-    docs, items = _docs(spark, d), table(spark, d, "benchmark").where("item_id % 10 = 0")
-    v = search.hashed_embedding(docs, "doc_id", "text").withColumn("label", F.lit(None).cast("int"))
-    q = search.hashed_embedding(items, "item_id", "text").select(F.col("id").alias("qid"), "vec")
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    both = v.select("id", search.unit(F.col("vec")).alias("v")).crossJoin(q.select("qid", search.unit(F.col("vec")).alias("q")))
-    vector = search.top(both.select("qid", "id", text.rounded(dot).alias("similarity")), 25, "similarity")
-    keyword = search.bm25(search.postings(docs, "doc_id", "text"), search.statistics(docs, "text"), items.select(F.col("item_id").alias("qid"), "text"))
-    return vector, search.top(keyword, 25)
+    """The stated queries are the items whose id is divisible by 100, against all documents."""
+    index, items = _index(spark, d), _items(spark, d).where("qid % 100 = 0")
+    q = search.hashed_embedding(search.postings(items, "qid", "text")).select(F.col("id").alias("qid"), "vec")
+    return search.nearest(index, q, 25), search.top(search.bm25(index, items), 25)
 
 
 @query(f"WITH {_BM25_V}, {_EMB_V}, {_fu('1.0', '1.0')} SELECT qid, id, v_rank, k_rank, rrf, rank FROM ft")
@@ -298,94 +321,172 @@ def rrf_weighted(spark, d):
 @query(f"""WITH {_BM25_V}, {_EMB_V}, {_fu('1.0', '1.0')}, mx AS (SELECT qid, max(score) AS m FROM kw GROUP BY qid)
 SELECT * FROM (SELECT ft.qid, id, rank, {_r('CASE WHEN similarity IS NOT NULL THEN similarity * 100 ELSE score / m * 100 END', 1)} AS relevance, {_r('CASE WHEN similarity IS NOT NULL THEN 1 - similarity ELSE 0 END')} AS distance FROM ft JOIN mx USING (qid)) WHERE relevance >= 40""")
 def hybrid_search(spark, d):
-    vector, keyword = _lists(spark, d)
-    best = keyword.groupBy("qid").agg(F.max("score").alias("m"))
-    t = search.fused_top(search.fuse(vector, keyword), 5).join(vector.select("qid", "id", "similarity"), ["qid", "id"], "left").join(keyword.select("qid", "id", "score"), ["qid", "id"], "left").join(best, "qid")
-    known = F.col("similarity").isNotNull()
-    relevance = text.rounded(F.when(known, F.col("similarity") * 100).otherwise(F.col("score") / F.col("m") * 100), 1)
-    return t.select("qid", "id", F.col("rank").cast("long").alias("rank"), relevance.alias("relevance"), text.rounded(F.when(known, 1 - F.col("similarity")).otherwise(F.lit(0.0))).alias("distance")).where("relevance >= 40")
+    hits = search.hybrid(_index(spark, d), _items(spark, d).where("qid % 100 = 0"), least=40)
+    return hits.select("qid", "id", F.col("rank").cast("long").alias("rank"), "relevance", "distance")
 
 
-@query(f"""WITH {_BM25_V}, gold AS (SELECT item_id AS qid, doc_id AS id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 40))), fi AS (SELECT qid, min(rank) AS f FROM kw JOIN gold USING (qid, id) WHERE rank <= 5 GROUP BY qid)
+_GOLD = f"""dw AS (SELECT doc_id AS id, array_to_string(t[i : i + 7], ' ') AS run FROM (SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS i FROM (SELECT doc_id, {_TOK} AS t FROM documents))),
+iw AS (SELECT DISTINCT qid, array_to_string(t[i : i + 7], ' ') AS run FROM (SELECT item_id AS qid, t, unnest(range(1, len(t) - 6)) AS i FROM (SELECT item_id, {_TOK} AS t FROM benchmark))), gold AS (SELECT DISTINCT qid, id FROM dw JOIN iw USING (run))"""
+
+
+@query(f"""WITH {_BM25_V}, {_GOLD}, fi AS (SELECT qid, min(rank) AS f FROM kw JOIN gold USING (qid, id) WHERE rank <= 5 GROUP BY qid)
 SELECT count(*) AS n_queries, {_r('avg(CASE WHEN f <= 1 THEN 1.0::DOUBLE ELSE 0 END)')} AS p_at_1, {_r('avg(CASE WHEN f <= 5 THEN 1.0::DOUBLE ELSE 0 END)')} AS p_at_k, {_r('avg(coalesce(1.0::DOUBLE / f, 0))')} AS mrr FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN fi USING (qid)""")
 def retrieval_metrics(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.left("text", F.lit(40)).alias("head"))
-    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    gold = docs.join(items, F.contains("text", "head")).select("qid", "id")
+    gold = search.shared_runs(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), _items(spark, d))
     return search.evaluate(_keyword_hits(spark, d, 5), gold)
 
 
+# search in chunks: the index of what the headings cut, with its payload
+
+
+def _chunks(spark, d):
+    m = views.markdown(_docs(spark, d)).withColumn("key", F.concat_ws("|", F.col("rel_path"), paths.doc_type(F.col("rel_path"))))
+    c = chunking.heading_chunks(m, "key", "md").dropDuplicates(["chunk_id"])
+    return c.select(F.col("chunk_id").alias("id"), F.substring_index("source", "|", 1).alias("source"), F.substring_index("source", "|", -1).alias("type"), "heading", "heading_path", "text", "char_count", "line_start", "line_end")
+
+
+_CHUNK_V = _SECTIONS_V + f""", ty AS (SELECT doc_id, rel_path, {_TYPE} AS type FROM docs_v), cx AS (SELECT * FROM (SELECT left(sha256(rel_path || '|' || type || chr(10) || shown), 16) AS id, rel_path AS source, type, heading, shown AS text, line_start, line_end, row_number() OVER (PARTITION BY left(sha256(rel_path || '|' || type || chr(10) || shown), 16) ORDER BY line_start) AS nth FROM ch JOIN ty USING (doc_id)) WHERE nth = 1),
+tk AS (SELECT id, {_TOK} AS t FROM cx), sx AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk), po AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY term)"""
+
+
+@query(sql(_CHUNK_V + f""", qq AS (SELECT item_id AS qid, term, count(*) AS qf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL), sco AS (SELECT qid, id, {_r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * qf)')} AS score FROM po JOIN qq USING (term) JOIN df USING (term), sx GROUP BY qid, id)
+SELECT qid, rank, id, score, type, heading, source || ':' || line_start || '-' || line_end AS location, left(text, 300) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sco WHERE score > 0) JOIN cx USING (id) WHERE rank <= 5""", "md_v"))
+def chunk_search(spark, d):
+    index = _index(spark, d, "chunks")
+    hits = small_side(search.top(search.bm25(index, _items(spark, d)), 5), F.lit(64))
+    found = search.located(hits.join(index.payload, "id"))
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), "id", "score", "type", "heading", "location", F.left("text", F.lit(300)).alias("shown"))
+
+
+_CHUNK_HYBRID = f"""hx AS (SELECT id, ('0x' || left(md5(term), 7))::BIGINT % 64 AS b, tf FROM po), hb AS (SELECT id, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM hx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, b, sum(tf) AS n FROM hx GROUP BY ALL) USING (id, b) GROUP BY id),
+qt AS (SELECT qid, unnest({_TOK}) AS term FROM qs), qq AS (SELECT qid, term, count(*) AS qf FROM qt GROUP BY ALL), qx AS (SELECT qid, ('0x' || left(md5(term), 7))::BIGINT % 64 AS b FROM qt),
+qb AS (SELECT qid, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT qid FROM qx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT qid, b, count(*) AS n FROM qx GROUP BY ALL) USING (qid, b) GROUP BY qid),
+ok AS (SELECT id FROM cx WHERE %s), sco AS (SELECT qid, id, {_r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * qf)')} AS score FROM po JOIN ok USING (id) JOIN qq USING (term) JOIN df USING (term), sx GROUP BY qid, id),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sco WHERE score > 0) WHERE rank <= 25), vs AS (SELECT qid, id, {_r('list_cosine_similarity(hb.e, qb.e)')} AS similarity FROM hb JOIN ok USING (id), qb), vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM vs) WHERE rank <= 25),
+fu AS (SELECT coalesce(vh.qid, kw.qid) AS qid, coalesce(vh.id, kw.id) AS id, vh.rank AS v_rank, kw.rank AS k_rank, similarity, score, {_r('coalesce(1.0::DOUBLE / (60 + vh.rank), 0) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0)', 9)} AS rrf FROM vh FULL JOIN kw ON vh.qid = kw.qid AND vh.id = kw.id),
+ft AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, v_rank NULLS LAST, k_rank NULLS LAST, id) AS rank FROM fu), mx AS (SELECT qid, max(score) AS m FROM kw GROUP BY qid),
+hy AS (SELECT ft.qid, rank, id, {_r('CASE WHEN similarity IS NOT NULL THEN similarity * 100 ELSE score / m * 100 END', 1)} AS relevance FROM ft LEFT JOIN mx USING (qid) WHERE rank <= %d)"""
+
+
+@query(sql(_CHUNK_V + ", qs AS (SELECT item_id AS qid, text FROM benchmark WHERE item_id % 100 = 0), " + _CHUNK_HYBRID.replace("%s", "type = 'api'").replace("%d", "5") + " SELECT qid, rank, id, relevance, type, heading, source || ':' || line_start || '-' || line_end AS location FROM hy JOIN cx USING (id)", "md_v"))
+def chunk_search_typed(spark, d):
+    hits = search.hybrid(_index(spark, d, "chunks"), _items(spark, d).where("qid % 100 = 0"), 5, "api")
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "id", "relevance", "type", "heading", "location")
+
+
+@query(sql(_CHUNK_V + ", qs AS (SELECT doc_id AS qid, trim(replace(regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '.', ' ') || ' ' || folder) AS text FROM docs_v WHERE doc_id % 100 = 0), " + _CHUNK_HYBRID.replace("%s", "true").replace("%d", "4") + " SELECT qid, rank, id, relevance, type, heading, source, left(text, 600) AS text FROM hy JOIN cx USING (id)", "md_v"))
+def file_context(spark, d):
+    f = views.files(_docs(spark, d)).where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("rel_path").alias("path"))
+    return search.file_context(_index(spark, d, "chunks"), f).select("qid", F.col("rank").cast("long").alias("rank"), "id", "relevance", "type", "heading", "source", "text")
+
+
 # quality
 
-_QUAL_V = r""", mq AS (SELECT rel_path AS file, md AS text, contains(rel_path, '/') AS nested FROM md_v), nf AS (SELECT *, regexp_replace(text, '(?ms)^```.*?^```', '', 'g') AS bare FROM mq),
-hl AS (SELECT file, list_transform(regexp_extract_all(bare, '(?m)^(#{1,6})[ \t]', 1), lambda x: length(x)) AS lv FROM nf),
-jp AS (SELECT file, min(struct_pack(p := i, l := lv[i])) AS j FROM (SELECT file, lv, unnest(range(2, len(lv) + 1)) AS i FROM hl) WHERE lv[i] > list_max(list_filter(lv[1 : i - 1], lambda x: x < lv[i])) + 1 GROUP BY file)"""
+_QUAL_V = r""", mq AS (SELECT file, text, regexp_replace(text, '\A---[ \t]*\n(?s:.*?)\n---[ \t]*(?:\n|\z)', '') AS body FROM fm_v),
+hl AS (SELECT file, list_transform(regexp_extract_all(regexp_replace(body, '(?ms)^```.*?^```', '', 'g'), '(?m)^(#{1,6})\s', 1), lambda x: length(x)) AS lv FROM mq),
+jp AS (SELECT file, min(struct_pack(p := i, l := lv[i], b := list_max(list_filter(lv[1 : i - 1], lambda x: x < lv[i])))) AS j FROM (SELECT file, lv, unnest(range(2, len(lv) + 1)) AS i FROM hl)
+  WHERE NOT list_contains(lv[1 : i - 1], lv[i]) AND list_max(list_filter(lv[1 : i - 1], lambda x: x < lv[i])) < lv[i] - 1 GROUP BY file)"""
 
 
-@query(sql(_QUAL_V.replace("md AS text", "CASE WHEN doc_id % 2 = 1 THEN replace(md, chr(10) || '## ', chr(10) || '#### ') ELSE md END AS text") + " SELECT file, j.p - 1 AS at, j.l AS level FROM jp", "md_v"))
+@query(sql(_QUAL_V.replace("SELECT file, text, regexp", "SELECT file, text, regexp").replace("FROM fm_v)", "FROM (SELECT file, CASE WHEN doc_id % 2 = 1 THEN replace(text, chr(10) || '## ', chr(10) || '#### ') ELSE text END AS text FROM fm_v))", 1) + " SELECT file, j.p - 1 AS at, j.l AS level FROM jp", "fm_v"))
 def heading_jumps(spark, d):
-    deeper = F.when(F.col("doc_id") % 2 == 1, F.replace("md", F.lit("\n## "), F.lit("\n#### "))).otherwise(F.col("md"))
-    f = views.markdown(_docs(spark, d)).select(F.col("rel_path").alias("file"), deeper.alias("text"))
+    deeper = F.when(F.col("doc_id") % 2 == 1, F.replace("text", F.lit("\n## "), F.lit("\n#### "))).otherwise(F.col("text"))
+    f = views.noted(_docs(spark, d)).select("file", deeper.alias("text"))
     return quality.heading_jumps(f).select("file", F.col("at").cast("long").alias("at"), F.col("level").cast("long").alias("level"))
 
 
-@query(sql(_QUAL_V + " SELECT file, len(lv)::BIGINT AS n_headings, lv[1]::BIGINT AS first_level, list_max(lv)::BIGINT AS deepest FROM hl", "md_v"))
+@query(sql(_QUAL_V + " SELECT file, len(lv)::BIGINT AS n_headings, lv[1]::BIGINT AS first_level, list_max(lv)::BIGINT AS deepest FROM hl", "fm_v"))
 def heading_profile(spark, d):
-    f = views.markdown(_docs(spark, d)).select(F.col("rel_path").alias("file"), F.col("md").alias("text"))
-    return quality.headings(f).select("file", F.col("n").cast("long").alias("n_headings"), F.get("levels", F.lit(0)).cast("long").alias("first_level"), F.array_max("levels").cast("long").alias("deepest"))
+    return quality.headings(views.noted(_docs(spark, d))).select("file", F.col("n").cast("long").alias("n_headings"), F.get("levels", F.lit(0)).cast("long").alias("first_level"), F.array_max("levels").cast("long").alias("deepest"))
 
 
 def _meaning(x: str) -> str:
-    """The measure of meaningful text in SQL; the patterns are those of functions.text."""
-    for p, to in ((r"(?ms)^```.*?^```", ""), (r"(?m)^#{1,6} .*$\n?", ""), (r"(?m)^(?:-{3,}|\*{3,}|_{3,})[ \t]*$\n?", ""), (r"(?m)^[ \t]*[-*+] ", ""), (r"(?m)^[ \t]*[0-9]+\. ", ""), (r"(?m)^>+ ?", ""), (r"\[([^\]\n]*)\]\([^)\n]*\)", r"\1"), (r"`([^`\n]+)`", r"\1"), (r"\*\*([^*\n]+)\*\*", r"\1"), (r"\*([^*\n]+)\*", r"\1"), (r"__([^_\n]+)__", r"\1"), (r"\b_([^_\n]+)_\b", r"\1"), (r"\n{2,}", r"\n"), (r"^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+\z", "")):
+    """What a Markdown text says, in SQL."""
+    for p, to in ((r"(?ms)^```.*?^```", ""), (r"(?m)^#{1,6}[ \t]+.*$\n?", ""), (r"(?m)^[ \t]*(?:---+|\*\*\*+|___+)[ \t]*$\n?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*\d+\.[ \t]+", ""), (r"(?m)^(?:[ \t]*>[ \t]*)+", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"`([^`]*)`", r"\1"), (r"\*\*([^*]*)\*\*", r"\1"), (r"\*([^*]*)\*", r"\1"), (r"__([^_]*)__", r"\1"), (r"_([^_]*)_", r"\1"), (r"\n{2,}", r"\n"), (r"^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+\z", "")):
         x = f"regexp_replace({x}, '{p}', {'chr(10)' if to == chr(92) + 'n' else chr(39) + to + chr(39)}, 'g')"
     return x
 
 
-_ISSUE_V = _QUAL_V + f""", me AS (SELECT file, length({_meaning('text')}) AS chars, text FROM mq),
+def _issue_v(whole: bool) -> str:
+    kinds = [("bugfix-log", "R9", ("Root Cause", "Solution", "Lesson Learned"))] + ([] if whole else [("tests", "R10", ("Scenario", "Steps", "Expected Result"))])
+    own = " OR ".join(f"starts_with(file, '{k}/')" for k, *_ in kinds)
+    wanted = ", ".join(f"('{k}', '{n}', '{r}')" for k, r, names in kinds for n in names)
+    notes = "" if whole else """
+UNION ALL SELECT file, 'info', 'R12', 'unknown key ' || unnest(['owner', 'tags', 'steps', 'empty', 'count', 'flag']) FROM fm_v WHERE doc_id % 4 = 0
+UNION ALL SELECT file, 'warning', 'R13', 'status draft' FROM fm_v WHERE doc_id % 4 = 0 AND doc_id % 3 = 1"""
+    return _QUAL_V + f""", me AS (SELECT file, length({_meaning('text' if whole else 'body')}) AS chars, text, regexp_replace(text, '(?ms)^```.*?^```', '', 'g') AS bare FROM mq),
 iss AS (SELECT file, 'warning' AS severity, 'R4' AS rule, 'very short: ' || chars AS message FROM me WHERE chars < 30
 UNION ALL SELECT file, 'info', 'R5', 'short: ' || chars FROM me WHERE chars BETWEEN 30 AND 99
 UNION ALL SELECT file, 'info', 'R6', 'no headings' FROM hl WHERE len(lv) = 0
 UNION ALL SELECT file, 'info', 'R7', 'first heading has level ' || lv[1] FROM hl WHERE len(lv) > 0 AND lv[1] > 1
-UNION ALL SELECT file, 'info', 'R8', 'jump to level ' || j.l FROM jp
-UNION ALL SELECT file, 'critical', rule, 'missing section ' || name FROM me JOIN (VALUES ('bugfix-log', 'Root Cause', 'R9'), ('bugfix-log', 'Solution', 'R9'), ('bugfix-log', 'Lesson Learned', 'R9'), ('tests', 'Scenario', 'R10'), ('tests', 'Steps', 'R10'), ('tests', 'Expected Result', 'R10')) r(folder, name, rule) ON starts_with(file, folder || '/') AND NOT regexp_matches(text, '(?im)^##[ \\t]+[*_ \\t]*(?:[^ \\t\\n]+[ \\t]+)?' || name)
-UNION ALL SELECT file, 'warning', 'R11', 'thin section ' || regexp_replace(regexp_extract(part, '^([^\\n]*)', 1), '^[ \\t\\v\\f\\r]+|[ \\t\\v\\f\\r]+$', '', 'g') FROM (SELECT file, unnest(string_split_regex(bare, '(?m)^##[ \\t]+')[2:]) AS part FROM nf WHERE starts_with(file, 'bugfix-log/') OR starts_with(file, 'tests/')) WHERE length({_meaning("regexp_replace(part, '^[^\\n]*\\n?', '')")}) < 20)"""
+UNION ALL SELECT file, 'info', 'R8', 'jump from level ' || j.b || ' to level ' || j.l FROM jp
+UNION ALL SELECT file, 'critical', rule, 'missing section ' || name FROM me JOIN (VALUES {wanted}) r(folder, name, rule) ON starts_with(file, folder || '/') AND NOT regexp_matches(text, '(?im)^##\\s+[*_\\s]*(?:\\S+\\s+)?' || name)
+UNION ALL SELECT file, 'warning', 'R11', 'thin section ' || regexp_replace(h, '^[ \\t\\n\\v\\f\\r#]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') FROM (SELECT file, unnest(regexp_extract_all(bare, '(?m)^##[ \\t]+([^\\n]+)$', 1)) AS h, unnest(string_split_regex(bare, '(?m)^##[ \\t]+[^\\n]+$')[2:]) AS part FROM me WHERE {own}) WHERE length({_meaning('part')}) < 20{notes})"""
+
+
+_ISSUE_V, _ALL_ISSUE_V = _issue_v(False), _issue_v(True)
+_TREE_SQL = f"SELECT rel_path AS file, 'info' AS severity, 'R15' AS rule, 'stray file at the root' AS message FROM docs_v WHERE folder = '' UNION ALL SELECT rel_path, 'info', 'R16', 'folder not expected: ' || folder FROM docs_v WHERE folder <> '' AND NOT list_contains({_LIST(views.EXPECTED)}, folder) UNION ALL SELECT 'README.md', 'warning', 'R3', 'no README at the root' WHERE NOT EXISTS (SELECT 1 FROM docs_v WHERE rel_path = 'README.md') UNION ALL SELECT x, 'info', 'R2', 'no files' FROM (SELECT unnest({_LIST(views.EXPECTED)}) AS x) WHERE x NOT IN (SELECT folder FROM docs_v)"
 
 
 def _issues(spark, d):
-    return quality.content_issues(views.markdown(_docs(spark, d)).select(F.col("rel_path").alias("file"), F.col("md").alias("text")))
+    return quality.content_issues(views.noted(_docs(spark, d)))
+
 
+def _all_issues(spark, d):
+    return quality.content_issues(views.noted(_docs(spark, d)), whole=True).unionByName(tree_issues(spark, d))
 
-@query(sql(_ISSUE_V + " SELECT * FROM iss", "md_v"))
+
+@query(sql(_ISSUE_V + " SELECT * FROM iss", "fm_v"))
 def quality_issues(spark, d):
     return _issues(spark, d)
 
 
-@query(sql(_ISSUE_V + " , n AS (SELECT count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM iss) SELECT *, greatest(0, 100 - least(n_critical * 10, 60) - least(n_warning * 2, 30))::BIGINT AS score FROM n", "md_v"))
+@query(sql(_ALL_ISSUE_V + f" SELECT * FROM iss UNION ALL {_TREE_SQL}", "fm_v"))
+def corpus_issues(spark, d):
+    return _all_issues(spark, d)
+
+
+_SCORE_V = _ALL_ISSUE_V + f", al AS (SELECT * FROM iss UNION ALL {_TREE_SQL}), n AS (SELECT count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM al), sc AS (SELECT *, greatest(0, 100 - least(n_critical * 10, 60) - least(n_warning * 2, 30))::BIGINT AS score FROM n)"
+
+
+@query(sql(_SCORE_V + " SELECT * FROM sc", "fm_v"))
 def quality_score(spark, d):
-    return quality.score(_issues(spark, d))
+    return quality.score(_all_issues(spark, d))
+
+
+@query(sql(_SCORE_V + """ SELECT 0::BIGINT AS pos, '**Quality ' || score || '/100** (corpus)' AS line FROM sc UNION ALL SELECT 1, 'Critical: ' || n_critical || ', warnings: ' || n_warning || ', notes: ' || n_info FROM sc
+UNION ALL SELECT row_number() OVER (ORDER BY grade, file, rule, message) + 1, '- [' || severity || '] **' || file || '**: ' || message FROM (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS grade FROM al ORDER BY grade, file, rule, message LIMIT 50)""", "fm_v"))
+def quality_report(spark, d):
+    return quality.report(_all_issues(spark, d), "corpus").select(F.col("pos").cast("long").alias("pos"), "line")
 
 
-@query(sql(_ISSUE_V + " SELECT file, string_agg(message, '; ' ORDER BY message) AS reasons FROM iss WHERE severity = 'critical' GROUP BY file", "md_v"))
+@query(sql(_ISSUE_V + " SELECT file, string_agg(message, '; ' ORDER BY message) AS reasons FROM iss WHERE severity = 'critical' GROUP BY file", "fm_v"))
 def quality_rejects(spark, d):
-    f = views.markdown(_docs(spark, d)).select(F.col("rel_path").alias("file"), F.col("md").alias("text"))
+    f = views.noted(_docs(spark, d))
     return quality.gate(f, quality.content_issues(f))[1]
 
 
-@query(sql(_ISSUE_V + " SELECT doc_id, rel_path FROM docs_v WHERE rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical')", "md_v"))
+@query(sql(_ISSUE_V + " SELECT doc_id, rel_path FROM docs_v WHERE rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical')", "fm_v"))
 def quality_gate(spark, d):
-    m = views.markdown(_docs(spark, d)).withColumn("file", F.col("rel_path")).withColumn("text", F.col("md"))
-    return quality.gate(m, quality.content_issues(m.select("file", "text")))[0].select("doc_id", "rel_path")
+    f = views.noted(_docs(spark, d))
+    return quality.gate(f, quality.content_issues(f))[0].select("doc_id", F.col("file").alias("rel_path"))
 
 
-@query(sql(_ISSUE_V + f" SELECT quality, count(DISTINCT l.doc_id) AS n_docs, count(iss.file) AS n_issues, count(iss.file) FILTER (severity <> 'info') AS n_serious FROM labels l JOIN docs_v USING (doc_id) LEFT JOIN iss ON iss.file = rel_path GROUP BY quality", "md_v"))
+@query(sql(_ISSUE_V + f" SELECT quality, count(DISTINCT l.doc_id) AS n_docs, count(iss.file) AS n_issues, count(iss.file) FILTER (severity <> 'info') AS n_serious FROM labels l JOIN docs_v USING (doc_id) LEFT JOIN iss ON iss.file = rel_path GROUP BY quality", "fm_v"))
 def quality_by_label(spark, d):
     per = _issues(spark, d).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("severity") != "info").alias("s"))
     f = views.files(_docs(spark, d)).select("doc_id", F.col("rel_path").alias("file")).join(table(spark, d, "labels"), "doc_id").join(per, "file", "left")
     return f.groupBy("quality").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_issues"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_serious"))
 
 
-@query(sql(f"SELECT rel_path AS file, 'info' AS severity, 'R15' AS rule, 'stray file at the root' AS message FROM docs_v WHERE folder = '' UNION ALL SELECT rel_path, 'info', 'R16', 'folder not expected: ' || folder FROM docs_v WHERE folder <> '' AND NOT list_contains({_LIST(views.EXPECTED)}, folder) UNION ALL SELECT 'README.md', 'warning', 'R3', 'no README at the root' WHERE NOT EXISTS (SELECT 1 FROM docs_v WHERE lower(rel_path) = 'readme.md') UNION ALL SELECT x, 'info', 'R2', 'no files' FROM (SELECT unnest({_LIST(views.EXPECTED)}) AS x) WHERE x NOT IN (SELECT folder FROM docs_v)", "docs_v"))
+@query(sql("""SELECT doc_id, pos::BIGINT AS pos, key, kind, value, items FROM fm_v, (VALUES (0, 'id', 'str', NULL, ''), (1, 'status', 'str', NULL, ''), (2, 'owner', 'str', NULL, ''), (3, 'tags', 'list', NULL, 'a|b c'), (4, 'steps', 'list', NULL, 'one|two|None'), (5, 'empty', 'null', NULL, ''), (6, 'count', 'int', '-7', ''), (7, 'flag', 'bool', 'True', ''), (8, 'replaces', 'list', NULL, '')) k(pos, key, kind, v, items),
+  LATERAL (SELECT CASE key WHEN 'id' THEN 'doc-' || doc_id WHEN 'status' THEN ['active', 'draft', 'superseded'][doc_id % 3 + 1] WHEN 'owner' THEN (SELECT any_value(source) FROM docs_v q WHERE q.doc_id = fm_v.doc_id) ELSE v END AS value) WHERE doc_id % 4 = 0""", "fm_v"))
+def frontmatter_values(spark, d):
+    e = text.frontmatter_entries(text.frontmatter(F.col("text")))
+    return views.noted(_docs(spark, d)).select("doc_id", F.posexplode(e).alias("pos", "e")).select("doc_id", F.col("pos").cast("long").alias("pos"), "e.key", "e.kind", "e.value", F.array_join("e.items", "|").alias("items"))
+
+
+@query(sql(_TREE_SQL, "docs_v"))
 def tree_issues(spark, d):
     return quality.tree_issues(views.files(_docs(spark, d)).select(F.col("rel_path").alias("file")), views.EXPECTED)
 
@@ -397,6 +498,70 @@ def exact_duplicates(spark, d):
     return classify.exact_duplicates(_docs(spark, d), "doc_id", "text")
 
 
+_DUP_V = f""", tx AS (SELECT rel_path AS id, list_distinct({_TOK}) AS t FROM docs_v WHERE doc_id % 9 <> 4), hx AS (SELECT id, ('0x' || left(md5(unnest(t)), 7))::BIGINT AS h FROM tx),
+hv AS (SELECT id, list(coalesce(x, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM hx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, h % 64 AS b, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM hx GROUP BY ALL) USING (id, b) GROUP BY id),
+cl AS (SELECT min(id) AS a, any_value(e) AS e, list(id) AS ids FROM hv WHERE len(list_filter(e, lambda y: y <> 0)) > 0 GROUP BY e::VARCHAR),
+pa AS (SELECT c.a, o.a AS b, {_r('list_cosine_similarity(c.e, o.e)', 3)} AS s FROM cl c JOIN cl o ON c.a < o.a WHERE list_cosine_similarity(c.e, o.e) >= 0.92),
+nd AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT a AS id FROM pa UNION SELECT b FROM pa)),
+gs(n, seeds) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT gs.n + 1, CASE WHEN EXISTS (SELECT 1 FROM pa WHERE pa.b = nd.id AND list_contains(gs.seeds, pa.a)) THEN gs.seeds ELSE list_append(gs.seeds, nd.id) END FROM gs JOIN nd ON nd.n = gs.n + 1),
+sd AS (SELECT unnest(arg_max(seeds, n)) AS id FROM gs), tk AS (SELECT b, min(struct_pack(a := a, s := s)) AS f FROM pa WHERE a IN (SELECT id FROM sd) AND b NOT IN (SELECT id FROM sd) GROUP BY b),
+du AS (SELECT * FROM (SELECT seed, list(id ORDER BY id) AS files, count(*) AS n, {_r('avg(CASE WHEN id <> seed THEN s END)', 3)} AS similarity FROM (SELECT unnest(ids) AS id, coalesce(f.a, cl.a) AS seed, coalesce(f.s, 1.0::DOUBLE) AS s FROM cl LEFT JOIN tk ON tk.b = cl.a) GROUP BY seed) WHERE n > 1)"""
+
+
+def _kept(spark, d):
+    """The tree without one of the expected folders."""
+    return views.files(_docs(spark, d)).where("doc_id % 9 <> 4")
+
+
+def _clusters(spark, d):
+    return classify.duplicate_clusters(classify.signed_embedding(_kept(spark, d), "rel_path", "text"))
+
+
+@query(sql(_DUP_V + " SELECT seed, array_to_string(files, '|') AS files, n, similarity FROM du", "docs_v").replace("WITH", "WITH RECURSIVE", 1))
+def duplicate_clusters(spark, d):
+    return _clusters(spark, d).withColumn("files", F.array_join("files", "|"))
+
+
+_PLAN_V = _DUP_V + _THREE_V + f""", ac AS (SELECT 'a' || row_number() OVER (ORDER BY step, place, sorted) AS id, * FROM (
+  SELECT 1 AS step, place, '' AS sorted, 'create_dir' AS type, x || '/' AS path, NULL AS destination, NULL AS files, NULL::DOUBLE AS similarity, 'standard folder' AS reason FROM (SELECT unnest({_LIST(views.EXPECTED)}) AS x, unnest(range(7)) AS place) WHERE x NOT IN (SELECT folder FROM docs_v WHERE doc_id % 9 <> 4)
+  UNION ALL SELECT 2, 0, rel_path, 'move', rel_path, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1), NULL, NULL, 'classified as ' || con.c || ', confidence ' || floor({_r('con.x')} * 100 + 0.5)::BIGINT || ' %' FROM cons WHERE doc_id % 9 <> 4 AND (folder = '' OR NOT list_contains({_LIST(_LONG_LIST)}, folder)) AND list_contains({_LIST(_LONG_LIST)}, con.c)
+  UNION ALL SELECT 3, 0, files[1], 'flag_review', NULL, NULL, array_to_string(files, '|'), similarity, 'review and merge into ' || files[1] FROM du))"""
+_plan_sql = lambda body, *more: sql(_PLAN_V + body, "docs_v", *more).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _plan(spark, d):
+    f = _kept(spark, d)
+    signalled = written(_three(spark, d, f), "signals")
+    return signalled, classify.plan(f, signalled, _clusters(spark, d), views.EXPECTED)
+
+
+@query(_plan_sql(" SELECT id, type, path, destination, files, similarity, reason FROM ac"))
+def plan_actions(spark, d):
+    return _plan(spark, d)[1].withColumn("files", F.array_join("files", "|"))
+
+
+@query(_plan_sql(f" SELECT rel_path, con.c AS category, {_r('con.x', 2)} AS confidence, ac.type AS proposed_action, ac.destination AS proposed_destination FROM cons LEFT JOIN ac ON ac.path = rel_path AND ac.type = 'move' WHERE doc_id % 9 <> 4"))
+def plan_inventory(spark, d):
+    return classify.inventory(*_plan(spark, d))
+
+
+@query(_plan_sql(_issue_v(True) + """, al AS (SELECT * FROM iss WHERE file IN (SELECT rel_path FROM docs_v WHERE doc_id % 9 <> 4)), nq AS (SELECT greatest(0, 100 - least(count(*) FILTER (severity = 'critical') * 10, 60) - least(count(*) FILTER (severity = 'warning') * 2, 30))::BIGINT AS score_before FROM al),
+  ns AS (SELECT count(*) AS total_files, count(DISTINCT con.c) AS categories FROM cons WHERE doc_id % 9 <> 4), na AS (SELECT count(*) FILTER (type = 'move') AS misplaced, count(*) FILTER (type = 'flag_review') AS clusters, count(*) FILTER (type = 'create_dir') AS folders_to_create, count(*) AS actions FROM ac),
+  nr AS (SELECT count(*) AS rewrites FROM docs_v WHERE doc_id % 9 <> 4 AND NOT regexp_matches(text, '(?m)^#{1,6}\\s') AND len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) > 50)
+  SELECT *, least(score_before + least(misplaced * 2 + folders_to_create, 30), 100) AS score_projected FROM ns, na, nr, nq""", "fm_v"))
+def plan_summary(spark, d):
+    signalled, actions = _plan(spark, d)
+    n = classify.needs_rewrite(_kept(spark, d)).agg(F.count("*").alias("n"))
+    q = quality.score(quality.content_issues(views.noted(_docs(spark, d)).where("doc_id % 9 <> 4"), whole=True))
+    return classify.plan_summary(signalled, actions, n, q)
+
+
+@query(_plan_sql(" SELECT DISTINCT 'a' || item_id AS id, coalesce(ac.type, 'unknown') AS type FROM benchmark LEFT JOIN ac ON ac.id = 'a' || item_id"))
+def plan_approvals(spark, d):
+    approved = table(spark, d, "benchmark").select(F.concat(F.lit("a"), F.col("item_id").cast("string")).alias("id"))
+    return classify.decided(_plan(spark, d)[1], approved)
+
+
 # incremental indexing: the state before lacks every eleventh document and knows every seventh in another version
 
 _INC_V = ", nw AS (SELECT rel_path AS path, md5(text) AS content_md5, doc_id FROM docs_v WHERE doc_id % 13 <> 0), od AS (SELECT rel_path AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS old FROM docs_v WHERE doc_id % 11 <> 0)"
@@ -435,7 +600,7 @@ def index_run_statistics(spark, d):
 
 # telemetry
 
-_CNT_V = f""", cn AS (SELECT project, count(*) FILTER (tool IN ('search_docs', 'search_by_type', 'search_tests')) AS searches, count(*) FILTER (tool = 'search_bugfixes') AS bugfix_searches, count(*) FILTER (tool = 'write_bugfix_summary') AS bugfix_writes, count(*) FILTER (tool = 'save_session_summary') AS session_saves,
+_CNT_V = f""", cn AS (SELECT project, count(tool) AS total_calls, count(*) FILTER (kind = 'guardrail_report') AS reports, coalesce(sum(found) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS found, coalesce(sum(blocking) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS blocking, coalesce(sum(fixed) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS fixed, count(*) FILTER (tool IN ('search_docs', 'search_by_type', 'search_tests')) AS searches, count(*) FILTER (tool = 'search_bugfixes') AS bugfix_searches, count(*) FILTER (tool = 'write_bugfix_summary') AS bugfix_writes, count(*) FILTER (tool = 'save_session_summary') AS session_saves,
   count(*) FILTER (starts_with(tool, 'write_') AND tool <> 'write_bugfix_summary') AS writes, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, {_r('count(*) FILTER (hit) / (count(*) FILTER (hit) + count(*) FILTER (NOT hit))')} AS hit_rate, arg_max(tool, struct_pack(t := ts, e := event_id)) FILTER (tool IS NOT NULL) AS last_tool FROM tele_v GROUP BY project)"""
 
 
@@ -443,11 +608,11 @@ def _tele(spark, d):
     return views.telemetry(table(spark, d, "events"))
 
 
-@query(sql(f""", a AS (SELECT project, count(*) FILTER (kind = 'guardrail_report') AS reports, count(*) FILTER (kind = 'search_result' AND hit) AS hits, sum(CASE WHEN kind = 'guardrail_report' THEN found ELSE 0 END)::BIGINT AS found, sum(CASE WHEN kind = 'guardrail_report' THEN blocking ELSE 0 END)::BIGINT AS blocking, sum(CASE WHEN kind = 'guardrail_report' THEN fixed ELSE 0 END)::BIGINT AS fixed,
-  sum(CASE WHEN kind = 'guardrail_report' AND baseline > actual THEN baseline - actual ELSE 0 END) AS o FROM tele_v WHERE ts >= (SELECT max(ts) FROM tele_v) - INTERVAL 14 DAY GROUP BY project)
-SELECT project, reports, hits, found, blocking, fixed, {_r('o', 2)} AS minutes_observed, {_r('o + 2.5 * hits + 15 * fixed', 2)} AS minutes_saved, {_r('(o + 2.5 * hits + 15 * fixed) / 60', 2)} AS hours_saved FROM a""", "tele_v"))
+@query(sql(f""", a AS (SELECT project, count(*) FILTER (kind = 'search_result') AS searches, count(*) FILTER (kind = 'guardrail_report') AS reports, count(*) FILTER (kind = 'search_result' AND hit) AS hits, sum(CASE WHEN kind = 'guardrail_report' THEN found ELSE 0 END)::BIGINT AS found, sum(CASE WHEN kind = 'guardrail_report' THEN blocking ELSE 0 END)::BIGINT AS blocking, sum(CASE WHEN kind = 'guardrail_report' THEN fixed ELSE 0 END)::BIGINT AS fixed,
+  sum(CASE WHEN kind = 'guardrail_report' AND baseline > actual THEN baseline - actual ELSE 0 END) AS o FROM tele_v WHERE ts >= (SELECT max(ts) FROM tele_v) - INTERVAL 20 DAY GROUP BY project)
+SELECT project, searches, reports, hits, found, blocking, fixed, {_r('o', 2)} AS minutes_observed, {_r('o + 2.5 * hits + 15 * fixed', 2)} AS minutes_saved, {_r('(o + 2.5 * hits + 15 * fixed) / 60', 2)} AS hours_saved FROM a""", "tele_v"))
 def impact_metrics(spark, d):
-    return usage.impact(_tele(spark, d))
+    return usage.impact(_tele(spark, d), 20)
 
 
 @query(sql(_CNT_V + " SELECT * FROM cn", "tele_v"))
@@ -524,7 +689,8 @@ def relation_inbound(spark, d):
 
 @query(sql("SELECT path AS file, 'warning' AS severity, 'R13' AS rule, 'status ' || status AS message FROM rel_v WHERE status NOT IN ('active', 'superseded', 'deprecated')", "rel_v"))
 def status_issues(spark, d):
-    return quality.frontmatter_issues(_entities(spark, d).select(F.col("path").alias("file"), "status"))
+    f = views.relation_texts(table(spark, d, "supplier")).select(F.col("path").alias("file"), "text")
+    return quality.content_issues(f).where("rule = 'R13'")
 
 
 @query("SELECT user_id, event_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
@@ -567,61 +733,77 @@ def page_markdown(spark, d):
     return formats.to_markdown(p.withColumn("content", F.col("html").cast("binary")))
 
 
-@query("SELECT n_nationkey, '| n_name | n_regionkey |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_regionkey || ' |' AS markdown FROM nation")
+@query("SELECT n_nationkey, '# ' || n_nationkey || '.csv' || chr(10) || chr(10) || '| n_name | n_regionkey |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_regionkey || ' |' AS markdown FROM nation")
 def csv_tables(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("n_name,n_regionkey\n"), F.col("n_name"), F.lit(","), F.col("n_regionkey").cast("string"), F.lit("\n")).alias("content"))
-    return formats.parsed(n, "path", "content").select(F.regexp_extract("path", r"^(\d+)", 1).cast("int").alias("n_nationkey"), "markdown")
+    return formats.to_markdown(n.withColumn("content", F.col("content").cast("binary"))).select(F.regexp_extract("path", r"^(\d+)", 1).cast("int").alias("n_nationkey"), F.col("text").alias("markdown"))
 
 
-@query("SELECT doc_id, '# ' || source || '.txt' || chr(10) || chr(10) || text AS txt, '```yaml' || chr(10) || text || chr(10) || '```' AS yaml FROM documents")
+@query("SELECT doc_id, '# ' || source || '.txt' || chr(10) || chr(10) || text AS txt, '# ' || source || '.yaml' || chr(10) || chr(10) || '```yaml' || chr(10) || text || chr(10) || '```' AS yaml FROM documents")
 def plain_wraps(spark, d):
-    return _docs(spark, d).select("doc_id", formats.titled(F.concat("source", F.lit(".txt")), F.col("text")).alias("txt"), formats.fenced(F.col("text"), "yaml").alias("yaml"))
+    return _docs(spark, d).select("doc_id", formats.titled(F.concat("source", F.lit(".txt")), F.col("text")).alias("txt"), formats.titled(F.concat("source", F.lit(".yaml")), formats.fenced(F.col("text"), "yaml")).alias("yaml"))
 
 
-# code: documents stand for source files, by fixed rules over their ids
+# code: documents stand for source files; the SQL says what their lines amount to
 
-_EXT = ["py", "ts", "js", "sql", "yaml", "md", "rs", "pyi"]
-_STEM = ["main", "utils", "api_client", "test_models", "setup", "error_map", "tables", "server"]
-_CODE_V = f""", cf AS (SELECT doc_id, ['src', 'lib/node_modules', '.cache', 'app/core', 'docs', 'web'][doc_id % 6 + 1] || '/' || {_LIST(_STEM)}[doc_id % 8 + 1] || '.' || {_LIST(_EXT)}[doc_id // 8 % 8 + 1] AS path, length(text) * 8 AS size, doc_id % 23 AS import_count, doc_id % 9 AS public_functions, doc_id % 3 = 0 AS documented, lang FROM documents),
-sf AS (SELECT * FROM cf WHERE size <= 500000 AND doc_id % 6 NOT IN (1, 2) AND NOT list_contains(string_split(path, '/'), 'web')), un AS (SELECT *, {_LIST(_EXT)}[doc_id // 8 % 8 + 1] AS ext, {_LIST(_STEM)}[doc_id % 8 + 1] AS stem FROM sf),
-u2 AS (SELECT *, CASE WHEN ext IN ('py', 'pyi') THEN 'python' WHEN ext = 'ts' THEN 'typescript' WHEN ext = 'js' THEN 'javascript' ELSE 'other' END AS language,
-  CASE WHEN contains(path, 'test_') THEN 'tests' WHEN ext = 'yaml' THEN 'setup' WHEN ext = 'sql' THEN 'architecture' WHEN ext = 'md' THEN CASE WHEN starts_with(path, 'docs/') THEN 'architecture' END WHEN stem IN ('main', 'server', 'api_client') THEN 'api' WHEN stem = 'setup' THEN 'setup' WHEN stem = 'utils' THEN 'best-practices' WHEN stem = 'error_map' THEN 'bugfix-log' END AS category FROM un)"""
+_CODE_V = r""", sf AS (SELECT *, len(lines) AS n, left(code, 50000) AS head FROM code_v WHERE octet_length(encode(code)) <= 500000 AND folder NOT IN ('lib/node_modules', '.cache', 'web') AND ext <> 'png'),
+un AS (SELECT path, folder, CASE WHEN ext IN ('py', 'pyi') THEN 'python' WHEN ext = 'ts' THEN 'typescript' WHEN ext IN ('js', 'mjs') THEN 'javascript' ELSE 'other' END AS language, length(code) - length(replace(code, chr(10), '')) AS line_count,
+  CASE WHEN language = 'python' THEN list_transform(list_filter(range(n), lambda j: j % 4 > 0), lambda j: ['fn_', 'class K', '_own_'][j % 4] || j) WHEN language = 'other' THEN [] ELSE regexp_extract_all(head, '(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1) END AS symbols,
+  CASE WHEN language = 'other' THEN '' WHEN language <> 'python' THEN left(regexp_replace(regexp_replace(regexp_extract(left(code, 10000), '(?s)/\*\*\s*(.*?)\s*\*/', 1), '\s*\*\s*', ' ', 'g'), '^\s+|\s+$', '', 'g'), 300) WHEN n > 2 THEN 'Holds ' || length(lines[3]) || ' signs.' WHEN doc_id % 3 = 0 THEN 'From ' || source || '.' ELSE '' END AS docstring,
+  CASE WHEN language = 'python' THEN (n + 3) // 4 WHEN language = 'other' THEN 0 ELSE len(regexp_extract_all(head, '(?m)^(?:import|require)\b')) END::BIGINT AS import_count,
+  CASE WHEN language = 'python' THEN (n + 2) // 4 ELSE len(list_filter(symbols, lambda x: NOT starts_with(x, '_'))) END::BIGINT AS public_functions, docstring <> '' AS has_docstrings,
+  CASE WHEN contains(path, 'test_') THEN 'tests' WHEN ext = 'yaml' THEN 'setup' WHEN ext = 'sql' THEN 'architecture' WHEN ext = 'md' THEN CASE WHEN starts_with(path, 'docs/') THEN 'architecture' ELSE 'docs' END
+    WHEN starts_with(stem, 'main') OR starts_with(stem, 'server') THEN 'api' WHEN starts_with(stem, 'setup') THEN 'setup' WHEN starts_with(stem, 'utils') THEN 'best-practices' WHEN starts_with(stem, 'error_map') THEN 'bugfix-log' ELSE 'docs' END AS category,
+  floor(least(CASE WHEN has_docstrings THEN 3.0::DOUBLE ELSE 0 END + least(import_count / 5.0::DOUBLE, 2.0::DOUBLE) + least(public_functions, 5) * 0.6::DOUBLE + CASE WHEN regexp_matches(stem, '^(main|server|user_service)') THEN 2.0::DOUBLE ELSE 0 END, 10.0::DOUBLE) * 100 + 0.5) / 100 AS score FROM sf)"""
 
 
-def _code_files(spark, d):
-    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
-    i = F.col("doc_id")
-    path = F.concat_ws("/", pick(["src", "lib/node_modules", ".cache", "app/core", "docs", "web"], i % 6), F.concat(pick(_STEM, i % 8), F.lit("."), pick(_EXT, F.floor(i / 8) % 8)))
-    f = _docs(spark, d).select("doc_id", path.alias("path"), (F.length("text") * 8).alias("size"), (i % 23).alias("import_count"), (i % 9).alias("public_functions"), (i % 3 == 0).alias("documented"))
+def _units(spark, d):
     ignored = table(spark, d, "region").select(F.when(F.col("r_regionkey") == 0, "web/").when(F.col("r_regionkey") == 1, "# docs").otherwise("").alias("part"))
-    return code.source_files(f, ignored)
+    return code.units(code.source_files(views.sources(_docs(spark, d)), ignored))
+
+
+@query(sql(_CODE_V + " SELECT path, language, category, score, line_count, array_to_string(symbols, ',') AS symbols, docstring, import_count, public_functions, has_docstrings FROM un", "code_v"))
+def code_units(spark, d):
+    counts = [F.col(c).cast("long").alias(c) for c in ("line_count", "import_count", "public_functions")]
+    return _units(spark, d).select("path", "language", "category", "score", F.array_join("symbols", ",").alias("symbols"), "docstring", "has_docstrings", *counts)
 
 
-@query(sql(_CODE_V + f" SELECT doc_id, path, language, category, {_r('least(CASE WHEN documented THEN 3.0::DOUBLE ELSE 0 END + least(import_count / 5.0::DOUBLE, 2.0::DOUBLE) + least(public_functions, 5) * 0.6::DOUBLE + CASE WHEN stem IN (%s) THEN 2.0::DOUBLE ELSE 0 END, 10.0::DOUBLE)' % ', '.join(repr(x) for x in paths.ENTRY_POINTS), 2)} AS score FROM u2", "docs_v"))
-def code_scores(spark, d):
-    f = _code_files(spark, d)
-    return f.select("doc_id", "path", paths.language(F.col("path")).alias("language"), paths.source_hint(F.col("path")).alias("category"), paths.documentability(F.col("path"), F.col("documented"), F.col("import_count"), F.col("public_functions")).alias("score"))
+@query(sql(_CODE_V + " SELECT path, language, score, category, array_to_string(symbols[1:5], ',') AS symbols, has_docstrings FROM (SELECT * FROM un ORDER BY score DESC, path LIMIT 20) WHERE language <> 'other'", "code_v"))
+def code_to_document(spark, d):
+    return code.to_document(_units(spark, d)).select("path", "language", "score", "category", F.array_join("symbols", ",").alias("symbols"), "has_docstrings")
 
 
-@query(sql(_CODE_V + " SELECT CASE WHEN GROUPING(language) = 0 THEN 1 WHEN GROUPING(category) = 0 THEN 2 ELSE 3 END::BIGINT AS level, language, category, count(*) AS n FROM u2 GROUP BY GROUPING SETS ((language), (category), ())", "docs_v"))
+@query(sql(_CODE_V + " SELECT CASE WHEN GROUPING(language) = 0 THEN 1 WHEN GROUPING(category) = 0 THEN 2 ELSE 3 END::BIGINT AS level, language, category, count(*) AS n FROM un GROUP BY GROUPING SETS ((language), (category), ())", "code_v"))
 def code_distributions(spark, d):
-    return code.distributions(code.scored(_code_files(spark, d), F.col("documented")))
+    return code.ranked(code.distributions(_units(spark, d)))
 
 
-@query(sql(_CODE_V + " SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM sf WHERE regexp_extract(path, '^(.*)/[^/]*$', 1) NOT IN (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM sf WHERE documented AND doc_id % 6 = 0)", "docs_v"))
+@query(sql(_CODE_V + " SELECT count(*) AS total_files, sum(line_count)::BIGINT AS total_lines, count(*) FILTER (language <> 'other') AS parsed_files FROM un", "code_v"))
+def code_totals(spark, d):
+    return code.totals(_units(spark, d))
+
+
+@query(sql(_CODE_V + " SELECT DISTINCT folder FROM un WHERE folder NOT IN (SELECT folder FROM un WHERE language <> 'other') ORDER BY folder LIMIT 20", "code_v"))
 def undocumented_folders(spark, d):
-    return code.undocumented(_code_files(spark, d), F.col("documented") & (F.col("doc_id") % 6 == 0))
+    return code.first_folders(code.undocumented(_units(spark, d)))
 
 
 # rendering
 
-@query("""SELECT p_partkey, 'bugfix-log/2024-01-01-' || sl || '.md' AS path, '---' || chr(10) || 'id: bugfix-2024-01-01-' || sl || chr(10) || 'type: bugfix' || chr(10) || 'status: active' || chr(10) || '---' || chr(10) || '# ' || p_name || chr(10) || chr(10) || '## Root Cause' || chr(10) || p_type || chr(10) || chr(10) || '## Solution' || chr(10) || p_brand || chr(10) || chr(10) || '## Lesson Learned' || chr(10) || 'size ' || p_size || chr(10) AS text
+@query("""SELECT p_partkey, 'bugfix-log/2024-01-01-' || sl || '.md' AS path, '---' || chr(10) || 'id: bugfix-2024-01-01-' || sl || chr(10) || 'type: bugfix' || chr(10) || 'status: active' || chr(10) || 'replaces: []' || chr(10) || 'depends_on: []' || chr(10) || 'fixes: []' || chr(10) || 'implements: []' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || chr(10) || chr(10) || '**Date:** 2024-01-01  ' || chr(10) || '**Tags:** ' || p_brand || '  ' || chr(10) || '**Affected files:** ' || chr(10) || chr(10) || '## Root Cause' || chr(10) || p_type || chr(10) || chr(10) || '## Solution' || chr(10) || p_brand || chr(10) || chr(10) || '## Lesson Learned' || chr(10) || 'size ' || p_size || chr(10) AS text
   FROM (SELECT *, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS sl FROM part) WHERE trim(p_type) <> '' AND trim(p_brand) <> '' AND p_size IS NOT NULL""")
 def rendered_documents(spark, d):
-    doc = render.document("bugfix", F.col("p_name"), F.lit("2024-01-01"), root_cause=F.col("p_type"), solution=F.col("p_brand"), lesson_learned=F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    doc = render.document("bugfix", F.col("p_name"), F.lit("2024-01-01"), tags=F.col("p_brand"), root_cause=F.col("p_type"), solution=F.col("p_brand"), lesson_learned=F.concat(F.lit("size "), F.col("p_size").cast("string")))
     return table(spark, d, "part").select("p_partkey", doc.alias("d")).where("d IS NOT NULL").select("p_partkey", "d.path", "d.text")
 
 
+@query("""SELECT p_partkey, 'api/' || sl || '.md' AS path, '---' || chr(10) || 'id: api-' || sl || chr(10) || 'type: api' || chr(10) || 'status: active' || chr(10) || 'replaces: []' || chr(10) || 'depends_on: []' || chr(10) || 'fixes: []' || chr(10) || 'implements: []' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || chr(10) || chr(10) || '**Endpoint:** `GET /' || p_brand || '`' || chr(10) || chr(10) || '## Request' || chr(10) || p_type || chr(10) || chr(10) || '## Response' || chr(10) || p_brand || chr(10)
+  || CASE WHEN p_size % 2 = 0 THEN chr(10) || '## Authentication' || chr(10) || 'size ' || p_size || chr(10) ELSE '' END AS text FROM (SELECT *, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS sl FROM part)""")
+def rendered_api_documents(spark, d):
+    doc = render.document("api", F.col("p_name"), F.lit("2024-01-01"), method=F.lit("GET"), endpoint=F.concat(F.lit("/"), "p_brand"), request_schema=F.col("p_type"), response_schema=F.col("p_brand"), auth=F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("size "), F.col("p_size").cast("string"))))
+    return table(spark, d, "part").select("p_partkey", doc.alias("d")).select("p_partkey", "d.path", "d.text")
+
+
 @query(sql("SELECT doc_id, trim(replace(regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '.', ' ') || ' ' || folder) AS query FROM docs_v", "docs_v"))
 def file_queries(spark, d):
     return views.files(_docs(spark, d)).select("doc_id", render.file_query(F.col("rel_path")).alias("query"))
@@ -652,7 +834,61 @@ def cascaded_settings(spark, d):
     return table(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", render.cascade(own, F.col("n_name")).alias("setting"))
 
 
-@query("WITH s AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), m AS (SELECT user_id, max(i) AS i FROM s GROUP BY user_id), k AS (SELECT user_id % 8 AS project, count(*) FILTER (f) AS streak FROM s JOIN m USING (user_id, i) GROUP BY user_id) SELECT project, count(*) AS n_users, count(*) FILTER (streak >= 3) AS n_degraded FROM k GROUP BY project")
+@query("WITH s AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), m AS (SELECT user_id, max(i) AS i FROM s GROUP BY user_id), k AS (SELECT user_id, user_id % 8 AS project, count(*) FILTER (f) AS streak FROM s JOIN m USING (user_id, i) GROUP BY ALL) SELECT project, count(*) AS n, coalesce(string_agg(user_id::VARCHAR, ',' ORDER BY user_id) FILTER (streak >= 3), '') AS degraded FROM k GROUP BY project")
 def degraded_projects(spark, d):
     s = usage.failure_streaks(table(spark, d, "events"), "user_id", F.col("event_type") == "error")
-    return s.groupBy((F.col("user_id") % 8).alias("project")).agg(F.count("*").alias("n_users"), F.count_if(~F.col("healthy")).alias("n_degraded"))
+    return usage.degraded(s, "user_id", F.col("user_id") % 8).withColumn("degraded", F.array_join("degraded", ","))
+
+
+@query(sql("SELECT project, count(*) AS searches, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (tool = 'search_docs') AS docs, count(*) FILTER (tool = 'search_bugfixes') AS bugfixes, count(*) FILTER (tool = 'search_by_type') AS typed, max(ts)::VARCHAR AS last_search FROM tele_v WHERE kind = 'search_result' GROUP BY project", "tele_v"))
+def search_health(spark, d):
+    s = usage.searches(_tele(spark, d), ["search_docs", "search_bugfixes", "search_by_type"])
+    by = lambda t: F.col("by_tool")[t]
+    return s.select("project", "searches", "hits", "misses", by("search_docs").alias("docs"), by("search_bugfixes").alias("bugfixes"), by("search_by_type").alias("typed"), F.regexp_replace(F.date_format("last_search", "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0+$", "").alias("last_search"))
+
+
+@query("SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, coalesce(round_even(count(*) FILTER (o_orderstatus = 'F') * 100.0::DOUBLE / count(*), 0), 0)::BIGINT AS percent FROM orders GROUP BY o_custkey")
+def migration_progress(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return o.withColumn("percent", usage.progress(F.col("done"), F.col("total")))
+
+
+_COMMIT_DOC = f"""WITH c AS (SELECT p_partkey, {_COMMIT} AS m, p_brand AS h, p_type AS t, p_size AS z FROM part), k AS (SELECT *, regexp_extract(m, '^([a-z]+)(\\([^)]+\\))?!?:', 1) AS kind, coalesce(nullif(regexp_extract(m, '^[a-z]+\\(([^)]+)\\)!?:', 1), ''), '—') AS scope, left(h, 8) AS short,
+  CASE WHEN z % 2 = 0 THEN t || ', ' || h ELSE '—' END AS fs, CASE WHEN z % 3 = 0 THEN t ELSE 'The whole change is in commit `' || left(h, 8) || '`.' END AS told, left(regexp_replace(regexp_replace(lower(m), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS sl, '*To be written: this comes from a commit.*' AS todo, chr(10) AS n FROM c),
+r AS (SELECT *, '# ' || m || n || n || '**Date:** 2024-05-01  ' || n || '**Commit:** `' || short || '`  ' || n AS head FROM k)
+SELECT p_partkey, CASE kind WHEN 'fix' THEN 'bugfix-log/' WHEN 'feat' THEN 'changelog/' WHEN 'docs' THEN 'architecture/' ELSE 'best-practices/' END || '2024-05-01-' || sl || '.md' AS path,
+  CASE kind WHEN 'fix' THEN head || '**Scope:** ' || scope || '  ' || n || '**Affected files:** ' || fs || n || n || '## Root Cause' || n || todo || n || n || '## Solution' || n || told || n || n || '## Lesson Learned' || n || todo || n
+    WHEN 'feat' THEN head || '**Scope:** ' || scope || '  ' || n || '**Changed files:** ' || fs || n || n || '## Summary' || n || todo || n || n || '## Changes' || n || told || n || n || '## Impact' || n || todo || n
+    WHEN 'docs' THEN head || '**Changed files:** ' || fs || n || n || '## Overview' || n || told || n || n || '## Decisions' || n || todo || n
+    ELSE head || '**Type:** ' || kind || CASE WHEN scope <> '—' THEN ' (' || scope || ')' ELSE '' END || '  ' || n || '**Affected files:** ' || fs || n || n || '## What Changed' || n || told || n || n || '## Pattern / Rationale' || n || todo || n || n || '## When to Apply' || n || todo || n END AS text FROM r WHERE kind IN ('fix', 'feat', 'refactor', 'perf', 'docs')"""
+
+
+@query(_COMMIT_DOC)
+def commit_documents(spark, d):
+    c = table(spark, d, "part").select("p_partkey", F.expr(_COMMIT).alias("m"), "p_brand", "p_type", "p_size")
+    files = F.when(F.col("p_size") % 2 == 0, F.array("p_type", "p_brand")).otherwise(F.array().cast("array<string>"))
+    doc = render.commit_document(F.col("m"), F.regexp_extract("m", r"^([a-z]+)(\([^)]+\))?!?:", 1), F.lit("2024-05-01"), F.col("p_brand"), F.regexp_extract("m", r"^[a-z]+\(([^)]+)\)!?:", 1), files, F.when(F.col("p_size") % 3 == 0, F.col("p_type")))
+    return c.select("p_partkey", doc.alias("d")).where("d IS NOT NULL").select("p_partkey", "d.path", "d.text")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'c' || o_custkey END AS author, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS subject, CASE o_orderkey % 4 WHEN 0 THEN 'docs/' || o_custkey || '.md' WHEN 1 THEN 'docs/b ' || o_custkey || '.md' WHEN 2 THEN NULL ELSE 'docs/new.md' END AS path FROM orders")
+def log_and_status_lines(spark, d):
+    o, sep = table(spark, d, "orders"), "\x1f"
+    line = F.concat_ws(sep, F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 5 == 0, "more"))
+    c = F.col("o_custkey").cast("string")
+    status = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" M docs/"), c, F.lit(".md"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit('?? "docs/b '), c, F.lit('.md"'))).when(F.col("o_orderkey") % 4 == 2, F.lit("A  src/x.py")).otherwise(F.lit("R  docs/old.md -> docs/new.md"))
+    return o.select("o_orderkey", render.log_entry(line).alias("e"), render.status_path(status, "docs").alias("path")).select("o_orderkey", "e.author", "e.subject", "path")
+
+
+@query(sql("SELECT 'sup-' || s_suppkey AS wanted, s_suppkey % 3 > 0 AS found, CASE WHEN s_suppkey % 3 = 0 THEN (SELECT string_agg(id, ', ' ORDER BY path) FROM (SELECT * FROM rel_v ORDER BY path LIMIT 10)) END AS sample FROM supplier", "rel_v"))
+def entity_lookups(spark, d):
+    asked = table(spark, d, "supplier").select(F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("wanted"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("none-")).otherwise(F.lit("")).alias("p"))
+    a = relations.looked_up(asked.select(F.concat("p", "wanted").alias("id")), _entities(spark, d))
+    return a.select(F.regexp_replace("id", "^none-", "").alias("wanted"), "found", "sample")
+
+
+@query(sql(_SECTIONS_V + f", ty AS (SELECT {_TYPE} AS t, count(*) AS n FROM ch JOIN docs_v USING (doc_id) GROUP BY 1) SELECT 0::BIGINT AS pos, '**Index** (corpus)' AS line UNION ALL SELECT 1, 'Chunks: ' || sum(n) FROM ty UNION ALL SELECT row_number() OVER (ORDER BY n DESC, t) + 1, '- ' || t || ': ' || n FROM ty", "md_v"))
+def index_report(spark, d):
+    m = views.markdown(_docs(spark, d)).withColumn("key", F.concat_ws("|", paths.doc_type(F.col("rel_path")), F.col("doc_id").cast("string")))
+    c = chunking.heading_chunks(m, "key", "md").select(F.substring_index("source", "|", 1).alias("type"))
+    return quality.index_report(c, "corpus").select(F.col("pos").cast("long").alias("pos"), "line")

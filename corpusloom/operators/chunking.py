@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE, chunk_id, stripped
@@ -15,16 +15,13 @@ LEAST_CHARS = 50
 HEADING = rf"^(#{{1,3}}){SPACE}+(.+)$"
 
 
-def sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False) -> DataFrame:
-    """source, ord, level, heading, heading_path, line_start, line_end (from 1), body: one row a section.
+def _sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False) -> DataFrame:
+    """source and sections, an array of struct(level, heading, heading_path, line_start, line_end, body).
 
-    A heading of up to three signs opens a section; what precedes the first one is `intro`. The path is the chain of
-    open headings, each deeper than the last. With skip_fences, signs within fenced code are no headings.
-    A document's lines are folded in its own row, once, so nothing is shuffled.
+    The lines of a document are folded once, in its own row, with the open headings of three levels as state.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    d = docs.select(F.col(source).alias("source"), lines.alias("lines")).where("lines IS NOT NULL")
-    mark = "CASE WHEN x RLIKE '^#{1,3}[ \\t\\n\\x0B\\f\\r]+.' THEN length(regexp_extract(x, '^(#{1,3})', 1)) ELSE 0 END"
+    d = docs.select(F.col(source).alias("source"), F.split(F.col(text), "\n", -1).alias("lines")).where("lines IS NOT NULL")
+    mark = r"CASE WHEN x RLIKE '^#{1,3}[ \\t\\n\\x0B\\f\\r]+.' THEN length(regexp_extract(x, '^(#{1,3})', 1)) ELSE 0 END"
     levels = F.expr(f"transform(lines, x -> {mark})")
     if skip_fences:
         state = "named_struct('f', {}, 'open', {})"
@@ -32,68 +29,107 @@ def sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False)
         step = state.format("concat(a.f, array(a.open OR x LIKE '```%'))", "a.open <> (x LIKE '```%')")
         fenced = f"aggregate(lines, {begin}, (a, x) -> {step}, a -> a.f)"
         levels = F.expr(f"zip_with(transform(lines, x -> {mark}), {fenced}, (l, f) -> CASE WHEN f THEN 0 ELSE l END)")
-    d = d.select("source", "lines", levels.alias("levels"), F.size("lines").alias("n"))
-    heads = "filter(transform(levels, (l, i) -> struct(i AS at, l AS level)), h -> h.level > 0)"
-    d = d.select("source", "lines", "n", F.expr(heads).alias("heads"))
-    opening = F.expr("CASE WHEN size(heads) = 0 OR heads[0].at > 0 THEN concat(array(struct(0 AS at, 0 AS level)), heads) ELSE heads END")
-    d = d.select("source", "lines", "n", opening.alias("heads"))
-    each = d.select("source", "lines", "n", "heads", F.posexplode("heads").alias("ord", "h"))
-    stop = F.coalesce(F.get("heads", F.col("ord") + 1)["at"], F.col("n"))
-    title = lambda at: F.trim(F.regexp_extract(F.get("lines", at), HEADING, 2))
-    # the open headings before this one: of each level the last, unless a shallower one came later
-    last = lambda level: F.array_max(F.transform(F.filter(F.slice("heads", F.lit(1), F.col("ord") + 1), lambda x: x["level"] == level), lambda x: x["at"]))
-    one, two, three = map(last, (1, 2, 3))
-    out = each.select("source", "ord", F.col("h.level").alias("level"), F.when(F.col("h.level") > 0, title(F.col("h.at"))).otherwise(F.lit("intro")).alias("heading"), F.col("h.at").alias("at"), stop.alias("stop"), one.alias("m1"), two.alias("m2"), three.alias("m3"), "lines")
-    before = F.coalesce("m1", F.lit(-1))
-    path = F.array_compact(F.array(F.when(F.col("m1").isNotNull(), title(F.col("m1"))), F.when(F.col("m2") > before, title(F.col("m2"))), F.when((F.col("m3") > before) & (F.col("m3") > F.coalesce("m2", F.lit(-1))), title(F.col("m3")))))
-    return out.select("source", "ord", "level", "heading", F.array_join(path, " > ").alias("heading_path"), (F.col("at") + 1).alias("line_start"), F.col("stop").alias("line_end"), stripped(F.array_join(F.slice("lines", F.col("at") + 1, F.col("stop") - F.col("at")), "\n")).alias("body"))
+    d = d.select("source", "lines", levels.alias("levels"))
+    heads = "filter(transform(levels, (l, i) -> named_struct('at', i, 'level', l, 'title', CASE WHEN l > 0 THEN trim(substr(lines[i], l + 1)) END)), h -> h.level > 0)"
+    d = d.select("source", "lines", F.expr(heads).alias("heads"))
+    opening = "CASE WHEN size(heads) = 0 OR heads[0].at > 0 THEN concat(array(named_struct('at', 0, 'level', 0, 'title', CAST(NULL AS string))), heads) ELSE heads END"
+    d = d.select("source", "lines", F.expr(opening).alias("heads"))
+    none = F.lit(None).cast("string")
+    begin = F.struct(none.alias("one"), none.alias("two"), none.alias("three"), F.array().cast("array<string>").alias("paths"))
+
+    def step(a: Column, h: Column) -> Column:
+        one = F.when(h["level"] == 1, h["title"]).otherwise(a["one"])
+        two = F.when(h["level"] == 2, h["title"]).when(h["level"] == 1, none).otherwise(a["two"])
+        three = F.when(h["level"] == 3, h["title"]).when(h["level"].isin(1, 2), none).otherwise(a["three"])
+        return F.struct(one.alias("one"), two.alias("two"), three.alias("three"), F.concat(a["paths"], F.array(F.concat_ws(" > ", one, two, three))).alias("paths"))
+
+    d = d.select("source", "lines", "heads", F.aggregate("heads", begin, step, lambda a: a["paths"]).alias("paths"))
+
+    def section(h: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("heads", i + 1)["at"], F.size("lines"))
+        body = stripped(F.array_join(F.slice("lines", h["at"] + 1, stop - h["at"]), "\n"))
+        heading = F.when(h["level"] > 0, h["title"]).otherwise(F.lit("intro"))
+        return F.struct(h["level"].alias("level"), heading.alias("heading"), F.get("paths", i).alias("heading_path"), (h["at"] + 1).alias("line_start"), stop.alias("line_end"), body.alias("body"))
+
+    return d.select("source", F.transform("heads", section).alias("sections"))
+
+
+def sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False) -> DataFrame:
+    """source, ord, level, heading, heading_path, line_start, line_end (from 1), body: one row a section.
+
+    A heading of up to three signs opens a section; what precedes the first one is `intro`. The path is the chain of
+    open headings, each deeper than the last. With skip_fences, signs within fenced code are no headings. Nothing is
+    shuffled.
+    """
+    return _sections(docs, source, text, skip_fences).select("source", F.posexplode("sections").alias("ord", "s")).select("source", "ord", "s.*")
 
 
 def heading_chunks(docs: DataFrame, source: str, text: str) -> DataFrame:
     """chunk_id, source, ord (among the chunks that stay), heading, heading_path, text, char_count, line_start, line_end."""
-    s = sections(docs, source, text).where(F.length("body") > LEAST_CHARS)
+    kept = F.filter("sections", lambda s: F.length(s["body"]) > LEAST_CHARS)
+    s = _sections(docs, source, text).select("source", F.posexplode(kept).alias("ord", "s")).select("source", "ord", "s.*")
     shown = F.when(F.col("heading_path") != "", F.concat(F.lit("["), "heading_path", F.lit("]\n\n"), "body")).otherwise(F.col("body"))
     return s.select(chunk_id(F.col("source"), shown).alias("chunk_id"), "source", "ord", "heading", "heading_path", shown.alias("text"), F.length(shown).alias("char_count"), "line_start", "line_end")
 
 
 def cuts(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
-    """First and last places of pieces of `most` characters that overlap; a piece ends behind its last full stop if that is past its middle."""
+    """First and last places of pieces of `most` characters that overlap; a piece ends behind its last full stop if that is past its middle.
+
+    Pieces begin until the text ends, so the last one may lie within the one before.
+    """
     out, start = [], 0
     while start < len(text):
-        stop = min(start + most, len(text))
+        stop = start + most
         if stop < len(text):
             dot = text.rfind(". ", start, stop)
             if dot - start > most * 0.5:
                 stop = dot + 1
-        out.append((start, stop))
-        if stop >= len(text):
-            break
+        out.append((start, min(stop, len(text))))
         start = stop - overlap
     return out
 
 
 def fixed_chunks(docs: DataFrame, source: str, text: str, most: int = 2000, overlap: int = 200) -> DataFrame:
-    """source, ord, start, stop, char_count, chunk_id: pieces of a bounded size. The next cut depends on the last, so a Python loop makes them."""
+    """chunk_id, source, ord, heading (`chunk-n`), start, stop, text, char_count, line_start, line_end: pieces of a bounded size.
+
+    A source is one row. The next cut depends on the last, so a Python loop makes them. Pieces are stripped, and those
+    of up to LEAST_CHARS characters go.
+    """
     if overlap * 2 >= most:
         raise ValueError("pieces must get on by more than half their size")
     kind = docs.schema[source].dataType.simpleString()
+    names = ["source", "ord", "start", "stop", "text", "line_start", "line_end"]
+
+    def pieces(s, t: str) -> Iterator[tuple]:
+        n = 0
+        for a, b in cuts(t, most, overlap):
+            if len(said := t[a:b].strip()) > LEAST_CHARS:
+                first = t.count("\n", 0, a) + 1
+                yield s, n, a, b, said, first, first + t.count("\n", a, b)
+                n += 1
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(s, a, b, t[a:b]) for s, t in zip(f["source"], f["text"], strict=True) for a, b in cuts(t, most, overlap) if len(t[a:b].strip()) > LEAST_CHARS]
-            out = pd.DataFrame(rows, columns=["source", "start", "stop", "piece"])
-            yield out.assign(ord=out.groupby("source").cumcount())
+            yield pd.DataFrame([x for s, t in zip(f["source"], f["text"], strict=True) for x in pieces(s, t)], columns=names)
 
     d = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.col(text).alias("text"))
-    cut = d.mapInPandas(work, f"source {kind}, start int, stop int, piece string, ord int")
-    return cut.select("source", "ord", "start", "stop", F.length("piece").alias("char_count"), chunk_id(F.col("source").cast("string"), F.col("piece")).alias("chunk_id"))
+    cut = d.mapInPandas(work, f"source {kind}, ord int, start int, stop int, text string, line_start int, line_end int")
+    return cut.select(chunk_id(F.col("source").cast("string"), F.col("text")).alias("chunk_id"), "source", "ord", F.concat(F.lit("chunk-"), F.col("ord").cast("string")).alias("heading"), "start", "stop", "text", F.length("text").alias("char_count"), "line_start", "line_end")
 
 
 def hybrid_chunks(docs: DataFrame, source: str, text: str, most: int = 2000, overlap: int = 200) -> DataFrame:
-    """Heading chunks, long ones cut further: source, ord, part (0: whole), heading, heading_path, char_count."""
-    h = heading_chunks(docs, source, text).select("chunk_id", "source", "ord", "heading", "heading_path", "text")
-    long = h.where(F.length("text") > most)
-    parts = fixed_chunks(long.select(F.concat_ws("\x01", F.col("source"), F.col("ord").cast("string")).alias("key"), "text"), "key", "text", most, overlap)
-    parts = parts.select(F.split("source", "\x01")[0].alias("source"), F.split("source", "\x01")[1].cast("int").alias("ord"), (F.col("ord") + 1).alias("part"), F.col("char_count"))
-    cut = parts.join(long.select("source", "ord", "heading", "heading_path"), ["source", "ord"]).select("source", "ord", "part", F.concat("heading", F.lit(" (part "), F.col("part").cast("string"), F.lit(")")).alias("heading"), "heading_path", "char_count")
-    return h.where(F.length("text") <= most).select("source", "ord", F.lit(0).alias("part"), "heading", "heading_path", F.length("text").alias("char_count")).unionByName(cut)
+    """Heading chunks, long ones cut further: chunk_id, source, ord, part (0: whole), heading, heading_path, text, char_count, line_start, line_end.
+
+    A part keeps the path of its section, and its lines are counted in the document: the line of the path that a chunk's
+    text begins with, and the empty one behind it, count as the section's first.
+    """
+    h = heading_chunks(docs, source, text)
+    cols = ["source", "ord", "part", "heading", "heading_path", "text", "char_count", "line_start", "line_end"]
+    long = h.where(F.length("text") > most).withColumn("key", F.concat_ws("\x01", F.col("source"), F.col("ord").cast("string")))
+    parts = fixed_chunks(long, "key", "text", most, overlap).select(F.col("source").alias("key"), (F.col("ord") + 1).alias("part"), "text", "char_count", F.col("line_start").alias("a"), F.col("line_end").alias("b"))
+    ahead = F.when(F.col("heading_path") != "", 2).otherwise(0)
+    line = lambda c: F.greatest(F.col("line_start") + F.col(c) - 1 - ahead, F.col("line_start"))
+    cut = parts.join(long.select("key", "source", "ord", "heading", "heading_path", "line_start"), "key")
+    cut = cut.select("source", "ord", "part", F.concat("heading", F.lit(" (part "), F.col("part").cast("string"), F.lit(")")).alias("heading"), "heading_path", "text", "char_count", line("a").alias("line_start"), line("b").alias("line_end"))
+    out = h.where(F.length("text") <= most).withColumn("part", F.lit(0)).select(cols).unionByName(cut.select(cols))
+    return out.select(chunk_id(F.col("source").cast("string"), F.col("text")).alias("chunk_id"), *cols)

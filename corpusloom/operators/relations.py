@@ -37,3 +37,10 @@ def timeline(log: DataFrame, key: str, limit: int = 20) -> DataFrame:
     """The newest `limit` (1 to 200) log rows (key, ts, seq, ...) of each key, numbered."""
     w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("seq"))
     return log.withColumn("n", F.row_number().over(w)).where(F.col("n") <= min(max(limit, 1), 200))
+
+
+def looked_up(asked: DataFrame, found: DataFrame, most: int = 10) -> DataFrame:
+    """id, found, sample: whether an entity has the id and, if none has, the first `most` ids by path as a hint."""
+    some = found.orderBy("path").limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "id"))), lambda x: x["id"]), ", ").alias("some"))
+    j = asked.join(found.select("id", F.lit(True).alias("there")), "id", "left").crossJoin(F.broadcast(some))  # one row
+    return j.select("id", F.coalesce("there", F.lit(False)).alias("found"), F.when(F.col("there").isNull(), F.col("some")).alias("sample"))

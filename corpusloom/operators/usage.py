@@ -26,23 +26,26 @@ def recent(events: DataFrame, days: int) -> DataFrame:
     return events.crossJoin(F.broadcast(until)).where(F.col("ts") >= F.col("until") - F.make_dt_interval(F.lit(days))).drop("until")  # one row
 
 
-def impact(events: DataFrame, days: int = 14) -> DataFrame:
-    """Per project: reports, hits, found, blocking and fixed violations, minutes observed and estimated, hours."""
+def impact(events: DataFrame, days: int = 30) -> DataFrame:
+    """Per project: searches, hits, reports, found, blocking and fixed violations, minutes observed and estimated, hours."""
     report, hit = F.col("kind") == "guardrail_report", (F.col("kind") == "search_result") & F.col("hit")
     saved = F.when(report & (F.col("baseline") > F.col("actual")), F.col("baseline") - F.col("actual")).otherwise(F.lit(0.0))
     of = lambda c: F.sum(F.when(report, F.col(c)).otherwise(F.lit(0))).cast("long")
-    a = recent(events, days).groupBy("project").agg(F.count_if(report).alias("reports"), F.count_if(hit).alias("hits"), of("found").alias("found"), of("blocking").alias("blocking"), of("fixed").alias("fixed"), F.sum(saved).alias("observed"))
+    a = recent(events, days).groupBy("project").agg(F.count_if(report).alias("reports"), F.count_if(F.col("kind") == "search_result").alias("searches"), F.count_if(hit).alias("hits"), of("found").alias("found"), of("blocking").alias("blocking"), of("fixed").alias("fixed"), F.sum(saved).alias("observed"))
     total = F.col("observed") + MINUTES_HIT * F.col("hits") + MINUTES_FIXED * F.col("fixed")
-    return a.select("project", "reports", "hits", "found", "blocking", "fixed", rounded(F.col("observed"), 2).alias("minutes_observed"), rounded(total, 2).alias("minutes_saved"), rounded(total / 60, 2).alias("hours_saved"))
+    return a.select("project", "searches", "reports", "hits", "found", "blocking", "fixed", rounded(F.col("observed"), 2).alias("minutes_observed"), rounded(total, 2).alias("minutes_saved"), rounded(total / 60, 2).alias("hours_saved"))
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """Per project: a count for each kind of tool, hits, misses, hit rate and the last tool."""
+    """Per project: calls, a count for each kind of tool, hits, misses, hit rate, the last tool, and reports with their violations."""
     n = {k: F.count_if(F.col("tool").isin(v)) for k, v in COUNTERS.items()}
     other = F.count_if(F.col("tool").startswith("write_") & (F.col("tool") != "write_bugfix_summary"))
     hits, misses = F.count_if(F.col("hit")), F.count_if(~F.col("hit"))
     last = F.max(F.when(F.col("tool").isNotNull(), F.struct("ts", "event_id", "tool")))["tool"]
-    return events.groupBy("project").agg(*[c.alias(k) for k, c in n.items()], other.alias("writes"), hits.alias("hits"), misses.alias("misses"), rounded(F.try_divide(hits, hits + misses)).alias("hit_rate"), last.alias("last_tool"))
+    report = F.col("kind") == "guardrail_report"
+    of = lambda c: F.coalesce(F.sum(F.when(report, F.greatest(F.col(c), F.lit(0)))), F.lit(0)).cast("long")
+    reports = [F.count_if(report).alias("reports"), of("found").alias("found"), of("blocking").alias("blocking"), of("fixed").alias("fixed")]
+    return events.groupBy("project").agg(F.count_if(F.col("tool").isNotNull()).alias("total_calls"), *reports, *[c.alias(k) for k, c in n.items()], other.alias("writes"), hits.alias("hits"), misses.alias("misses"), rounded(F.try_divide(hits, hits + misses)).alias("hit_rate"), last.alias("last_tool"))
 
 
 def nudges(counted: DataFrame) -> DataFrame:
@@ -106,3 +109,20 @@ def rate_limited(events: DataFrame, key: str, seconds: int = 60) -> DataFrame:
 def hydrate(hot: DataFrame, mirror: DataFrame, key: str) -> DataFrame:
     """The hot tier, and of the mirror what it lacks."""
     return hot.unionByName(mirror.join(hot, key, "left_anti"))
+
+
+def searches(events: DataFrame, tools: list[str]) -> DataFrame:
+    """Per project: searches, hits, misses, by_tool (a count for each of `tools`, in their order) and the time of the last one."""
+    e = events.where("kind = 'search_result'")
+    by = F.map_from_arrays(F.array(*map(F.lit, tools)), F.array(*[F.count_if(F.col("tool") == t) for t in tools]))
+    return e.groupBy("project").agg(F.count("*").alias("searches"), F.count_if(F.col("hit")).alias("hits"), F.count_if(~F.col("hit")).alias("misses"), by.alias("by_tool"), F.max("ts").alias("last_search"))
+
+
+def degraded(streaks: DataFrame, key: str, group: Column) -> DataFrame:
+    """project, n, degraded: how many keys a project has, and a sorted list of those that are not healthy."""
+    return streaks.groupBy(group.alias("project")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(~F.col("healthy"), F.col(key)))).alias("degraded"))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """How far a job is, in whole per cent, halves going to the even number; 0 of nothing."""
+    return F.coalesce(F.bround(F.try_divide(done * 100.0, total), 0), F.lit(0.0)).cast("long")

@@ -105,30 +105,34 @@ def html_markdown(text: str) -> str | None:
     return "\n\n".join(p.out) or None
 
 
+#: Signs that lines over and under titles are made of, and the level of a title by the line under it.
+TITLE_SIGNS, TITLE_LEVELS = set("=-~^\"'+`:.#*_"), {"=": 1, "-": 2, "~": 3, "^": 4, '"': 5}
+
+
 def rst_markdown(text: str) -> str:
-    """Titles with lines under or around them become headings, code blocks fences."""
-    levels = {"=": 1, "-": 2, "~": 3, "^": 4, '"': 5}
-    rule = lambda s: len(s) > 1 and len(set(s)) == 1 and s[0] in levels
-    lines, out, i = text.split("\n"), [], 0
+    """Titles with lines under or around them become headings, code blocks fences. A title between two lines has level 1, one over signs of another kind 2."""
+    ruled = lambda x: bool(x.strip()) and set(x.strip()) <= TITLE_SIGNS
+    lines = text.splitlines()
+    at = lambda k: lines[k] if k < len(lines) else ""
+    out, i = [], 0
     while i < len(lines):
-        line = lines[i].rstrip()
-        if rule(line) and i + 2 < len(lines) and lines[i + 1].strip() and rule(lines[i + 2].rstrip()):
-            out.append("#" * levels[line[0]] + " " + lines[i + 1].strip())
+        line, under = lines[i], at(i + 1)
+        if len(line) >= 2 and ruled(line) and ruled(at(i + 2)):
+            out.append(f"\n# {under.strip()}\n")
             i += 3
-        elif line.strip() and i + 1 < len(lines) and rule(lines[i + 1].rstrip()) and len(lines[i + 1].rstrip()) >= len(line.strip()):
-            out.append("#" * levels[lines[i + 1][0]] + " " + line.strip())
+        elif line.strip() and not ruled(line) and ruled(under) and len(under) >= len(line.rstrip()):
+            out.append(f"\n{'#' * TITLE_LEVELS.get(under.strip()[0], 2)} {line.strip()}\n")
             i += 2
-        elif (m := re.match(r"\s*\.\. code(?:-block)?::\s*(\w*)", line)) or (line.endswith("::") and not line.lstrip().startswith("..")):
-            if not m:
-                out.append(line[:-1])
-            out.append("```" + (m[1] if m else ""))
-            i += 1
-            body = []
-            while i < len(lines) and (not lines[i].strip() or lines[i][0] in " \t"):
-                body.append(lines[i])
-                i += 1
-            pad = min((len(b) - len(b.lstrip()) for b in body if b.strip()), default=0)
-            out += [b[pad:].rstrip() for b in "\n".join(body).strip("\n").split("\n")] + ["```"]
+        elif re.match(r"\.\.\s+code-block::", line) or line.strip() == "::":
+            block = []
+            for x in lines[i + 1 :]:
+                if x.strip() and not x.startswith("   "):
+                    break
+                block.append(x)
+            i += 1 + len(block)
+            while block and not block[0].strip():
+                block.pop(0)
+            out += ["\n```", *[x.removeprefix("   ") for x in block], "```\n"]
         else:
             out.append(line)
             i += 1
@@ -144,7 +148,8 @@ def json_markdown(text: str) -> str:
 
 
 def csv_markdown(text: str) -> str:
-    rows = [r for r in csv.reader(io.StringIO(text)) if r]
+    """The first row as head; shorter rows are filled up, longer ones cut."""
+    rows = list(csv.reader(io.StringIO(text)))
     if not rows:
         return "(empty)"
     width = len(rows[0])
@@ -199,9 +204,9 @@ def to_markdown(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     text = F.make_valid_utf8(F.col("content").cast("string")) if hasattr(F, "make_valid_utf8") else F.col("content").cast("string")
-    plain = files.where(ext.isin("md", "txt", "yaml", "yml")).select("path", F.when(ext == "md", text).when(ext == "txt", titled(name, text)).otherwise(fenced(text, "yaml")).alias("text"))
+    plain = files.where(ext.isin("md", "txt", "yaml", "yml")).select("path", F.when(ext == "md", text).otherwise(titled(name, F.when(ext == "txt", text).otherwise(fenced(text, "yaml")))).alias("text"))
     rest = parsed(files.where(ext.isin(list(_PARSED))), "path", "content")
-    page = F.when(ext.isin("html", "htm", "docx"), titled(name, F.col("markdown"))).otherwise(F.col("markdown"))
+    page = F.when(ext == "rst", F.col("markdown")).otherwise(titled(name, F.col("markdown")))
     return plain.unionByName(rest.select("path", page.alias("text"))).where("text IS NOT NULL")
 
 

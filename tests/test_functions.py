@@ -61,8 +61,28 @@ def test_tokens_keep_letters_of_all_scripts_and_drop_stop_words(spark):
 
 
 def test_meaningful_text(spark):
-    md = "# T\n\n- **bold** item\n> quote\n```\ncode\n```\n---\n1. [link](http://x) and `c`\n"
-    assert rows(spark, [md], m=text.meaningful_text)[0]["m"] == "bold item\nquote\nlink and c"
+    want = {
+        "# T\n\n- **bold** item\n> quote\n```\ncode\n```\n---\n1. [link](http://x) and `c`\n": "bold item\nquote\n\nlink and c".replace("\n\n", "\n"),
+        "-   many blanks\n  12.  ordered": "many blanks\nordered",
+        "> > nested\n>deep": "nested\ndeep",
+        "a *b\nc* d": "a b\nc d",
+        "snake_case_name __x__": "snakecasename x",
+        "##no heading\n#  yes": "##no heading",
+        "  * * *\n  ***  \nx": "x",
+        "````": "",
+        "[a\nb](c\nd)": "a\nb",
+    }
+    assert {r["x"]: r["m"] for r in rows(spark, want, m=text.meaningful_text)} == want
+
+
+def test_frontmatter_values(spark):
+    block = "id: adr-1\nstatus: 'active' # now\nnone: ~\nflag: TRUE\ncount: -12\nflow: [a, \"b\", , null]\nempty: []\nlist:\n  - x\n\n\t- 'y'\n  -\nover: 1\n# note: 2\n  inner: 3\nno colon here\nover: 2"
+    got = rows(spark, [block, "", None], e=text.frontmatter_entries)
+    assert [(e["key"], e["kind"], e["value"], e["items"]) for e in got[0]["e"]] == [
+        ("id", "str", "adr-1", []), ("status", "str", "active", []), ("none", "null", None, []), ("flag", "bool", "TRUE", []), ("count", "int", "-12", []), ("flow", "list", None, ["a", "b"]), ("empty", "list", None, []),
+        ("list", "list", None, ["x", "y", "None"]), ("over", "int", "1", []), ("over", "int", "2", []),
+    ]
+    assert got[1]["e"] == [] and got[2]["e"] is None
 
 
 def test_frontmatter(spark):
@@ -76,8 +96,8 @@ def test_frontmatter(spark):
 
 
 def test_documentability(spark):
-    d = spark.createDataFrame([("src/main.py", True, 5, 3), ("src/none.py", False, 0, 0)], "path string, d boolean, i int, p int")
-    assert [r[0] for r in d.select(paths.documentability(F.col("path"), F.col("d"), F.col("i"), F.col("p"))).collect()] == [7.8, 0.0]
+    d = spark.createDataFrame([("src/main.py", True, 5, 3), ("src/none.py", False, 0, 0), ("src/user_service.py", False, 0, 0), ("a/Big_Handler_x.ts", True, 50, 50)], "path string, d boolean, i int, p int")
+    assert [r[0] for r in d.select(paths.documentability(F.col("path"), F.col("d"), F.col("i"), F.col("p"))).collect()] == [7.8, 0.0, 2.0, 10.0]
 
 
 def test_source_hints(spark):
@@ -94,12 +114,41 @@ def test_documents_are_rendered_if_whole(spark):
     from corpusloom.functions import render
 
     d = spark.createDataFrame([("A bug!", "why", "how", "next"), ("B", "why", " ", "next")], "t string, a string, b string, c string")
-    got = d.select(render.document("bugfix", F.col("t"), F.lit("2024-05-01"), root_cause=F.col("a"), solution=F.col("b"), lesson_learned=F.col("c")).alias("d")).collect()
+    got = d.select(render.document("bugfix", F.col("t"), F.lit("2024-05-01"), tags=F.lit("x, y"), root_cause=F.col("a"), solution=F.col("b"), lesson_learned=F.col("c")).alias("d")).collect()
     assert got[0].d.path == "bugfix-log/2024-05-01-a-bug.md"
-    assert got[0].d.text == "---\nid: bugfix-2024-05-01-a-bug\ntype: bugfix\nstatus: active\n---\n# A bug!\n\n## Root Cause\nwhy\n\n## Solution\nhow\n\n## Lesson Learned\nnext\n"
+    head = "---\nid: {}\ntype: {}\nstatus: active\nreplaces: []\ndepends_on: []\nfixes: []\nimplements: []\n---\n\n"
+    assert got[0].d.text == head.format("bugfix-2024-05-01-a-bug", "bugfix") + "# A bug!\n\n**Date:** 2024-05-01  \n**Tags:** x, y  \n**Affected files:** \n\n## Root Cause\nwhy\n\n## Solution\nhow\n\n## Lesson Learned\nnext\n"
     assert got[1].d is None
-    log = spark.range(1).select(render.document("changelog", F.lit("1.0"), F.lit("2024-05-01")).alias("a"), render.document("changelog", F.lit("1.0"), F.lit("2024-05-01"), fixed=F.lit("x")).alias("b")).first()
-    assert log.a is None and log.b.text.endswith("## Fixed\nx\n")
+    one = spark.range(1)
+    log = one.select(render.document("changelog", F.lit("v1.0"), F.lit("2024-05-01")).alias("a"), render.document("changelog", F.lit("v1.0"), F.lit("2024-05-01"), fixed=F.lit("x")).alias("b")).first()
+    assert log.a is None and log.b.path == "changelog/v1-0.md" and log.b.text.endswith("# v1.0\n\n**Date:** 2024-05-01\n\n## Fixed\nx\n")
+    api = one.select(render.document("api", F.lit("Make User"), F.lit("d"), method=F.lit("POST"), endpoint=F.lit("/u"), request_schema=F.lit("r"), response_schema=F.lit("s")).alias("d")).first().d
+    assert (api.path, api.text) == ("api/make-user.md", head.format("api-make-user", "api") + "# Make User\n\n**Endpoint:** `POST /u`\n\n## Request\nr\n\n## Response\ns\n")
+    adr = one.select(render.document("architecture", F.lit("X"), F.lit("2024-05-01"), overview=F.lit("o"), decisions=F.lit("d"), trade_offs=F.lit("t")).alias("d")).first().d
+    assert adr.path == "architecture/2024-05-01-x.md" and "\nid: adr-2024-05-01-x\n" in adr.text
+    case = one.select(render.document("test", F.lit("X"), F.lit("2024-05-01"), scenario=F.lit("a"), steps=F.lit("b"), expected_result=F.lit("c"), status=F.lit("")).alias("d")).first().d
+    assert case.path == "tests/2024-05-01-x.md" and "**Status:** pending  \n**Tags:** \n\n## Scenario\na\n" in case.text
+
+
+def test_commits_become_documents(spark):
+    from corpusloom.functions import render
+
+    d = spark.createDataFrame([("fix(api): it", "fix", "0123456789", "api", ["a.py"], ""), ("chore: x", "chore", "", "", [], ""), ("perf: y", "perf", "", "", [], "less work")], "m string, k string, h string, s string, f array<string>, c string")
+    got = {r.m: r.d for r in d.select("m", render.commit_document(F.col("m"), F.col("k"), F.lit("2024-05-01"), F.col("h"), F.col("s"), F.col("f"), F.col("c")).alias("d")).collect()}
+    fix = got["fix(api): it"]
+    assert fix.path == "bugfix-log/2024-05-01-fix-api-it.md"
+    assert "**Commit:** `01234567`  \n**Scope:** api  \n**Affected files:** a.py\n\n## Root Cause\n" in fix.text
+    assert got["chore: x"] is None
+    assert "**Commit:** `unknown`  \n**Type:** perf  \n**Affected files:** —\n\n## What Changed\nless work\n" in got["perf: y"].text
+
+
+def test_log_and_status_lines(spark):
+    from corpusloom.functions import render
+
+    r = rows(spark, ["h\x1fAnn\x1f2024-01-01\x1fsay", "h\x1fAnn\x1fx", ""], e=render.log_entry)
+    assert [x["e"] and x["e"]["subject"] for x in r] == ["say", None, None]
+    want = {" M docs/a.md": "docs/a.md", "?? \"docs/b c.md\"": "docs/b c.md", "R  docs/o.md -> docs/n.md": "docs/n.md", "A  src/x.py": None, "   ": None, "A  documents/x": None}
+    assert {x["x"]: x["p"] for x in rows(spark, want, p=lambda c: render.status_path(c, "docs"))} == want
 
 
 def test_names_paths_and_queries(spark):

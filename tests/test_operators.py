@@ -31,7 +31,9 @@ def test_cuts_cover_the_text_and_prefer_full_stops():
     text = "One two three. " * 40
     cuts = chunking.cuts(text, 100, 10)
     assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
-    assert all(b2 - 10 == a for (_, b2), (a, _) in zip(cuts, cuts[1:], strict=False))
+    assert all(b2 - 10 == a for (_, b2), (a, _) in zip(cuts[:-1], cuts[1:], strict=False))
+    assert chunking.cuts("x" * 195, 200, 50) == [(0, 195), (150, 195)]  # a tail within the piece before
+    assert chunking.cuts("x" * 150, 200, 50) == [(0, 150)]
     assert text[: cuts[0][1]].endswith(".")
     with pytest.raises(ValueError, match="half"):
         chunking.fixed_chunks(None, "a", "b", 100, 60)
@@ -40,19 +42,69 @@ def test_cuts_cover_the_text_and_prefer_full_stops():
 def test_hybrid_chunks_cut_long_sections(spark):
     got = chunking.hybrid_chunks(md(spark, "# A\n" + "short text. " * 10 + "\n# B\n" + "long text here. " * 300), "file", "text").orderBy("ord", "part").collect()
     assert [(r.heading, r.part) for r in got] == [("A", 0), ("B (part 1)", 1), ("B (part 2)", 2), ("B (part 3)", 3)]
+    assert [(r.line_start, r.line_end) for r in got] == [(1, 2), (3, 4), (4, 4), (4, 4)]
 
 
-def test_bm25_by_hand(spark):
+def test_chunks_are_numbered_among_those_that_stay(spark):
+    text = "intro\n# A\n" + "word " * 20 + "\n# B\nx\n# C\n" + "more " * 20
+    got = chunking.heading_chunks(md(spark, text), "file", "text").orderBy("ord").collect()
+    assert [(r.ord, r.heading) for r in got] == [(0, "A"), (1, "C")]
+    f = chunking.fixed_chunks(md(spark, " \n" * 60 + "y" * 60, "z" * 300), "file", "text", 100, 10).orderBy("source", "ord").collect()
+    assert [(r.source, r.ord, r.heading, r.line_start, r.line_end, r.char_count) for r in f][:2] == [("f0.md", 0, "chunk-0", 46, 61, 60), ("f1.md", 0, "chunk-0", 1, 1, 100)]
+    assert [r.ord for r in f if r.source == "f1.md"] == [0, 1, 2]
+
+
+def test_bm25_by_hand(spark, tmp_path):
     import math
 
     docs = spark.createDataFrame([(1, "apple banana apple"), (2, "banana cherry"), (3, "")], "id long, text string")
     q = spark.createDataFrame([(0, "apple apple banana")], "qid long, text string")
-    got = {r.id: r.score for r in search.bm25(search.postings(docs, "id", "text"), search.statistics(docs, "text"), q).collect()}
+    index = search.build(docs, str(tmp_path / "index"))
+    assert {(r.id, r.term, r.tf, r.dl) for r in index.postings.collect()} == {(1, "apple", 2, 3), (1, "banana", 1, 3), (2, "banana", 1, 2), (2, "cherry", 1, 2)}
+    got = {r.id: r.score for r in search.bm25(index, q).collect()}
     idf = lambda df: math.log(1 + (3 - df + 0.5) / (df + 0.5))
     w = lambda df, tf, dl: idf(df) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / (5 / 3)))
     assert got == {1: pytest.approx(2 * w(1, 2, 3) + w(2, 1, 3), abs=1e-6), 2: pytest.approx(w(2, 1, 2), abs=1e-6)}
 
 
+#: A small corpus of our own: a question for each file, and the type it has.
+CORPUS = [
+    ("bugfix-log/login-loop.md", "bugfix", "Users were sent back to the login form because the session cookie expired at once. The clock of the container was behind.", "why do users return to the login form"),
+    ("bugfix-log/slow-invoices.md", "bugfix", "Invoices took minutes to print since every line asked the currency table again. A join in one statement mended it.", "invoices print slowly"),
+    ("architecture/queue.md", "architecture", "Orders pass through a message queue so that payment and shipping can fail without each other. Messages are kept for a week.", "how do orders reach shipping when payment fails"),
+    ("architecture/storage.md", "architecture", "Pictures live in an object store and their thumbnails in a cache. The database keeps paths only.", "where do pictures and thumbnails live"),
+    ("api/customers.md", "api", "The customers endpoint lists accounts by page. Each request needs a token in its header and answers with a cursor.", "page through customer accounts"),
+    ("api/webhooks.md", "api", "Partners register a webhook address. Each delivery is signed and retried with growing pauses.", "are webhook deliveries retried"),
+    ("setup/laptop.md", "setup", "Install the compiler and the container engine, then copy the sample environment file and start all services.", "install a new laptop"),
+    ("setup/backup.md", "setup", "A nightly job dumps the database to another region. Restoring takes an hour and is rehearsed each quarter.", "restore the nightly dump"),
+    ("tests/checkout.md", "test", "A buyer with an empty basket must not reach checkout. Steps: open the shop, remove all goods, press the button.", "empty basket at checkout"),
+    ("best-practices/reviews.md", "best-practice", "Small changes are reviewed within a day. Reviewers ask before they demand and name the line they mean.", "how soon are changes reviewed"),
+]
+
+
+def test_search_finds_the_right_files(spark, tmp_path):
+    docs = spark.createDataFrame([(s, s, t, x, 1, 1) for s, t, x, _ in CORPUS], "id string, source string, type string, text string, line_start int, line_end int")
+    index = search.build(docs, str(tmp_path / "index"))
+    q = spark.createDataFrame([(i, x[3]) for i, x in enumerate(CORPUS)], "qid long, text string")
+    gold = spark.createDataFrame([(i, x[0]) for i, x in enumerate(CORPUS)], "qid long, id string")
+    for ranked in (search.hybrid(index, q), search.top(search.bm25(index, q), 5)):
+        e = search.evaluate(ranked, gold).first()
+        assert e.p_at_1 >= 0.5 and e.p_at_k >= 0.7 and e.mrr >= 0.5
+    typed = search.hybrid(index, q, 3, "api").collect()
+    assert typed and {r.type for r in typed} == {"api"} and typed[0].location.endswith(":1-1")
+    assert {r.relevance >= 50 for r in search.hybrid(index, q, least=50).collect()} <= {True}
+    again = search.Index.read(spark, str(tmp_path / "index"))
+    assert search.bm25(again, q).count() == search.bm25(index, q).count()
+    files = spark.createDataFrame([(0, "api/customers.md")], "qid long, path string")
+    assert search.file_context(again, files, 4, 10).where("rank = 1").first().text == "The custom"
+
+
+def test_gold_pairs_share_a_run_of_words(spark):
+    words = " ".join(f"word{i}" for i in range(12))
+    d = spark.createDataFrame([(1, "before " + words[:70] + " after"), (2, "word1 word2 word3"), (3, words)], "id long, text string")
+    assert {(r.qid, r.id) for r in search.shared_runs(d, spark.createDataFrame([(9, words)], "qid long, text string")).collect()} == {(9, 1), (9, 3)}
+
+
 def test_relevance_is_a_share_of_the_best(spark):
     h = spark.createDataFrame([(0, "a", 10.0), (0, "b", 5.0), (0, "c", 0.0)], "qid long, id string, score double")
     assert {r.id: r.relevance for r in search.relevance(h).collect()} == {"a": 100.0, "b": 50.0, "c": 0.0}
@@ -74,8 +126,8 @@ def test_evaluation(spark):
 
 
 def test_heading_jumps(spark):
-    got = {r.file: r.level for r in quality.heading_jumps(md(spark, "# a\n### b\n", "### a\n## b\n", "# a\n## b\n### c\n", "# a\n```\n#### x\n```\n", "# a\n## b\n# c\n### d\n")).collect()}
-    assert got == {"f0.md": 3}
+    got = {r.file: r.level for r in quality.heading_jumps(md(spark, "# a\n### b\n", "### a\n## b\n", "# a\n## b\n### c\n", "# a\n```\n#### x\n```\n", "# a\n## b\n# c\n### d\n", "### a\n# b\n### c\n", "---\nx: 1\n---\n# a\n##### b\n### c\n")).collect()}
+    assert got == {"f0.md": 3, "f6.md": 5}
 
 
 BUGFIX = "# Fix\n## Root Cause\nA description that is long enough to say what it has to say.\n## 🔧 Solution\nA description that is long enough to say what it has to say.\n## **Lesson Learned**\nA description that is long enough to say what it has to say.\n"
@@ -88,11 +140,29 @@ def test_required_sections(spark):
     assert {m for f, s, r, m in got if r == "R10"} == {"missing section Steps", "missing section Expected Result"}
     assert ("tests/c.md", "warning", "R11", "thin section Scenario") in got
     assert not [g for g in got if g[0] in ("bugfix-log/a.md", "bugfix-log/README.md")]
+    whole = {(r.file, r.rule) for r in quality.content_issues(d, whole=True).collect()}
+    assert ("bugfix-log/b.md", "R9") in whole and not [r for _, r in whole if r == "R10"]
     kept, why = quality.gate(d, quality.content_issues(d))
     assert {r.file for r in kept.collect()} == {"bugfix-log/a.md", "bugfix-log/README.md"}
     assert {r.file for r in why.collect()} == {"bugfix-log/b.md", "tests/c.md"}
 
 
+def test_rules_on_single_files(spark):
+    head = "---\nid: x\nowner: me\nstatus: draft\n---\n"
+    long = "A sentence that says enough to be of use to whoever reads it, and then says so again, to be sure of it."
+    files = {"a.md": head + "# T\n", "b.md": f"# T\n{long}\n", "c.md": f"## T\n{long}\n", "d.md": long, "e.md": "# T\nForty characters of text stand on this line.\n", "f.md": "```\n# in a fence\n```\n" + long, "g.txt": "", "x/README.md": "", "x/y/README.md": ""}
+    d = spark.createDataFrame(list(files.items()), "file string, text string")
+    got = {}
+    for r in quality.content_issues(d).collect():
+        got.setdefault(r.file, set()).add((r.severity, r.rule, r.message))
+    assert got == {
+        "a.md": {("warning", "R4", "very short: 0"), ("info", "R12", "unknown key owner"), ("warning", "R13", "status draft")}, "c.md": {("info", "R7", "first heading has level 2")}, "d.md": {("info", "R6", "no headings")},
+        "e.md": {("info", "R5", "short: 44")}, "f.md": {("info", "R6", "no headings")}, "x/y/README.md": {("warning", "R4", "very short: 0"), ("info", "R6", "no headings")},
+    }
+    report = [r.line for r in quality.report(quality.content_issues(d), "p", 2).orderBy("pos").collect()]
+    assert report[:2] == ["**Quality 94/100** (p)", "Critical: 0, warnings: 3, notes: 6"] and len(report) == 4 and report[2].startswith("- [warning] **a.md**")
+
+
 def test_score_caps_each_severity(spark):
     i = spark.createDataFrame([("critical",)] * 9 + [("warning",)] * 2 + [("info",)] * 50, "severity string")
     assert quality.score(i).first().asDict() == {"n_critical": 9, "n_warning": 2, "n_info": 50, "score": 36}
@@ -113,6 +183,7 @@ def events(spark, rows):
 
 
 def test_impact(spark):
+    assert usage.impact(events(spark, [(1, 0, "search_result", "t", False), (1, 3600 * 24 * 31, "x", None, None)])).first().searches == 0
     r = usage.impact(events(spark, [(1, 0, "search_result", "search_docs", True), (1, 5, "guardrail_report", None, None)])).first()
     assert (r.minutes_observed, r.minutes_saved, r.hours_saved, r.found, r.fixed) == (10.0, 27.5, 0.46, 4, 1)
 
@@ -163,29 +234,105 @@ def test_incremental(spark):
 
 
 def test_code_units(spark):
-    py = '"""Doc."""\nimport os, sys\nfrom a import b\n\nclass K:\n    def m(self): pass\n\ndef _h(): pass\n'
-    u = code.python_units(spark.createDataFrame([("a.py", py), ("b.py", "def ("), ("c.py", None)], "path string, text string")).orderBy("path").collect()
-    assert (sorted(u[0].symbols), u[0].docstring, u[0].import_count, u[0].public_functions) == (["K", "_h", "m"], "Doc.", 2, 1)
-    assert (u[1].symbols, u[1].import_count) == ([], 0)
-    ts = "/** Says\n * it. */\nimport x from 'x'\nexport function f() {}\nexport class K {}\n"
+    py = '"""Doc."""\nimport os, sys\nfrom a import b\n\nclass K:\n    """A class."""\n    def m(self): pass\n\nasync def _h(): pass\ndef f():\n    import x\n'
+    u = code.python_units(spark.createDataFrame([("a.py", py), ("b.py", "def ("), ("c.py", None), ("d.py", '"""Only a module."""\nx = 1'), ("e.py", "def f(): pass")], "path string, text string")).orderBy("path").collect()
+    assert (u[0].symbols, u[0].docstring, u[0].import_count, u[0].public_functions, u[0].has_docstrings) == (["class K", "_h", "f", "m"], "A class.", 3, 2, True)
+    assert [(x.symbols, x.docstring, x.import_count, x.has_docstrings) for x in u[1:]] == [([], "", 0, False), ([], "", 0, False), ([], "Only a module.", 0, True), (["f"], "", 0, False)]
+    ts = "/** Says\n * it. */\nimport x from 'x'\nrequire('y')\nconst a = 1\nexport async function f() {}\nexport class K {}\nlet _own = 2\n"
     r = code.script_units(spark.createDataFrame([("a.ts", ts)], "path string, text string")).first()
-    assert (r.symbols, r.import_count, r.public_functions) == (["f", "K"], 1, 1)
-    assert r.docstring.startswith("Says")
+    assert (r.symbols, r.import_count, r.public_functions, r.docstring, r.has_docstrings) == (["a", "f", "K", "_own"], 2, 3, "Says it.", True)
+
+
+def test_a_code_base_end_to_end(spark):
+    files = {
+        "src/main.py": '"""The entry point."""\nimport os\nimport sys\nfrom pathlib import Path\n\ndef run():\n    """Run it."""\n\nclass App:\n    def start(self): pass\n',
+        "src/utils.py": "def help_me(x):\n    return x\n", "src/api.ts": "/** The client. */\nimport a from 'a'\nimport b from 'b'\nexport function get() {}\n", "README.md": "# Read\n", "config/package.json": "{}",
+        "node_modules/x/index.js": "x", "src/__pycache__/u.py": "x", "src/logo.PNG": "x", ".hidden/a.py": "x", "out/b.py": "x",
+    }
+    d = spark.createDataFrame([(p, t, len(t)) for p, t in files.items()], "path string, text string, size long")
+    u = code.units(code.source_files(d)).cache()
+    assert {r.path: (r.language, r.category, r.score, r.line_count) for r in u.collect()} == {
+        "src/main.py": ("python", "api", 6.8, 10), "src/utils.py": ("python", "best-practices", 0.6, 2), "src/api.ts": ("typescript", "api", 6.0, 4), "README.md": ("other", "docs", 0.0, 1), "config/package.json": ("other", "docs", 0.0, 0)
+    }
+    assert [r.path for r in code.to_document(u, 3).collect()] == ["src/main.py", "src/api.ts", "src/utils.py"]
+    assert [r.folder for r in code.undocumented(u).collect()] == ["config"]
+    assert tuple(code.totals(u).first()) == (5, 17, 3)
+    assert [(r.language, r.n) for r in code.ranked(code.distributions(u)).where("level = 1").collect()] == [("other", 2), ("python", 2), ("typescript", 1)]
 
 
 def test_source_files_skip_folders(spark):
-    d = spark.createDataFrame([("src/a.py", 10), ("node_modules/b.js", 10), (".git/c", 10), ("gen/d.py", 10), ("src/e.py", 600_000)], "path string, size long")
+    d = spark.createDataFrame([("src/a.py", 10), ("node_modules/b.js", 10), (".git/c", 10), ("gen/d.py", 10), ("src/e.py", 600_000), ("src/f.lock", 1), ("out/g.py", 1)], "path string, size long")
     ignored = spark.createDataFrame([("gen/",), ("# src",), ("",)], "part string")
     assert [r.path for r in code.source_files(d, ignored).collect()] == ["src/a.py"]
 
 
+def test_near_duplicates_cluster_around_seeds_in_order(spark):
+    import math
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0]
+    # b is near a and c; c is near b only, and so seeds a cluster of its own with d
+    v = spark.createDataFrame([("a", at(0)), ("b", at(20)), ("c", at(40)), ("d", at(60)), ("a2", at(0)), ("z", [0.0, 0.0, 1.0]), ("n", [0.0, 0.0, 0.0])], "id string, vec array<double>")
+    got = {r.seed: (r.files, r.n, r.similarity) for r in classify.duplicate_clusters(v).collect()}
+    near = round(math.cos(math.radians(20)), 3)
+    assert got == {"a": (["a", "a2", "b"], 3, round((1 + near) / 2, 3)), "c": (["c", "d"], 2, near)}
+    assert classify.duplicate_clusters(v.where("id IN ('a', 'z')")).count() == 0
+
+
+def test_clusters_equal_the_greedy_rule(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.standard_normal((12, 8))
+    x = np.concatenate([base[i % 12] + 0.22 * r.standard_normal(8) for i in range(90)]).reshape(90, 8).round(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    used, want = set(), {}
+    for i in range(90):
+        if i not in used:
+            near = [j for j in range(i + 1, 90) if j not in used and u[i] @ u[j] >= 0.92]
+            if near:
+                used |= {i, *near}
+                want[i] = [i, *near]
+    got = {c.seed: c.files for c in classify.duplicate_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).collect()}
+    assert got == want
+
+
+def test_a_plan_is_numbered_and_sums_up(spark):
+    f = spark.createDataFrame([("notes/api.md", "api", 0.65), ("api/x.md", "api", 0.95), ("y.md", "setup", 0.65), ("z.md", "docs", 0.3)], "rel_path string, category string, confidence double")
+    clusters = spark.createDataFrame([(["y.md", "z.md"], 0.987)], "files array<string>, similarity double")
+    actions = classify.plan(f.select("rel_path"), f, clusters, ["api", "setup", "tests"])
+    assert [(r.id, r.type, r.path, r.destination) for r in actions.orderBy(F.col("id")).collect()] == [
+        ("a1", "create_dir", "setup/", None), ("a2", "create_dir", "tests/", None), ("a3", "move", "notes/api.md", "api/api.md"), ("a4", "move", "y.md", "setup/y.md"), ("a5", "flag_review", None, None)]
+    s = classify.plan_summary(f, actions, spark.createDataFrame([(1,)], "n long"), spark.createDataFrame([(80,)], "score long")).first()
+    assert (s.total_files, s.categories, s.misplaced, s.clusters, s.folders_to_create, s.actions, s.score_projected) == (4, 3, 2, 1, 2, 5, 86)
+    assert {tuple(r) for r in classify.decided(actions, spark.createDataFrame([("a3",), ("a9",)], "id string")).collect()} == {("a3", "move"), ("a9", "unknown")}
+    moved = {r.rel_path: r.proposed_destination for r in classify.inventory(f, actions).collect()}
+    assert moved == {"notes/api.md": "api/api.md", "api/x.md": None, "y.md": "setup/y.md", "z.md": None}
+
+
+def test_numbering_does_without_one_task(spark):
+    from corpusloom.sources.store import numbered
+
+    d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    got = numbered(d, "n", F.col("x")).collect()
+    assert sorted((r.x, r.n) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_progress_and_search_counters(spark):
+    d = spark.createDataFrame([(1, 8), (3, 8), (0, 0), (1, 1)], "a int, b int").select(usage.progress(F.col("a"), F.col("b")))
+    assert [r[0] for r in d.collect()] == [12, 38, 0, 100]
+    e = events(spark, [(1, 0, "search_result", "search_docs", True), (1, 9, "search_result", "other", False), (1, 99, "tool_call", "search_docs", None)])
+    r = usage.searches(e, ["search_docs", "search_tests"]).first()
+    assert (r.searches, r.hits, r.misses, r.by_tool, r.last_search.second) == (2, 1, 1, {"search_docs": 1, "search_tests": 0}, 9)
+
+
 @pytest.mark.parametrize(
     ("path", "content", "want"),
     [
         ("a.html", "<h1>T</h1><script>x</script><ul><li>one</li><li>two</li></ul><p>say <code>c</code></p><table><tr><td>1</td><td>2</td></tr></table><pre>x\ny</pre>", "# T\n\n- one\n\n- two\n\nsay `c`\n\n| 1 | 2 |\n\n```\nx\ny\n```"),
         ("a.html", "<body></body>", None),
-        ("a.rst", "=====\nTitle\n=====\n\nPart\n----\n\n.. code-block:: python\n\n   x = 1\n\nend", "# Title\n\n## Part\n\n```python\nx = 1\n```\nend"),
-        ("a.csv", "a,b\n1\n1,2,3\n", "| a | b |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"),
+        ("a.rst", "-----\nTitle\n-----\n\nPart\n~~~~\n\n.. code-block:: python\n\n   x = 1\n\nend", "\n# Title\n\n\n\n### Part\n\n\n\n```\nx = 1\n\n```\n\nend"),
+        ("a.rst", "Other\n*****\ntext", "\n## Other\n\ntext"),
+        ("a.csv", "a,b\n1\n\n1,2,3\n", "| a | b |\n| --- | --- |\n| 1 |  |\n|  |  |\n| 1 | 2 |"),
         ("a.csv", "", "(empty)"),
         ("a.json", '{"k":"é"}', '```json\n{\n  "k": "é"\n}\n```'),
         ("a.json", "{no", "```json\n{no\n```"),
@@ -198,11 +345,11 @@ def test_parsers(spark, path, content, want):
 
 
 def test_files_to_markdown(spark, tmp_path):
-    for name, body in {"a.txt": "hi", "b.md": "# B", "c.yaml": "k: v", "d.bin": "x", "sub/e.html": "<p>x</p>"}.items():
+    for name, body in {"a.txt": "hi", "b.md": "# B", "c.yaml": "k: v", "d.bin": "x", "sub/e.html": "<p>x</p>", "f.json": "{}", "g.csv": "a"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(body)
     got = {r.path.rsplit("/", 1)[1]: r.text for r in formats.to_markdown(formats.discover(spark, str(tmp_path))).collect()}
-    assert got == {"a.txt": "# a.txt\n\nhi", "b.md": "# B", "c.yaml": "```yaml\nk: v\n```", "e.html": "# e.html\n\nx"}
+    assert got == {"a.txt": "# a.txt\n\nhi", "b.md": "# B", "c.yaml": "# c.yaml\n\n```yaml\nk: v\n```", "e.html": "# e.html\n\nx", "f.json": "# f.json\n\n```json\n{}\n```", "g.csv": "# g.csv\n\n| a |\n| --- |"}
 
 
 def test_nested_repositories_are_left_out(spark):
