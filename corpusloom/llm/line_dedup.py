@@ -7,7 +7,7 @@ A run counts if it has `min_lines` lines, or fewer with more than `many_words` w
    windows have equal fingerprints at equal offsets, so no shared run that counts goes unseen.
 2. Positions are joined by fingerprint; those whose fingerprint stands nowhere else end there.
 3. Matches are extended both ways: a position brings each way to extend its line, to the left and to the right, to a
-   window that it is the fingerprint of, with a digest of the lines. Positions with equal extensions match; the
+   window that it is the fingerprint of, with a digest of the lines' digests. Positions with equal extensions match; the
    extensions of neighbouring fingerprints overlap, and so chain up to whole runs of any length.
 4. Of equal extensions the first by (id, line) stays; each line of a later one is deleted.
 
@@ -36,23 +36,27 @@ MANY_WORDS = 50
 def fingerprints(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
     """doc, id, pos, fp of each line that is the fingerprint of a window, and runs: left (lines before it), n, win (128-bit digest) of each such window."""
     reach = min_lines - 1
-    k = keyed(docs, id_col, text_col).withColumn("lines", F.split("text", "\n", -1))
-    none = F.array_repeat(F.lit(None).cast("string"), reach)
-    k = k.withColumn("padded", F.concat(none, "lines", none))
+    k = keyed(docs, id_col, text_col)
+    # each line is digested and its words are counted once; only that goes on, and not the line
+    said = lambda x: F.length(F.translate(F.regexp_replace(x, r"\S+", "x"), " \t\n\x0b\f\r", ""))
+    k = k.select("doc", "id", F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.unhex(F.md5(x)).alias("d"), said(x).alias("w"))).alias("lines"))
+    none = F.array_repeat(F.lit(None).cast(k.schema["lines"].dataType.elementType), reach)
+    k = k.select("doc", "id", F.size("lines").alias("n"), F.concat(none, "lines", none).alias("padded"))
     # column i holds the line i - reach places from the position; nulls outside the text
-    around = [F.slice("padded", F.lit(i + 1), F.size("lines")).alias(f"l{i}") for i in range(2 * reach + 1)]
-    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*around)).alias("pos", "x")).select("doc", "id", "pos", "x.*")
-    w = w.select("*", *[F.xxhash64(f"l{i}").alias(f"h{i}") for i in range(2 * reach + 1)], *[F.regexp_count(f"l{i}", F.lit(r"\S+")).alias(f"w{i}") for i in range(1, 2 * reach)])
+    around = [F.slice("padded", F.lit(i + 1), F.col("n")).alias(f"l{i}") for i in range(2 * reach + 1)]
+    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*around)).alias("pos", "x"))
+    w = w.select("doc", "id", "pos", *[F.col(f"x.l{i}.d").alias(f"d{i}") for i in range(2 * reach + 1)], *[F.col(f"x.l{i}.w").alias(f"w{i}") for i in range(1, 2 * reach)])
+    w = w.select("*", *[F.xxhash64(f"d{i}").alias(f"h{i}") for i in range(2 * reach + 1)])
     own = F.col(f"h{reach}")
 
     def window(left: int, n: int) -> Column:
         """The window of n lines that begins `left` lines before the position, if it counts and this line is its fingerprint."""
         at = range(reach - left, reach - left + n)
-        there = F.col(f"l{at[0]}").isNotNull() & F.col(f"l{at[-1]}").isNotNull()
+        there = F.col(f"d{at[0]}").isNotNull() & F.col(f"d{at[-1]}").isNotNull()
         if n < min_lines:
             there &= reduce(Column.__add__, [F.col(f"w{i}") for i in at]) > many_words
         least = [own <= F.col(f"h{i}") if i < reach else own < F.col(f"h{i}") for i in at if i != reach]
-        win = F.unhex(F.md5(F.concat_ws("\n", *[F.col(f"l{i}") for i in at])))
+        win = F.unhex(F.md5(F.concat(*[F.col(f"d{i}") for i in at])))
         return F.when(reduce(Column.__and__, [there, *least]), F.struct(F.lit(left).alias("left"), F.lit(n).alias("n"), win.alias("win")))
 
     runs = F.filter(F.array(*[window(left, n) for n in range(1, min_lines + 1) for left in range(n)]), lambda x: x.isNotNull())
@@ -61,8 +65,9 @@ def fingerprints(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_c
 
 def repeated_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
     """doc, start and n of each window that equals an earlier one."""
-    marks = written(fingerprints(docs, min_lines, id_col, text_col, many_words).distinct(), "fingerprints")
-    seen = marks.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp")
+    marks = written(fingerprints(docs, min_lines, id_col, text_col, many_words), "fingerprints")
+    at = F.struct("doc", "pos")  # repeated rows are the same places again
+    seen = marks.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
     near = marks.join(seen, "fp", "left_semi").select("id", "doc", "pos", F.explode("runs").alias("x"))
     near = near.select(F.struct("id", "doc", (F.col("pos") - F.col("x.left")).alias("start")).alias("at"), F.col("x.n").alias("n"), F.col("x.win").alias("win"))
     first = near.groupBy("win").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("win", "first")
