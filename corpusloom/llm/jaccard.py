@@ -2,10 +2,14 @@
 
 1. Each text becomes the set of its five-word shingles, as 64-bit hashes (a text of fewer words is one shingle).
    Texts with equal sets are one class, which goes on as one row with a count.
-2. A forest of trees sorts the classes by prefixes of their MinHash signatures. Matched prefixes start at full depth
-   and are shortened until a pair of exactly the threshold meets in some tree with the target probability. Classes
-   that meet and whose signatures agree in about as many places as the threshold asks (less four deviations) are
-   joined into regions; a region's size follows from its members, no pair is listed.
+2. A forest of tries holds the classes' MinHash labels, sorted by tree and prefix. Matched prefixes start at full
+   depth and are shortened step by step. At each depth, classes that meet are compared by their whole signatures, each
+   pair once: where it meets deepest, in the first of these trees. From the pairs found so far and how alike they are,
+   the share that the forest still misses at this depth is estimated; shortening ends when it is within the target,
+   or at the depth at which even pairs of exactly the threshold meet with the target probability. So a corpus of close
+   copies ends early, and one with pairs near the threshold goes all the way. Pairs whose signatures agree in about as
+   many places as the threshold asks (less four deviations) join their classes into regions; a region's size follows
+   from its members, no pair is listed.
 3. In each region, every class brings its shingles once for each tile, and exact similarities decide its links.
    Links are counted in the tile; a spanning set of them gives the final classes.
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keyed, written
+from corpusloom.llm.common import keyed, small_batches, written
 from corpusloom.llm.components import components
 from corpusloom.llm.tiles import links, tiled
 
@@ -38,9 +42,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+def met(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """The probability that a pair shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
     """The deepest prefix at which a pair of the threshold's similarity meets in some tree with the given probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and met(threshold, depth) < recall:
         depth -= 1
     return depth
 
@@ -148,41 +157,81 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return k.select("doc", "id", "text").mapInArrow(work, f"doc binary, id {id_type}, cls binary, n_shingles int, sig binary")
 
 
-def _prefixes(reps: DataFrame, depth: int) -> DataFrame:
-    """node, tree, prefix (its hash) of each class in each tree."""
+def _tries(reps: DataFrame, least: int) -> DataFrame:
+    """node, tree and the hashes of its label's prefixes of depth `least` to DEPTH (columns p<depth>), of each class in each tree."""
+    names = [f"p{d}" for d in range(least, DEPTH + 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = len(batch)
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(m, TREES, DEPTH)[:, :, :depth]
-            h = np.zeros((m, TREES), np.uint64)
-            for i in range(depth):
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(m, TREES, DEPTH)
+            h, cols = np.zeros((m, TREES), np.uint64), []
+            for i in range(DEPTH):
                 h = _mixed(h * _BASE + sig[:, :, i].astype(np.uint64) + np.uint64(1))
+                if i + 1 >= least:
+                    cols.append(pa.array(h.reshape(-1).view(np.int64)))
             take = pa.array(np.repeat(np.arange(m), TREES))
-            yield pa.RecordBatch.from_arrays([batch["node"].take(take), pa.array(np.tile(np.arange(TREES, dtype=np.int32), m)), pa.array(h.reshape(-1).view(np.int64))], names=["node", "tree", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["node"].take(take), pa.array(np.tile(np.arange(TREES, dtype=np.int32), m)), *cols], names=["node", "tree", *names])
 
-    return reps.select("node", "sig").mapInArrow(work, "node binary, tree int, prefix long")
+    rows = reps.select("node", "sig").mapInArrow(work, "node binary, tree int, " + ", ".join(f"{n} long" for n in names))
+    return rows.repartition("tree", names[0]).sortWithinPartitions("tree", *names)
 
 
-def _alike(least: int):
-    """Pairs whose signatures agree in `least` places."""
+def _alike(least: int, depth: int, depths: list[int], threshold: float):
+    """Pairs whose signatures agree in `least` places, that meet at `depth` and no deeper, and here first.
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    With each pair, if it is as alike as the threshold by its signatures: one, and for each of `depths` how many pairs
+    like it the forest misses at that depth for one that it finds.
+    """
+    size = TREES * DEPTH
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         of = lambda x: np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1)
         u, v = of(a), of(a if b is None else b)
-        first, second = [], []
+        first, second, agree = [], [], []
         step = max(1, 8_000_000 // (v.size or 1))
         for i in range(0, len(u), step):
-            hit = (u[i : i + step, None, :] == v[None, :, :]).sum(axis=2) >= least
-            x, y = np.nonzero(hit)
+            n = (u[i : i + step, None, :] == v[None, :, :]).sum(axis=2)
+            x, y = np.nonzero(n >= least)
             first.append(x + i)
             second.append(y)
-        i, j = np.concatenate(first), np.concatenate(second)
-        return (i[i < j], j[i < j]) if b is None else (i, j)
+            agree.append(n[x, y])
+        i, j, n = np.concatenate(first), np.concatenate(second), np.concatenate(agree)
+        if b is None:
+            keep = i < j
+            i, j, n = i[keep], j[keep], n[keep]
+        new = np.zeros(len(i), bool)
+        for at in range(0, len(i), 100_000):
+            part = slice(at, at + 100_000)
+            deep = np.cumprod((u[i[part]] == v[j[part]]).reshape(-1, TREES, DEPTH), axis=2, dtype=np.uint8).sum(axis=2)
+            new[part] = (deep.max(axis=1) == depth) & ((deep >= depth).argmax(axis=1) == a["tree"].iloc[0])
+        i, j, s = i[new], j[new], n[new] / size
+        counts = np.stack([np.ones(len(s)), *[(1 - met(s, d)) / met(s, d) for d in depths]], axis=1) * (s >= threshold)[:, None]
+        return i, j, counts
 
     return compare
 
 
+def _forest(reps: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """node and root of each class in each tile in which it has an alike one, and the depth at which shortening ended."""
+    floor, size = least_depth(threshold, recall), TREES * DEPTH
+    least = math.floor(size * threshold - 4 * math.sqrt(size * threshold * (1 - threshold)))
+    tries = written(_tries(reps, floor), "tries")
+    depths = list(range(DEPTH, floor - 1, -1))
+    sums = ("seen", *[f"missed{d}" for d in depths])
+    edges, total = None, dict.fromkeys(sums, 0.0)
+    for depth in depths:
+        rows = tries.select("node", "tree", F.col(f"p{depth}").alias("prefix"))
+        tile = tiled(rows, ["tree", "prefix"], "node", SIDE).join(reps.select("node", "sig", F.lit(1).alias("one")), "node")
+        now = written(links(tile, ["tree", "prefix"], "node", "one", _alike(least, depth, depths, threshold), "binary", sums), "met")
+        edges = now if edges is None else edges.unionByName(now)
+        got = now.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]).first()
+        total = {c: total[c] + got[c] for c in sums}
+        if total["seen"] and total[f"missed{depth}"] <= (1 - recall) * (total["seen"] + total[f"missed{depth}"]):
+            break
+    return edges.select("node", "root"), depth
+
+
 def _similar(threshold: float):
     """Pairs of shingle sets at or above the threshold: shared shingles are counted column by column, in slices."""
 
@@ -231,15 +280,10 @@ def _shingled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc (see common.doc_key), id, cls, n_shingles, n_links, n_copies, group (16 bytes; null without shingles), group_id (its least id)."""
-    sigs = written(signatures(docs, id_col, text_col), "signatures")
+    sigs = written(signatures(small_batches(docs), id_col, text_col), "signatures")
     reps = sigs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     reps = written(reps.withColumnRenamed("cls", "node"), "classes")
-    depth = prefix_depth(threshold, recall)
-    prefixes = written(_prefixes(reps, depth), "prefixes")
-    met = tiled(prefixes, ["tree", "prefix"], "node", SIDE).join(reps.select("node", "sig", F.lit(1).alias("one")), "node")
-    size = TREES * DEPTH
-    least = math.floor(size * threshold - 4 * math.sqrt(size * threshold * (1 - threshold)))
-    edges = written(links(met, ["tree", "prefix"], "node", "one", _alike(least), "binary"), "met")
+    edges, _ = _forest(reps, threshold, recall)
     regions = components(edges.select(F.col("node").alias("u"), F.col("root").alias("v")), "regions")
     wanted = regions.join(reps.select("node", "doc", "n"), "node").select("doc", "node", "n", F.col("component").alias("region"))
     exact = tiled(_shingled(docs, wanted, id_col, text_col), ["region"], "node", EXACT_SIDE)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Compare = Callable[[pd.DataFrame, pd.DataFrame | None], tuple[np.ndarray, np.ndarray]]
+Compare = Callable[[pd.DataFrame, pd.DataFrame | None], tuple[np.ndarray, ...]]
 
 
 def tiled(rows: DataFrame, keys: list[str], by: str, side: int) -> DataFrame:
@@ -62,11 +62,12 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(dealt: DataFrame, keys: list[str], node: str, weight: str, compare: Compare, schema: str) -> DataFrame:
-    """node, n_links (the partners' weights summed) and root of each member of each tile that has a link there.
+def links(dealt: DataFrame, keys: list[str], node: str, weight: str, compare: Compare, schema: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """node, n_links (the partners' weights summed) and root of each member of each tile that has a link there, and sums.
 
     compare(a, None) gives the linked pairs i < j of one chunk; compare(a, b) those of a's i and b's j. schema: the
-    node's SQL type.
+    node's SQL type. With sums, compare also gives a row of so many numbers for each pair; columns of these names hold
+    the sums over the pairs in which the member is the first one.
     """
     tile = [*keys, "ti", "tj"]
 
@@ -76,14 +77,14 @@ def links(dealt: DataFrame, keys: list[str], node: str, weight: str, compare: Co
             if group["ti"].iloc[0] == group["tj"].iloc[0]:
                 if len(group) < 2:
                     continue
-                i, j = compare(group, None)
+                i, j, *more = compare(group, None)
                 members = group
             else:
                 first = (group["chunk"] == group["ti"]).to_numpy()
                 a, b = group[first], group[~first]
                 if not len(a) or not len(b):
                     continue
-                i, j = compare(a, b)
+                i, j, *more = compare(a, b)
                 members, j = pd.concat([a, b]), j + len(a)
             if not len(i):
                 continue
@@ -97,11 +98,12 @@ def links(dealt: DataFrame, keys: list[str], node: str, weight: str, compare: Co
             rank[order] = np.arange(len(order))
             root = nodes[order][union_find(len(members), rank[i], rank[j])[rank]]
             has = n > 0
-            out.append(pd.DataFrame({"node": nodes[has], "n_links": n[has], "root": root[has]}))
+            extra = {c: np.bincount(i, more[0][:, k], len(members))[has] for k, c in enumerate(sums)}
+            out.append(pd.DataFrame({"node": nodes[has], "n_links": n[has], "root": root[has]} | extra))
             if len(out) >= 200:
                 yield pd.concat(out)
                 out = []
         if out:
             yield pd.concat(out)
 
-    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInPandas(work, f"node {schema}, n_links long, root {schema}")
+    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInPandas(work, f"node {schema}, n_links long, root {schema}" + "".join(f", {c} double" for c in sums))
