@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import small_batches, written
 from corpusloom.llm.components import components
 from corpusloom.llm.tiles import links, tiled
 
@@ -42,48 +42,65 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     d = vectors.select(vectors[id_col].alias("node"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("vec")).where(fine & vectors[id_col].isNotNull())
     d = d.withColumn("cls", F.unhex(F.md5(F.array_join(F.col("vec").cast("array<string>"), ","))))
-    return d.groupBy("cls").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    return d.groupBy("cls").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("vec").alias("vec"))  # first: all are equal
 
 
-def hashed(c: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """cls, node, n, dim, tab, code, unit (the vector at length one, doubles as bytes), codes (of all tables, as bytes)."""
+def _units(packed: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one length at length one, in double precision."""
+    v = np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(float)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _codes(units: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """The code of each vector in each table: the signs of its products with random planes, which depend on the seed and the length alone."""
+    planes = np.random.default_rng([seed, units.shape[1]]).standard_normal((units.shape[1], bits * tables))
+    signs = (units @ planes > 0).reshape(len(units), tables, bits)
+    return (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
+
+
+def packed(c: DataFrame, kind: str) -> DataFrame:
+    """node, n, vec (as bytes) and dim of classes."""
+    id_type = c.schema["node"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            for dim in np.unique(sizes := np.array([len(x) for x in batch["vec"]])):
-                at = np.flatnonzero(sizes == dim)
-                part = batch.take(pa.array(at))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((dim, bits * tables))
-                v = part["vec"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-                signs = (v @ planes[dim] > 0).reshape(len(v), tables, bits)
-                codes = (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
-                each = np.repeat(np.arange(len(v)), tables)
-                unit = pa.array([x.tobytes() for x in v], pa.binary())
-                packed = pa.array([x.tobytes() for x in codes], pa.binary())
-                take = pa.array(each)
-                yield pa.RecordBatch.from_arrays(
-                    [part["node"].take(take), part["n"].take(take), pa.array(np.full(len(each), dim, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), pa.array(codes.reshape(-1)), unit.take(take), packed.take(take)],
-                    names=["node", "n", "dim", "tab", "code", "unit", "codes"],
-                )
-
-    return c.select("node", "n", "vec").mapInArrow(work, "node long, n long, dim int, tab int, code int, unit binary, codes binary")
-
-
-def _comparer(threshold: float):
-    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-        def of(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(b"".join(x["unit"])).reshape(len(x), -1), np.frombuffer(b"".join(x["codes"]), np.int32).reshape(len(x), -1)
+            v = [np.array(x, kind).tobytes() for x in batch["vec"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], pa.array(v, pa.binary()), pa.array([len(x) // np.dtype(kind).itemsize for x in v], pa.int32())], names=["node", "n", "vec", "dim"])
+
+    return c.select("node", "n", "vec").mapInArrow(work, f"node {id_type}, n long, vec binary, dim int")
+
 
-        (u, cu), (v, cv) = of(a), of(a if b is None else b)
+def hashed(vectors: DataFrame, kind: str, bits: int, tables: int, seed: int) -> DataFrame:
+    """node, dim, tab, code of packed vectors: small rows, one for each table."""
+    id_type = vectors.schema["node"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["dim"].to_numpy()
+            for dim in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                codes = _codes(_units(part["vec"].to_pylist(), kind), bits, tables, seed)
+                each = np.repeat(np.arange(len(part)), tables)
+                yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(each)), pa.array(np.full(len(each), dim, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(codes.reshape(-1))], names=["node", "dim", "tab", "code"])
+
+    return vectors.select("node", "dim", "vec").mapInArrow(work, f"node {id_type}, dim int, tab int, code int")
+
+
+def _comparer(threshold: float, kind: str, bits: int, tables: int, seed: int):
+    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+        u = _units(list(a["vec"]), kind)
+        v = u if b is None else _units(list(b["vec"]), kind)
         i, j = np.nonzero(u @ v.T >= threshold)
         if b is None:
             i, j = i[keep := i < j], j[keep]
+        if not len(i):
+            return i, j
+        # of rows with links the codes of all tables: a pair counts in the first one in which it agrees
         tab = a["tab"].iloc[0]
-        new = (cu[i, :tab] != cv[j, :tab]).all(axis=1)
+        of = lambda x, at: (np.unique(at, return_inverse=True)[1], _codes(x[np.unique(at)], bits, tables, seed))
+        (p, cu), (q, cv) = of(u, i), of(v, j)
+        new = (cu[p, :tab] != cv[q, :tab]).all(axis=1)
         return i[new], j[new]
 
     return compare
@@ -92,11 +109,16 @@ def _comparer(threshold: float):
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept, n_copies (other rows with the same vector)."""
     v = vectors[vec_col]
-    c = written(classes(vectors, id_col, vec_col), "vectors")
+    c = written(classes(small_batches(vectors), id_col, vec_col), "vectors")
     bits, tables = plan(c.count(), threshold, recall)
-    rows = hashed(c, bits, tables, seed)
+    # single precision as it comes loses nothing, and products are taken in double precision
+    kind = "f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "f8"
+    v4 = written(packed(c, kind), "packed")
     keys = ["tab", "dim", "code"]
-    found = written(links(tiled(rows, keys, "node", SIDE), keys, "node", "n", _comparer(threshold), "long"), "found")
+    # buckets are sized and cut by small rows; each vector then goes once to each tile that it is in
+    dealt = tiled(hashed(v4, kind, bits, tables, seed), keys, "node", SIDE).join(v4.select("node", "n", "vec"), "node")
+    id_type = c.schema["node"].dataType.simpleString()
+    found = written(links(dealt, keys, "node", "n", _comparer(threshold, kind, bits, tables, seed), id_type), "found")
     near = found.groupBy("node").agg(F.sum("n_links").alias("near"))
     # a node that stands for several classes (a repeated id) has one component
     parts = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "edges")

@@ -75,9 +75,25 @@ def test_jaccard_join_of_nothing_and_of_repeated_rows(spark):
 
 
 def test_prefixes_are_shortened_until_the_recall_is_met():
-    k = jaccard.prefix_depth()
+    k = jaccard.least_depth()
     miss = lambda k: (1 - 0.8**k) ** jaccard.TREES
     assert miss(k) <= 1 - jaccard.RECALL < miss(k + 1)
+    assert abs(jaccard.met(0.8, k) - (1 - miss(k))) < 1e-12
+
+
+@pytest.mark.parametrize(("changed", "ends"), [(0, jaccard.DEPTH), (6, None)])
+def test_close_copies_end_the_shortening_early(spark, changed, ends):
+    r = random.Random(12)
+    rows = []
+    for g in range(30):
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        rows += [" ".join(base), " ".join([*base, "end"]), " ".join(x if i % 50 or not changed else f"v{r.randrange(10**6)}" for i, x in enumerate(base))]
+    d = spark.createDataFrame(list(enumerate(rows)), DOC)
+    reps = jaccard.signatures(d, "doc_id", "text").groupBy(F.col("cls").alias("node")).agg(F.first("sig").alias("sig"))
+    edges, depth = jaccard._forest(reps.cache(), jaccard.THRESHOLD, jaccard.RECALL)
+    assert depth == ends if ends else jaccard.least_depth() <= depth < jaccard.DEPTH
+    assert edges.count() >= 60
+    assert jaccard.near_duplicate_report(d).where("n_links >= 1").count() == 90
 
 
 def test_shingles_don_t_depend_on_the_batch():
@@ -107,6 +123,10 @@ def test_embeddings_equal_brute_force(spark, noisy, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 907))
     assert got[None].component_id is None and got[None].n_links == 0
     assert embeddings.near_duplicates(d.where("false")).count() == 0
+    named = d.where("vec_id < 150").withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 3, "0"))).withColumn("tab", F.lit(0)).withColumn("code", F.lit(1)).withColumn("cls", F.lit("c"))
+    few = linked(150, zip(*np.nonzero(close[:150, :150]), strict=True))
+    got = embeddings.near_duplicates(named.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()
+    assert {x.vec_id: x.component_id for x in got} == {f"v{i:03d}": f"v{few[i]:03d}" for i in range(150)}
 
 
 def test_more_vectors_take_more_bits_and_tables():
