@@ -324,12 +324,13 @@ def repeated_spans(d: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, mos
     while True:
         # n: how often a stretch occurs. Where it is above one, an earlier round has found that all its windows repeat
         groups = rows.groupBy("kh").agg(F.sum("n").alias("all"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("all > 1").select("kh", (F.col("lo") == F.col("hi")).alias("pure"))
-        shared = written(rows.join(groups, "kh"), "stretches")
+        # what is joined was written: then Spark splits a join at a key of very many rows, which it can't behind an aggregate
+        shared = written(rows.join(written(groups, "groups"), "kh"), "stretches")
         mixed = shared.where("NOT pure")
         kinds = mixed.groupBy("kh", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "at", "p", "q")).alias("first"))
         kinds = written(kinds.select("kh", "sh", "n", "first.*"), "kinds")
         copied = mixed.where("n = 1").join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi")
-        several = kinds.groupBy("kh").agg((F.count("*") > most).alias("hot"))
+        several = written(kinds.groupBy("kh").agg((F.count("*") > most).alias("hot")), "sizes")
         wanted = kinds.join(several, "kh").groupBy("k1", "k2").agg(F.collect_list(F.struct("k1", "k2", "at", "kh", "n", "p", "q", "hot")).alias("wanted"))
         # texts are shuffled once: the caller's join has the same exchange
         bodies = _bodies(d.join(wanted, ["k1", "k2"]).select("bytes", "wanted"), length, anchor, key)
