@@ -1,8 +1,8 @@
 """Connected components of a table of links, by rounds of large-star and small-star joins.
 
 No node's links are ever gathered: a round takes minima with partial aggregation and sort-merge joins, which Spark
-splits where a node has very many links. Each round's links are written to the shared folder, which cuts lineage and
-survives lost executors. The driver sees a count and a checksum a round.
+splits where a node has very many links, as the minima are written before they are joined. Each round's links are
+written to the shared folder, too, which cuts lineage and survives lost executors. The driver sees a count and a checksum a round.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from corpusloom.llm.common import written
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(moved)
 
@@ -42,4 +42,4 @@ def components(links: DataFrame, what: str = "links") -> DataFrame:
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         seen = state
-        now = written(_down(_small_star(_down(_large_star(now)))), what)
+        now = written(_down(_small_star(written(_down(_large_star(now)), what))), what)
