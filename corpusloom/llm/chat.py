@@ -1,59 +1,71 @@
 """Chat formatting: logged snapshots that a longer conversation begins with are collapsed, the rest is rendered.
 
-A service that logs a conversation after each turn leaves its every prefix behind. Each turn gets a rolling hash of
-all turns up to it: the exclusive or of two 64-bit hashes of (place, role, text), so that one running aggregate
-makes it and 128 bits tell prefixes apart. A conversation whose whole hash is a proper prefix hash of another one
-goes; of equal conversations the one with the least id stays. The anti-join runs on distinct hashes: a first turn
-or a whole conversation that a third of all logs share is one row on either side.
+A service that logs a conversation after each turn leaves its every prefix behind. A conversation's turns meet in one
+row, as they must to be rendered, and are folded once: each turn gets a rolling hash of all turns up to it, SHA-256 of
+the last hash and the turn's role and text. Half of it, 128 bits of a hash that nobody can make collide, stands for
+the prefix. A conversation whose whole hash is a proper prefix hash of another one goes; of equal conversations the
+one with the least id stays. The anti-join runs on distinct hashes: a first turn or a whole conversation that a third
+of all logs share is one row on either side.
 
 Turns are ordered by turn, then role, then text; repeated rows are turns of their own. Nulls: a null turn comes
 first; a null role or text is rendered as empty, and is equal to no other value. A row without conversation id is a
 conversation of its own and keeps a null id; equal ones collapse as any others. Other columns are ignored. An empty
-table gives no rows. A conversation is rendered as one string, so its turns meet in one row, as they must.
+table gives no rows. Very long texts are hashed and rendered whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small_side, written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _ordered(turns: DataFrame) -> DataFrame:
-    """conv (a binary key), id, place, n (turns), times (rows it stands for), role, text, and the rolling hashes a and b."""
+def _said(value: Column) -> Column:
+    """A value with its length ahead, so that neighbours can't be mistaken; null differs from any."""
+    return F.coalesce(F.concat(F.lit("="), F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """conv (a key), id, n (turns), times (rows it stands for), hashes (of each prefix, the whole last), turns (sorted structs)."""
     t = turns.select(turns["conv_id"].alias("id"), turns["turn"].alias("turn"), turns["role"].alias("role"), turns["text"].alias("text"))
-    # xxhash64 skips nulls, so say where they are
-    said = [F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    one, two = F.xxhash64(F.lit(17), *said), F.xxhash64(F.lit(101), *said)
-    whole = Window.partitionBy("conv")
-    upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    named = t.where("id IS NOT NULL").withColumn("conv", F.concat(F.lit("="), F.col("id").cast("string"))).withColumn("place", F.row_number().over(whole.orderBy("turn", "role", "text")))
-    named = named.select("conv", "id", "place", F.count("*").over(whole).alias("n"), F.lit(1).cast("long").alias("times"), "role", "text", F.bit_xor(one).over(upto).alias("a"), F.bit_xor(two).over(upto).alias("b"))
+    turn = F.struct("turn", "role", "text")
+    one = F.lit(1).cast("long").alias("times")
+    named = t.where("id IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select(F.concat(F.lit("="), F.col("id").cast("string")).alias("conv"), "id", one, "turns")
     # counted before they are moved: very many rows without id may be equal
-    alone = t.where("id IS NULL").groupBy("id", "role", "text").agg(F.count("*").alias("times")).withColumn("place", F.lit(1))
-    key = F.md5(F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("role", "text")]))
-    return named.unionByName(alone.select(key.alias("conv"), "id", "place", F.lit(1).cast("long").alias("n"), "times", "role", "text", one.alias("a"), two.alias("b")))
+    alone = t.where("id IS NULL").groupBy("id", "role", "text").agg(F.count("*").alias("times"), F.first("turn").alias("turn"))
+    alone = alone.select(F.concat(F.lit("-"), F.sha2(F.concat(_said(F.col("role")), _said(F.col("text"))), 256)).alias("conv"), "id", "times", F.array(turn).alias("turns"))
+    c = named.unionByName(alone)
+    begin = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
+
+    def step(a: Column, x: Column) -> Column:
+        h = F.sha2(F.concat(a["last"], _said(x["role"]), _said(x["text"])), 256)
+        return F.struct(h.alias("last"), F.concat(a["all"], F.array(h)).alias("all"))
+
+    # rows of one element: the fold is made once, and not again for each column that reads it
+    folded = c.select("conv", "id", "times", "turns", F.inline(F.array(F.struct(F.aggregate("turns", begin, step, lambda a: a["all"]).alias("hashes")))))
+    return folded.select("conv", "id", F.size("turns").alias("n"), "times", F.transform("hashes", lambda h: F.unhex(F.left(h, F.lit(32)))).alias("hashes"), "turns")
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv, id, n_turns, n_copies of each conversation that stays."""
-    t = _ordered(turns).select("conv", "id", "place", "n", "times", "a", "b")
-    whole = t.where("place = n").groupBy("a", "b", "place").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "conv")).alias("first"), F.sum("times").alias("n_copies"))
-    inner = t.where("place < n").select("a", "b", "place").distinct()
-    left = whole.join(inner, ["a", "b", "place"], "left_anti")
-    return left.select("first.conv", "first.id", F.col("place").alias("n_turns"), "n_copies")
+def maximal_conversations(c: DataFrame) -> DataFrame:
+    """conv, id, n_turns, n_copies of each of the conversations that stays."""
+    whole = c.select(F.element_at("hashes", -1).alias("h"), "conv", "id", "n", "times")
+    whole = whole.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "conv")).alias("first"), F.sum("times").alias("n_copies"), F.max("n").alias("n"))
+    inner = c.where("n > 1").select(F.explode(F.slice("hashes", F.lit(1), F.col("n") - 1)).alias("h")).distinct()
+    return whole.join(inner, "h", "left_anti").select("first.conv", "first.id", F.col("n").alias("n_turns"), "n_copies")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Per conversation that stays: conv_id, n_turns, n_copies, chat. A marker inside a text gets a space after its first sign."""
-    kept = maximal_conversations(turns).select("conv", "id", "n_turns", "n_copies")
     safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
-    line = F.concat(F.lit(OPEN), safe(F.col("role")), F.lit("\n"), safe(F.col("text")), F.lit(CLOSE + "\n"))
-    t = _ordered(turns).select("conv", F.struct("place", line.alias("line")).alias("turn"))
-    chats = t.join(kept.select("conv"), "conv", "left_semi").groupBy("conv").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    text = F.array_join(F.transform("turns", lambda x: x["line"]), "")
-    return kept.join(chats, "conv").select(F.col("id").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), text.alias("chat"))
+    line = lambda x: F.concat(F.lit(OPEN), safe(x["role"]), F.lit("\n"), safe(x["text"]), F.lit(CLOSE + "\n"))
+    c = conversations(turns)
+    c = written(c.select("conv", "id", "n", "times", "hashes", F.array_join(F.transform("turns", line), "").alias("chat")), "conversations")
+    kept = written(maximal_conversations(c.drop("chat")), "kept")
+    out = c.select("conv", "chat").join(small_side(kept, F.lit(100)), "conv")
+    return out.select(F.col("id").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), "chat")
 
 
 def oracle() -> str:

@@ -22,6 +22,24 @@ def test_chats_keep_maximal_conversations(spark, noisy):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chats_of_long_texts_ties_and_look_alikes(spark):
+    long = "x" * 300_000
+    t = [(1, 0, "u", long), (2, 0, "u", long), (2, 1, "a", "y"), (3, 0, "u", "a"), (3, 0, "u", "a"), (4, 0, "u", "a"), (5, 0, "u=1:", "b"), (6, 0, "u", "=1:b"), (7, None, "u", "q"), (8, 3, "u", "q"), (9, 0, None, "z"), (10, 0, "", "z")]
+    got = sorted((r.conv_id, r.n_turns, r.n_copies) for r in chat.format_chats(spark.createDataFrame(t, "conv_id long, turn long, role string, text string")).collect())
+    assert got == [(2, 2, 1), (3, 2, 1), (5, 1, 1), (6, 1, 1), (7, 1, 2), (9, 1, 1), (10, 1, 1)]
+    named = spark.createDataFrame([("b", 0, "u", "a"), ("a", 0, "u", "a")], "conv_id string, turn long, role string, text string")
+    assert [(r.conv_id, r.n_copies) for r in chat.format_chats(named).collect()] == [("a", 2)]
+
+
+def test_licences_of_nothing_and_of_very_long_texts(spark):
+    known = spark.createDataFrame([("MIT", licences.NOTICES["MIT"])], "license_id string, text string")
+    assert licences.scan(spark.createDataFrame([], DOC), known).count() == 0
+    long = "prose of many words\n" * 20_000 + licences.NOTICES["MIT"]
+    r = licences.scan(spark.createDataFrame([(1, long, "s")], DOC), known).first()
+    assert (r.license_id, r.line_licenses, r.n_license_lines) == (None, "MIT", 1)
+    assert licences.scan(spark.createDataFrame([(1, "x", "s")], DOC), known.where("false")).first().line_licenses == ""
+
+
 PY = [
     ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
