@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_key, small_side
+from corpusloom.llm.common import doc_key, sized, written
 
 COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 #: The same behind comment signs or other signs. The registered SQL keeps the plain form.
@@ -109,14 +109,17 @@ def digests(known: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, digest, license_id (of the whole text), line_licenses (comma-joined, sorted), n_license_lines."""
-    look = small_side(digests(known), F.lit(120))
+    look, small = sized(written(digests(known), "known"), F.lit(120))
+    wide = F.broadcast(look) if small else look
     text = docs[text_col]
     c = docs.select(docs[id_col].alias("doc_id"), doc_key(docs[id_col], F.coalesce(text, F.lit(""))).alias("doc"), canonical_lines(text).alias("lines"))
-    c = c.select("doc_id", "doc", whole_digest(F.col("lines")).alias("digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines"))
+    # normalised and digested once: the whole text's digest and the lines' are read from there
+    c = written(c.select("doc_id", "doc", whole_digest(F.col("lines")).alias("digest"), F.transform("lines", lambda x: F.unhex(F.sha2(x, 256))).alias("lines")), "digests")
     d = c.select("doc_id", "doc", "digest")
-    found = c.select("doc", F.posexplode("lines").alias("line", "digest")).join(look, "digest").groupBy("doc", "line").agg(F.first("license_id").alias("license_id"))
+    short = look.select(F.unhex("digest").alias("key"), "license_id")
+    found = c.select("doc", F.posexplode("lines").alias("line", "key")).join(F.broadcast(short) if small else short, "key").groupBy("doc", "line").agg(F.first("license_id").alias("license_id"))
     by = found.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
-    out = d.join(look, "digest", "left").join(by, "doc", "left")
+    out = d.join(wide, "digest", "left").join(by, "doc", "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
