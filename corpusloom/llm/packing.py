@@ -12,8 +12,8 @@ packed each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
-import sys
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -40,8 +40,13 @@ class WordIds:
     """Ids of texts by a tokenizer that splits texts into words and treats each word alone, the words' ids being remembered.
 
     Its way of splitting is followed for texts of plain Latin letters; any other text goes through the tokenizer whole.
+    So does every text if the file says that it splits otherwise.
     """
 
+    #: What the file must say for that: its normal form and its words.
+    NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
     #: Beside other scripts: controls, which differ between engines, and what may start a special token.
     other = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İɐ-\U0010ffff]|<\\|")
     word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\\s{_ranges('LN')}]+")
@@ -51,6 +56,11 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        first, *rest = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        rest_fine = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex")
+        self.by_words = said.get("normalizer") == self.NORMAL and first == self.SPLIT and rest_fine
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,7 +75,7 @@ class WordIds:
 
     def of(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
-        if self.other.search(text):
+        if not self.by_words or self.other.search(text):
             return self._encode(text)
         words = self.word.findall(text.lower())
         known = self.known
@@ -175,12 +185,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) ->
     return pack(pieces(docs, tokenizer, sequence), sequence)
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = "/opt/tokenizers") -> str:
-    """Where a public tokenizer's file lies, by the module that ships it or in a folder."""
-    try:
-        import public_tokenizers
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies, by the module that ships it."""
+    import public_tokenizers
 
-        return str(public_tokenizers.path(name))
-    except ModuleNotFoundError:
-        print(f"public_tokenizers can't be imported; {folder} is used", file=sys.stderr)
-        return f"{folder}/{name}"
+    return str(public_tokenizers.path(name))

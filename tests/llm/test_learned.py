@@ -340,6 +340,17 @@ def test_token_ids_equal_the_tokenizer_s(spark):
         assert np.frombuffer(w.of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_are_used_whole(name):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(name)
+    w, t = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not w.by_words and packing.WordIds(packing.tokenizer_path()).by_words
+    for x in ["Hello World's 12", "a  b\n"]:
+        assert np.frombuffer(w.of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_packing(spark, noisy):
     from tokenizers import Tokenizer
 
