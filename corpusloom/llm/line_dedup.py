@@ -68,11 +68,12 @@ def repeated_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", te
     marks = written(fingerprints(docs, min_lines, id_col, text_col, many_words), "fingerprints")
     at = F.struct("doc", "pos")  # repeated rows are the same places again
     seen = marks.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
-    # what is joined was written: then Spark splits a join at a line of very many places, which it can't behind an aggregate
-    near = marks.join(written(seen, "shared"), "fp", "left_semi").select("id", "doc", "pos", F.explode("runs").alias("x"))
+    # what is joined was written: then Spark splits a join at a line of very many places, which it can't behind an
+    # aggregate; sorted and merged at any size, these joins are the same plan on little and on much
+    near = marks.join(written(seen, "shared").hint("merge"), "fp", "left_semi").select("id", "doc", "pos", F.explode("runs").alias("x"))
     near = near.select(F.struct("id", "doc", (F.col("pos") - F.col("x.left")).alias("start")).alias("at"), F.col("x.n").alias("n"), F.col("x.win").alias("win"))
     first = near.groupBy("win").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("win", "first")
-    return near.join(written(first, "first"), "win").where("at <> first").select("at.doc", "at.start", "n")
+    return near.join(written(first, "first").hint("merge"), "win").where("at <> first").select("at.doc", "at.start", "n")
 
 
 def drop_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
