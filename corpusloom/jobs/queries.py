@@ -788,6 +788,32 @@ def undocumented_folders(spark, d):
     return code.first_folders(code.undocumented(_units(spark, d)))
 
 
+_CHECK = _issue_v(False).replace("FROM fm_v),", "FROM (SELECT CASE WHEN turn % 3 = 0 THEN 'bugfix-log' WHEN turn % 3 = 1 THEN 'tests' ELSE 'docs' END || '/' || conv_id || '-' || turn || '.md' AS file, '# ' || role || chr(10) || '## Solution' || chr(10) || text AS text FROM conversations WHERE text IS NOT NULL)),", 1).split("UNION ALL SELECT file, 'info', 'R12'")[0].rstrip() + ")"
+
+
+@query("WITH " + _CHECK.lstrip(", ") + " SELECT regexp_extract(file, '([^/]*)\\.md$', 1) AS key, severity, rule, message FROM iss")
+def checked_contents(spark, d):
+    c = table(spark, d, "conversations").where("text IS NOT NULL")
+    category = F.when(F.col("turn") % 3 == 0, "bugfix").when(F.col("turn") % 3 == 1, "test").otherwise("docs")
+    t = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), category.alias("category"), F.concat(F.lit("# "), "role", F.lit("\n## Solution\n"), "text").alias("text"))
+    return quality.check_content(t)
+
+
+@query("SELECT doc_id, path, NOT list_contains(string_split(path, '/'), '..') AND NOT starts_with(path, '/') AS inside, array_to_string(list_transform(string_split(folder, '-'), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') AS title FROM (SELECT doc_id, ['best-practices', 'bugfix-log', 'api'][doc_id % 3 + 1] AS folder, CASE doc_id % 4 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'a..b/' ELSE '' END || source || CASE WHEN doc_id % 5 = 0 THEN '/..' ELSE '' END AS path FROM documents)")
+def safe_paths(spark, d):
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 4 == 0, "../").when(i % 4 == 1, "/").when(i % 4 == 2, "a..b/").otherwise(""), F.col("source"), F.when(i % 5 == 0, "/..").otherwise(""))
+    folder = F.when(i % 3 == 0, "best-practices").when(i % 3 == 1, "bugfix-log").otherwise("api")
+    return _docs(spark, d).select("doc_id", path.alias("path"), render.inside(path).alias("inside"), render.title_case(folder).alias("title"))
+
+
+@query(sql("SELECT rel_path FROM docs_v WHERE folder NOT IN ('api', 'notes')", "docs_v"))
+def outside_nested_roots(spark, d):
+    f = views.files(_docs(spark, d)).select(F.col("rel_path").alias("path"))
+    roots = spark.createDataFrame([("api",), ("notes",)], "root string")
+    return formats.outside(f, roots).select(F.col("path").alias("rel_path"))
+
+
 # rendering
 
 @query("""SELECT p_partkey, 'bugfix-log/2024-01-01-' || sl || '.md' AS path, '---' || chr(10) || 'id: bugfix-2024-01-01-' || sl || chr(10) || 'type: bugfix' || chr(10) || 'status: active' || chr(10) || 'replaces: []' || chr(10) || 'depends_on: []' || chr(10) || 'fixes: []' || chr(10) || 'implements: []' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || chr(10) || chr(10) || '**Date:** 2024-01-01  ' || chr(10) || '**Tags:** ' || p_brand || '  ' || chr(10) || '**Affected files:** ' || chr(10) || chr(10) || '## Root Cause' || chr(10) || p_type || chr(10) || chr(10) || '## Solution' || chr(10) || p_brand || chr(10) || chr(10) || '## Lesson Learned' || chr(10) || 'size ' || p_size || chr(10) AS text

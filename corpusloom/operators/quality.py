@@ -102,6 +102,14 @@ def content_issues(files: DataFrame, whole: bool = False) -> DataFrame:
     return f.select("file", F.explode(issues).alias("i")).select("file", "i.severity", "i.rule", "i.message")
 
 
+def check_content(texts: DataFrame) -> DataFrame:
+    """The rules on single files for texts that are no files yet (key, category, text), as if they stood in the category's folder: key, severity, rule, message."""
+    folder = F.when(F.col("category") == "bugfix", "bugfix-log").when(F.col("category") == "test", "tests").otherwise(F.col("category"))
+    f = texts.select(F.concat(folder, F.lit("/"), F.col("key").cast("string"), F.lit(".md")).alias("file"), "text")
+    key = F.regexp_extract("file", r"([^/]*)\.md$", 1)
+    return content_issues(f).select(key.alias("key"), "severity", "rule", "message")
+
+
 def tree_issues(files: DataFrame, expected: list[str]) -> DataFrame:
     """Rules on the tree: expected folders without files, no README at the root, stray files at the root, folders not expected."""
     spark = files.sparkSession

@@ -42,67 +42,68 @@ def fenced(body: Column, kind: str) -> Column:
 
 
 class _Html(HTMLParser):
-    """Headings, lists, paragraphs, code and table rows of a page; scripts, styles and page furniture are dropped."""
+    """The blocks of a page in the order in which they open: headings, list items, paragraphs, code and table rows.
+
+    A block holds all text within it, also that of blocks inside; such blocks come again by themselves. Text outside of
+    blocks is left out, and so are scripts, styles and page furniture with all that they hold.
+    """
 
     DROPPED = ("script", "style", "nav", "footer", "header")
-    BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "tr")
+    BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "tr", "code")
+    VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open: list[tuple[str, list[str]]] = []
-        self.skip = 0
-        self.cells: list[str] = []
+        self.open: list[tuple[str, list[str]]] = []  # a tag and the pieces of text in it
+        self.out: list[tuple[str, str, list[str], list[list[str]]]] = []  # tag, the tag around it, pieces, cells' pieces
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.DROPPED:
-            self.skip += 1
-        elif not self.skip:
-            if tag == "code" and self.open and self.open[-1][0] != "pre":
-                self.open[-1][1].append("`")
-            if tag in self.BLOCKS:
-                if tag == "p" and self.open and self.open[-1][0] == "p":
-                    self.close()
-                self.open.append((tag, []))
-            if tag in ("td", "th"):
-                self.open.append((tag, []))
+        if tag in self.VOID:
+            return
+        pieces: list[str] = []
+        dropped = tag in self.DROPPED or any(t in self.DROPPED for t, _ in self.open)
+        if not dropped and tag in self.BLOCKS:
+            self.out.append((tag, self.open[-1][0] if self.open else "", pieces, []))
+        if not dropped and tag in ("td", "th"):
+            for t, _, of, cells in self.out:
+                if t == "tr" and any(of is held for _, held in self.open):
+                    cells.append(pieces)
+        self.open.append((tag, pieces))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.DROPPED:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip:
-            if tag == "code" and self.open and self.open[-1][0] != "pre":
-                self.open[-1][1].append("`")
-            if any(t == tag for t, _ in self.open):
-                while self.open[-1][0] != tag:
-                    self.close()
-                self.close()
+        if any(t == tag for t, _ in self.open):  # what is open inside ends, too
+            while self.open.pop()[0] != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if not self.skip and self.open:
-            self.open[-1][1].append(data)
-
-    def close(self) -> None:
-        if not self.open:
-            return super().close()
-        tag, said = self.open.pop()
-        text = "".join(said) if tag == "pre" else " ".join("".join(said).split())
-        if tag in ("td", "th"):
-            self.cells.append(text)
-        elif tag == "tr":
-            if self.cells:
-                self.out.append("| " + " | ".join(self.cells) + " |")
-            self.cells = []
-        elif text:
-            self.out.append({"p": text, "li": f"- {text}", "pre": f"```\n{text}\n```"}.get(tag) or "#" * int(tag[1]) + f" {text}")
+        if not any(t in self.DROPPED for t, _ in self.open):
+            for _, pieces in self.open:
+                pieces.append(data)
+
+    def lines(self) -> Iterator[str]:
+        bare = lambda pieces: "".join(x.strip() for x in pieces)
+        for tag, around, pieces, cells in self.out:
+            if tag == "pre":
+                yield f"\n```\n{''.join(pieces)}\n```\n"
+            elif tag == "code":
+                if around != "pre":
+                    yield f"`{''.join(pieces)}`"
+            elif tag == "tr":
+                if cells:
+                    yield "| " + " | ".join(map(bare, cells)) + " |"
+            elif tag == "li":
+                yield f"- {bare(pieces)}"
+            elif tag != "p":
+                yield f"\n{'#' * int(tag[1])} {bare(pieces)}\n"
+            elif text := bare(pieces):
+                yield f"\n{text}\n"
 
 
 def html_markdown(text: str) -> str | None:
     p = _Html()
     p.feed(text)
-    while p.open:
-        p.close()
-    return "\n\n".join(p.out) or None
+    p.close()
+    return "\n".join(p.lines()).strip() or None
 
 
 #: Signs that lines over and under titles are made of, and the level of a title by the line under it.

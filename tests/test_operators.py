@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -163,6 +164,12 @@ def test_rules_on_single_files(spark):
     assert report[:2] == ["**Quality 94/100** (p)", "Critical: 0, warnings: 3, notes: 6"] and len(report) == 4 and report[2].startswith("- [warning] **a.md**")
 
 
+def test_contents_are_checked_before_they_are_files(spark):
+    d = spark.createDataFrame([("k1", "bugfix", BUGFIX), ("k2", "bugfix", "# T\n"), ("k3", "docs", "# T\n"), ("k4", "test", "# T\n")], "key string, category string, text string")
+    got = Counter((r.key, r.rule) for r in quality.check_content(d).collect())
+    assert got == {("k2", "R9"): 3, ("k2", "R4"): 1, ("k3", "R4"): 1, ("k4", "R4"): 1, ("k4", "R10"): 3}
+
+
 def test_score_caps_each_severity(spark):
     i = spark.createDataFrame([("critical",)] * 9 + [("warning",)] * 2 + [("info",)] * 50, "severity string")
     assert quality.score(i).first().asDict() == {"n_critical": 9, "n_warning": 2, "n_info": 50, "score": 36}
@@ -328,7 +335,9 @@ def test_progress_and_search_counters(spark):
 @pytest.mark.parametrize(
     ("path", "content", "want"),
     [
-        ("a.html", "<h1>T</h1><script>x</script><ul><li>one</li><li>two</li></ul><p>say <code>c</code></p><table><tr><td>1</td><td>2</td></tr></table><pre>x\ny</pre>", "# T\n\n- one\n\n- two\n\nsay `c`\n\n| 1 | 2 |\n\n```\nx\ny\n```"),
+        ("a.html", "<h1> T </h1><script>x</script><ul><li>one</li><li>two</li></ul><p>say <code>c</code></p><table><tr><td>1</td><td>2</td></tr></table><pre>x\ny</pre>", "# T\n\n- one\n- two\n\nsayc\n\n`c`\n| 1 | 2 |\n\n```\nx\ny\n```"),
+        ("a.html", "<nav><p>no</p></nav>text<ul><li><p>in</p></li></ul><pre><code>k</code></pre><p> </p><code>a b</code><header>h</header>", "- in\n\nin\n\n\n```\nk\n```\n\n`a b`"),
+        ("a.html", "<p>open <b>bold</p><p>next<br>line</p><h6>deep</h6>", "openbold\n\n\nnextline\n\n\n###### deep"),
         ("a.html", "<body></body>", None),
         ("a.rst", "-----\nTitle\n-----\n\nPart\n~~~~\n\n.. code-block:: python\n\n   x = 1\n\nend", "\n# Title\n\n\n\n### Part\n\n\n\n```\nx = 1\n\n```\n\nend"),
         ("a.rst", "Other\n*****\ntext", "\n## Other\n\ntext"),
