@@ -293,9 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = reps.select("node", "n").join(near, "node", "left").join(groups, "node", "left")
     per = per.select(F.col("node").alias("cls"), (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"), (F.col("n") - 1).alias("n_copies"), F.coalesce("component", "node").alias("group"))
     out = written(sigs.select("doc", "id", "cls", "n_shingles").join(per, "cls", "left"), "grouped")
-    least_id = out.groupBy("group").agg(F.min("id").alias("group_id"))
+    least_id = written(out.where("group IS NOT NULL").groupBy("group").agg(F.min("id").alias("group_id")), "least")  # a join can be split only behind what was written
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.join(least_id.where("group IS NOT NULL"), "group", "left").select("doc", "id", "cls", F.col("n_shingles").cast("long").alias("n_shingles"), zero("n_links"), zero("n_copies"), "group", F.coalesce("group_id", "id").alias("group_id"))
+    return out.join(least_id, "group", "left").select("doc", "id", "cls", F.col("n_shingles").cast("long").alias("n_shingles"), zero("n_links"), zero("n_copies"), "group", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
