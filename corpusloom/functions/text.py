@@ -82,6 +82,12 @@ def meaningful_text(text: Column) -> Column:
     return stripped(out)
 
 
+def plain_heading(text: Column) -> Column:
+    """A heading without marks, pictograms and white space at either end."""
+    signs = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{1FA00}-\x{1FAFF}]+"
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"[*_`~]+", ""), signs, ""))
+
+
 def comma_list(text: Column) -> Column:
     """The parts of a comma-separated list, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")

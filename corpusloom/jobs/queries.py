@@ -598,6 +598,29 @@ def index_run_statistics(spark, d):
     return incremental.run_statistics(*_states(spark, d), rejected)
 
 
+_RUN_V = _SECTIONS_V + _issue_v(False).replace("FROM fm_v),", "FROM (SELECT rel_path AS file, md AS text FROM md_v)),", 1).split("UNION ALL SELECT file, 'info', 'R12'")[0].rstrip() + "), ok AS (SELECT doc_id, rel_path FROM docs_v WHERE doc_id % 13 <> 0 AND rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical'))"
+
+
+def _run(spark, d):
+    """A run over the tree of now, on what a run over the tree of before would have left."""
+    f = views.markdown(_docs(spark, d)).select("doc_id", F.col("rel_path").alias("path"), F.col("md").alias("text"))
+    before = f.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n## Gone\n" + "old words " * 9))).otherwise(F.col("text")))
+    empty = spark.createDataFrame([], "chunk_id string, source string, ord int, heading string, heading_path string, text string, char_count int, line_start int, line_end int")
+    chunks, state, _ = incremental.index_run(before, spark.createDataFrame([], "path string, content_md5 string"), empty)
+    return incremental.index_run(f.where("doc_id % 13 <> 0"), state, chunks)
+
+
+@query(sql(_RUN_V + " SELECT DISTINCT left(sha256(rel_path || chr(10) || shown), 16) AS chunk_id, rel_path AS source, heading FROM ch JOIN ok USING (doc_id)", "md_v"))
+def index_update(spark, d):
+    return _run(spark, d)[0].select("chunk_id", "source", "heading")
+
+
+@query(sql(_RUN_V + """, n AS (SELECT rel_path AS path, doc_id, rel_path IN (SELECT rel_path FROM ok) AS good FROM docs_v WHERE doc_id % 13 <> 0), o AS (SELECT rel_path AS path FROM docs_v WHERE doc_id % 11 <> 0 AND rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical'))
+SELECT count(n.path) AS files_seen, count(*) FILTER (good AND o.path IS NULL) AS files_new, count(*) FILTER (good AND o.path IS NOT NULL AND doc_id % 7 = 0) AS files_modified, count(*) FILTER (good AND o.path IS NOT NULL AND doc_id % 7 <> 0) AS files_unchanged, count(*) FILTER (NOT good) AS files_rejected, count(*) FILTER (n.path IS NULL) AS files_removed FROM n FULL JOIN o ON n.path = o.path""", "md_v"))
+def index_update_statistics(spark, d):
+    return _run(spark, d)[2]
+
+
 # telemetry
 
 _CNT_V = f""", cn AS (SELECT project, count(tool) AS total_calls, count(*) FILTER (kind = 'guardrail_report') AS reports, coalesce(sum(found) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS found, coalesce(sum(blocking) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS blocking, coalesce(sum(fixed) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS fixed, count(*) FILTER (tool IN ('search_docs', 'search_by_type', 'search_tests')) AS searches, count(*) FILTER (tool = 'search_bugfixes') AS bugfix_searches, count(*) FILTER (tool = 'write_bugfix_summary') AS bugfix_writes, count(*) FILTER (tool = 'save_session_summary') AS session_saves,

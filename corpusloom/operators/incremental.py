@@ -31,6 +31,31 @@ def upsert(base: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return base.join(last, key, "left_anti").unionByName(last)
 
 
+def index_run(files: DataFrame, state: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index brought in step with files (path, text): its chunks from now on, the state from now on, and the run's statistics.
+
+    state (path, content_md5) and existing (chunk_id, source, ...) are what the last run left. Files with critical issues
+    are not indexed. Only changed files are cut, and their chunks replace those they had; chunks of files that are gone
+    or rejected go. Of equal chunk ids one row stays. If there are no files at all, the index stays as it is. The caller
+    writes the chunks first and the state last, so that a run that fails is made again.
+    """
+    from corpusloom.operators.chunking import heading_chunks
+    from corpusloom.operators.quality import content_issues, gate
+
+    f = files.select(F.col("path").alias("file"), "text")
+    kept, why = gate(f, content_issues(f))
+    now = fingerprints(kept, "file", "text")
+    diff = changed(now, state)
+    new = heading_chunks(kept.join(diff.select(F.col("path").alias("file")), "file", "left_semi"), "file", "text").dropDuplicates(["chunk_id"])
+    any_now = files.agg((F.count("*") > 0).alias("any"))
+    same = now.join(diff.select("path"), "path", "left_anti").select(F.col("path").alias("source"), F.lit(True).alias("same"))
+    stays = existing.join(same, "source", "left").crossJoin(F.broadcast(any_now)).where("same OR NOT any")  # one row
+    chunks = stays.select(new.columns).join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+    after = state.crossJoin(F.broadcast(any_now)).where("NOT any").select("path", "content_md5").unionByName(now)
+    stats = run_statistics(fingerprints(f, "file", "text"), state, why.select(F.col("file").alias("path")))
+    return chunks, after, stats
+
+
 def run_statistics(now: DataFrame, before: DataFrame, rejected: DataFrame) -> DataFrame:
     """files_seen, files_new, files_modified, files_unchanged, files_rejected, files_removed."""
     n = now.select("path", "content_md5").join(rejected.select("path", F.lit(True).alias("rejected")), "path", "left")

@@ -160,3 +160,8 @@ def test_names_paths_and_queries(spark):
     assert [x["n"] for x in r] == ["wiki", "digit", "bit"]
     r = rows(spark, ["a/b.md", "../c", "/etc/x", "a/../b", "a..b/c"], i=render.inside)
     assert [x["i"] for x in r] == [True, False, False, False, True]
+
+
+def test_plain_headings(spark):
+    want = {"🔧 **Root** `Cause` ": "Root Cause", "_a_ ~b~ ✨": "a b", "plain": "plain"}
+    assert {r["x"]: r["h"] for r in rows(spark, want, h=text.plain_heading)} == want

@@ -222,6 +222,25 @@ def test_hydration_lets_the_hot_tier_win(spark):
     assert {tuple(r) for r in usage.hydrate(hot, mirror, "p").collect()} == {(1, 100), (2, 42)}
 
 
+def test_an_index_is_brought_in_step(spark):
+    body = lambda w: f"# {w}\n" + f"{w} " * 30
+    files = lambda **x: spark.createDataFrame([(f"notes/{k}.md", v) for k, v in x.items()], "path string, text string")
+    none = spark.createDataFrame([], "path string, content_md5 string")
+    first = files(a=body("Alpha"), b=body("Beta"), c=body("Gamma"))
+    empty = chunking.heading_chunks(first.select(F.col("path").alias("file"), "text"), "file", "text").where("false")
+    chunks, state, stats = incremental.index_run(first, none, empty)
+    assert {r.heading for r in chunks.collect()} == {"Alpha", "Beta", "Gamma"} and stats.first().files_new == 3
+    second = files(a=body("Alpha"), b=body("Better"), d=body("Delta")).union(spark.createDataFrame([("tests/t.md", "# no sections " + "x" * 90)], "path string, text string"))
+    after, now, stats = incremental.index_run(second, state, chunks)
+    assert {(r.source, r.heading) for r in after.collect()} == {("notes/a.md", "Alpha"), ("notes/b.md", "Better"), ("notes/d.md", "Delta")}
+    assert {r.path for r in now.collect()} == {"notes/a.md", "notes/b.md", "notes/d.md"}
+    assert stats.first().asDict() == {"files_seen": 4, "files_new": 1, "files_modified": 1, "files_unchanged": 1, "files_rejected": 1, "files_removed": 1}
+    again, _, stats = incremental.index_run(second, now, after)
+    assert again.count() == 3 and stats.first().files_unchanged == 3
+    kept, held, _ = incremental.index_run(second.where("false"), now, after)  # a failed scan empties nothing
+    assert kept.count() == 3 and held.count() == 3
+
+
 def test_relations(spark):
     d = spark.createDataFrame([("a.md", "---\nid: adr-42\nreplaces: [adr-17]\n---\n"), ("b.md", "---\nid: adr-17\nstatus: superseded\n---\n"), ("c.md", "---\nid: adr-99\ndepends_on: ghost\n---\n"), ("d.txt", "---\nid: no\n---\n"), ("e.md", "none")], "path string, text string")
     e = relations.entities(d)
