@@ -37,6 +37,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 25, 8
 #: Rows of a chunk when signatures, and when shingle sets are compared.
 SIDE, EXACT_SIDE = 1024, 1024
+#: Bytes of shingle sets in a chunk, besides its largest set.
+CHUNK_BYTES = 16 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -281,12 +283,14 @@ def _shingled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc (see common.doc_key), id, cls, n_shingles, n_links, n_copies, group (16 bytes; null without shingles), group_id (its least id)."""
     sigs = written(signatures(small_batches(docs), id_col, text_col), "signatures")
-    reps = sigs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    reps = sigs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     reps = written(reps.withColumnRenamed("cls", "node"), "classes")
     edges, _ = _forest(reps, threshold, recall)
     regions = components(edges.select(F.col("node").alias("u"), F.col("root").alias("v")), "regions")
-    wanted = regions.join(reps.select("node", "doc", "n"), "node").select("doc", "node", "n", F.col("component").alias("region"))
-    exact = tiled(_shingled(docs, wanted, id_col, text_col), ["region"], "node", EXACT_SIDE)
+    wanted = written(regions.join(reps.select("node", "doc", "n", "n_shingles"), "node").withColumnRenamed("component", "region"), "wanted")
+    # tiles are cut by small rows and by the bytes that sets will take; then each set goes once to each tile that it is in
+    dealt = tiled(wanted.select("node", "n", "region", "n_shingles"), ["region"], "node", EXACT_SIDE, F.col("n_shingles") * 8, CHUNK_BYTES)
+    exact = dealt.join(_shingled(docs, wanted.select("doc", "node"), id_col, text_col), "node")
     found = written(links(exact, ["region"], "node", "n", _similar(threshold), "binary"), "found")
     near = found.groupBy("node").agg(F.sum("n_links").alias("near"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "groups")

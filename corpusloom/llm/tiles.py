@@ -1,7 +1,7 @@
 """Comparing all rows of a group with each other in bounded pieces.
 
-A group of n rows is dealt into c = ceil(n / side) chunks, and each pair of chunks is a tile that one task compares
-with at most about 2 * side rows in memory. What leaves a tile is a row for each of its members with a link: how
+A group of n rows is dealt into c = ceil(n / side) chunks, or more if they would hold too many bytes, and each pair of
+chunks is a tile that one task compares with at most about 2 * side rows, and twice the bytes, in memory. What leaves a tile is a row for each of its members with a link: how
 many links it has there and a member that it is connected with. Pairs are counted where they are found and never
 become rows, so that a group's output grows with its size and not with its square.
 """
@@ -12,19 +12,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import written
+
 Compare = Callable[[pd.DataFrame, pd.DataFrame | None], tuple[np.ndarray, ...]]
 
 
-def tiled(rows: DataFrame, keys: list[str], by: str, side: int) -> DataFrame:
-    """rows of groups with two members at least, once for each tile, with ti and tj (the tile) and chunk (its own)."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("group_size")).where("group_size > 1")
-    sized = rows.join(sizes, keys).withColumn("chunks", F.ceil(F.col("group_size") / side).cast("int"))
-    own = sized.withColumn("chunk", F.pmod(F.xxhash64(by, F.lit(7)), F.col("chunks")).cast("int"))
+def tiled(rows: DataFrame, keys: list[str], by: str, side: int, weight: Column | None = None, most: int = 1) -> DataFrame:
+    """rows of groups with two members at least, once for each tile, with ti and tj (the tile) and chunk (its own).
+
+    weight: what a row will bring to its tile, of which a chunk holds about `most` besides its largest row.
+    """
+    heavy = F.lit(0.0) if weight is None else F.sum(weight) / most
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("group_size"), heavy.alias("heavy")).where("group_size > 1")
+    # written, so that the join is split at a group of very many rows; sorted and merged at any size
+    sizes = written(sizes.select(*keys, F.greatest(F.ceil(F.col("group_size") / side), F.ceil("heavy")).cast("int").alias("chunks")), "sizes").hint("merge")
+    own = rows.join(sizes, keys).withColumn("chunk", F.pmod(F.xxhash64(by, F.lit(7)), F.col("chunks")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return other.withColumn("ti", F.least("chunk", "other")).withColumn("tj", F.greatest("chunk", "other")).drop("chunks", "other", "group_size")
+    return other.withColumn("ti", F.least("chunk", "other")).withColumn("tj", F.greatest("chunk", "other")).drop("chunks", "other")
 
 
 def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -54,6 +54,7 @@ def near_texts(seed=4, groups=12):
 def test_jaccard_join_equals_brute_force(spark, noisy, monkeypatch, side):
     monkeypatch.setattr(jaccard, "SIDE", side)
     monkeypatch.setattr(jaccard, "EXACT_SIDE", side)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 16 << 20 if side > 3 else 3000)
     texts = near_texts()
     sets = [shingles(t) for t in texts]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
