@@ -116,7 +116,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     v4 = written(packed(c, kind), "packed")
     keys = ["tab", "dim", "code"]
     # buckets are sized and cut by small rows; each vector then goes once to each tile that it is in
-    dealt = tiled(hashed(v4, kind, bits, tables, seed), keys, "node", SIDE).join(v4.select("node", "n", "vec"), "node")
+    dealt = tiled(hashed(v4, kind, bits, tables, seed), keys, "node", SIDE).hint("merge").join(v4.select("node", "n", "vec"), "node")
     id_type = c.schema["node"].dataType.simpleString()
     found = written(links(dealt, keys, "node", "n", _comparer(threshold, kind, bits, tables, seed), id_type), "found")
     near = found.groupBy("node").agg(F.sum("n_links").alias("near"))

@@ -266,7 +266,7 @@ def _similar(threshold: float):
 
 def _shingled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """wanted's rows (doc and others) with shingles (bytes, sorted)."""
-    rows = keyed(docs, id_col, text_col).select("doc", "text").join(wanted, "doc").dropDuplicates(["doc"])
+    rows = keyed(docs, id_col, text_col).select("doc", "text").join(wanted.hint("merge"), "doc").dropDuplicates(["doc"])
     others = [f for f in wanted.schema if f.name != "doc"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +288,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges, _ = _forest(reps, threshold, recall)
     regions = components(edges.select(F.col("node").alias("u"), F.col("root").alias("v")), "regions")
     wanted = written(regions.join(reps.select("node", "doc", "n", "n_shingles"), "node").withColumnRenamed("component", "region"), "wanted")
-    # tiles are cut by small rows and by the bytes that sets will take; then each set goes once to each tile that it is in
+    # joins are sorted and merged at any size: the same plan on little and on much.
+    # Tiles are cut by small rows and by the bytes that sets will take; then each set goes once to each tile that it is in
     dealt = tiled(wanted.select("node", "n", "region", "n_shingles"), ["region"], "node", EXACT_SIDE, F.col("n_shingles") * 8, CHUNK_BYTES)
-    exact = dealt.join(_shingled(docs, wanted.select("doc", "node"), id_col, text_col), "node")
+    exact = dealt.hint("merge").join(_shingled(docs, wanted.select("doc", "node"), id_col, text_col), "node")
     found = written(links(exact, ["region"], "node", "n", _similar(threshold), "binary"), "found")
     near = found.groupBy("node").agg(F.sum("n_links").alias("near"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "groups")
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = written(sigs.select("doc", "id", "cls", "n_shingles").join(per, "cls", "left"), "grouped")
     least_id = written(out.where("group IS NOT NULL").groupBy("group").agg(F.min("id").alias("group_id")), "least")  # a join can be split only behind what was written
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.join(least_id, "group", "left").select("doc", "id", "cls", F.col("n_shingles").cast("long").alias("n_shingles"), zero("n_links"), zero("n_copies"), "group", F.coalesce("group_id", "id").alias("group_id"))
+    return out.join(least_id.hint("merge"), "group", "left").select("doc", "id", "cls", F.col("n_shingles").cast("long").alias("n_shingles"), zero("n_links"), zero("n_copies"), "group", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
