@@ -43,7 +43,8 @@ def _sections(docs: DataFrame, source: str, text: str, skip_fences: bool = False
         three = F.when(h["level"] == 3, h["title"]).when(h["level"].isin(1, 2), none).otherwise(a["three"])
         return F.struct(one.alias("one"), two.alias("two"), three.alias("three"), F.concat(a["paths"], F.array(F.concat_ws(" > ", one, two, three))).alias("paths"))
 
-    d = d.select("source", "lines", "heads", F.aggregate("heads", begin, step, lambda a: a["paths"]).alias("paths"))
+    # rows of one element: what the fold gives is made once, and not again for each section that reads it
+    d = d.select("source", F.inline(F.array(F.struct("lines", "heads", F.aggregate("heads", begin, step, lambda a: a["paths"]).alias("paths")))))
 
     def section(h: Column, i: Column) -> Column:
         stop = F.coalesce(F.get("heads", i + 1)["at"], F.size("lines"))
