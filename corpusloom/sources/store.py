@@ -12,7 +12,7 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path below spark.checkpoint.dir. Where that is unset, a folder of this machine serves, for local masters only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/corpusloom-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{what}"
