@@ -56,8 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
     """df as written to the shared folder and read again: later steps reread it and don't make it anew."""
     path = f"{shared_dir(df.sparkSession)}-{what}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

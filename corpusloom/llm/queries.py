@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, contamination, embeddings, jaccard, licences, line_dedup, packing, secrets, suffixes, toxicity
+from corpusloom.llm import alignment, chat, contamination, embeddings, jaccard, langid, licences, line_dedup, packing, secrets, suffixes, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -51,7 +51,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir), packing.tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_jaccard_join, op3_embedding_dedup, op4_suffix_dedup, op5_secrets, op6_licences, op7_decontamination, op8_toxicity, op9_line_dedup, op10_packing)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(_table(spark, sf_dir))
+
+
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_table(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_jaccard_join, op3_embedding_dedup, op4_suffix_dedup, op5_secrets, op6_licences, op7_decontamination, op8_toxicity, op9_line_dedup, op10_packing, op11_alignment, op12_langid, op13_whitening)}
 ORACLE_SQL = {
     "op1_chat": chat.oracle(),
     "op3_embedding_dedup": embeddings.oracle(),
