@@ -123,7 +123,8 @@ def frontmatter_entries(block: Column) -> Column:
     """An array of struct(key, kind, value, items) of a block's keys at the left edge, in order; comments and what else is indented are left out.
 
     kind is null, bool, int, str or list. A list stands in brackets or as indented `- ` lines under its key; value and
-    items hold text, unquoted and, for scalars, without a comment. A key may come again; the last one counts.
+    items hold text, unquoted and, for scalars, without a comment; an item of a block that is `null` or `~` says `None`, a
+    bare dash is an empty one. A key may come again; the last one counts.
     """
     line = r"(?m)^([^\s#:][^:\n]*):([^\n]*(?:\n(?:[ \t]+[^\n]*|(?=\n|\z)))*)"
     keys, rests = F.regexp_extract_all(block, F.lit(line), F.lit(1)), F.regexp_extract_all(block, F.lit(line), F.lit(2))
@@ -131,7 +132,7 @@ def frontmatter_entries(block: Column) -> Column:
     def entry(key: Column, rest: Column) -> Column:
         said = F.trim(F.regexp_replace(F.regexp_extract(rest, r"\A([^\n]*)", 1), r"#.*$", ""))
         under = F.regexp_extract(rest, r"\A[^\n]*((?:\n[ \t]*(?:-[ \t][^\n]*|-?[ \t]*))*)", 1)
-        marked = F.transform(F.regexp_extract_all(under, F.lit(r"(?m)^[ \t]+-(?:[ \t]+([^\n]*))?$"), F.lit(1)), lambda x: F.coalesce(_bare(x), F.lit("None")))
+        marked = F.transform(F.regexp_extract_all(under, F.lit(r"(?m)^[ \t]+-(?:[ \t]+([^\n]*))?$"), F.lit(1)), lambda x: F.when(F.trim(x) == "", "").otherwise(F.coalesce(_bare(x), F.lit("None"))))
         flow = F.filter(F.transform(F.split(F.regexp_replace(said, r"^\[|\]$", ""), ","), _bare), lambda x: x.isNotNull())
         in_brackets = said.startswith("[") & said.endswith("]")
         listed = in_brackets | ((said == "") & (F.size(marked) > 0))

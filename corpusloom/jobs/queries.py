@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, render, text
-from corpusloom.operators import chunking, classify, code, incremental, quality, relations, search, usage
+from corpusloom.operators import chunking, classify, code, incremental, maintained, neighbours, quality, relations, scorers, search, usage
 from corpusloom.sources import formats, views
-from corpusloom.sources.store import scratch, small_side, written
+from corpusloom.sources.store import scratch, small_side, stamp, written
 from corpusloom.sources.views import sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,12 +181,12 @@ sco AS (SELECT qid, id, {_r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sco WHERE score > 0) WHERE rank <= 25)"""
 
 
-_INDEXES: dict[tuple[str, str, str], search.Index] = {}
+_INDEXES: dict[tuple, search.Index] = {}
 
 
 def _index(spark, d, what: str = "documents") -> search.Index:
     """The index of documents, or of their chunks: built once for an application and a folder, and read from then on."""
-    key = (spark.sparkContext.applicationId, d, what)
+    key = (spark.sparkContext.applicationId, d, what, stamp(spark, f"{d}/documents.parquet"))
     if key not in _INDEXES:
         rows = _docs(spark, d).select(F.col("doc_id").alias("id"), "text") if what == "documents" else _chunks(spark, d)
         _INDEXES[key] = search.build(rows, scratch(spark, f"index-{what}"))
@@ -321,7 +321,7 @@ def rrf_weighted(spark, d):
 @query(f"""WITH {_BM25_V}, {_EMB_V}, {_fu('1.0', '1.0')}, mx AS (SELECT qid, max(score) AS m FROM kw GROUP BY qid)
 SELECT * FROM (SELECT ft.qid, id, rank, {_r('CASE WHEN similarity IS NOT NULL THEN similarity * 100 ELSE score / m * 100 END', 1)} AS relevance, {_r('CASE WHEN similarity IS NOT NULL THEN 1 - similarity ELSE 0 END')} AS distance FROM ft JOIN mx USING (qid)) WHERE relevance >= 40""")
 def hybrid_search(spark, d):
-    hits = search.hybrid(_index(spark, d), _items(spark, d).where("qid % 100 = 0"), least=40)
+    hits = search.hybrid(_index(spark, d), _items(spark, d).where("qid % 100 = 0"), least=40, pool=25)
     return hits.select("qid", "id", F.col("rank").cast("long").alias("rank"), "relevance", "distance")
 
 
@@ -370,14 +370,14 @@ hy AS (SELECT ft.qid, rank, id, {_r('CASE WHEN similarity IS NOT NULL THEN simil
 
 @query(sql(_CHUNK_V + ", qs AS (SELECT item_id AS qid, text FROM benchmark WHERE item_id % 100 = 0), " + _CHUNK_HYBRID.replace("%s", "type = 'api'").replace("%d", "5") + " SELECT qid, rank, id, relevance, type, heading, source || ':' || line_start || '-' || line_end AS location FROM hy JOIN cx USING (id)", "md_v"))
 def chunk_search_typed(spark, d):
-    hits = search.hybrid(_index(spark, d, "chunks"), _items(spark, d).where("qid % 100 = 0"), 5, "api")
+    hits = search.hybrid(_index(spark, d, "chunks"), _items(spark, d).where("qid % 100 = 0"), 5, "api", pool=25)
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "id", "relevance", "type", "heading", "location")
 
 
 @query(sql(_CHUNK_V + ", qs AS (SELECT doc_id AS qid, trim(replace(regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '.', ' ') || ' ' || folder) AS text FROM docs_v WHERE doc_id % 100 = 0), " + _CHUNK_HYBRID.replace("%s", "true").replace("%d", "4") + " SELECT qid, rank, id, relevance, type, heading, source, left(text, 600) AS text FROM hy JOIN cx USING (id)", "md_v"))
 def file_context(spark, d):
     f = views.files(_docs(spark, d)).where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("rel_path").alias("path"))
-    return search.file_context(_index(spark, d, "chunks"), f).select("qid", F.col("rank").cast("long").alias("rank"), "id", "relevance", "type", "heading", "source", "text")
+    return search.file_context(_index(spark, d, "chunks"), f, pool=25).select("qid", F.col("rank").cast("long").alias("rank"), "id", "relevance", "type", "heading", "source", "text")
 
 
 # quality
@@ -463,13 +463,13 @@ def quality_report(spark, d):
 @query(sql(_ISSUE_V + " SELECT file, string_agg(message, '; ' ORDER BY message) AS reasons FROM iss WHERE severity = 'critical' GROUP BY file", "fm_v"))
 def quality_rejects(spark, d):
     f = views.noted(_docs(spark, d))
-    return quality.gate(f, quality.content_issues(f))[1]
+    return quality.gate(f, quality.content_issues(f, rules=quality.CRITICAL))[1]
 
 
 @query(sql(_ISSUE_V + " SELECT doc_id, rel_path FROM docs_v WHERE rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical')", "fm_v"))
 def quality_gate(spark, d):
     f = views.noted(_docs(spark, d))
-    return quality.gate(f, quality.content_issues(f))[0].select("doc_id", F.col("file").alias("rel_path"))
+    return quality.gate(f, quality.content_issues(f, rules=quality.CRITICAL))[0].select("doc_id", F.col("file").alias("rel_path"))
 
 
 @query(sql(_ISSUE_V + f" SELECT quality, count(DISTINCT l.doc_id) AS n_docs, count(iss.file) AS n_issues, count(iss.file) FILTER (severity <> 'info') AS n_serious FROM labels l JOIN docs_v USING (doc_id) LEFT JOIN iss ON iss.file = rel_path GROUP BY quality", "fm_v"))
@@ -479,7 +479,7 @@ def quality_by_label(spark, d):
     return f.groupBy("quality").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_issues"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_serious"))
 
 
-@query(sql("""SELECT doc_id, pos::BIGINT AS pos, key, kind, value, items FROM fm_v, (VALUES (0, 'id', 'str', NULL, ''), (1, 'status', 'str', NULL, ''), (2, 'owner', 'str', NULL, ''), (3, 'tags', 'list', NULL, 'a|b c'), (4, 'steps', 'list', NULL, 'one|two|None'), (5, 'empty', 'null', NULL, ''), (6, 'count', 'int', '-7', ''), (7, 'flag', 'bool', 'True', ''), (8, 'replaces', 'list', NULL, '')) k(pos, key, kind, v, items),
+@query(sql("""SELECT doc_id, pos::BIGINT AS pos, key, kind, value, items FROM fm_v, (VALUES (0, 'id', 'str', NULL, ''), (1, 'status', 'str', NULL, ''), (2, 'owner', 'str', NULL, ''), (3, 'tags', 'list', NULL, 'a|b c'), (4, 'steps', 'list', NULL, 'one|two|'), (5, 'empty', 'null', NULL, ''), (6, 'count', 'int', '-7', ''), (7, 'flag', 'bool', 'True', ''), (8, 'replaces', 'list', NULL, '')) k(pos, key, kind, v, items),
   LATERAL (SELECT CASE key WHEN 'id' THEN 'doc-' || doc_id WHEN 'status' THEN ['active', 'draft', 'superseded'][doc_id % 3 + 1] WHEN 'owner' THEN (SELECT any_value(source) FROM docs_v q WHERE q.doc_id = fm_v.doc_id) ELSE v END AS value) WHERE doc_id % 4 = 0""", "fm_v"))
 def frontmatter_values(spark, d):
     e = text.frontmatter_entries(text.frontmatter(F.col("text")))
@@ -601,13 +601,19 @@ def index_run_statistics(spark, d):
 _RUN_V = _SECTIONS_V + _issue_v(False).replace("FROM fm_v),", "FROM (SELECT rel_path AS file, md AS text FROM md_v)),", 1).split("UNION ALL SELECT file, 'info', 'R12'")[0].rstrip() + "), ok AS (SELECT doc_id, rel_path FROM docs_v WHERE doc_id % 13 <> 0 AND rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical'))"
 
 
-def _run(spark, d):
-    """A run over the tree of now, on what a run over the tree of before would have left."""
+def _trees(spark, d) -> tuple[DataFrame, DataFrame]:
+    """path, text of the tree of before and of that of now."""
     f = views.markdown(_docs(spark, d)).select("doc_id", F.col("rel_path").alias("path"), F.col("md").alias("text"))
     before = f.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n## Gone\n" + "old words " * 9))).otherwise(F.col("text")))
+    return before.drop("doc_id"), f.where("doc_id % 13 <> 0").drop("doc_id")
+
+
+def _run(spark, d):
+    """A run over the tree of now, on what a run over the tree of before would have left."""
+    before, now = _trees(spark, d)
     empty = spark.createDataFrame([], "chunk_id string, source string, ord int, heading string, heading_path string, text string, char_count int, line_start int, line_end int")
     chunks, state, _ = incremental.index_run(before, spark.createDataFrame([], "path string, content_md5 string"), empty)
-    return incremental.index_run(f.where("doc_id % 13 <> 0"), state, chunks)
+    return incremental.index_run(now, state, chunks)
 
 
 @query(sql(_RUN_V + " SELECT DISTINCT left(sha256(rel_path || chr(10) || shown), 16) AS chunk_id, rel_path AS source, heading FROM ch JOIN ok USING (doc_id)", "md_v"))
@@ -621,6 +627,147 @@ def index_update_statistics(spark, d):
     return _run(spark, d)[2]
 
 
+# an index that is kept in step: built of the tree of before, updated to that of now
+
+_MAINTAINED: dict[tuple, tuple[str, DataFrame]] = {}
+_KEPT_V = _RUN_V + f""", cx AS (SELECT DISTINCT ON (id) left(sha256(rel_path || chr(10) || shown), 16) AS id, doc_id, rel_path AS source, heading, shown AS text FROM ch JOIN ok USING (doc_id)),
+tk AS (SELECT id, {_TOK} AS t FROM cx), sx AS (SELECT count(*) AS n, avg(len(t)) AS avgdl, sum(len(t))::BIGINT AS nt FROM tk), po AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY term)"""
+
+
+def _kept_index(spark, d) -> tuple[str, DataFrame]:
+    """Where the index lies, after two updates, and the second one's statistics."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/documents.parquet"))
+    if key not in _MAINTAINED:
+        path = scratch(spark, "maintained")
+        before, now = _trees(spark, d)
+        maintained.update(before, path)
+        _MAINTAINED[key] = path, written(maintained.update(now, path), "run")
+    return _MAINTAINED[key]
+
+
+@query(sql(_KEPT_V + """, n AS (SELECT rel_path AS path, doc_id, rel_path IN (SELECT rel_path FROM ok) AS good FROM docs_v WHERE doc_id % 13 <> 0), o AS (SELECT rel_path AS path FROM docs_v WHERE doc_id % 11 <> 0 AND rel_path NOT IN (SELECT file FROM iss WHERE severity = 'critical')),
+oc AS (SELECT doc_id, count(DISTINCT left(sha256(rel_path || chr(10) || shown), 16)) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n FROM docs_v LEFT JOIN ch USING (doc_id) WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 13 = 0) AND rel_path IN (SELECT path FROM o) GROUP BY doc_id)
+SELECT count(n.path) AS files_seen, count(*) FILTER (good AND o.path IS NULL) AS files_new, count(*) FILTER (good AND o.path IS NOT NULL AND doc_id % 7 = 0) AS files_modified, count(*) FILTER (good AND o.path IS NOT NULL AND doc_id % 7 <> 0) AS files_unchanged, count(*) FILTER (NOT good) AS files_rejected, count(*) FILTER (n.path IS NULL) AS files_removed,
+  (SELECT count(*) FROM cx WHERE doc_id % 11 = 0 OR doc_id % 7 = 0) AS chunks_added, (SELECT coalesce(sum(n), 0) FROM oc)::BIGINT AS chunks_removed, (SELECT n FROM sx) AS n_docs, (SELECT nt FROM sx) AS n_tokens FROM n FULL JOIN o ON n.path = o.path""", "md_v"))
+def maintained_statistics(spark, d):
+    path, run = _kept_index(spark, d)
+    return run.crossJoin(maintained.opened(spark, path).stats).drop("version", "avgdl")  # one row each
+
+
+@query(sql(_KEPT_V + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM po GROUP BY term", "md_v"))
+def maintained_terms(spark, d):
+    return maintained.opened(spark, _kept_index(spark, d)[0]).terms
+
+
+@query(sql(_KEPT_V + f""", qq AS (SELECT item_id AS qid, term, count(*) AS qf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL), sco AS (SELECT qid, id, {_r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * qf)')} AS score FROM po JOIN qq USING (term) JOIN df USING (term), sx GROUP BY qid, id)
+SELECT qid, rank, id, score, source, heading FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sco WHERE score > 0) JOIN cx USING (id) WHERE rank <= 5""", "md_v"))
+def maintained_search(spark, d):
+    index = maintained.opened(spark, _kept_index(spark, d)[0])
+    hits = small_side(search.top(search.bm25(index, _items(spark, d)), 5), F.lit(64))
+    return hits.join(index.payload, "id").select("qid", F.col("rank").cast("long").alias("rank"), "id", "score", "source", "heading")
+
+
+#: Another model: each different term adds one to, or takes one from, a bucket.
+_SIGNED = maintained.Model("signed-terms", classify.BUCKETS, lambda texts, postings: classify.signed_terms(postings))
+
+
+@query(sql(_KEPT_V + f""", hx AS (SELECT id, ('0x' || left(md5(term), 7))::BIGINT AS h FROM po), hb AS (SELECT id, list(coalesce(x, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM hx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, h % 64 AS b, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM hx GROUP BY ALL) USING (id, b) GROUP BY id),
+qx AS (SELECT DISTINCT item_id AS qid, ('0x' || left(md5(term), 7))::BIGINT AS h FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark WHERE item_id % 100 = 0)), qb AS (SELECT qid, list(coalesce(x, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT qid FROM qx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT qid, h % 64 AS b, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM qx GROUP BY ALL) USING (qid, b) GROUP BY qid)
+SELECT * FROM (SELECT qid, id, {_r('list_cosine_similarity(hb.e, qb.e)')} AS similarity, row_number() OVER (PARTITION BY qid ORDER BY {_r('list_cosine_similarity(hb.e, qb.e)')} DESC, id) AS rank FROM hb, qb) WHERE rank <= 5""", "md_v"))
+def rebuilt_search(spark, d):
+    """The kept index after compaction and a change of model, in steps."""
+    path = scratch(spark, "rebuilt")
+    _, now = _trees(spark, d)
+    maintained.update(now, path)
+    maintained.rebuild(spark, path, _SIGNED, steps=3)
+    q = classify.signed_terms(search.postings(_items(spark, d).where("qid % 100 = 0"), "qid", "text")).select(F.col("id").alias("qid"), "vec")
+    return search.nearest(maintained.opened(spark, path), q, 5).select("qid", "id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+# injected models: deterministic ones, so that SQL can say the same
+
+
+def _load_overlap():
+    """A reranker's stand-in: the share of a query's different words, as runs of a-z, that a text has."""
+    import re
+
+    words = lambda t: set(re.findall("[a-z]+", (t or "").lower()))
+    return lambda pairs: [len(words(q) & words(t)) / max(1, len(words(q))) for q, t in pairs]
+
+
+def _load_points():
+    """An embedder's stand-in: the first eight code points, at length one."""
+    import math
+
+    def embed(texts):
+        out = []
+        for t in texts:
+            v = [float(ord(c)) for c in t[:8]] + [0.0] * (8 - len(t[:8]))
+            n = math.sqrt(sum(x * x for x in v)) or 1.0
+            out.append([x / n for x in v])
+        return out
+
+    return embed
+
+
+OVERLAP, POINTS = scorers.Reranker("overlap", _load_overlap), scorers.Embedder("first-points", 8, _load_points)
+
+
+@query(f"""WITH {_BM25_V}, {_EMB_V}, {_fu('1.0', '1.0').replace('rank <= 5', 'rank <= 20')}, wo AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS qw FROM benchmark),
+sc AS (SELECT ft.qid, ft.id, ft.rank AS was, len(list_intersect(qw, list_distinct(regexp_extract_all(lower(d.text), '[a-z]+')))) / greatest(1, len(qw)) AS s FROM ft JOIN wo USING (qid) JOIN documents d ON d.doc_id = ft.id)
+SELECT qid, rank, id, {_r('least(greatest(s * 100, 0), 100)', 1)} AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, was) AS rank FROM sc) WHERE rank <= 5""")
+def reranked_search(spark, d):
+    hits = search.hybrid(_index(spark, d), _items(spark, d).where("qid % 100 = 0"), 5, reranker=OVERLAP)
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "id", "relevance")
+
+
+@query(f"SELECT doc_id, {', '.join(f'CASE WHEN n > 0 THEN {_r(f'c[{k}] / n')} ELSE 0.0 END AS x{k}' for k in range(1, 9))} FROM (SELECT doc_id, list_transform(range(1, 9), lambda i: CASE WHEN i <= length(coalesce(text, '')) THEN unicode(substr(text, i::BIGINT, 1)) ELSE 0 END::DOUBLE) AS c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM documents)")
+def embedded_documents(spark, d):
+    v = POINTS.embed(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return v.select("doc_id", *[text.rounded(F.col("vec")[k]).alias(f"x{k + 1}") for k in range(8)])
+
+
+# approximate vector search, in cells
+
+_CELLS: dict[tuple, tuple[neighbours.InvertedFile, int]] = {}
+
+
+def _cells(spark, d) -> tuple[neighbours.InvertedFile, int]:
+    """The inverted file of embeddings, and how many cells a search for five opens."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/embeddings.parquet"))
+    if key not in _CELLS:
+        v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+        index = neighbours.build(v, scratch(spark, "cells"))
+        _CELLS[key] = index, neighbours.probes_for(index, 5)
+    return _CELLS[key]
+
+
+def _asked(spark, d):
+    """The stated queries: vectors whose id is divisible by 100."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+
+
+@query(f"WITH {_COS_V} SELECT qid, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM cs) WHERE rank <= 5")
+def cell_search_whole(spark, d):
+    """With all cells open: exact."""
+    return neighbours.nearest(_cells(spark, d)[0], _asked(spark, d), 5, None, others=True).select("qid", "id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def cell_search(spark, d):
+    """With as many cells open as the measured recall of 0.95 takes."""
+    index, probes = _cells(spark, d)
+    return neighbours.nearest(index, _asked(spark, d), 5, probes, others=True).select("qid", "id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def cell_search_recall(spark, d):
+    """Against all vectors, by comparing each of the stated queries with every one."""
+    exact = search.top(_cosines(spark, d), 5, "similarity")
+    found = neighbours.recall(cell_search(spark, d), exact)
+    return found.select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # telemetry
 
 _CNT_V = f""", cn AS (SELECT project, count(tool) AS total_calls, count(*) FILTER (kind = 'guardrail_report') AS reports, coalesce(sum(found) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS found, coalesce(sum(blocking) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS blocking, coalesce(sum(fixed) FILTER (kind = 'guardrail_report'), 0)::BIGINT AS fixed, count(*) FILTER (tool IN ('search_docs', 'search_by_type', 'search_tests')) AS searches, count(*) FILTER (tool = 'search_bugfixes') AS bugfix_searches, count(*) FILTER (tool = 'write_bugfix_summary') AS bugfix_writes, count(*) FILTER (tool = 'save_session_summary') AS session_saves,

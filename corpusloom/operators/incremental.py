@@ -40,10 +40,10 @@ def index_run(files: DataFrame, state: DataFrame, existing: DataFrame) -> tuple[
     writes the chunks first and the state last, so that a run that fails is made again.
     """
     from corpusloom.operators.chunking import heading_chunks
-    from corpusloom.operators.quality import content_issues, gate
+    from corpusloom.operators.quality import CRITICAL, content_issues, gate
 
     f = files.select(F.col("path").alias("file"), "text")
-    kept, why = gate(f, content_issues(f))
+    kept, why = gate(f, content_issues(f, rules=CRITICAL))
     now = fingerprints(kept, "file", "text")
     diff = changed(now, state)
     new = heading_chunks(kept.join(diff.select(F.col("path").alias("file")), "file", "left_semi"), "file", "text").dropDuplicates(["chunk_id"])

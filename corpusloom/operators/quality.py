@@ -64,42 +64,51 @@ def _issue(severity: str, rule: str, message: Column) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message"))
 
 
-def content_issues(files: DataFrame, whole: bool = False) -> DataFrame:
+#: The rules of which a broken one keeps a file out of an index.
+CRITICAL = ("R9", "R10")
+
+
+def content_issues(files: DataFrame, whole: bool = False, rules: tuple[str, ...] | None = None) -> DataFrame:
     """file, severity, rule, message of the rules on length, headings, sections and frontmatter of Markdown files (file, text).
 
     A README one folder down is a placeholder and exempt. With whole, as for a report on all files, READMEs at any depth
     are, a text's length includes its frontmatter, and neither tests' sections nor frontmatter is looked at. Each file is
-    read once: all rules fill one array.
+    read once: all rules fill one array. rules: only these are looked at, and what others need isn't worked out.
     """
+    want = lambda *names: rules is None or bool(set(names) & set(rules))
     readme = F.regexp_extract("file", r"([^/]+)$", 1) == "README.md"
     depth = F.size(F.split("file", "/"))
     f = files.where(F.col("file").endswith(".md") & ~(readme & (depth > 1 if whole else depth == 2)))
     text = F.col("text")
     body = text if whole else without_frontmatter(text)
-    f = f.select("file", "text", F.length(meaningful_text(body)).alias("chars"), _levels(text).alias("levels"))
-    f = f.select("file", "text", "chars", "levels", first_jump(F.col("levels")).alias("jump"))
-    n = F.col("chars").cast("string")
-    level = F.get("levels", F.lit(0))
-    found = [
-        F.when(F.col("chars") < SHORT, _issue("warning", "R4", F.concat(F.lit("very short: "), n))).when(F.col("chars") < THIN, _issue("info", "R5", F.concat(F.lit("short: "), n))),
-        F.when(F.size("levels") == 0, _issue("info", "R6", F.lit("no headings"))).when(level > 1, _issue("info", "R7", F.concat(F.lit("first heading has level "), level.cast("string")))),
-        F.when(F.col("jump").isNotNull(), _issue("info", "R8", F.concat(F.lit("jump from level "), F.col("jump.above").cast("string"), F.lit(" to level "), F.col("jump.level").cast("string")))),
-    ]
-    issues = F.array_compact(F.array(*found))
+    f = f.select("file", "text", *[F.length(meaningful_text(body)).alias("chars")] * want("R4", "R5"), *[_levels(text).alias("levels")] * want("R6", "R7", "R8"))
+    if want("R8"):
+        f = f.withColumn("jump", first_jump(F.col("levels")))
     empty = F.array().cast("array<struct<severity: string, rule: string, message: string>>")
-    for (folder, names), rule in zip(REQUIRED.items(), ("R9", "R10"), strict=True):
-        if whole and folder != "bugfix-log":
+    found = []
+    if want("R4", "R5"):
+        n = F.col("chars").cast("string")
+        found.append(F.when(F.col("chars") < SHORT, _issue("warning", "R4", F.concat(F.lit("very short: "), n))).when(F.col("chars") < THIN, _issue("info", "R5", F.concat(F.lit("short: "), n))))
+    if want("R6", "R7"):
+        level = F.get("levels", F.lit(0))
+        found.append(F.when(F.size("levels") == 0, _issue("info", "R6", F.lit("no headings"))).when(level > 1, _issue("info", "R7", F.concat(F.lit("first heading has level "), level.cast("string")))))
+    if want("R8"):
+        found.append(F.when(F.col("jump").isNotNull(), _issue("info", "R8", F.concat(F.lit("jump from level "), F.col("jump.above").cast("string"), F.lit(" to level "), F.col("jump.level").cast("string")))))
+    issues = F.array_compact(F.array(*found)) if found else empty
+    for (folder, names), rule in zip(REQUIRED.items(), CRITICAL, strict=True):
+        if whole and folder != "bugfix-log" or not want(rule, "R11"):
             continue
-        missing = F.array_compact(F.array(*[F.when(~has_section(text, s), _issue("critical", rule, F.lit(f"missing section {s}"))) for s in names]))
-        thin = F.transform(thin_sections(text), lambda h: _issue("warning", "R11", F.concat(F.lit("thin section "), h)))
+        missing = F.array_compact(F.array(*[F.when(~has_section(text, s), _issue("critical", rule, F.lit(f"missing section {s}"))) for s in names])) if want(rule) else empty
+        thin = F.transform(thin_sections(text), lambda h: _issue("warning", "R11", F.concat(F.lit("thin section "), h))) if want("R11") else empty
         issues = F.concat(issues, F.when(F.col("file").startswith(f"{folder}/"), F.concat(missing, thin)).otherwise(empty))
-    if not whole:
+    if not whole and want("R12", "R13"):
         entries = F.coalesce(frontmatter_entries(frontmatter(text)), F.array().cast("array<struct<key: string, kind: string, value: string, items: array<string>>>"))
         unknown = F.transform(F.array_except(F.transform(entries, lambda x: x["key"]), F.array(*map(F.lit, KNOWN_KEYS))), lambda k: _issue("info", "R12", F.concat(F.lit("unknown key "), k)))
         status = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(entries, lambda x: x["key"] == "status"), lambda x: x["value"])), -1)
         bad = F.when(status.isNotNull() & ~status.isin(VALID_STATUS), F.array(_issue("warning", "R13", F.concat(F.lit("status "), status)))).otherwise(empty)
         issues = F.concat(issues, unknown, bad)
-    return f.select("file", F.explode(issues).alias("i")).select("file", "i.severity", "i.rule", "i.message")
+    out = f.select("file", F.explode(issues).alias("i")).select("file", "i.severity", "i.rule", "i.message")
+    return out if rules is None else out.where(F.col("rule").isin(*rules))
 
 
 def check_content(texts: DataFrame) -> DataFrame:
