@@ -75,7 +75,9 @@ def secret_spans(docs: DataFrame, repo: Column, owner: Column, id_col: str = "do
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     spans = found.groupBy("doc", "rank", "start", "end").agg(F.min("key").alias("key"))  # rows of one document
     spans = spans.withColumn("before", before).withColumn("after", after).where(base | ((F.coalesce("before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))))
-    spans = spans.select("doc", "rank", "start", "end", "key").join(ownership(found), "key", "left").where(base | ~F.col("shared"))
+    # written, so that the join is split at a value of very many documents, which a copied example is
+    owned = written(ownership(found), "ownership").hint("merge")
+    spans = spans.select("doc", "rank", "start", "end", "key").join(owned, "key", "left").where(base | ~F.col("shared"))
     return spans.withColumn("kind", F.element_at(F.array(*map(F.lit, PATTERNS)), F.col("rank") + 1))
 
 
