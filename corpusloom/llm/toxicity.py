@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import small_batches, written
 
-EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS, BLOCK = 600, 8 << 20, 15, 64
+EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS, BLOCK = 2000, 8 << 20, 15, 64
 #: A term whose log-likelihood ratio is so much has about half the stretch of one that tells all.
 EVEN = 30.0
 #: Blocks that are read before bounds are compared.
@@ -120,8 +120,10 @@ class Index:
     def row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The terms among a text's words, each once, and how often they occur."""
         known = self.number.get
-        found = np.array([t for w in words if (t := known(w)) is not None], np.int64)
-        return np.unique(found, return_counts=True)
+        found = [(t, n) for w, n in Counter(words).items() if (t := known(w)) is not None]
+        terms, times = np.array(found, np.int64).reshape(-1, 2).T
+        order = np.argsort(terms)
+        return terms[order], times[order]
 
     def nearest(self, row: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """Cosine and example of the k nearest with any term in common; equal ones in the order of the examples."""
