@@ -181,8 +181,13 @@ def sample(docs: DataFrame, most: int = TEXTS, id_col: str = "doc_id", text_col:
     text, lang = docs[text_col], docs[lang_col].cast("string")
     fine = docs.where(lang.isNotNull() & ~held_out(docs[id_col]) & text.rlike(r"\p{L}")).select(lang.alias("lang"), F.xxhash64(text).alias("at"), F.xxhash64(text, F.lit(1)).alias("at2"), text.alias("text"))
     by = Window.partitionBy("lang").orderBy("at", "at2")
-    # each task hands on `most` hashes of a language at most, and so many in all are sent to every task
-    chosen = written(fine.select("lang", "at", "at2").distinct().withColumn("k", F.row_number().over(by)).where(F.col("k") <= most).drop("k"), "chosen")
+    different = written(fine.select("lang", "at", "at2").distinct(), "different")
+    # of a language with many texts only the lowest hashes, about four times as many as are wanted, meet in one task
+    least = F.lit(-(2.0**63)) + F.least(4 * most / F.col("n"), F.lit(1.0)) * 2.0**64
+    sizes = different.groupBy("lang").agg(F.count("*").alias("n")).select("lang", least.alias("below"))
+    low = different.join(F.broadcast(sizes), "lang").where(F.col("at").cast("double") <= F.col("below")).drop("below")  # a row for each language
+    # so many rows in all are sent to every task
+    chosen = written(low.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most).drop("k"), "chosen")
     whole = fine.join(F.broadcast(chosen), ["lang", "at", "at2"]).groupBy("lang", "at", "at2").agg(F.first("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
