@@ -498,7 +498,7 @@ def exact_duplicates(spark, d):
     return classify.exact_duplicates(_docs(spark, d), "doc_id", "text")
 
 
-_DUP_V = f""", tx AS (SELECT rel_path AS id, list_distinct({_TOK}) AS t FROM docs_v WHERE doc_id % 9 <> 4), hx AS (SELECT id, ('0x' || left(md5(unnest(t)), 7))::BIGINT AS h FROM tx),
+_DUP_V = f""", tx AS (SELECT rel_path AS id, list_distinct({_TOK}) AS t FROM docs_v), hx AS (SELECT id, ('0x' || left(md5(unnest(t)), 7))::BIGINT AS h FROM tx),
 hv AS (SELECT id, list(coalesce(x, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT DISTINCT id FROM hx) CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN (SELECT id, h % 64 AS b, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM hx GROUP BY ALL) USING (id, b) GROUP BY id),
 cl AS (SELECT min(id) AS a, any_value(e) AS e, list(id) AS ids FROM hv WHERE len(list_filter(e, lambda y: y <> 0)) > 0 GROUP BY e::VARCHAR),
 pa AS (SELECT c.a, o.a AS b, {_r('list_cosine_similarity(c.e, o.e)', 3)} AS s FROM cl c JOIN cl o ON c.a < o.a WHERE list_cosine_similarity(c.e, o.e) >= 0.92),
@@ -508,31 +508,30 @@ sd AS (SELECT unnest(arg_max(seeds, n)) AS id FROM gs), tk AS (SELECT b, min(str
 du AS (SELECT * FROM (SELECT seed, list(id ORDER BY id) AS files, count(*) AS n, {_r('avg(CASE WHEN id <> seed THEN s END)', 3)} AS similarity FROM (SELECT unnest(ids) AS id, coalesce(f.a, cl.a) AS seed, coalesce(f.s, 1.0::DOUBLE) AS s FROM cl LEFT JOIN tk ON tk.b = cl.a) GROUP BY seed) WHERE n > 1)"""
 
 
-def _kept(spark, d):
-    """The tree without one of the expected folders."""
-    return views.files(_docs(spark, d)).where("doc_id % 9 <> 4")
-
-
-def _clusters(spark, d):
-    return classify.duplicate_clusters(classify.signed_embedding(_kept(spark, d), "rel_path", "text"))
-
-
 @query(sql(_DUP_V + " SELECT seed, array_to_string(files, '|') AS files, n, similarity FROM du", "docs_v").replace("WITH", "WITH RECURSIVE", 1))
 def duplicate_clusters(spark, d):
-    return _clusters(spark, d).withColumn("files", F.array_join("files", "|"))
+    v = classify.signed_embedding(views.files(_docs(spark, d)), "rel_path", "text")
+    return classify.duplicate_clusters(v).withColumn("files", F.array_join("files", "|"))
 
 
 _PLAN_V = _DUP_V + _THREE_V + f""", ac AS (SELECT 'a' || row_number() OVER (ORDER BY step, place, sorted) AS id, * FROM (
-  SELECT 1 AS step, place, '' AS sorted, 'create_dir' AS type, x || '/' AS path, NULL AS destination, NULL AS files, NULL::DOUBLE AS similarity, 'standard folder' AS reason FROM (SELECT unnest({_LIST(views.EXPECTED)}) AS x, unnest(range(7)) AS place) WHERE x NOT IN (SELECT folder FROM docs_v WHERE doc_id % 9 <> 4)
-  UNION ALL SELECT 2, 0, rel_path, 'move', rel_path, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1), NULL, NULL, 'classified as ' || con.c || ', confidence ' || floor({_r('con.x')} * 100 + 0.5)::BIGINT || ' %' FROM cons WHERE doc_id % 9 <> 4 AND (folder = '' OR NOT list_contains({_LIST(_LONG_LIST)}, folder)) AND list_contains({_LIST(_LONG_LIST)}, con.c)
+  SELECT 1 AS step, place, '' AS sorted, 'create_dir' AS type, x || '/' AS path, NULL AS destination, NULL AS files, NULL::DOUBLE AS similarity, 'standard folder' AS reason FROM (SELECT unnest({_LIST(views.EXPECTED)}) AS x, unnest(range(7)) AS place) WHERE x NOT IN (SELECT folder FROM docs_v)
+  UNION ALL SELECT 2, 0, rel_path, 'move', rel_path, con.c || '/' || regexp_extract(rel_path, '([^/]+)$', 1), NULL, NULL, 'classified as ' || con.c || ', confidence ' || floor({_r('con.x')} * 100 + 0.5)::BIGINT || ' %' FROM cons WHERE (folder = '' OR NOT list_contains({_LIST(_LONG_LIST)}, folder)) AND list_contains({_LIST(_LONG_LIST)}, con.c)
   UNION ALL SELECT 3, 0, files[1], 'flag_review', NULL, NULL, array_to_string(files, '|'), similarity, 'review and merge into ' || files[1] FROM du))"""
-_plan_sql = lambda body, *more: sql(_PLAN_V + body, "docs_v", *more).replace("WITH", "WITH RECURSIVE", 1)
+#: For plans, one of the expected folders has another name.
+_plan_sql = lambda body, *more: sql(_PLAN_V + body, "docs_v", *more).replace("WITH", "WITH RECURSIVE", 1).replace(_LIST(views.FOLDERS), _LIST(views.RENAMED))
+_PLANS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _plan(spark, d):
-    f = _kept(spark, d)
-    signalled = written(_three(spark, d, f), "signals")
-    return signalled, classify.plan(f, signalled, _clusters(spark, d), views.EXPECTED)
+    """What the files are classified as, and the plan: made once for an application and a state of the tables."""
+    key = (spark.sparkContext.applicationId, d, *(stamp(spark, f"{d}/{t}.parquet") for t in ("documents", "embeddings")))
+    if key not in _PLANS:
+        f = views.files(_docs(spark, d), views.RENAMED)
+        signalled = written(_three(spark, d, f), "signals")
+        clusters = classify.duplicate_clusters(classify.signed_embedding(f, "rel_path", "text"))
+        _PLANS[key] = signalled, written(classify.plan(f, signalled, clusters, views.EXPECTED), "plan")
+    return _PLANS[key]
 
 
 @query(_plan_sql(" SELECT id, type, path, destination, files, similarity, reason FROM ac"))
@@ -540,19 +539,19 @@ def plan_actions(spark, d):
     return _plan(spark, d)[1].withColumn("files", F.array_join("files", "|"))
 
 
-@query(_plan_sql(f" SELECT rel_path, con.c AS category, {_r('con.x', 2)} AS confidence, ac.type AS proposed_action, ac.destination AS proposed_destination FROM cons LEFT JOIN ac ON ac.path = rel_path AND ac.type = 'move' WHERE doc_id % 9 <> 4"))
+@query(_plan_sql(f" SELECT rel_path, con.c AS category, {_r('con.x', 2)} AS confidence, ac.type AS proposed_action, ac.destination AS proposed_destination FROM cons LEFT JOIN ac ON ac.path = rel_path AND ac.type = 'move'"))
 def plan_inventory(spark, d):
     return classify.inventory(*_plan(spark, d))
 
 
-@query(_plan_sql(_issue_v(True) + """, al AS (SELECT * FROM iss WHERE file IN (SELECT rel_path FROM docs_v WHERE doc_id % 9 <> 4)), nq AS (SELECT greatest(0, 100 - least(count(*) FILTER (severity = 'critical') * 10, 60) - least(count(*) FILTER (severity = 'warning') * 2, 30))::BIGINT AS score_before FROM al),
-  ns AS (SELECT count(*) AS total_files, count(DISTINCT con.c) AS categories FROM cons WHERE doc_id % 9 <> 4), na AS (SELECT count(*) FILTER (type = 'move') AS misplaced, count(*) FILTER (type = 'flag_review') AS clusters, count(*) FILTER (type = 'create_dir') AS folders_to_create, count(*) AS actions FROM ac),
-  nr AS (SELECT count(*) AS rewrites FROM docs_v WHERE doc_id % 9 <> 4 AND NOT regexp_matches(text, '(?m)^#{1,6}\\s') AND len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) > 50)
+@query(_plan_sql(_issue_v(True) + """, al AS (SELECT * FROM iss), nq AS (SELECT greatest(0, 100 - least(count(*) FILTER (severity = 'critical') * 10, 60) - least(count(*) FILTER (severity = 'warning') * 2, 30))::BIGINT AS score_before FROM al),
+  ns AS (SELECT count(*) AS total_files, count(DISTINCT con.c) AS categories FROM cons), na AS (SELECT count(*) FILTER (type = 'move') AS misplaced, count(*) FILTER (type = 'flag_review') AS clusters, count(*) FILTER (type = 'create_dir') AS folders_to_create, count(*) AS actions FROM ac),
+  nr AS (SELECT count(*) AS rewrites FROM docs_v WHERE NOT regexp_matches(text, '(?m)^#{1,6}\\s') AND len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) > 50)
   SELECT *, least(score_before + least(misplaced * 2 + folders_to_create, 30), 100) AS score_projected FROM ns, na, nr, nq""", "fm_v"))
 def plan_summary(spark, d):
     signalled, actions = _plan(spark, d)
-    n = classify.needs_rewrite(_kept(spark, d)).agg(F.count("*").alias("n"))
-    q = quality.score(quality.content_issues(views.noted(_docs(spark, d)).where("doc_id % 9 <> 4"), whole=True))
+    n = classify.needs_rewrite(views.files(_docs(spark, d), views.RENAMED)).agg(F.count("*").alias("n"))
+    q = quality.score(quality.content_issues(views.noted(_docs(spark, d), views.RENAMED), whole=True))
     return classify.plan_summary(signalled, actions, n, q)
 
 

@@ -18,26 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(docs: DataFrame) -> DataFrame:
+#: The same with one of the expected folders under another name.
+RENAMED = ["moved" if x == "setup" else x for x in FOLDERS]
+
+
+def files(docs: DataFrame, folders: list[str] = FOLDERS) -> DataFrame:
     """documents with rel_path."""
-    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("doc_id") % len(FOLDERS) + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, folders)), (F.col("doc_id") % len(folders) + 1).cast("int"))
     return docs.withColumn("rel_path", F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(F.lit("")), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")))
 
 
-def markdown(docs: DataFrame) -> DataFrame:
+def markdown(docs: DataFrame, folders: list[str] = FOLDERS) -> DataFrame:
     """files whose lines are turned into headings of three levels at fixed places: column md."""
     lines = F.split("text", "\n", -1)
     mark = lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(i % 4 == 1, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("### "), x)).otherwise(x)
-    return files(docs).withColumn("md", F.array_join(F.transform(lines, mark), "\n"))
+    return files(docs, folders).withColumn("md", F.array_join(F.transform(lines, mark), "\n"))
 
 
-def noted(docs: DataFrame) -> DataFrame:
+def noted(docs: DataFrame, folders: list[str] = FOLDERS) -> DataFrame:
     """file, text, doc_id: markdown with a block of frontmatter before every fourth text, and one that nothing closes before the next."""
     i = F.col("doc_id")
     status = F.element_at(F.array(F.lit("active"), F.lit("draft"), F.lit("superseded")), (i % 3 + 1).cast("int"))
     head = F.concat(F.lit("---\nid: doc-"), i.cast("string"), F.lit("\nstatus: "), status, F.lit("  # state\nowner: \""), "source", F.lit("\"\n" + BLOCK + "---\n"))
     text = F.when(i % 4 == 0, F.concat(head, "md")).when(i % 4 == 1, F.concat(F.lit("---\nstatus: open\n"), "md")).otherwise(F.col("md"))
-    return markdown(docs).select(F.col("rel_path").alias("file"), text.alias("text"), "doc_id")
+    return markdown(docs, folders).select(F.col("rel_path").alias("file"), text.alias("text"), "doc_id")
 
 
 #: Frontmatter of all kinds of values.

@@ -383,3 +383,30 @@ def test_files_to_markdown(spark, tmp_path):
 def test_nested_repositories_are_left_out(spark):
     f = spark.createDataFrame([("docs/a.md",), ("docs/sub/b.md",), ("docs/subway/c.md",)], "path string")
     assert [r.path for r in formats.outside(f, spark.createDataFrame([("docs/sub",)], "root string")).orderBy("path").collect()] == ["docs/a.md", "docs/subway/c.md"]
+
+
+@pytest.mark.parametrize("side", [512, 40])
+def test_many_alike_vectors_are_no_pairs(spark, monkeypatch, side):
+    import numpy as np
+
+    monkeypatch.setattr(classify, "SIDE", side)
+    r = np.random.default_rng(6)
+    x = np.concatenate([[1.0, 0, 0, 0, 0, 0]] * 1500).reshape(1500, 6) + 0.05 * r.standard_normal((1500, 6))
+    x = np.concatenate([x[:700], r.standard_normal((60, 6)), x[700:]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like, seeds, want = u @ u.T, [], []
+    for i in range(len(u)):
+        first = next((s for s in seeds if like[s, i] >= classify.DUPLICATE), i)
+        seeds += [i] * (first == i)
+        want.append(first)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id long, vec array<double>")
+    sizes = []
+    real = classify.written
+    monkeypatch.setattr(classify, "written", lambda d, what: (lambda out: (sizes.append((what, out.count())), out)[1])(real(d, what)))
+    got = {c.id: c.seed for c in classify.clustered(v).collect()}
+    assert [got[i] for i in range(len(u))] == want
+    tables = max(n for what, n in sizes if what == "codes") / len(u)
+    assert all(n <= (tables if what in ("codes", "sizes") else 1) * len(u) for what, n in sizes)
+    monkeypatch.setattr(classify, "SHOWN", 5)
+    top = max(classify.duplicate_clusters(v).collect(), key=lambda c: c.n)
+    assert top.n > 1400 and top.files == [i for i, s in enumerate(want) if s == top.seed][:5]
