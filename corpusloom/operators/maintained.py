@@ -130,13 +130,14 @@ def _write(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
-def update(files: DataFrame, path: str, model: Model = HASHED, force: bool = False) -> DataFrame:
+def update(files: DataFrame, path: str, model: Model = HASHED, force: bool = False, present: DataFrame | None = None) -> DataFrame:
     """Brings the index below path in step with files (path, text), and returns the run's statistics, one row.
 
     The row has files_seen, files_new, files_modified, files_unchanged, files_rejected (all that are now),
     files_removed, chunks_added, chunks_removed and version. Files with critical issues are known with their reasons and have no chunks; of repeated
     paths one row counts (the greatest digest); rows with a null path or text are not files. If there are no files at
-    all, nothing changes, as a failed scan must not empty an index. force: all files are taken as changed.
+    all, nothing changes, as a failed scan must not empty an index. force: all files are taken as changed. present: the
+    paths (path) of all files that there are, where files holds only those that may have changed; others stay as they are.
     """
     spark = files.sparkSession
     before = current(spark, path)
@@ -145,10 +146,14 @@ def update(files: DataFrame, path: str, model: Model = HASHED, force: bool = Fal
     name = f"{before.number + 1:010d}-{uuid.uuid4().hex[:8]}"
     folder = f"{path}/segments/{name}"
     f = files.where("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
-    now = written(fingerprints(f, "path", "text").groupBy("path").agg(F.max("content_md5").alias("content_md5")), "fingerprints")
     known = states(spark, path, before)
+    now = fingerprints(f, "path", "text").groupBy("path").agg(F.max("content_md5").alias("content_md5"))
+    if present is not None:
+        same = known.select("path", "content_md5").join(present.select("path").distinct(), "path", "left_semi").join(f.select("path").distinct(), "path", "left_anti")
+        now = now.unionByName(same)
+    now = written(now, "fingerprints")
     n_now = now.count()
-    diff = now.withColumn("change", F.lit("modified")) if force else changed(now, known)
+    diff = now if force else changed(now, known)
     # only the changed files' texts go on from here
     new = written(f.withColumn("content_md5", F.md5("text")).join(diff.select("path", "content_md5"), ["path", "content_md5"], "left_semi").dropDuplicates(["path"]), "changed")
     named = new.select(F.col("path").alias("file"), "text")
