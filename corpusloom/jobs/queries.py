@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import paths, render, text
-from corpusloom.operators import chunking, classify, code, incremental, maintained, neighbours, quality, relations, scorers, search, usage
-from corpusloom.sources import formats, views
+from corpusloom.functions import paths, render, text, versions
+from corpusloom.operators import chunking, classify, code, incremental, maintained, neighbours, quality, recorded, relations, rules, scorers, search, usage
+from corpusloom.sources import formats, reports, views, written_files
 from corpusloom.sources.store import scratch, small_side, stamp, written
 from corpusloom.sources.views import sql, table
 
@@ -1087,3 +1087,63 @@ def index_report(spark, d):
     m = views.markdown(_docs(spark, d)).withColumn("key", F.concat_ws("|", paths.doc_type(F.col("rel_path")), F.col("doc_id").cast("string")))
     c = chunking.heading_chunks(m, "key", "md").select(F.substring_index("source", "|", 1).alias("type"))
     return quality.index_report(c, "corpus").select(F.col("pos").cast("long").alias("pos"), "line")
+
+
+# rules on lines, versions, searches that record themselves, documents as files, kept reports
+
+_RULES_SQL = " UNION ALL ".join("SELECT doc_id, line, '" + r.name + "' AS rule, '" + r.description + "' AS description FROM ln WHERE regexp_matches(said, '" + r.pattern.replace("'", "''") + "')" for r in rules.RULES)
+
+
+@query("WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) " + _RULES_SQL)
+def line_findings(spark, d):
+    found = rules.findings(_docs(spark, d).select(F.col("doc_id").alias("file"), "text"))
+    return found.select(F.col("file").alias("doc_id"), F.col("line").cast("long").alias("line"), "rule", "description")
+
+
+#: Tags of a supplier's parts: numbers of up to three parts, pre-releases and what is no version.
+_TAGS = "SELECT l_suppkey, CASE l_linenumber % 5 WHEN 0 THEN 'v' || l_partkey % 12 || '.' || l_orderkey % 20 WHEN 1 THEN l_partkey % 12 || '.' || l_orderkey % 20 || '.' || l_linenumber WHEN 2 THEN 'v' || l_partkey % 12 || '.' || l_orderkey % 20 || '-rc' || l_linenumber WHEN 3 THEN 'v' || l_partkey % 12 ELSE 'release' END AS tag FROM lineitem"
+
+
+@query(f"""WITH t AS ({_TAGS}), n AS (SELECT l_suppkey, regexp_replace(tag, '^v', '') AS tag FROM t WHERE tag <> 'release'),
+k AS (SELECT l_suppkey, list_transform(string_split(string_split(tag, '-')[1], '.'), lambda x: x::BIGINT) AS p, tag LIKE '%rc%' AS pre, coalesce(try_cast(string_split(tag, '-rc')[2] AS BIGINT), 0) AS rc FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY p[1] DESC, coalesce(p[2], 0) DESC, coalesce(p[3], 0) DESC, pre, rc DESC) AS nth FROM k)
+SELECT l_suppkey, p[1] AS major, coalesce(p[2], 0) AS minor, coalesce(p[3], 0) AS patch, pre FROM r WHERE nth = 1""")
+def newest_versions(spark, d):
+    best = spark.sql(_TAGS.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, d, "lineitem")).groupBy("l_suppkey").agg(versions.newest(F.col("tag")).alias("tag"))
+    part = lambda n: F.coalesce(F.nullif(F.regexp_extract("tag", r"^v?([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?", n), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    return best.select("l_suppkey", part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), F.col("tag").contains("rc").alias("pre"))
+
+
+@query(f"""WITH {_BM25_V}, ask AS (SELECT item_id AS qid, item_id % 3 AS project, text FROM benchmark UNION ALL SELECT 1000000 + item_id, item_id % 3, '@' FROM benchmark WHERE item_id % 4 = 0),
+n AS (SELECT ask.qid, project, count(kw.id) AS n FROM ask LEFT JOIN (SELECT * FROM kw WHERE rank <= 5) kw ON kw.qid = ask.qid GROUP BY ALL)
+SELECT project, count(*) AS total_calls, count(*) AS searches, count(*) FILTER (n > 0) AS hits, count(*) FILTER (n = 0) AS misses, {_r('count(*) FILTER (n > 0) / count(*)')} AS hit_rate, sum(n)::BIGINT AS results, list_sort(list_filter([CASE WHEN count(*) FILTER (n = 0) >= 3 THEN 'fill the gaps' END, CASE WHEN count(*) >= 5 THEN 'write down what you learn' END], lambda x: x IS NOT NULL)) AS nudges FROM n GROUP BY project""")
+def recorded_searches(spark, d):
+    """Searches of every item, and of some that say nothing, as the log has them afterwards."""
+    items = table(spark, d, "benchmark")
+    asked = items.select(F.col("item_id").alias("qid"), (F.col("item_id") % 3).alias("project"), "text")
+    empty = items.where("item_id % 4 = 0").select((F.col("item_id") + 1000000).alias("qid"), (F.col("item_id") % 3).alias("project"), F.lit("@").alias("text"))
+    log = scratch(spark, "log")
+    recorded.searched(lambda q, kind: search.top(search.bm25(_index(spark, d), q), 5), asked.unionByName(empty), "search_docs", log, "2024-01-01 00:00:00")
+    e = written(recorded.log_of(spark, log), "events")
+    told = recorded.nudged(e).groupBy("project").agg(F.sort_array(F.collect_list("nudge")).alias("nudges"))
+    results = e.groupBy("project").agg(F.coalesce(F.sum("result_count"), F.lit(0)).alias("results"))
+    c = recorded.counters(e).select("project", "total_calls", "searches", "hits", "misses", "hit_rate")
+    return c.join(results, "project").join(told, "project", "left").withColumn("nudges", F.coalesce("nudges", F.array().cast("array<string>")))
+
+
+@query("WITH d AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, coalesce(text, '') AS text FROM documents) SELECT path, sha256(text) AS digest FROM d")
+def written_documents(spark, d):
+    """Every document as a file, and what the files hold."""
+    target = scratch(spark, "files").removeprefix("file://").removeprefix("file:")
+    written_files.write_files(_docs(spark, d).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text"), target)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    return f.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
+def kept_totals(spark, d):
+    """A report that is made once for a state of the table: the second call reads what the first one wrote."""
+    base = scratch(spark, "reports")
+    make = lambda: _docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    reports.kept_report(spark, base, "totals", [f"{d}/documents.parquet"], make)
+    return reports.kept_report(spark, base, "totals", [f"{d}/documents.parquet"], make)
