@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import frontmatter, frontmatter_entries, meaningful_text, stripped, without_fences, without_frontmatter
@@ -136,10 +137,24 @@ def tree_issues(files: DataFrame, expected: list[str]) -> DataFrame:
     )
 
 
+def missing_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """file, severity, rule, message: one critical issue if there is no such folder, else none. A corpus without a folder scores 0."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").limit(0).collect()
+        rows = []
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = [(folder, "critical", "R1", "no such folder")]
+    return spark.createDataFrame(rows, "file string, severity string, rule string, message string")
+
+
 def score(issues: DataFrame) -> DataFrame:
     """n_critical, n_warning, n_info, score: one row, also without issues."""
     n = {s: F.count_if(F.col("severity") == s) for s in PENALTIES}
     lost = sum((F.least(n[s] * p, F.lit(cap)) for s, (p, cap) in PENALTIES.items()), F.lit(0))
+    if "rule" in issues.columns:
+        lost = F.when(F.count_if(F.col("rule") == "R1") > 0, F.lit(100)).otherwise(lost)
     return issues.agg(*[n[s].alias(f"n_{s}") for s in PENALTIES], F.greatest(F.lit(0), F.lit(100) - lost).cast("long").alias("score"))
 
 

@@ -37,8 +37,12 @@ BROADCAST_BYTES = 16 << 20
 
 
 def small_side(df: DataFrame, width: Column) -> DataFrame:
-    """df, marked for broadcast if the bytes of its rows, summed over all of them, are within BROADCAST_BYTES."""
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
+    """df, marked for broadcast if the bytes of its rows, summed over all of them, are within BROADCAST_BYTES; else written, so that Spark can split its join at a hot key."""
+    return F.broadcast(df) if is_small(df, width) else written(df, "side")
+
+
+def is_small(df: DataFrame, width: Column) -> bool:
+    return (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:

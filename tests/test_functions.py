@@ -165,3 +165,9 @@ def test_names_paths_and_queries(spark):
 def test_plain_headings(spark):
     want = {"🔧 **Root** `Cause` ": "Root Cause", "_a_ ~b~ ✨": "a b", "plain": "plain"}
     assert {r["x"]: r["h"] for r in rows(spark, want, h=text.plain_heading)} == want
+
+
+def test_items_of_a_block_list(spark):
+    block = "steps:\n  - one\n  -\n  - null\n  - \"two\"\n  - ''\n  -  \nother: [a, , null, ~, 'b c']\nnone:\n"
+    e = spark.range(1).select(text.frontmatter_entries(F.lit(block)).alias("e")).first().e
+    assert [(x["key"], x["kind"], x["items"]) for x in e] == [("steps", "list", ["one", "", "None", "two", "", ""]), ("other", "list", ["a", "b c"]), ("none", "null", [])]

@@ -410,3 +410,29 @@ def test_many_alike_vectors_are_no_pairs(spark, monkeypatch, side):
     monkeypatch.setattr(classify, "SHOWN", 5)
     top = max(classify.duplicate_clusters(v).collect(), key=lambda c: c.n)
     assert top.n > 1400 and top.files == [i for i, s in enumerate(want) if s == top.seed][:5]
+
+
+def test_a_missing_folder_scores_nothing(spark, tmp_path):
+    gone = quality.missing_folder(spark, str(tmp_path / "none"))
+    assert [tuple(r)[1:] for r in gone.collect()] == [("critical", "R1", "no such folder")]
+    assert tuple(quality.score(gone).first()) == (1, 0, 0, 0)
+    (tmp_path / "a.md").write_text("x")
+    assert quality.score(quality.missing_folder(spark, str(tmp_path))).first().score == 100
+
+
+def test_critical_rules_alone_are_the_same_rows(spark):
+    texts = [("bugfix-log/a.md", "# A\n## Root Cause\nx"), ("tests/b.md", "text"), ("notes/c.md", ""), ("tests/d.md", "---\nstatus: odd\n---\n## Steps\n## Scenario\n## Expected Result\n")]
+    f = spark.createDataFrame(texts, "file string, text string")
+    every, some = quality.content_issues(f), quality.content_issues(f, rules=quality.CRITICAL)
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in every.collect() if r.rule in quality.CRITICAL)
+    assert {r.rule for r in quality.content_issues(f, rules=("R6",)).collect()} == {"R6"}
+
+
+def test_too_many_queries_are_refused(spark, monkeypatch):
+    from corpusloom.sources import store
+
+    monkeypatch.setattr(store, "BROADCAST_BYTES", 10)
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "id int, vec array<double>")
+    index = search.Index(v, v, v, v, v)
+    with pytest.raises(ValueError, match="too many"):
+        search.nearest(index, v.withColumnRenamed("id", "qid"), 1)
