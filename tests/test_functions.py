@@ -80,7 +80,7 @@ def test_frontmatter_values(spark):
     got = rows(spark, [block, "", None], e=text.frontmatter_entries)
     assert [(e["key"], e["kind"], e["value"], e["items"]) for e in got[0]["e"]] == [
         ("id", "str", "adr-1", []), ("status", "str", "active", []), ("none", "null", None, []), ("flag", "bool", "TRUE", []), ("count", "int", "-12", []), ("flow", "list", None, ["a", "b"]), ("empty", "list", None, []),
-        ("list", "list", None, ["x", "y", "None"]), ("over", "int", "1", []), ("over", "int", "2", []),
+        ("list", "list", None, ["x", "y", ""]), ("over", "int", "1", []), ("over", "int", "2", []),
     ]
     assert got[1]["e"] == [] and got[2]["e"] is None
 
