@@ -2,22 +2,28 @@
 
 A run counts if it has `min_lines` lines, or fewer with more than `many_words` words together.
 
-1. Winnowing. A window is the shortest run that counts; of its line hashes the least is its fingerprint (the last of
-   equal ones). Only lines that are the fingerprint of some window are kept, once each, with their position: equal
-   windows have equal fingerprints at equal offsets, so no shared run that counts goes unseen.
-2. Positions are joined by fingerprint; those whose fingerprint stands nowhere else end there.
-3. Matches are extended both ways: a position brings each way to extend its line, to the left and to the right, to a
-   window that it is the fingerprint of, with a digest of the lines' digests. Positions with equal extensions match; the
-   extensions of neighbouring fingerprints overlap, and so chain up to whole runs of any length.
-4. Of equal extensions the first by (id, line) stays; each line of a later one is deleted.
+1. Winnowing. A window is a run that counts, of `min_lines` lines at most; of its line hashes the least is its
+   fingerprint (the last of equal ones). Lines that count alone hash below all others, so that a window which holds
+   one needs no fingerprint besides. Only lines that are the fingerprint of some window are kept, one row each, with
+   their position and the digests of the lines around it: equal windows have equal fingerprints at equal offsets, so
+   no shared run that counts goes unseen.
+2. Positions are joined by fingerprint, each with the first one by (id, line); those whose fingerprint stands nowhere
+   else end there.
+3. The match with the first position is extended line by line to the left and to the right, by the lines' 128-bit
+   digests. What it covers of the position's windows is a later copy. Neighbouring fingerprints overlap, and so chain
+   up to whole runs of any length.
+4. Windows that the first position does not have may still stand at others that it differs from as well: these alone
+   become rows, and the first of equal ones stays.
+5. Each line of a later copy is deleted.
 
 The lines around a position are read where the document is, and positions are written once. No pairs are made: each
-step is a count or a minimum with partial aggregation, or a sort-merge join that Spark can split, so that a line
-shared by a third of all documents needs no task of its own.
+position meets one other, in a sort-merge join that Spark can split, so that a line shared by a third of all
+documents needs no task of its own.
 
 A word is a stretch without white space. Nulls: a null text is empty; null ids sort first. Rows that
-repeat id and text count as one document: they are edited alike. Other columns pass through as they are. Empty texts
-have one empty line. An empty table gives no rows.
+repeat id and text count as one document: they are edited alike. Two texts under one id are ordered by their digests.
+Other columns pass through as they are, whatever their names. Empty texts have one empty line. Very long texts are
+read whole; a document's lines are one array in its task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,56 +37,86 @@ from corpusloom.llm.common import keyed, written
 
 #: A run of fewer than `min_lines` lines counts if it has more words than this.
 MANY_WORDS = 50
+#: Stands for the digest of a line before or behind the text.
+OUTSIDE = bytes(16)
 
 
 def fingerprints(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
-    """doc, id, pos, fp of each line that is the fingerprint of a window, and runs: left (lines before it), n, win (128-bit digest) of each such window."""
+    """doc, id, pos, fp, around, windows: the lines that are the fingerprint of a window.
+
+    around: the digests of the line and of min_lines - 1 on either side, one behind the other (OUTSIDE beyond the text).
+    windows: left * min_lines + right for each window, by how many lines it has before and after this one.
+    """
     reach = min_lines - 1
     k = keyed(docs, id_col, text_col)
     # each line is digested and its words are counted once; only that goes on, and not the line
     said = lambda x: F.length(F.translate(F.regexp_replace(x, r"\S+", "x"), " \t\n\x0b\f\r", ""))
     k = k.select("doc", "id", F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.unhex(F.md5(x)).alias("d"), said(x).alias("w"))).alias("lines"))
+    above = lambda x: F.xxhash64(x["d"]).bitwiseAND(F.lit((1 << 63) - 1))
+    order = lambda x: F.when(x["w"] > many_words, above(x).bitwiseOR(F.lit(-(1 << 63)))).otherwise(above(x))
+    k = k.select("doc", "id", F.transform("lines", lambda x: F.struct(x["d"].alias("d"), x["w"].alias("w"), order(x).alias("h"))).alias("lines"))
     none = F.array_repeat(F.lit(None).cast(k.schema["lines"].dataType.elementType), reach)
     k = k.select("doc", "id", F.size("lines").alias("n"), F.concat(none, "lines", none).alias("padded"))
     # column i holds the line i - reach places from the position; nulls outside the text
-    around = [F.slice("padded", F.lit(i + 1), F.col("n")).alias(f"l{i}") for i in range(2 * reach + 1)]
-    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*around)).alias("pos", "x"))
-    w = w.select("doc", "id", "pos", *[F.col(f"x.l{i}.d").alias(f"d{i}") for i in range(2 * reach + 1)], *[F.col(f"x.l{i}.w").alias(f"w{i}") for i in range(1, 2 * reach)])
-    w = w.select("*", *[F.xxhash64(f"d{i}").alias(f"h{i}") for i in range(2 * reach + 1)])
+    near = [F.slice("padded", F.lit(i + 1), F.col("n")).alias(f"l{i}") for i in range(2 * reach + 1)]
+    w = k.select("doc", "id", F.posexplode(F.arrays_zip(*near)).alias("pos", "x"))
+    w = w.select("doc", "id", "pos", *[F.col(f"x.l{i}.{c}").alias(f"{c}{i}") for i in range(2 * reach + 1) for c in "dwh"])
     own = F.col(f"h{reach}")
 
-    def window(left: int, n: int) -> Column:
-        """The window of n lines that begins `left` lines before the position, if it counts and this line is its fingerprint."""
-        at = range(reach - left, reach - left + n)
-        there = F.col(f"d{at[0]}").isNotNull() & F.col(f"d{at[-1]}").isNotNull()
-        if n < min_lines:
+    def window(left: int, right: int) -> Column:
+        """The code of the window from `left` lines before to `right` behind, if it counts and this line is its fingerprint."""
+        at = range(reach - left, reach + right + 1)
+        there = F.col(f"h{at[0]}").isNotNull() & F.col(f"h{at[-1]}").isNotNull()
+        if len(at) < min_lines:
             there &= reduce(Column.__add__, [F.col(f"w{i}") for i in at]) > many_words
         least = [own <= F.col(f"h{i}") if i < reach else own < F.col(f"h{i}") for i in at if i != reach]
-        win = F.unhex(F.md5(F.concat(*[F.col(f"d{i}") for i in at])))
-        return F.when(reduce(Column.__and__, [there, *least]), F.struct(F.lit(left).alias("left"), F.lit(n).alias("n"), win.alias("win")))
+        return F.when(reduce(Column.__and__, [there, *least]), F.lit(left * min_lines + right))
+
+    windows = F.filter(F.array(*[window(left, n - left) for n in range(min_lines) for left in range(n + 1)]), lambda x: x.isNotNull())
+    marks = w.withColumn("windows", windows).where("size(windows) > 0")
+    return marks.select("doc", "id", "pos", own.alias("fp"), F.concat(*[F.coalesce(f"d{i}", F.lit(OUTSIDE)) for i in range(2 * reach + 1)]).alias("around"), "windows")
 
-    runs = F.filter(F.array(*[window(left, n) for n in range(1, min_lines + 1) for left in range(n)]), lambda x: x.isNotNull())
-    return w.select("doc", "id", "pos", own.alias("fp"), runs.alias("runs")).where("size(runs) > 0")
 
+def extended(marks: DataFrame, min_lines: int) -> DataFrame:
+    """doc, id, pos, left, right (how far the later copy reaches around the line; null: not one), rest (windows not in it), around (if there is a rest).
 
-def repeated_windows(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
-    """doc, start and n of each window that equals an earlier one."""
-    marks = written(fingerprints(docs, min_lines, id_col, text_col, many_words), "fingerprints")
-    at = F.struct("doc", "pos")  # repeated rows are the same places again
-    seen = marks.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
+    One row for each of the fingerprints `marks`, which must be written, but the first of its kind.
+    """
+    reach = min_lines - 1
+    at = F.struct("id", "doc", "pos")  # repeated rows are the same places again
+    first = F.min(F.struct("id", "doc", "pos", "around"))
+    seen = marks.groupBy("fp").agg(first.alias("first"), F.max(at).alias("last")).withColumn("begin", F.expr("struct(first.id, first.doc, first.pos)"))
+    seen = seen.where("begin <> last").select("fp", "begin", F.col("first.around").alias("other"))
     # what is joined was written: then Spark splits a join at a line of very many places, which it can't behind an
     # aggregate; sorted and merged at any size, these joins are the same plan on little and on much
-    near = marks.join(written(seen, "shared").hint("merge"), "fp", "left_semi").select("id", "doc", "pos", F.explode("runs").alias("x"))
-    near = near.select(F.struct("id", "doc", (F.col("pos") - F.col("x.left")).alias("start")).alias("at"), F.col("x.n").alias("n"), F.col("x.win").alias("win"))
-    first = near.groupBy("win").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("win", "first")
-    return near.join(written(first, "first").hint("merge"), "win").where("at <> first").select("at.doc", "at.start", "n")
+    met = marks.join(written(seen, "shared").hint("merge"), "fp").where(at != F.col("begin"))
+    digest = lambda c, i: F.substring(c, 16 * i + 1, 16)
+    same = [(digest("around", i) == digest("other", i)) & (digest("around", i) != F.lit(OUTSIDE)) for i in range(2 * reach + 1)]
+    far = lambda steps: reduce(lambda n, x: F.when(x, n + 1).otherwise(0), reversed(steps), F.lit(0))
+    met = met.withColumn("before", far(same[:reach][::-1])).withColumn("behind", far(same[reach + 1 :]))
+    inside = lambda x: same[reach] & (F.floor(x / min_lines) <= F.col("before")) & (x % min_lines <= F.col("behind"))
+    met = met.withColumn("hits", F.filter("windows", inside)).withColumn("rest", F.filter("windows", lambda x: ~inside(x)))
+    # the windows of one fingerprint all hold its line: together they are one stretch
+    left, right = F.array_max(F.transform("hits", lambda x: F.floor(x / min_lines).cast("int"))), F.array_max(F.transform("hits", lambda x: x % min_lines))
+    return met.select("doc", "id", "pos", left.alias("left"), right.alias("right"), "rest", F.when(F.size("rest") > 0, F.col("around")).alias("around"))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
+    """doc, start and n of each stretch of lines that repeats an earlier one."""
+    met = written(extended(written(fingerprints(docs, min_lines, id_col, text_col, many_words), "fingerprints"), min_lines), "extended")
+    later = met.where("left IS NOT NULL").select("doc", (F.col("pos") - F.col("left")).alias("start"), (F.col("left") + F.col("right") + 1).alias("n"))
+    left, right = F.floor(F.col("x") / min_lines).cast("int"), F.col("x") % min_lines
+    rest = met.select("id", "doc", "pos", "around", F.explode("rest").alias("x"))
+    rest = rest.select(F.struct("id", "doc", (F.col("pos") - left).alias("start")).alias("at"), (left + right + 1).alias("n"), F.unhex(F.md5(F.substring("around", 16 * (min_lines - 1 - left) + 1, 16 * (left + right + 1)))).alias("win"))
+    first = rest.groupBy("win").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("win", "first")
+    return later.unionByName(rest.join(written(first, "first").hint("merge"), "win").where("at <> first").select("at.doc", "at.start", "n"))
 
 
 def drop_repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", many_words: int = MANY_WORDS) -> DataFrame:
     """`row` (the input's columns), `kept` (the text that is left), `n_lines`, `runs` (array of first line and line behind)."""
     if min_lines < 2:
         raise ValueError("a run has at least two lines, or many words")
-    windows = repeated_windows(docs, min_lines, id_col, text_col, many_words).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("s"))
+    windows = repeated_runs(docs, min_lines, id_col, text_col, many_words).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("s"))
     gone = windows.select("doc", F.expr("array_sort(array_distinct(flatten(transform(s, x -> sequence(x.start, x.start + x.n - 1)))))").alias("s"))
     # the text goes with its row, and not a second time beside it
     d = keyed(docs, id_col, text_col, keep=True).select("doc", "row").join(gone, "doc", "left")
