@@ -65,3 +65,31 @@ def test_one_and_two_lines_of_over_fifty_words_go(spark):
     assert {i: (x.n_removed, x.n_runs) for i, x in got.items()} == {1: (0, 0), 2: (1, 1), 3: (0, 0), 4: (2, 1), 5: (0, 0), 6: (0, 0), 7: (0, 0), 8: (1, 1)}
     left = {x.doc_id: x.text for x in line_dedup.without_repeated_runs(d).collect()}
     assert left[2] == "own\nwords" and left[4] == "x\ny" and 8 not in left
+
+
+def test_nothing_very_long_texts_and_a_line_in_all_documents(spark, noisy):
+    d = spark.createDataFrame([], DOC)
+    assert line_dedup.dedup_report(d).count() == 0 and line_dedup.without_repeated_runs(d).count() == 0
+    passage = ["p one", "p two", "p three", "p four"]
+    long = "\n".join([f"line {i}" for i in range(150_000)] + passage + ["w " * 200_000])
+    docs = [(1, "\n".join(passage)), (2, long), (3, "w " * 200_000), (4, "\n".join(["own", *passage, "end"]))]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.n_runs) for x in line_dedup.dedup_report(noisy(spark.createDataFrame([(i, t, "s") for i, t in docs], DOC))).collect()}
+    assert got == {1: (4, 0, 0), 2: (150_005, 4, 1), 3: (1, 1, 1), 4: (6, 4, 1)}
+
+
+def test_windows_that_the_first_position_lacks_are_found_at_later_ones(spark):
+    """Every document holds one line that comes first by no match: what stands around it decides."""
+    docs = [(0, "common")] + [(i, f"a{i % 5}\ncommon\nb{i % 5}\nc{i % 7}") for i in range(1, 60)]
+    want = py_kept(docs, 3, 50)
+    d = spark.createDataFrame([(i, t, "s") for i, t in docs], DOC)
+    got = {(x.doc_id, x.text): x.kept for x in line_dedup.drop_repeated_runs(d).select("row.doc_id", "row.text", "kept").collect()}
+    assert got == want and sum(k != t for (_, t), k in got.items()) == 54
+
+
+def test_fingerprints_are_one_row_for_each_place(spark):
+    say = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    d = spark.createDataFrame([(1, "\n".join(["x", "y", say(51, "many"), "z", "u"]), "s"), (2, "one\ntwo", "s"), (3, say(60, "t"), "s")], DOC)
+    marks = line_dedup.fingerprints(d, 3)
+    # a line that counts alone is the fingerprint of all windows that hold it: itself, two of two lines, three of three
+    assert sorted((r.id, r.pos, len(r.windows), len(r.around)) for r in marks.collect()) == [(1, 2, 6, 80), (3, 0, 1, 80)]
+    assert line_dedup.extended(line_dedup.written(marks, "marks"), 3).count() == 0
