@@ -12,11 +12,14 @@ of `width` consecutive words; an item of fewer words, but not none, is one windo
    term, position), whose keys are all different, so that no word is hot in it. There every other word is compared.
 4. `proximity_matches` asks for the two rarest terms within a distance instead, in either order.
 
-Texts are never shuffled: postings are made where a document is read, and only places and matches are moved. Terms
-and windows are broadcast only if their measured bytes are within a bound, and joined by shuffle otherwise.
+Postings are made where a document is read, and only places and matches are moved. Terms and windows are broadcast
+only if their measured bytes are within a bound, and joined by shuffle otherwise: then words are counted before
+anything is joined, places of the terms are found first, and texts are moved once to give these their neighbourhoods.
 
 Nulls: a null text has no words; an item's null id counts as an item whose id is the empty string. Items are told
-apart by id. Rows that repeat id and text share one result. Without documents or items, no window occurs.
+apart by id. Rows that repeat id and text share one result. Without documents or items, no window occurs. Terms that
+are equally rare are ordered by their letters, then by their place in the window. Very long texts are read whole; a
+document's words are one array in its task. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,9 +59,11 @@ def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col
 
 def term_counts(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
     """term, n: occurrences in the corpus of every term of the windows that has any."""
-    terms = windows.select(F.explode(F.split("win", " ")).alias("term")).distinct()
+    terms, small = sized(windows.select(F.explode(F.split("win", " ")).alias("term")).distinct(), F.octet_length("term") + 16)
     said = docs.select(F.explode(raw_words(docs[text_col])).alias("term")).select(lower_ascii(F.col("term")).alias("term"))
-    return said.join(small_side(terms, F.octet_length("term") + 16), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counted = lambda x: x.groupBy("term").agg(F.count("*").alias("n"))
+    # counted where they are read, before anything is joined: a very common word is one row of each task
+    return counted(said.join(F.broadcast(terms), "term")) if small else counted(said).join(terms, "term")
 
 
 def rare_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -86,7 +91,13 @@ def build_index(docs: DataFrame, terms: DataFrame, width: int, id_col: str = "do
     if small:
         # one fused loop over the words: only a posting reads its neighbourhood
         return rows.join(F.broadcast(look), "term").select("term", "doc", "pos", F.when(F.col("first"), around).alias("near"))
-    return rows.select("term", "doc", "pos", around.alias("near")).join(look, "term").select("term", "doc", "pos", F.when(F.col("first"), F.col("near")).alias("near"))
+    # both sides of the first join are not aggregates, so that Spark splits it at a common term; only the places that
+    # are left go back to their texts, which are moved once
+    places = written(rows.select("term", "doc", "pos").join(written(look, "anchors").hint("merge"), "term"), "places")
+    wanted = places.where("first").groupBy("doc").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+    texts = docs.select(doc_key(docs[id_col], text).alias("doc"), text.alias("text")).dropDuplicates(["doc"])
+    first = texts.join(wanted, "doc").select("doc", raw_words(F.col("text")).alias("w"), F.explode("places").alias("x")).select("doc", "w", "x.pos", "x.term")
+    return places.where("NOT first").select("term", "doc", "pos", F.lit(None).cast("string").alias("near")).unionByName(first.select("term", "doc", "pos", around.alias("near")))
 
 
 def intersected(index: DataFrame, windows: DataFrame) -> DataFrame:

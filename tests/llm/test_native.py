@@ -147,6 +147,28 @@ def test_contamination_of_repeated_rows_and_very_long_texts(spark):
     assert [(r.doc_id, r.n_words, r.n_hit, r.contaminated, r.n_near) for r in got] == [(1, 20, 20, True, 1), (1, 20, 20, True, 1), (2, 200_030, 20, False, 1)]
 
 
+def test_terms_beyond_the_bound_of_a_broadcast_may_be_in_every_document(spark, monkeypatch):
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice(["the", "The", "of", f"w{r.randrange(40)}"]) for _ in range(n))
+    items = [(1, "the of the of the"), (2, "the the the"), (3, say(9)), (4, say(30)), (5, "the w1 of W2 the")]
+    docs = [(i, say(r.randrange(80))) for i in range(70)] + [(100, "the " * 5000), (101, f"x {items[3][1]} y"), (102, None)]
+    docs += [docs[3]]
+    d, b = spark.createDataFrame([(i, t, "s") for i, t in docs], DOC), spark.createDataFrame(items, "item_id long, text string")
+    w = contamination.item_windows(b, 5)
+    read = lambda x: {tuple(y) for y in x.collect()}
+    counts = contamination.term_counts(d, w)
+    terms = contamination.anchors(contamination.rare_windows(w, counts))
+    want = read(counts), read(contamination.build_index(d, terms, 5).select("term", "doc", "pos", "near"))
+    monkeypatch.setattr("corpusloom.llm.common.BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert (read(contamination.term_counts(d, w)), read(contamination.build_index(d, terms, 5).select("term", "doc", "pos", "near"))) == want
+        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated, x.n_near) for x in contamination.contamination_report(d, b, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == py_contamination(list(dict.fromkeys(docs)), items, 5)
+
+
 def test_postings_are_intersected_and_near_ones_found(spark):
     d = spark.createDataFrame([(1, "rare one two other rare", "s"), (2, "rare a b c d e f g h other", "s"), (3, "other x rare", "s"), (4, "other rare", "s")], DOC)
     b = spark.createDataFrame([(1, "other rare")], "item_id long, text string")
