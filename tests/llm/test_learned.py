@@ -376,6 +376,42 @@ def test_packing(spark, noisy):
     assert packing.pack_documents(d.where("false"), path).count() == 0
 
 
+def plain_best_two_fit(lengths, room):
+    """The rule itself, trying all that is left: fill with the longest that fit, then give the smallest for the fullest two."""
+    left, bins = sorted(lengths), []
+    while left:
+        inside, gap = [], room
+        while fits := [n for n in left if n <= gap]:
+            left.remove(fits[-1])
+            inside.append(fits[-1])
+            gap -= fits[-1]
+        least = min(inside)
+        pairs = [(a + b, -a, b) for i, a in enumerate(left) for b in left[i + 1 :] if least < a + b <= gap + least]
+        if gap and pairs:
+            total, a, b = max(pairs)
+            assert total == b - a
+            for n in (-a, b):
+                left.remove(n)
+            inside.remove(least)
+            inside += [-a, b]
+            left = sorted([*left, least])
+        bins.append(sorted(inside))
+    return bins
+
+
+def test_best_two_fit_gives_the_bins_of_the_plain_rule():
+    r = np.random.default_rng(4)
+    for trial in range(40):
+        room = int(r.integers(5, 120))
+        lengths = r.integers(1, room + 1, int(r.integers(0, 120))) if trial % 2 else np.minimum(room, 1 + r.geometric(4 / room, 90))
+        bins, offsets = packing.best_two_fit(lengths, room)
+        filled = [sorted(lengths[bins == k].tolist()) for k in range(int(bins.max()) + 1 if len(bins) else 0)]
+        assert filled == plain_best_two_fit(lengths.tolist(), room)
+        for k in range(len(filled)):
+            at = np.argsort(offsets[bins == k])
+            assert offsets[bins == k][at].tolist() == np.cumsum([0, *lengths[bins == k][at]])[:-1].tolist()
+
+
 def test_best_two_fit_fills_better_than_greedy_alone():
     r = np.random.default_rng(11)
     for lengths in (r.integers(1, 4097, 3000), np.array([60, 50, 40, 35, 30, 25]), np.full(10, 4096)):
