@@ -12,9 +12,13 @@ These bounds, the only ones, keep the index small enough to go with every task a
 
 The index keeps for each term a list of (example, weight), parted into blocks of examples, and the largest weight in
 each part. For a text, a block's bound is the sum of its terms' weights times those maxima. The most promising blocks
-are read first; the others only if their bound reaches the k-th best cosine, so the neighbours are exact. Votes are
-weighted by cosine and by how many labelled rows an example stands for, smoothed with the share of toxic rows, and
-calibrated by isotonic regression on the examples, each scored without itself.
+are read first; the others only if their bound reaches the k-th best cosine, so the neighbours are exact. Texts are
+looked up several at once: the parts of long lists lie in a table for each block, which is multiplied with the weights
+of all texts that open the block; those of the other lists are read one by one. Weights in lists are of single
+precision. Whatever may be among the k best within the error of that gets its cosine summed anew in double precision
+over the example's own terms, so that no cosine depends on which texts are looked up together. Votes are weighted by
+cosine and by how many labelled rows an example stands for, smoothed with the share of toxic rows, and calibrated by
+isotonic regression on the examples, each scored without itself.
 
 Null or empty texts, and those that share no term with an example, get one score: the share of toxic rows among
 examples without terms, smoothed with that of all rows. Without examples every score is 0. Null ids are held out.
@@ -29,6 +33,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +48,23 @@ EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS, BLOCK = 2000, 8 << 20, 15, 64
 EVEN = 30.0
 #: Blocks that are read before bounds are compared.
 FIRST_BLOCKS = 4
+#: A list that holds one in so many of the examples is long.
+LONG = 16
+#: Texts that are looked up at once are so many at most, and their lists hold so many entries (a single text's may hold more).
+TEXTS, ENTRIES = 128, 4 << 20
 _WORD = re.compile(r"[^\W\d_]+")
+#: The characters below U+10000, in UTF-16, with a space for each that is no letter.
+_LETTERS = np.full(1 << 16, ord(" "), "<u2")
+for _m in _WORD.finditer("".join(map(chr, range(1 << 16)))):
+    _LETTERS[_m.start() : _m.end()] = np.arange(_m.start(), _m.end())
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    packed = text.encode("utf-16-le", "surrogatepass")
+    if len(packed) > 2 * len(text):  # a character beyond
+        return _WORD.findall(text)
+    return _LETTERS[np.frombuffer(packed, "<u2")].tobytes().decode("utf-16-le").split()
 
 
 def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -101,16 +119,36 @@ class Index:
         self.place[order] = np.arange(n)
         self.order = order
         weight = np.concatenate([self.vector(t, c) for t, c in self.rows]) if n else np.zeros(0)
+        # the examples' own terms, one example after the other
+        self.own_size, self.own_term, self.own_weight = size, term.astype(np.int32), weight
+        self.own_start = np.cumsum(size) - size
+        # the lists are sent to every task: narrow numbers, the largest weights rounded up
         at = self.place[who]
         by = np.lexsort((at, term))
-        term, self.example, self.weight = term[by], at[by], weight[by]
+        term, self.example, weight = term[by], at[by].astype(np.int32), weight[by]
+        self.weight = weight.astype(np.float32)
         block = self.example // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.start, self.size = new, np.diff(np.concatenate([new, [len(term)]]))
+        self.start, self.size = new.astype(np.int32), np.diff(np.concatenate([new, [len(term)]])).astype(np.int32)
         self.block = block[new]
-        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.first = np.searchsorted(term[new], np.arange(terms + 1))
+        self.most = np.nextafter((np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)).astype(np.float32), np.float32(np.inf))
+        self.first = np.searchsorted(term[new], np.arange(terms + 1)).astype(np.int32)
         self.blocks = -(-n // BLOCK)
+        self.held = np.bincount(term, minlength=terms).astype(np.int32)  # entries of each list
+        long = np.flatnonzero(self.held >= max(1, n) / LONG)
+        self.long = np.full(terms, -1, np.int32)  # a long list's number
+        self.long[long] = np.arange(len(long))
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the long lists: weights by block, list and place in the block, and the largest ones by list and block."""
+        long = np.flatnonzero(self.long >= 0)
+        parts = _spread(self.first[long], self.first[long + 1] - self.first[long])
+        i, number = _spread(self.start[parts], self.size[parts]), np.repeat(np.arange(len(long)), self.held[long])
+        weights, most = np.zeros((self.blocks, len(long), BLOCK), np.float32), np.zeros((len(long), self.blocks))
+        weights[self.example[i] // BLOCK, number, self.example[i] % BLOCK] = self.weight[i]
+        most[np.repeat(np.arange(len(long)), self.first[long + 1] - self.first[long]), self.block[parts]] = self.most[parts]
+        return weights, most
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         """The weights of a text's terms at length one."""
@@ -119,49 +157,84 @@ class Index:
 
     def row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The terms among a text's words, each once, and how often they occur."""
-        known = self.number.get
-        found = [(t, n) for w, n in Counter(words).items() if (t := known(w)) is not None]
-        terms, times = np.array(found, np.int64).reshape(-1, 2).T
-        order = np.argsort(terms)
-        return terms[order], times[order]
+        found = np.array([t for t in map(self.number.get, words) if t is not None], np.int64)
+        found.sort()
+        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else found
+        return found[new], np.diff(np.append(new, len(found)))
 
     def nearest(self, row: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """Cosine and example of the k nearest with any term in common; equal ones in the order of the examples."""
-        terms, times = row
-        if not len(terms):
-            return []
-        begin = self.first[terms]
-        count = self.first[terms + 1] - begin  # at least one: each term stands in an example
+        return self.nearest_of([row], k, [without])[0]
+
+    def nearest_of(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """`nearest` of each of the texts."""
+        if not self.blocks:
+            return [[] for _ in rows]
+        cuts, entries = [0], 0
+        for at, (terms, _) in enumerate(rows):
+            entries += (more := int(self.held[terms].sum()))
+            if at - cuts[-1] == TEXTS or (entries > ENTRIES and at > cuts[-1]):
+                cuts.append(at)
+                entries = more
+        return [x for a, b in pairwise([*cuts, len(rows)]) for x in self._together(rows[a:b], k, without[a:b] if without else [-1] * (b - a))]
+
+    def _together(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        n, blocks = len(rows), self.blocks
+        tables, tables_most = self.tables
+        vectors = [self.vector(*row) for row in rows]
+        text = np.repeat(np.arange(n), [len(v) for v in vectors])
+        term, w = np.concatenate([t for t, _ in rows]) if n else np.zeros(0, np.int64), np.concatenate(vectors) if n else np.zeros(0)
+        number = self.long[term]
+        long = number >= 0
+        wide = np.zeros((n, len(tables_most)))
+        wide[text[long], number[long]] = w[long]
+        text, term, w = text[~long], term[~long], w[~long]
+        begin = self.first[term]
+        count = self.first[term + 1] - begin  # at least one: each term stands in an example
         parts = _spread(begin, count)
-        w = np.repeat(self.vector(terms, times), count)
-        block = self.block[parts]
-        bound = np.bincount(block, weights=w * self.most[parts], minlength=self.blocks)
-        score = np.zeros(len(self.rows))
+        w, text, block = np.repeat(w, count), np.repeat(text, count), self.block[parts]
+        bound = wide @ tables_most
+        wide = wide.astype(np.float32)
+        error = 1e-9 + (wide.shape[1] + 4) * 2.0**-23  # two scores' errors at most
+        bound += np.bincount(text * blocks + block, weights=w * self.most[parts], minlength=n * blocks).reshape(n, blocks)
+        score = np.zeros((n, blocks * BLOCK))
+        left_out = [(i, self.place[x]) for i, x in enumerate(without) if x >= 0]
 
         def read(which: np.ndarray) -> None:
-            p = np.flatnonzero(which[block])
-            at = parts[p]
-            size = self.size[at]
-            i = _spread(self.start[at], size)
+            p = np.flatnonzero(which[text, block])
+            size = self.size[parts[p]]
+            i = _spread(self.start[parts[p]], size)
             x = np.repeat(w[p], size)
             x *= self.weight[i]
-            score[:] += np.bincount(self.example[i], weights=x, minlength=len(score))
-
-        open_ = np.zeros(self.blocks, bool)
-        open_[np.argsort(-bound)[:FIRST_BLOCKS]] = True
+            score.reshape(-1)[:] += np.bincount(np.repeat(text[p] * (blocks * BLOCK), size) + self.example[i], weights=x, minlength=score.size)
+            for b in np.flatnonzero(which.any(axis=0)):
+                at = np.flatnonzero(which[:, b])
+                score[at, b * BLOCK : (b + 1) * BLOCK] += wide[at] @ tables[b]
+            for i, x in left_out:
+                score[i, x] = 0
+
+        first = np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS]
+        open_ = np.zeros((n, blocks), bool)
+        np.put_along_axis(open_, first, True, axis=1)
         read(open_)
-        if without >= 0:
-            score[self.place[without]] = 0
-        kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        rest = ~open_ & (bound > 0) & (bound >= kth - 1e-9)
-        if rest.any():
-            read(rest)
-            if without >= 0:
-                score[self.place[without]] = 0
-            kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        at = np.flatnonzero((score > 0) & (score >= kth - 1e-9))
-        best = sorted((-round(float(score[i]), 12), int(self.order[i])) for i in at)[:k]
-        return [(-s, i) for s, i in best]
+        seen = np.take_along_axis(score.reshape(n, blocks, BLOCK), first[:, :, None], axis=1).reshape(n, -1)
+        least = np.partition(seen, -k, axis=1)[:, -k].reshape(n, 1) if seen.shape[1] >= k else np.zeros((n, 1))
+        read(~open_ & (bound > 0) & (bound >= least - error))
+        near = (score > 0) & (score >= least - error)
+        full, out = np.zeros(len(self.scale)), []
+        for (terms, _), vector, scores, found in zip(rows, vectors, score, near, strict=True):
+            at = np.flatnonzero(found)
+            if len(at) > k:
+                at = at[scores[at] >= np.partition(scores[at], -k)[-k] - error]
+            at = self.order[at]
+            size = self.own_size[at]
+            i = _spread(self.own_start[at], size)
+            full[terms] = vector
+            cosine = np.add.reduceat(full[self.own_term[i]] * self.own_weight[i], np.cumsum(size) - size) if len(at) else np.zeros(0)
+            full[terms] = 0
+            best = sorted(zip((-cosine.round(12)).tolist(), at.tolist(), strict=True))[:k]
+            out.append([(-s, i) for s, i in best])
+        return out
 
     def votes(self, near: list[tuple[float, int]]) -> float:
         at = [i for _, i in near]
@@ -226,7 +299,7 @@ def _counted(docs: DataFrame, number: dict[str, int], text_col: str) -> dict[int
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 texts += 1
-                found = [t for w in set(_WORD.findall((text or "").lower())) if (t := number.get(w)) is not None]
+                found = [t for w in set(words_of(text)) if (t := number.get(w)) is not None]
                 n[found] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], texts))], names=["term", "n"])
@@ -252,9 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str =
     number = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
     y = sample["toxic"].to_numpy().astype(float)
     size = np.array([len(x) for x in sample["words"]], np.int64)
-    flat, times = words.indices.to_numpy(), (sample["times"].combine_chunks().flatten().to_numpy() if len(sample) else np.zeros(0)).astype(float)
+    flat, times = words.indices.to_numpy(), (sample["times"].combine_chunks().flatten().to_numpy() if len(sample) else np.zeros(0)).astype(np.int32)
     cuts = np.cumsum(size)[:-1]
-    rows = list(zip(np.split(flat.astype(np.int64), cuts), np.split(times, cuts), strict=True)) if len(sample) else []
+    rows = list(zip(np.split(flat.astype(np.int32), cuts), np.split(times, cuts), strict=True)) if len(sample) else []
     label = np.repeat(y, size)
     seen = [np.bincount(flat[label == v], minlength=len(number)).astype(float) for v in (0, 1)]
     ids, copies = sample["id"].to_pylist(), sample["rows"].to_numpy()
@@ -267,7 +340,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str =
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(i, index.votes(near)) for i in batch.column(0).to_pylist() if (near := index.nearest(index.rows[i], without=i))]
+            which = batch.column(0).to_pylist()
+            found = index.nearest_of([index.rows[i] for i in which], without=which)
+            got = [(i, index.votes(near)) for i, near in zip(which, found, strict=True) if near]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([v for _, v in got], pa.float64())], names=["i", "votes"])
 
     if rows:
@@ -285,8 +360,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(0).field(at).to_pylist():
-                near = index.nearest(index.row(words_of(text)))
+            for near in index.nearest_of([index.row(words_of(text)) for text in batch.column(0).field(at).to_pylist()]):
                 out.append((index.score(near), ",".join(f"{index.ids[i]}:{c:.4f}" for c, i in near[:3]), len(near)))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["row", "score", "evidence", "neighbours"])

@@ -1,5 +1,7 @@
 """Toxicity: rare toxic words count at any size and at any cap."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,3 +34,39 @@ def test_a_term_weighs_more_where_it_stands_more_often():
     assert times.tolist() == [2, 1]
     w = dict(zip(terms.tolist(), index.vector(terms, times).tolist(), strict=True))
     assert w[0] > w[1] > 0
+
+
+def test_words_are_the_runs_of_letters_of_any_script():
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for text in (every[:0x10000], every, " ".join(every[:0x3000]), "Añb_c1d²e\x1cf\x85g\xa0h i　jİK 𝐀b\x00c", "", None):
+        assert toxicity.words_of(text) == re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
+@pytest.mark.parametrize(("texts", "entries", "long"), [(128, 4 << 20, 16), (7, 4 << 20, 3), (128, 900, 10**9), (128, 4 << 20, 1)])
+def test_texts_looked_up_together_get_the_exact_neighbours_and_the_lists_are_read_once_a_group(monkeypatch, texts, entries, long):
+    monkeypatch.setattr(toxicity, "TEXTS", texts)
+    monkeypatch.setattr(toxicity, "ENTRIES", entries)
+    monkeypatch.setattr(toxicity, "LONG", long)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    r, terms, n = np.random.default_rng(3), 60, 230
+    rows = []
+    for i in range(n):
+        t = np.flatnonzero(r.random(terms) < 3 / (2 + np.arange(terms))) if i % 40 else np.zeros(0, np.int64)
+        rows.append((t, r.integers(1, 4, len(t)).astype(float)))
+    rows[50:55] = rows[60:65]  # equally near ones
+    scale = 1 + r.random(terms)
+    index = toxicity.Index({}, scale, rows, (np.arange(n) % 3 == 0).astype(float), np.ones(n), [str(i) for i in range(n)])
+    dense = np.zeros((n, terms))
+    for i, (t, k) in enumerate(rows):
+        v = (1 + np.log(k)) * scale[t]
+        dense[i, t] = v / max(1e-12, np.sqrt(v @ v))
+    calls, count = [], np.bincount
+    monkeypatch.setattr(toxicity.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    for without in (None, list(range(n))):
+        calls.clear()
+        got = index.nearest_of(rows, without=without)
+        assert len(got) == n and (texts < 128 or entries < 1000 or len(calls) <= 3 * -(-n // texts))
+        for i, near in enumerate(got):
+            want = sorted((-c, j) for j, c in enumerate((dense @ dense[i]).round(12)) if c > 0 and j != (i if without else -1))[: toxicity.NEIGHBOURS]
+            assert np.allclose([c for c, _ in near], [-c for c, _ in want], atol=1e-11) and len(near) == len(want)
+            assert near == index.nearest(rows[i], without=i if without else -1)  # to the last bit
