@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -36,6 +37,13 @@ def _ranges(kinds: str) -> str:
     return "".join(f"\\u{i:04x}" for i in range(0x250) if unicodedata.category(chr(i))[0] in kinds)
 
 
+#: Letters below U+0250 whose small ones aren't.
+_AWAY = "".join(chr(i) for i in range(0x250) if max(chr(i).lower()) >= "\u0250")
+#: What stands for a byte in the words of a byte-level model: its own character if that can be seen, else one from U+0100 on.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 class WordIds:
     """Ids of texts by a tokenizer that splits texts into words and treats each word alone, the words' ids being remembered.
 
@@ -48,7 +56,7 @@ class WordIds:
     SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
     #: Beside other scripts: controls, which differ between engines, and what may start a special token.
-    other = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İɐ-\U0010ffff]|<\\|")
+    other = re.compile(f"[\x00-\x08\x0e-\x1f\x7f-\xa0{_AWAY}ɐ-\U0010ffff]|<\\|")
     word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\\s{_ranges('LN')}]+")
 
     def __init__(self, path: str):
@@ -66,12 +74,11 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes words in one text; they are split where they were split before."""
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        packed, place = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-        cuts = np.searchsorted(place, np.arange(len(words) + 1)) * 4
-        for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist(), strict=False):
-            self.known[w] = packed[a:b]
+        """Encodes words one by one; normal forms and splitting are behind them, so that only the tokenizer's model is left to ask."""
+        tokenize = self.tokenizer.model.tokenize
+        for w in words:
+            ids = [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""

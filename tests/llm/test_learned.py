@@ -341,6 +341,29 @@ def test_token_ids_equal_the_tokenizer_s(spark):
         assert np.frombuffer(w.of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_letters_whose_small_ones_lie_beyond_the_latin_blocks_and_words_asked_of_the_model():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    t, w = Tokenizer.from_file(path), packing.WordIds(path)
+    r = random.Random(12)
+    latin = [chr(i) for i in range(0x250)]
+    texts = ["ƐVE Ɛ & e n 1", "one ƆƐɅ two", "& e n 1 one two eve", *latin, *("".join(r.choice(latin[0x21:]) for _ in range(30)) for _ in range(300))]
+    for x in texts * 2:
+        assert np.frombuffer(w.of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    w.tokenizer = t = CountedEncode(w.tokenizer)
+    assert len(w.of("zqxjk vbwét words never seen before")) > 0 and t.calls == 0  # the model alone is asked for new words
+
+
+class CountedEncode:
+    def __init__(self, tokenizer):
+        self.model, self.tokenizer, self.calls = tokenizer.model, tokenizer, 0
+
+    def encode(self, *a, **k):
+        self.calls += 1
+        return self.tokenizer.encode(*a, **k)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_other_tokenizers_are_used_whole(name):
     from tokenizers import Tokenizer
