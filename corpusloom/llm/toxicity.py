@@ -31,13 +31,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,22 +168,34 @@ class Index:
 
     def nearest_of(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """`nearest` of each of the texts."""
-        if not self.blocks:
-            return [[] for _ in rows]
-        cuts, entries = [0], 0
-        for at, (terms, _) in enumerate(rows):
-            entries += (more := int(self.held[terms].sum()))
-            if at - cuts[-1] == TEXTS or (entries > ENTRIES and at > cuts[-1]):
-                cuts.append(at)
-                entries = more
-        return [x for a, b in pairwise([*cuts, len(rows)]) for x in self._together(rows[a:b], k, without[a:b] if without else [-1] * (b - a))]
-
-    def _together(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
-        n, blocks = len(rows), self.blocks
+        return list(self.nearest_each(((t, self.vector(t, times), x) for (t, times), x in zip(rows, without or [-1] * len(rows), strict=True)), k))
+
+    def nearest_each(self, texts: Iterable[tuple[np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS) -> Iterator[list[tuple[float, int]]]:
+        """`nearest` of texts that are given by their terms, those terms' weights and the example that is left out; no more of them are held than are looked up at once."""
+        group, entries = [], 0
+        for text in texts:
+            if not self.blocks:
+                yield []
+                continue
+            more = int(self.held[text[0]].sum())
+            if len(group) == TEXTS or (entries + more > ENTRIES and group):
+                yield from self._together(group, k)
+                group, entries = [], 0
+            group.append(text)
+            entries += more
+        if group:
+            yield from self._together(group, k)
+
+    def example_vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """An example's terms and their weights."""
+        own = slice(self.own_start[i], self.own_start[i] + self.own_size[i])
+        return self.own_term[own], self.own_weight[own]
+
+    def _together(self, group: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> list[list[tuple[float, int]]]:
+        n, blocks = len(group), self.blocks
         tables, tables_most = self.tables
-        vectors = [self.vector(*row) for row in rows]
-        text = np.repeat(np.arange(n), [len(v) for v in vectors])
-        term, w = np.concatenate([t for t, _ in rows]) if n else np.zeros(0, np.int64), np.concatenate(vectors) if n else np.zeros(0)
+        text = np.repeat(np.arange(n), [len(v) for _, v, _ in group])
+        term, w = np.concatenate([t for t, _, _ in group]), np.concatenate([v for _, v, _ in group])
         number = self.long[term]
         long = number >= 0
         wide = np.zeros((n, len(tables_most)))
@@ -198,7 +210,7 @@ class Index:
         error = 1e-9 + (wide.shape[1] + 4) * 2.0**-23  # two scores' errors at most
         bound += np.bincount(text * blocks + block, weights=w * self.most[parts], minlength=n * blocks).reshape(n, blocks)
         score = np.zeros((n, blocks * BLOCK))
-        left_out = [(i, self.place[x]) for i, x in enumerate(without) if x >= 0]
+        left_out = [(i, self.place[x]) for i, (_, _, x) in enumerate(group) if x >= 0]
 
         def read(which: np.ndarray) -> None:
             p = np.flatnonzero(which[text, block])
@@ -222,7 +234,7 @@ class Index:
         read(~open_ & (bound > 0) & (bound >= least - error))
         near = (score > 0) & (score >= least - error)
         full, out = np.zeros(len(self.scale)), []
-        for (terms, _), vector, scores, found in zip(rows, vectors, score, near, strict=True):
+        for (terms, vector, _), scores, found in zip(group, score, near, strict=True):
             at = np.flatnonzero(found)
             if len(at) > k:
                 at = at[scores[at] >= np.partition(scores[at], -k)[-k] - error]
@@ -261,6 +273,13 @@ class Index:
     def score(self, near: list[tuple[float, int]]) -> float:
         return float(np.interp(self.votes(near), *self.curve)) if near else self.none
 
+    @classmethod
+    def of(cls, parts: dict) -> Index:
+        """An index that was taken apart by `vars`, so that it could be sent as plain numbers and texts."""
+        index = cls.__new__(cls)
+        vars(index).update(parts)
+        return index
+
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")), F.lit(0)) % 5 == 0
@@ -293,8 +312,10 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: s
 
 def _counted(docs: DataFrame, number: dict[str, int], text_col: str) -> dict[int, int]:
     """Texts of the whole corpus that hold each term; at -1, all texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = sent.value
         n, texts = np.zeros(len(number), np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -306,11 +327,17 @@ def _counted(docs: DataFrame, number: dict[str, int], text_col: str) -> dict[int
 
     counts = docs.select(docs[text_col]).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # a row for each term of the examples
+    sent.destroy()
     return dict(zip(found["term"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The calibrated index."""
+    return _sent(docs, labels, most, id_col, text_col)[0]
+
+
+def _sent(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str) -> tuple[Index, Broadcast]:
+    """The calibrated index, and its parts before it was calibrated, which go to each Python worker once and not with every task."""
     chosen, n = examples(small_batches(docs), labels, most, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,30 +364,39 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str =
     each = [n.get(v, 0) / max(1, copies[y == v].sum()) for v in (0, 1)]  # labelled rows for one of the sample
     prior = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
     index = Index(number, scale, rows, y, copies * np.where(y == 1, each[1], each[0]), ids, prior)
+    index.rows = [()] * len(rows)  # only the lists are needed from here on
+    sent = docs.sparkSession.sparkContext.broadcast(dict(vars(index)))
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.of(sent.value)
         for batch in batches:
             which = batch.column(0).to_pylist()
-            found = index.nearest_of([index.rows[i] for i in which], without=which)
+            found = index.nearest_each((*index.example_vector(i), i) for i in which)
             got = [(i, index.votes(near)) for i, near in zip(which, found, strict=True) if near]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([v for _, v in got], pa.float64())], names=["i", "votes"])
 
     if rows:
         raw = docs.sparkSession.range(len(rows), numPartitions=max(1, len(rows) // 100)).mapInArrow(without, "i long, votes double").collect()
         index.calibrate({r["i"]: r["votes"] for r in raw})
-    index.rows = [()] * len(index.rows)  # only the lists are needed from here on
-    return index
+    return index, sent
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`row` (all columns of docs), score, evidence (the three nearest examples, as id:cosine) and neighbours (how many) per row."""
-    index = fit(docs, labels, most, id_col, text_col)  # bounded by `most` and EXAMPLE_CHARS; it goes with the tasks
+    index, sent = _sent(docs, labels, most, id_col, text_col)  # bounded by `most` and EXAMPLE_CHARS
+    shares = {"curve": index.curve, "none": index.none}
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.of(sent.value | shares)
+
+        def vector(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+            terms, times = index.row(words_of(text))
+            return terms, index.vector(terms, times), -1
+
         for batch in batches:
             out = []
-            for near in index.nearest_of([index.row(words_of(text)) for text in batch.column(0).field(at).to_pylist()]):
+            for near in index.nearest_each(vector(text.as_py()) for text in batch.column(0).field(at)):
                 out.append((index.score(near), ",".join(f"{index.ids[i]}:{c:.4f}" for c, i in near[:3]), len(near)))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["row", "score", "evidence", "neighbours"])

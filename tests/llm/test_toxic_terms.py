@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import functions as F
 
 from corpusloom.llm import toxicity
@@ -70,3 +71,23 @@ def test_texts_looked_up_together_get_the_exact_neighbours_and_the_lists_are_rea
             want = sorted((-c, j) for j, c in enumerate((dense @ dense[i]).round(12)) if c > 0 and j != (i if without else -1))[: toxicity.NEIGHBOURS]
             assert np.allclose([c for c, _ in near], [-c for c, _ in want], atol=1e-11) and len(near) == len(want)
             assert near == index.nearest(rows[i], without=i if without else -1)  # to the last bit
+
+
+def test_the_index_is_sent_once_and_not_with_each_function(spark, monkeypatch):
+    words = "transform(sequence(85 * id, 85 * id + 84), x -> concat('word', translate(string(x), '0123456789', 'abcdefghij')))"
+    d = spark.range(200).selectExpr("id AS doc_id", f"concat_ws(' ', {words}) AS text")
+    labels = d.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    sizes, dumps = [], CloudPickleSerializer.dumps
+    monkeypatch.setattr(CloudPickleSerializer, "dumps", lambda self, obj: sizes.append(len(out := dumps(self, obj))) or out)
+    assert toxicity.scored(d, labels).count() == 200
+    assert len(sizes) >= 3 and max(sizes) < 250_000  # the examples' words alone are more; the table of letters is 131,072
+
+
+def test_no_more_texts_are_held_than_are_looked_up_at_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXTS", 7)
+    rows = [(np.array([i % 5, 5]), np.ones(2)) for i in range(100)]
+    index = toxicity.Index({}, np.ones(6), rows, np.zeros(100), np.ones(100), [str(i) for i in range(100)])
+    taken = []
+    each = index.nearest_each(taken.append(i) or (*index.example_vector(i), i) for i in range(100))
+    assert next(each) == index.nearest(rows[0], without=0) and len(taken) == 8
+    assert [*each] == index.nearest_of(rows, without=list(range(100)))[1:]
