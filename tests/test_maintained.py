@@ -203,3 +203,20 @@ def test_dimensions_are_checked_and_healed(spark, path):
     n = maintained.current(spark, path).number
     maintained.healed(spark, path, three)
     assert maintained.current(spark, path).number == n
+
+
+def test_texts_of_files_stay_where_they_are(spark, path, monkeypatch):
+    """Files are picked by digests: no join or distinct has their texts, unless a path comes twice or digests are too many."""
+    rows = [(f"{k}.md", v, v[:3]) for k, v in (FIRST | {"e": body("Alpha")}).items()]
+    files = spark.createDataFrame(rows, "path string, text string, content_md5 string").repartition(3)
+    wanted = files.where("path IN ('a.md', 'b.md')").select("path", "content_md5")
+    moved = lambda d: "Exchange hash" in d._jdf.queryExecution().executedPlan().toString()
+    for every, part in ((True, files), (False, wanted)):
+        got = maintained._picked(files, part.select("path", "content_md5"), every)
+        assert sorted(r.path for r in got.collect()) == sorted(r.path for r in part.collect()) and not moved(got)
+    assert sorted(r.path for r in maintained._picked(files.unionByName(files), wanted, False).collect()) == ["a.md", "b.md"]
+    left = maintained._without(files, wanted.select("path"))
+    assert sorted(r.path for r in left.collect()) == ["c.md", "e.md", "tests/bad.md"] and not moved(left)
+    monkeypatch.setattr(maintained, "is_small", lambda d, width: False)
+    assert sorted(r.path for r in maintained._picked(files, wanted, False).collect()) == ["a.md", "b.md"]
+    assert left.count() == maintained._without(files, wanted.select("path")).count()
