@@ -1,4 +1,4 @@
-"""Documents as files: a data source for writing, one file a row, all of a job's or none.
+"""Documents as files: a data source for writing, one file a row, all of a job's or none, and for reading them again.
 
 Tasks write below a staging folder beside the target, each attempt under names of its own. When all have ended, their files are
 moved to where they belong; if one fails, the staging folder goes and no file is left. A path that leaves the
@@ -7,6 +7,10 @@ target, is absolute or empty, or comes twice in a task, fails the job before any
     spark.dataSource.register(DocumentFiles)
     rows.select("path", "text").write.format("document_files").mode("append").save("/shared/docs")
 
+Reading gives every file, also those that hold nothing, which Spark's own file sources leave out.
+
+    spark.read.format("document_files").load("/shared/docs")  # path, content
+
 The target is a local or mounted folder or a URI that pyarrow's file systems know; driver and executors must share it.
 """
 
@@ -17,8 +21,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 
@@ -30,6 +34,10 @@ def safe(path: str | None) -> str:
     return path
 
 
+#: Files and bytes that a task reads, about.
+PART_FILES, PART_BYTES = 4096, 32 << 20
+
+
 @dataclass
 class Staged(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -44,18 +52,51 @@ def _file_system(target: str):
 
 
 class DocumentFiles(DataSource):
-    """Rows (path, text) as files."""
+    """Rows (path, text) as files; files as rows (path, content)."""
 
     @classmethod
     def name(cls) -> str:
         return "document_files"
 
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if not {"path", "text"} <= set(schema.names):
             raise ValueError("rows need path and text")
         return _Writer(self.options["path"])
 
 
+class _Reader(DataSourceReader):
+    def __init__(self, target: str):
+        self.target = target.rstrip("/")
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, base = _file_system(self.target)
+        parts, n, size = [[]], 0, 0
+        for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
+            path = info.path[len(base) + 1 :]
+            if info.type != fs.FileType.File or path.startswith(".staging-"):
+                continue
+            if n >= PART_FILES or size >= PART_BYTES:
+                parts.append([])
+                n = size = 0
+            parts[-1].append(path)
+            n, size = n + 1, size + info.size
+        return [InputPartition(p) for p in parts]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, bytes]]:
+        system, base = _file_system(self.target)
+        for path in partition.value:
+            with system.open_input_stream(f"{base}/{path}") as f:
+                yield path, f.read()
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, target: str):
         self.target, self.job = target.rstrip("/"), uuid.uuid4().hex
@@ -111,3 +152,9 @@ def write_files(documents: DataFrame, target: str) -> None:
     """Writes documents (path, text) below target; texts replace what files of these paths held."""
     documents.sparkSession.dataSource.register(DocumentFiles)
     documents.select("path", "text").write.format("document_files").mode("append").save(target)
+
+
+def read_files(spark: SparkSession, target: str) -> DataFrame:
+    """path (below target), content of every file there."""
+    spark.dataSource.register(DocumentFiles)
+    return spark.read.format("document_files").load(target)
