@@ -436,3 +436,19 @@ def test_too_many_queries_are_refused(spark, monkeypatch):
     index = search.Index(v, v, v, v, v)
     with pytest.raises(ValueError, match="too many"):
         search.nearest(index, v.withColumnRenamed("id", "qid"), 1)
+
+
+def test_packed_vectors_are_what_they_were(spark):
+    vecs = [[1.0, -127.0, 0.0], [128.0, -5.0, 3.0], [-32767.0, 32767.0, 0.0], [32768.0, 1.0, 0.0], [0.5, 1 / 3, -2.0], [0.0, 2.0, 1.0]]
+    c = spark.createDataFrame(list(enumerate(vecs)), "node long, vec array<double>")
+    for some in (c, c.where("node IN (0, 5)")):
+        got = classify._packed(some.coalesce(1)).orderBy("node").toArrow()
+        assert classify._unpacked(got["vec"]).tolist() == [vecs[n] for n in got["node"].to_pylist()]
+    assert [len(r.vec) for r in classify._packed(c).orderBy("node").collect()] == [4, 7, 7, 25, 25, 4]
+
+
+def test_vectors_exactly_at_the_threshold_are_near(spark):
+    # a product of 46, squared lengths of 50 and 50: 0.92, of which two roots of 50 make a little less
+    ones = lambda at, minus=(): [-1.0 if i in minus else float(i in at) for i in range(52)]
+    v = spark.createDataFrame([(1, ones(range(50))), (2, ones({*range(47), 50, 51}, {47}))], "id long, vec array<double>")
+    assert [(r.files, r.similarity) for r in classify.duplicate_clusters(v).collect()] == [([1, 2], 0.92)]
